@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamloom.llm import quality_rules
+from beamloom.llm import byte_bpe, quality_rules, token_files
 from beamloom.llm.shared import table
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return byte_bpe.encode_documents(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     rows = quality_rules.quality_rules(docs, keep_text=False)
@@ -41,8 +54,14 @@ FROM b LEFT JOIN hv USING (source)
 """
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = token_files.write_token_files(docs, vocabulary("word_bpe_49k.json"), end_id=1)
+    return token_files.read_token_files(files, digests=True)
+
+
 def queries() -> dict:
-    return {"op4_quality_rules": op4_quality_rules}
+    return {"op3_byte_bpe": op3_byte_bpe, "op4_quality_rules": op4_quality_rules, "op6_token_files": op6_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
