@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamloom.llm import byte_bpe, quality_rules, token_files
+from beamloom.llm import byte_bpe, embedding_dedup, quality_rules, token_files
 from beamloom.llm.shared import table
 
 
@@ -60,8 +60,17 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(files, digests=True)
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {"op3_byte_bpe": op3_byte_bpe, "op4_quality_rules": op4_quality_rules, "op6_token_files": op6_token_files}
+    return {
+        "op3_byte_bpe": op3_byte_bpe,
+        "op4_quality_rules": op4_quality_rules,
+        "op6_token_files": op6_token_files,
+        "op10_embedding_dedup": op10_embedding_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
