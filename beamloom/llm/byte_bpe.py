@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces kept encoded in each Python worker; the cache is emptied when full.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 800_000
+#: Characters of text split into pieces at a time.
+CHUNK_CHARS = 4_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,10 +42,17 @@ class PrefixBPE:
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        lengths: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > 1:
+                lengths.setdefault(token[-2:], {1}).add(len(token))
+        #: Lengths of the tokens that end with two bytes, longest first.
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
         self.find = regex.compile(pattern).findall
         self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
-        self._stable: dict[tuple[bytes, bytes], bool] = {}
-        self.pieces = _Pieces(self)
+        self._stable: dict[int, bool] = {}
+        self._reach: dict[int, bool] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _split(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two tokens whose merge makes this one; None for one byte, (b"", b"") if no merges reach it."""
@@ -60,8 +70,8 @@ class PrefixBPE:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return (parts[0], parts[1]) if len(parts) == 2 else (b"", b"")
 
-    def stable(self, left: bytes, right: bytes) -> bool:
-        """Whether the bytes of both, encoded together, give these two tokens.
+    def stable(self, left: int, right: int) -> bool:
+        """Whether the bytes of both tokens, encoded together, give these two tokens.
 
         The boundary is crossed only if, at some moment of the two merge histories, the token
         that ends the left history and the one that starts the right history merge before
@@ -69,82 +79,96 @@ class PrefixBPE:
         whose last merge came later (rank; at a tie the right one, as merges run from the
         left) is undone first.
         """
-        key = (left, right)
-        if key in self._stable:
-            return self._stable[key]
-        rank, before, ties = self.ranks, float("inf"), False
-        result = True
+        key = left << 32 | right
+        if (known := self._stable.get(key)) is not None:
+            return known
+        rank, before, ties, result = self.ranks, float("inf"), False, True
+        x, y = self.tokens[left], self.tokens[right]
         while True:
-            joined = rank.get(left + right)
+            joined = rank.get(x + y)
             if joined is not None and (joined < before or ties and joined == before):
                 result = False
                 break
-            a, b = self._split(left), self._split(right)
+            a, b = self._split(x), self._split(y)
             if a is None and b is None:
                 break
-            if b is None or a is not None and rank[left] > rank[right]:
-                before, ties, left = rank[left], False, a[1]  # type: ignore[index]
+            if b is None or a is not None and rank[x] > rank[y]:
+                before, ties, x = rank[x], False, a[1]  # type: ignore[index]
             else:
-                before, ties, right = rank[right], True, b[0]
+                before, ties, y = rank[y], True, b[0]
         if len(self._stable) > 1_000_000:
             self._stable.clear()
         self._stable[key] = result
         return result
 
-    def extend(self, data: bytes, last: list[bytes], start: int) -> None:
+    def _reached(self, token: int) -> bool:
+        if token not in self._reach:
+            self._reach[token] = self._split(self.tokens[token]) != (b"", b"")
+        return self._reach[token]
+
+    def extend(self, data: bytes, last: list[int], start: int) -> None:
         """Sets last[start:] to the last tokens of the prefixes of data that end there."""
-        ranks, longest, stable = self.ranks, self.longest, self.stable
+        get, stable, known, reach = self.ranks.get, self.stable, self._stable, self._reach
         del last[start:]
         for end in range(start + 1, len(data) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = data[begin:end]
-                if token in ranks and (self._split(token) != (b"", b"")) and (not begin or stable(last[begin - 1], token)):
+            for n in self.lengths.get(data[end - 2 : end], (1,)) if end > 1 else (1,):
+                if n > end:
+                    continue
+                begin = end - n
+                token = get(data[begin:end])
+                if token is None:
+                    continue
+                if begin and not (stable(last[begin - 1], token) if (s := known.get(last[begin - 1] << 32 | token)) is None else s):
+                    continue
+                if reach.get(token) or self._reached(token):
                     last.append(token)
                     break
             else:
                 raise ValueError(f"no token ends the prefix of {end} bytes; the ranks lack single bytes")
 
-    @staticmethod
-    def read_off(last: list[bytes]) -> list[bytes]:
+    def read_off(self, last: list[int]) -> list[int]:
         out, end = [], len(last)
         while end:
             out.append(last[end - 1])
-            end -= len(out[-1])
+            end -= len(self.tokens[out[-1]])
         return out[::-1]
 
     def encode_piece(self, data: bytes) -> list[int]:
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
-        last: list[bytes] = []
+        last: list[int] = []
         self.extend(data, last, 0)
-        return [self.ranks[t] for t in self.read_off(last)]
+        return self.read_off(last)
 
-    def encode_packed(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        Pieces that aren't cached are encoded in sorted order: one that shares its start with the
+        piece before it keeps that part of the table and is appended from there.
+        """
+        found = [self.find(text) for text in texts]
+        if len(self.pieces) > CACHED_PIECES:
+            self.pieces.clear()
+        new = {piece for pieces in found for piece in pieces if piece not in self.pieces} if len(found) == 1 else set().union(*found) - self.pieces.keys()
+        before, last = b"", []
+        for data in sorted(x.encode() for x in new):
+            if (whole := self.ranks.get(data)) is not None:
+                packed = whole.to_bytes(4, "little")
+            else:
+                same = next((i for i, (x, y) in enumerate(zip(before, data, strict=False)) if x != y), min(len(before), len(data)))
+                self.extend(data, last, same)
+                before = data
+                packed = struct.pack(f"<{len(ids := self.read_off(last))}I", *ids)
+            self.pieces[data.decode()] = packed
+        return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in found]
 
     def encode(self, text: str) -> list[int]:
-        return memoryview(self.encode_packed(text)).cast("I").tolist()
+        return memoryview(self.encode_all([text])[0]).cast("I").tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-class _Pieces(dict):
-    """Packed ids by piece, up to CACHED_PIECES."""
-
-    def __init__(self, bpe: PrefixBPE):
-        self.bpe = bpe
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED_PIECES:
-            self.clear()
-        packed = b"".join(i.to_bytes(4, "little") for i in self.bpe.encode_piece(piece.encode()))
-        if len(piece) < 100:
-            self[piece] = packed
-        return packed
-
-
 class EditableEncoding:
     """The encoding of one piece that follows appends and edits without encoding it anew."""
 
@@ -178,7 +202,18 @@ class EditableEncoding:
         return len(last) - start
 
     def ids(self) -> list[int]:
-        return [self.bpe.ranks[t] for t in self.bpe.read_off(self.last)]
+        return self.bpe.read_off(self.last)
+
+
+def _packed(bpe: PrefixBPE, column: pa.Array) -> Iterator[bytes]:
+    chunk, size = [], 0
+    for value in column:
+        chunk.append(value.as_py() or "")
+        size += len(chunk[-1])
+        if size > CHUNK_CHARS:
+            yield from bpe.encode_all(chunk)
+            chunk, size = [], 0
+    yield from bpe.encode_all(chunk)
 
 
 _ENCODERS: dict[tuple[bytes, str], PrefixBPE] = {}
@@ -208,8 +243,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
         bpe = _encoder(raw.value, pattern)
         for batch in batches:
             rows: list[list] = [[], [], []]
-            for value in batch.column(1):
-                packed = bpe.encode_packed(value.as_py() or "")
+            for packed in _packed(bpe, batch.column(1)):
                 ids = memoryview(packed).cast("I").tolist()
                 decoded = bpe.decode(ids)
                 if digests:

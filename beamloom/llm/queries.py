@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamloom.llm import byte_bpe, embedding_dedup, language_id, quality_rules, token_files
+from beamloom.llm import byte_bpe, embedding_dedup, html_extract, language_id, quality_rules, token_files
 from beamloom.llm.shared import table
 
 
@@ -60,6 +60,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(files, digests=True)
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ def queries() -> dict:
         "op3_byte_bpe": op3_byte_bpe,
         "op4_quality_rules": op4_quality_rules,
         "op6_token_files": op6_token_files,
+        "op7_html_extract": op7_html_extract,
         "op8_language_id": op8_language_id,
         "op10_embedding_dedup": op10_embedding_dedup,
     }
