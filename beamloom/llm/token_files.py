@@ -21,6 +21,7 @@ can only reach the cluster's storage through Spark; ``export`` writes them out a
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,12 @@ MAGIC = b"BLTOKEN1"
 BLOCK = 4096
 #: A file is closed once it holds so many ids.
 FILE_IDS = 4_000_000
-CACHED_WORDS = 400_000
+#: Words kept encoded in each Python worker; the cache is emptied beyond.
+CACHED_WORDS = 800_000
+#: Characters of text encoded at a time.
+CHUNK_CHARS = 4_000_000
+#: Files whose starts are broadcast (16 bytes each); more are joined by a shuffle.
+BROADCAST_FILES = 500_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -98,23 +104,26 @@ class TokenFile:
         return self.read(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
 
 
-class _Words(dict):
-    """Packed ids of each word that blanks surround; unknown ones are encoded by the library."""
+class _Words:
+    """Encodes texts word by word; words not met before go to the library together."""
 
-    def __init__(self, raw: str, cap: int):
+    def __init__(self, raw: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cap = cap
+        self.known: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.cap:
-            self.clear()
-        packed = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) < 100:
-            self[word] = packed
-        return packed
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def by_word(self, texts: list[str]) -> list[bytes]:
+        found = [text.replace("\n", " ").split(" ") for text in texts]
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        new = list(set().union(*found) - self.known.keys())
+        self.known.update(zip(new, self.whole(new), strict=True))
+        return [b"".join(map(self.known.__getitem__, words)) for words in found]
 
 
 def splits_at_blanks(raw: str) -> bool:
@@ -128,13 +137,20 @@ def splits_at_blanks(raw: str) -> bool:
 _WORDS: dict[int, tuple[str, _Words]] = {}
 
 
-def _encode(raw: str, text: str, by_word: bool) -> np.ndarray:
+def _encoded(raw: str, column: pa.Array, by_word: bool) -> Iterator[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit integers; texts are taken in chunks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     if 0 not in _WORDS or _WORDS[0][0] != raw:
-        _WORDS[0] = (raw, _Words(raw, CACHED_WORDS))
-    words = _WORDS[0][1]
-    if by_word:
-        return np.frombuffer(b"".join(map(words.__getitem__, text.replace("\n", " ").split(" "))), "<u4")
-    return np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        _WORDS[0] = (raw, _Words(raw))
+    encode = _WORDS[0][1].by_word if by_word else _WORDS[0][1].whole
+    chunk, size = [], 0
+    for value in column:
+        chunk.append(value.as_py() or "")
+        size += len(chunk[-1])
+        if size > CHUNK_CHARS:
+            yield from encode(chunk)
+            chunk, size = [], 0
+    yield from encode(chunk)
 
 
 def write_token_files(
@@ -155,26 +171,26 @@ def write_token_files(
     vocabulary = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens") or []), end_id or 0]) + 1
     bits = bits_for(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(raw)
-    tail = np.array([] if end_id is None else [end_id], "<u4")
+    tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, keys, parts, ends, total, n = [], [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
             nonlocal n
-            image = build(np.concatenate(ids), np.array(ends), bits)
+            image = build(np.frombuffer(b"".join(ids), "<u4"), np.array(ends), bits)
             row = [pa.array([parts[0]], pa.int32()), pa.array([n], pa.int32()), pa.array([keys], pa.list_(pa.int64())), pa.array([total], pa.int64()), pa.array([image], pa.binary())]
             n += 1
             return pa.RecordBatch.from_arrays(row, ["part", "file", "doc_ids", "n_ids", "image"])
 
         for batch in batches:
-            for part, key, value in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                new = np.concatenate([_encode(shared.value, value.as_py() or "", by_word), tail])
-                ids.append(new)
-                total += len(new)
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _encoded(shared.value, batch.column(2), by_word), strict=True)
+            for part, key, packed in rows:
+                ids += [packed, tail]
+                total += (len(packed) + len(tail)) // 4
                 ends.append(total)
-                keys.append(key.as_py())
-                parts.append(part.as_py())
+                keys.append(key)
+                parts.append(part)
                 if total >= file_ids:
                     yield close()
                     ids, keys, parts, ends, total = [], [], [], [], 0
@@ -205,7 +221,8 @@ def read_token_files(files: DataFrame, digests: bool = False) -> DataFrame:
                 ids = file.read(0, file.n_ids).astype("<u4")
                 at = np.concatenate([[0], file.ends.astype(np.int64)])
                 if digests:
-                    last = pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())
+                    raw = memoryview(ids.tobytes())
+                    last = pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64())
                 else:
                     last = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.uint32()).cast(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
@@ -213,6 +230,8 @@ def read_token_files(files: DataFrame, digests: bool = False) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32" if digests else "ids"],
                 )
 
+    if files.select("part").count() <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
     return files.join(starts, ["part", "file"]).mapInArrow(run, f"doc_id long, start long, n_tokens long, {out}")
 
 
