@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamloom.llm import byte_bpe, embedding_dedup, html_extract, language_id, quality_rules, token_files
+from beamloom.llm import byte_bpe, embedding_dedup, html_extract, language_id, quality_rules, source_mixing, token_files
 from beamloom.llm.shared import table
 
 
@@ -14,6 +14,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return source_mixing.mix(docs, keep_text=False).select("doc_id", "source", "lang", "topic", "tokens", "rate", "prob", "kept")
+
+
+OP1_SQL = f"WITH {source_mixing.mix_sql('documents')}\nSELECT doc_id, source, lang, topic, tokens, rate, prob, kept FROM mixed"
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,6 +82,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_source_mixing": op1_source_mixing,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_quality_rules": op4_quality_rules,
         "op6_token_files": op6_token_files,
@@ -84,4 +93,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op4_quality_rules": OP4_SQL}
