@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamloom.llm import byte_bpe, embedding_dedup, html_extract, language_id, quality_rules, source_mixing, token_files
+from beamloom.llm import byte_bpe, embedding_dedup, html_extract, jaccard_join, language_id, quality_rules, source_mixing, token_files
 from beamloom.llm.shared import table
 
 
@@ -76,6 +76,26 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws FROM documents),
+sh AS MATERIALIZED (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)
+    UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 2)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+ov AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT u, v FROM ov JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v WHERE 100 * i >= 90 * (nu.n + nv.n - i)),
+reach(s, t) AS (SELECT doc_id, doc_id FROM documents UNION SELECT s, v FROM reach JOIN link ON t = u)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.c AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT s, min(t) AS c FROM reach GROUP BY s) c ON c.s = d.doc_id
+"""
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
 
@@ -88,9 +108,10 @@ def queries() -> dict:
         "op6_token_files": op6_token_files,
         "op7_html_extract": op7_html_extract,
         "op8_language_id": op8_language_id,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_embedding_dedup": op10_embedding_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1_SQL, "op4_quality_rules": OP4_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op4_quality_rules": OP4_SQL, "op9_jaccard_join": OP9_SQL}
