@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -40,6 +41,7 @@ BLOCK = 4096
 FILE_IDS = 4_000_000
 #: Words kept encoded in each Python worker; the cache is emptied beyond.
 CACHED_WORDS = 800_000
+MARKS = ".,;:!?*%$#&|()-"
 #: Characters of text encoded at a time.
 CHUNK_CHARS = 4_000_000
 #: Files whose starts are broadcast (16 bytes each); more are joined by a shuffle.
@@ -113,17 +115,68 @@ class _Words:
         self.tokenizer = Tokenizer.from_str(raw)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        spec = json.loads(raw)
+        self.lowers = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def by_word(self, texts: list[str]) -> list[bytes]:
-        found = [text.replace("\n", " ").split(" ") for text in texts]
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = list(set().union(*found) - self.known.keys())
-        self.known.update(zip(new, self.whole(new), strict=True))
-        return [b"".join(map(self.known.__getitem__, words)) for words in found]
+        known, found, new = self.known, [], set()
+        for text in texts:
+            words = self.folded(text).replace("\n", " ").split(" ")
+            ids = list(map(known.get, words))
+            holes = [(i, words[i]) for i, v in enumerate(ids) if v is None]
+            new.update(w for _, w in holes)
+            found.append((ids, holes))
+        self.learn(new)
+        for ids, holes in found:
+            for i, w in holes:
+                ids[i] = known[w]
+        return [b"".join(ids) for ids, _ in found]
+
+    def learn(self, new: set[str]) -> None:
+        """Adds words to `known`. Marks behind a letter are pieces of their own for the tokenizer's pattern."""
+        known, letters, rest, cut = self.known, set(), set(), []
+        for w in new:
+            if "İ" in w:  # its lower case ends with a mark
+                rest.add(w)
+            elif w.isalpha():
+                letters.add(w)
+            elif (base := w.rstrip(MARKS)) != w and base[-1:].isalpha():
+                cut.append((w, base, tail := w[len(base) :]))
+                rest.add(tail)
+                (letters if base.isalpha() else rest).add(base)
+            else:
+                rest.add(w)
+        for words, encode in ((letters, self.runs), (rest, self.whole)):
+            missing = [w for w in words if w not in known]
+            known.update(zip(missing, encode(missing), strict=True))
+        for w, base, tail in cut:
+            known[w] = known[base] + known[tail]
+
+    def folded(self, text: str) -> str:
+        """The text in lower case if the tokenizer does just this to it anyway, so that fewer words differ."""
+        if self.lowers and "Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text):
+            return text.lower()
+        return text
+
+    def runs(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are single runs of letters: one call, cut at the tokens that end a word."""
+        if self.ends is not None and words:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.nonzero(self.ends[ids])[0] + 1
+            if len(at) == len(words) and at[-1] == len(ids):
+                raw, at = ids.tobytes(), (4 * at).tolist()
+                return [raw[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)]
+        return self.whole(words)
 
 
 def splits_at_blanks(raw: str) -> bool:

@@ -15,6 +15,8 @@ from beamloom.llm import byte_bpe, token_files
 RANKS = byte_bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
 OURS = byte_bpe.PrefixBPE(RANKS, P.PATTERN)
 THEIRS = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+with open(P.path("word_bpe_49k.json")) as f:
+    WORDS = token_files._Words(f.read())
 TEXTS = [None, "", "a", " ", "\n\n x  y ", "l'été où ß ñ 你好 🙂", "x" * 3000, "the cat sat " * 400, "1234 %%% ***", "<|endoftext|> <|startoftext|>"]
 
 
@@ -71,6 +73,12 @@ def test_packing_round_trip(bits):
     assert (f.read(0, 2000) == ids).all() and (f.read(130, 131) == ids[130:131]).all() and (f.document(2) == ids[10:500]).all() and not len(f.document(0))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("aÉéΣİßñ你🙂  '.,!*\n\u0301\u00a0\x1c3sSłK\u0327") | st.text(), max_size=6))
+def test_words_equal_whole_texts(texts):
+    assert WORDS.by_word(texts) == WORDS.whole(texts)
+
+
 def test_token_files(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)][::-1] + [(3, " ", 2), (None, "b", 3)], "doc_id long, text string, part int")
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
