@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamloom.llm import byte_bpe, embedding_dedup, html_extract, jaccard_join, language_id, quality_rules, source_mixing, token_files
+from beamloom.llm import byte_bpe, embedding_dedup, html_extract, jaccard_join, language_id, quality_rules, source_mixing, suffix_dedup, token_files
 from beamloom.llm.shared import table
 
 
@@ -62,6 +62,10 @@ FROM b LEFT JOIN hv USING (source)
 """
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     files = token_files.write_token_files(docs, vocabulary("word_bpe_49k.json"), end_id=1)
@@ -82,7 +86,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS ws FROM documents),
 sh AS MATERIALIZED (
   SELECT DISTINCT doc_id, g FROM (
     SELECT doc_id, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)
@@ -105,6 +110,7 @@ def queries() -> dict:
         "op1_source_mixing": op1_source_mixing,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_quality_rules": op4_quality_rules,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_token_files": op6_token_files,
         "op7_html_extract": op7_html_extract,
         "op8_language_id": op8_language_id,
