@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamloom.llm import byte_bpe, embedding_dedup, html_extract, jaccard_join, language_id, quality_rules, source_mixing, suffix_dedup, token_files
+from beamloom.llm import byte_bpe, embedding_dedup, fuzzy_passages, html_extract, jaccard_join, language_id, quality_rules, source_mixing, suffix_dedup, token_files
 from beamloom.llm.shared import table
 
 
@@ -22,6 +22,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = f"WITH {source_mixing.mix_sql('documents')}\nSELECT doc_id, source, lang, topic, tokens, rate, prob, kept FROM mixed"
 
 
+def op2_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_passages.fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -108,6 +112,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_source_mixing": op1_source_mixing,
+        "op2_fuzzy_passages": op2_fuzzy_passages,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_quality_rules": op4_quality_rules,
         "op5_suffix_dedup": op5_suffix_dedup,

@@ -36,15 +36,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from beamloom.llm import packed
 from beamloom.llm.shared import written
+from beamloom.llm.text_batches import BATCH_BYTES, Batch, answered, batches, by_bucket, copies, gathered, shared_names, shortened
 
 GRAM = 24
-BATCH_BYTES = 4_000_000
 U = np.uint64
 _BYTES = np.array([xxhash.xxh64_intdigest(bytes([i]), 7) for i in range(256)], U)
 _LAST = U((1 << 64) - 1)
@@ -106,70 +104,6 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
     return at, name[at], np.searchsorted(ends, at, side="right")
 
 
-class Batch:
-    """A batch of texts, as stored."""
-
-    def __init__(self, blob: bytes, sizes: list[int]):
-        raw = zstandard.ZstdDecompressor().decompress(blob)
-        self.data = np.frombuffer(raw, np.uint8)
-        self.ends = np.cumsum(sizes)
-
-
-def _batches(docs: DataFrame, doc_id: str, text: str, batch_bytes: int) -> DataFrame:
-    """(batch, ids, sizes, h1, h2, texts): documents in batches, with 128-bit hashes of the texts."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId(), 0
-        ids, texts, total = [], [], 0
-
-        def close() -> pa.RecordBatch:
-            nonlocal made
-            h = [xxhash.xxh3_128_intdigest(t) for t in texts]
-            signed = [[(x >> s & packed.MASK) - (1 << 63) for x in h] for s in (0, 64)]
-            blob = zstandard.ZstdCompressor(3).compress(b"".join(texts))
-            number = (part << 32) + made
-            made += 1
-            longs = pa.list_(pa.int64())
-            arrays = [pa.array([number], pa.int64())] + [pa.array([x], longs) for x in (ids, list(map(len, texts)), *signed)] + [pa.array([blob], pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, ["batch", "ids", "sizes", "h1", "h2", "texts"])
-
-        for rb in rows:
-            for key, value in zip(rb.column(0).to_pylist(), rb.column(1), strict=True):
-                ids.append(key)
-                texts.append((value.as_py() or "").encode())
-                total += len(texts[-1])
-                if total >= batch_bytes or len(ids) >= 100_000:
-                    yield close()
-                    ids, texts, total = [], [], 0
-        if ids:
-            yield close()
-
-    picked = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string"))
-    longs = "array<long>"
-    return written(picked.mapInArrow(run, f"batch long, ids {longs}, sizes {longs}, h1 {longs}, h2 {longs}, texts binary"), "batches")
-
-
-def _copies(batches: DataFrame) -> DataFrame:
-    """(batch, copies): numbers of the documents of a batch whose whole text a smaller id has."""
-    flat = batches.select("batch", F.posexplode(F.arrays_zip("ids", "h1", "h2"))).select("batch", "pos", "col.ids", "col.h1", "col.h2")
-    flat = flat.filter("ids IS NOT NULL")
-    first = flat.groupBy("h1", "h2").agg(F.min("ids").alias("least"), F.max("ids").alias("most")).filter("least < most").drop("most")
-    return flat.join(first, ["h1", "h2"]).filter("ids > least").groupBy("batch").agg(F.collect_list("pos").alias("copies"))
-
-
-_COUNT = 5  # bytes of a name that are sent beside its bucket; a filter only
-
-
-def _short(keys: np.ndarray) -> np.ndarray:
-    return np.frombuffer(keys.astype("<u8").tobytes(), np.uint8).reshape(-1, 8)[:, :_COUNT]
-
-
-def _long(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // _COUNT, 8), np.uint8)
-    out[:, :_COUNT] = np.frombuffer(raw, np.uint8).reshape(-1, _COUNT)
-    return out.view("<u8").ravel()
-
-
 def _names_of(batch: Batch, giving: np.ndarray, length: int, gram: int):
     """Anchors of a batch's documents that take part, and their distinct names with a flag for those in two documents."""
     at, name, doc = anchors(batch.data, batch.ends, length, gram)
@@ -182,22 +116,15 @@ def _names_of(batch: Batch, giving: np.ndarray, length: int, gram: int):
     return at, doc, distinct, of, low < high
 
 
-def _by_bucket(distinct: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers and the edges of their slices of ascending names."""
-    bucket = ((distinct >> U(32)) * U(n)) >> U(32)
-    edges = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [len(distinct)]]) if len(distinct) else np.zeros(1, int)
-    return bucket[edges[:-1]].astype(np.int64), edges
-
-
-def _send_names(batches: DataFrame, length: int, gram: int, n: int) -> DataFrame:
+def _send_names(stored: DataFrame, length: int, gram: int, n: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
             for r in range(rb.num_rows):
                 number, ids, sizes = (rb.column(i)[r].as_py() for i in range(3))
                 batch = Batch(rb.column(3)[r].as_py(), sizes)
                 *_, distinct, _, several = _names_of(batch, np.array([i is not None for i in ids]), length, gram)
-                buckets, edges = _by_bucket(distinct, n)
-                short = _short(distinct)
+                buckets, edges = by_bucket(distinct, n)
+                short = shortened(distinct)
                 spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -207,46 +134,20 @@ def _send_names(batches: DataFrame, length: int, gram: int, n: int) -> DataFrame
                     ["bucket", "batch", "names", "several"],
                 )
 
-    return batches.select("batch", "ids", "sizes", "texts").mapInArrow(run, "bucket long, batch long, names binary, several binary").repartition("bucket")
-
-
-def _gathered(rows: Iterator[pa.RecordBatch]) -> dict[int, list]:
-    """The rows of a partition by their first column."""
-    held: dict[int, list] = {}
-    for rb in rows:
-        for r in zip(*[c.to_pylist() for c in rb.columns], strict=True):
-            held.setdefault(r[0], []).append(r[1:])
-    return held
-
+    return stored.select("batch", "ids", "sizes", "texts").mapInArrow(run, "bucket long, batch long, names binary, several binary").repartition("bucket")
 
-def _shared_names(sent: DataFrame) -> DataFrame:
-    """(batch, bucket, live): a bit for each name sent, set if another document has it."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, parts in _gathered(rows).items():
-            keys = [_long(p[1]) for p in parts]
-            several = np.concatenate([np.unpackbits(np.frombuffer(p[2], np.uint8), count=len(k)) for p, k in zip(parts, keys, strict=True)]).astype(bool)
-            _, of, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-            live = (count > 1)[of] | several
-            cuts = np.cumsum([0, *map(len, keys)])
-            bits = [np.packbits(live[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([bucket] * len(parts), pa.int64()), pa.array(bits, pa.binary())], ["batch", "bucket", "bits"])
-
-    return sent.mapInArrow(run, "batch long, bucket long, bits binary")
-
-
-def _records(batch: Batch, ids: list, copies: list | None, live: list, length: int, gram: int, n: int):
+def _records(batch: Batch, ids: list, gone: list | None, live: list, length: int, gram: int, n: int):
     """The survivors' surroundings, equal ones once: their bytes, first and last valid window, smallest
     id, names by bucket, and which anchor has which record."""
     giving = np.array([i is not None for i in ids])
     at, doc, distinct, of, _ = _names_of(batch, giving, length, gram)
     alive = np.zeros(len(distinct), bool)
-    buckets, edges = _by_bucket(distinct, n)
+    buckets, edges = by_bucket(distinct, n)
     bits = {r["bucket"]: r["bits"] for r in live}
     for k, b in enumerate(buckets.tolist()):
         alive[edges[k] : edges[k + 1]] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=edges[k + 1] - edges[k])
-    if copies:
-        giving[copies] = False
+    giving[[c["pos"] for c in gone or []]] = False
     keep = alive[of] & giving[doc]
     at, doc, of = at[keep], doc[keep], of[keep]
     before = length - gram
@@ -278,9 +179,9 @@ def _send_records(joined: DataFrame, length: int, gram: int, n: int) -> DataFram
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
             for r in range(rb.num_rows):
-                number, ids, sizes, blob, copies, live = (rb.column(i)[r].as_py() for i in range(6))
-                _, _, _, around, least, name, _ = _records(Batch(blob, sizes), ids, copies, live or [], length, gram, n)
-                buckets, edges = _by_bucket(name, n)
+                number, ids, sizes, blob, gone, live = (rb.column(i)[r].as_py() for i in range(6))
+                _, _, _, around, least, name, _ = _records(Batch(blob, sizes), ids, gone, live or [], length, gram, n)
+                buckets, edges = by_bucket(name, n)
                 spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
                 pack = zstandard.ZstdCompressor(1).compress
                 yield pa.RecordBatch.from_arrays(
@@ -355,7 +256,7 @@ def _answers(sent: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for bucket, parts in _gathered(rows).items():
+        for bucket, parts in gathered(rows).items():
             around = np.concatenate([np.frombuffer(unpack(p[1]), np.uint8).reshape(-1, width) for p in parts])
             masks = covered_windows(around, np.concatenate([np.frombuffer(p[2], "<i8") for p in parts]), length, gram)
             cuts = np.cumsum([0, *[len(p[2]) // 8 for p in parts]])
@@ -365,11 +266,11 @@ def _answers(sent: DataFrame, length: int, gram: int) -> DataFrame:
     return sent.mapInArrow(run, "batch long, bucket long, bits binary")
 
 
-def _removed(batch: Batch, ids: list, copies: list | None, live: list, answers: list, length: int, gram: int, n: int) -> np.ndarray:
+def _removed(batch: Batch, ids: list, twins: list | None, live: list, answers: list, length: int, gram: int, n: int) -> np.ndarray:
     """A flag for each byte of a batch."""
-    at, doc, record, _, least, name, number = _records(batch, ids, copies, live, length, gram, n)
+    at, doc, record, _, least, name, number = _records(batch, ids, twins, live, length, gram, n)
     masks = np.zeros(len(least), np.uint32)
-    buckets, edges = _by_bucket(name, n)
+    buckets, edges = by_bucket(name, n)
     bits = {r["bucket"]: r["bits"] for r in answers}
     for k, b in enumerate(buckets.tolist()):
         masks[edges[k] : edges[k + 1]] = np.frombuffer(bits[b], "<u4")
@@ -386,7 +287,7 @@ def _removed(batch: Batch, ids: list, copies: list | None, live: list, answers:
         np.add.at(mark, where, 1)
         np.add.at(mark, where + length, -1)
     gone = np.cumsum(mark[:-1]) > 0
-    for c in copies or []:
+    for c in (x["pos"] for x in twins or []):
         if batch.ends[c] - starts[c] >= length:
             gone[starts[c] : batch.ends[c]] = True
     return gone
@@ -396,9 +297,9 @@ def _cut(joined: DataFrame, length: int, gram: int, n: int, texts: bool) -> Data
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
             for r in range(rb.num_rows):
-                _, ids, sizes, blob, copies, live, answers = (rb.column(i)[r].as_py() for i in range(7))
+                _, ids, sizes, blob, twins, live, answers = (rb.column(i)[r].as_py() for i in range(7))
                 batch = Batch(blob, sizes)
-                gone = _removed(batch, ids, copies, live or [], answers or [], length, gram, n)
+                gone = _removed(batch, ids, twins, live or [], answers or [], length, gram, n)
                 out: list[list] = [[], [], [], []]
                 start = 0
                 for end in batch.ends.tolist():
@@ -415,19 +316,14 @@ def _cut(joined: DataFrame, length: int, gram: int, n: int, texts: bool) -> Data
     return cols.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept binary" if texts else "kept_sha256 string"))
 
 
-def _answered(sent: DataFrame, name: str) -> DataFrame:
-    """One row a batch: its answers, as many as there are buckets at most."""
-    return sent.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
-
-
 def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (or the remaining bytes, `kept`) for each row of docs."""
     if not gram < length <= gram + 31:
         raise ValueError("length must be from gram + 1 to gram + 31: a record's windows are one 32-bit mask")
     n = packed.buckets(docs)
-    batches = _batches(docs, doc_id, text, batch_bytes)
-    live = _answered(_shared_names(_send_names(batches, length, gram, n)), "live")
-    hints = written(live.join(_copies(batches), "batch", "full"), "hints")
-    joined = batches.drop("h1", "h2").join(hints, "batch", "left")
-    answers = written(_answered(_answers(_send_records(joined, length, gram, n), length, gram), "answers"), "answers")
+    stored = batches(docs, doc_id, text, batch_bytes)
+    live = answered(shared_names(_send_names(stored, length, gram, n)), "live")
+    hints = written(live.join(copies(stored), "batch", "full"), "hints")
+    joined = stored.drop("h1", "h2").join(hints, "batch", "left")
+    answers = written(answered(_answers(_send_records(joined, length, gram, n), length, gram), "answers"), "answers")
     return _cut(joined.join(answers, "batch", "left"), length, gram, n, texts)
