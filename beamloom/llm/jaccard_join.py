@@ -34,7 +34,7 @@ from beamloom.llm.components import components
 from beamloom.llm.shared import written
 
 #: Sizes of a class of the routing scheme span this ratio.
-RATIO = 1.5
+RATIO = 1.25
 LEAF = 32
 MAX_BITS = 1 << 17
 
@@ -61,22 +61,35 @@ def _classes(n: int, percent: int) -> list[int]:
     return [c, c + 1] if 100 * n >= percent * _class_start(c + 1) else [c]
 
 
+def _scheme_keys(tokens: np.ndarray, differ: int, prefix: np.uint64) -> np.ndarray:
+    """Keys of the parts of a set under the scheme for sets that differ in at most `differ` tokens.
+
+    With `spare` parts more than differ + 1, linked sets agree on spare + 1 parts or more. So each
+    set may leave out its smallest parts, those of up to t tokens, for the largest t that at most
+    `spare` of its parts fall under: for the larger t of two sets, at least one of the parts that
+    they agree on is above it, and both send it. What is sent are parts that say much.
+    """
+    spare = differ // 5
+    parts = differ + 1 + spare
+    spread = packed.mix(tokens)
+    part = (((spread >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    count = np.bincount(part, minlength=parts)
+    sums = np.zeros(parts, np.uint64)
+    np.add.at(sums, part, packed.mix(spread ^ np.uint64(0x5851F42D4C957F2D)))
+    keys = packed.mix(sums ^ packed.mix(np.arange(1, parts + 1, dtype=np.uint64) ^ prefix))
+    below = np.cumsum(np.bincount(count))
+    t = int(np.searchsorted(below, spare, side="right")) - 1
+    return keys[count > t]
+
+
 def part_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
     """Keys of the parts of a set: equal keys are equal parts of one scheme."""
     out = []
     for c in _classes(len(tokens), percent):
         largest = _class_start(c + 1) - 1
         # sets up to that size differ in at most 2 * largest * (100 - percent) / (100 + percent) tokens
-        parts = 2 * largest * (100 - percent) // (100 + percent) + 1
-        spread = packed.mix(tokens)
-        part = ((spread >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        part, spread = part[order], packed.mix(spread[order] ^ np.uint64(0x5851F42D4C957F2D))
-        first = np.concatenate([[0], np.nonzero(np.diff(part))[0] + 1])
-        sums = np.zeros(parts, np.uint64)
-        sums[part[first].astype(np.int64)] = np.add.reduceat(spread, first)
-        ids = np.arange(parts, dtype=np.uint64) + np.uint64(c << 32)
-        out.append(packed.mix(sums ^ packed.mix(ids + np.uint64(1))))
+        differ = 2 * largest * (100 - percent) // (100 + percent)
+        out.append(_scheme_keys(tokens, differ, packed.mix(np.array([c + 1], np.uint64))[0]))
     return np.concatenate(out)
 
 
@@ -174,10 +187,10 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
     """Runs over rows sorted by (block, a, b); a group has at most about two tiles of sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held = None, {}
 
         def close() -> pa.RecordBatch:
-            found = _cell_links(np.array([r[0] for r in held]), np.array([r[1] for r in held]), [np.frombuffer(r[2], np.uint64) for r in held], key[1] == key[2], percent) if len(held) > 1 else []
+            found = _cell_links(np.array(list(held)), np.array([r[0] for r in held.values()]), [np.frombuffer(r[1], np.uint64) for r in held.values()], key[1] == key[2], percent) if len(held) > 1 else []
             u, v = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -187,8 +200,8 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
                 if key != (block, a, b):
                     if held:
                         yield close()
-                    key, held = (block, a, b), []
-                held.append((doc, tile, tokens))
+                    key, held = (block, a, b), {}
+                held[doc] = (tile, tokens)
         if held:
             yield close()
 
@@ -245,18 +258,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = packed.WordHashes()
         for batch in batches:
-            sets = [shingles(v.as_py(), n, hashes).tobytes() for v in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["id", "block", "tokens"])
+            sets = [shingles(v.as_py(), n, hashes).tobytes() for v in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], ["id", "block", "tile", "tiles", "tokens"])
 
-    chosen = blocks.select(F.col("node").alias("id"), F.col("component").alias("block"))
-    sized = chosen.groupBy("block").agg(F.count("*").alias("members"))
-    sets = rows.join(chosen, "id").select("id", "block", "text").mapInArrow(tokens, "id long, block long, tokens binary").dropDuplicates(["id"])
+    sized = blocks.groupBy("component").agg(F.count("*").alias("members"))
     tiles = F.ceil(F.col("members") / tile).cast("int")
-    dealt = (
-        sets.join(sized, "block")
-        .withColumn("tile", F.pmod(F.xxhash64("id"), tiles).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        .select("block", F.least("tile", "with").alias("a"), F.greatest("tile", "with").alias("b"), "id", "tile", "tokens")
+    chosen = blocks.join(sized, "component").select(
+        F.col("node").alias("id"), F.col("component").alias("block"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"), tiles.alias("tiles")
+    )
+    sets = rows.join(chosen, "id").select("id", "block", "tile", "tiles", "text").mapInArrow(tokens, "id long, block long, tile int, tiles int, tokens binary")
+    dealt = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "block", F.least("tile", "with").alias("a"), F.greatest("tile", "with").alias("b"), "id", "tile", "tokens"
     )
     dealt = dealt.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b")
     found = components(_block_links(dealt, percent)).withColumnRenamed("node", "rep")
