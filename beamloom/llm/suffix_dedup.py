@@ -37,6 +37,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from beamloom.llm import packed
 from beamloom.llm.shared import written
@@ -74,11 +75,12 @@ def names(data: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
         level, size = _pair(level[..., :-size], level[..., size:], size), 2 * size
 
 
-def _row_names(rows: np.ndarray, seed: int = 0) -> np.ndarray:
-    """The names of whole rows; some at a time, as a row's levels take several hundred bytes."""
-    step = 20_000
-    parts = [names(np.ascontiguousarray(rows[a : a + step]), rows.shape[1], seed)[:, 0] for a in range(0, len(rows), step)]
-    return np.concatenate(parts) if parts else np.zeros(0, U)
+def _row_names(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit names of whole rows of bytes."""
+    raw, width = np.ascontiguousarray(rows).tobytes(), rows.shape[1]
+    digest = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(raw[i : i + width]) for i in range(0, len(raw), width)]), U).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def _slide(x: np.ndarray, width: int, least) -> np.ndarray:
@@ -90,18 +92,24 @@ def _slide(x: np.ndarray, width: int, least) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, names, document numbers) of the minimisers in concatenated texts."""
-    none = np.zeros(0, np.int64)
-    if len(data) < length:
-        return none, none.astype(U), none
-    name = names(data, gram)
-    for end in ends[:-1]:  # no run crosses two texts
-        name[max(0, end - gram + 1) : end] = _LAST
-    width = length - gram + 1
-    least = _slide(name, width, np.minimum)
+    """(positions, names, document numbers) of the minimisers in concatenated texts, some that fit a core's cache at a time."""
+    width, step, found, kept = length - gram + 1, 1 << 15, [np.zeros(0, np.int64)], [np.zeros(0, U)]
     edge = np.zeros(width - 1, U)
-    at = np.nonzero((name == _slide(np.concatenate([edge, least, edge]), width, np.maximum)) & (name != _LAST))[0]
-    return at, name[at], np.searchsorted(ends, at, side="right")
+    for start in range(0, len(data), step):
+        lo = max(0, start - width)
+        name = names(data[lo : start + step + length], gram)
+        if len(name) < width:
+            continue
+        first, last = np.searchsorted(ends, lo, side="right"), np.searchsorted(ends, lo + len(name) + gram)
+        for end in (ends[first : last + 1] - lo).tolist():  # no run crosses two texts
+            name[max(0, end - gram + 1) : max(0, end)] = _LAST
+        least = _slide(name, width, np.minimum)
+        at = np.nonzero((name == _slide(np.concatenate([edge, least, edge]), width, np.maximum)) & (name != _LAST))[0]
+        at = at[(at >= start - lo) & (at < start - lo + step)]
+        found.append(at + lo)
+        kept.append(name[at])
+    where = np.concatenate(found)
+    return where, np.concatenate(kept), np.searchsorted(ends, where, side="right")
 
 
 def _names_of(batch: Batch, giving: np.ndarray, length: int, gram: int):
@@ -134,7 +142,7 @@ def _send_names(stored: DataFrame, length: int, gram: int, n: int) -> DataFrame:
                     ["bucket", "batch", "names", "several"],
                 )
 
-    return stored.select("batch", "ids", "sizes", "texts").mapInArrow(run, "bucket long, batch long, names binary, several binary").repartition("bucket")
+    return stored.select("batch", "ids", "sizes", "texts").mapInArrow(run, "bucket long, batch long, names binary, several binary").repartition(n // 2, "bucket")
 
 
 def _records(batch: Batch, ids: list, gone: list | None, live: list, length: int, gram: int, n: int):
@@ -162,7 +170,7 @@ def _records(batch: Batch, ids: list, gone: list | None, live: list, length: int
     around = np.where((column >= first[:, None]) & (column < (last + length)[:, None]), around, 0).astype(np.uint8)
     limits = np.stack([first, np.maximum(last + 1, first)], axis=1).astype(np.uint8)
     whole = np.ascontiguousarray(np.concatenate([around, limits], axis=1))
-    key, key2 = _row_names(whole), _row_names(whole, 1)
+    key, key2 = _row_names(whole)
     number = np.array([x if x is not None else 0 for x in ids], np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
     order = np.lexsort((number, key2, key, of))
     new = np.ones(len(order), bool)
@@ -175,25 +183,26 @@ def _records(batch: Batch, ids: list, gone: list | None, live: list, length: int
     return at, doc, record, whole[head], least, name, number
 
 
-def _send_records(joined: DataFrame, length: int, gram: int, n: int) -> DataFrame:
+def _stored_records(joined: DataFrame, length: int, gram: int, n: int) -> DataFrame:
+    """One row a batch: what it sends (buckets, around, least) and what it needs to read the answers (at, record, smaller, counts)."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(1).compress
         for rb in rows:
             for r in range(rb.num_rows):
                 number, ids, sizes, blob, gone, live = (rb.column(i)[r].as_py() for i in range(6))
-                _, _, _, around, least, name, _ = _records(Batch(blob, sizes), ids, gone, live or [], length, gram, n)
+                at, _, record, around, least, name, own = _records(Batch(blob, sizes), ids, gone, live or [], length, gram, n)
                 buckets, edges = by_bucket(name, n)
                 spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-                pack = zstandard.ZstdCompressor(1).compress
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(buckets, pa.int64()), pa.array([number] * len(spans), pa.int64()), pa.array([pack(around[a:b].tobytes()) for a, b in spans], pa.binary()),
-                        pa.array([least[a:b].tobytes() for a, b in spans], pa.binary()),
-                    ],
-                    ["bucket", "batch", "around", "least"],
-                )
+                cells = (buckets, [pack(around[a:b].tobytes()) for a, b in spans], [least[a:b].tobytes() for a, b in spans], np.diff(edges))
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64())
+                mine = (np.diff(at, prepend=0).astype("<i4"), record.astype("<i4"), np.packbits(own > least[record]) if len(record) else np.zeros(0, np.uint8))
+                arrays = [pa.array([number], pa.int64())] + [pa.array([c], pa.list_(k)) for c, k in zip(cells, kinds, strict=True)] + [pa.array([pack(m.tobytes())], pa.binary()) for m in mine]
+                yield pa.RecordBatch.from_arrays(arrays, ["batch", "buckets", "around", "least", "counts", "at", "record", "smaller"])
 
     cols = joined.select("batch", "ids", "sizes", "texts", "copies", "live")
-    return cols.mapInArrow(run, "bucket long, batch long, around binary, least binary").repartition("bucket")
+    made = cols.mapInArrow(run, "batch long, buckets array<long>, around array<binary>, least array<binary>, counts array<long>, at binary, record binary, smaller binary")
+    return written(made, "records")
 
 
 def covered_windows(around: np.ndarray, least: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -206,7 +215,7 @@ def covered_windows(around: np.ndarray, least: np.ndarray, length: int, gram: in
         return mask
     bytes_, lo, hi = around[:, :width], around[:, width].astype(int), around[:, width + 1].astype(int)
     full = ((U(1) << hi.astype(U)) - (U(1) << lo.astype(U))).astype(np.uint32)
-    name = _row_names(bytes_[:, before : before + gram])
+    name, _ = _row_names(bytes_[:, before : before + gram])
     order = np.lexsort((least, name))
     edge = np.concatenate([[True], name[order][1:] != name[order][:-1]])
     group = np.cumsum(edge) - 1
@@ -214,7 +223,7 @@ def covered_windows(around: np.ndarray, least: np.ndarray, length: int, gram: in
     open_ = np.zeros(n, bool)
     open_[order] = least[order] > smallest  # the smallest holder of a name has no smaller one
     # whole surroundings that a smaller id has
-    k1, k2 = _row_names(around), _row_names(around, 1)
+    k1, k2 = _row_names(around)
     order2 = np.lexsort((least, k2, k1))
     edge2 = np.ones(n, bool)
     edge2[1:] = (k1[order2][1:] != k1[order2][:-1]) | (k2[order2][1:] != k2[order2][:-1])
@@ -266,26 +275,27 @@ def _answers(sent: DataFrame, length: int, gram: int) -> DataFrame:
     return sent.mapInArrow(run, "batch long, bucket long, bits binary")
 
 
-def _removed(batch: Batch, ids: list, twins: list | None, live: list, answers: list, length: int, gram: int, n: int) -> np.ndarray:
+def _removed(batch: Batch, twins: list | None, stored: tuple, answers: list, length: int, gram: int) -> np.ndarray:
     """A flag for each byte of a batch."""
-    at, doc, record, _, least, name, number = _records(batch, ids, twins, live, length, gram, n)
-    masks = np.zeros(len(least), np.uint32)
-    buckets, edges = by_bucket(name, n)
+    unpack = zstandard.ZstdDecompressor().decompress
+    buckets, counts, at, record, smaller = stored
+    at, record = np.cumsum(np.frombuffer(unpack(at), "<i4"), dtype=np.int64), np.frombuffer(unpack(record), "<i4")
     bits = {r["bucket"]: r["bits"] for r in answers}
-    for k, b in enumerate(buckets.tolist()):
-        masks[edges[k] : edges[k + 1]] = np.frombuffer(bits[b], "<u4")
+    masks = np.frombuffer(b"".join(bits[b] for b in buckets), "<u4")
+    if len(masks) != sum(counts):
+        raise ValueError("an answer is missing")
     before = length - gram
     starts = np.concatenate([[0], batch.ends[:-1]])
-    full = (np.minimum(before, batch.ends[doc] - length - (at - before)), np.maximum(0, starts[doc] - (at - before)))
-    mine = masks[record]
-    other = number > least[record]  # an equal record of a smaller id in this batch
-    mark = np.zeros(len(batch.data) + 1, np.int32)
+    doc = np.searchsorted(batch.ends, at, side="right")
+    lo, hi = np.maximum(0, starts[doc] - (at - before)), np.minimum(before, batch.ends[doc] - length - (at - before))
+    # an equal record of a smaller id in this batch: all windows
+    mine = np.where(np.unpackbits(np.frombuffer(unpack(smaller), np.uint8), count=len(at)).astype(bool), np.uint32(0xFFFFFFFF), masks[record] if len(masks) else np.uint32(0))
+    begun = np.zeros(len(batch.data) + 1, bool)
     for o in range(before + 1):
-        valid = (o <= full[0]) & (o >= full[1])
-        hit = valid & (other | ((mine >> np.uint32(o)) & 1).astype(bool))
-        where = at[hit] - before + o
-        np.add.at(mark, where, 1)
-        np.add.at(mark, where + length, -1)
+        hit = (o <= hi) & (o >= lo) & ((mine >> np.uint32(o)) & 1).astype(bool)
+        begun[at[hit] - before + o] = True
+    mark = begun.astype(np.int32)
+    mark[length:] -= begun[:-length] if len(begun) > length else 0
     gone = np.cumsum(mark[:-1]) > 0
     for c in (x["pos"] for x in twins or []):
         if batch.ends[c] - starts[c] >= length:
@@ -293,13 +303,13 @@ def _removed(batch: Batch, ids: list, twins: list | None, live: list, answers: l
     return gone
 
 
-def _cut(joined: DataFrame, length: int, gram: int, n: int, texts: bool) -> DataFrame:
+def _cut(joined: DataFrame, length: int, gram: int, texts: bool) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
             for r in range(rb.num_rows):
-                _, ids, sizes, blob, twins, live, answers = (rb.column(i)[r].as_py() for i in range(7))
+                ids, sizes, blob, twins, answers, *stored = (c[r].as_py() for c in rb.columns)
                 batch = Batch(blob, sizes)
-                gone = _removed(batch, ids, twins, live or [], answers or [], length, gram, n)
+                gone = _removed(batch, twins, tuple(stored), answers or [], length, gram)
                 out: list[list] = [[], [], [], []]
                 start = 0
                 for end in batch.ends.tolist():
@@ -312,7 +322,7 @@ def _cut(joined: DataFrame, length: int, gram: int, n: int, texts: bool) -> Data
                 arrays = [pa.array(ids, pa.int64())] + [pa.array(x, pa.int64()) for x in out[:3]] + [pa.array(out[3], pa.binary() if texts else pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept" if texts else "kept_sha256"])
 
-    cols = joined.select("batch", "ids", "sizes", "texts", "copies", "live", "answers")
+    cols = joined.select("ids", "sizes", "texts", "copies", "answers", "buckets", "counts", "at", "record", "smaller")
     return cols.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept binary" if texts else "kept_sha256 string"))
 
 
@@ -325,5 +335,8 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     live = answered(shared_names(_send_names(stored, length, gram, n)), "live")
     hints = written(live.join(copies(stored), "batch", "full"), "hints")
     joined = stored.drop("h1", "h2").join(hints, "batch", "left")
-    answers = written(answered(_answers(_send_records(joined, length, gram, n), length, gram), "answers"), "answers")
-    return _cut(joined.join(answers, "batch", "left"), length, gram, n, texts)
+    records = _stored_records(joined, length, gram, n)
+    sent = records.select("batch", F.explode(F.arrays_zip("buckets", "around", "least"))).select(F.col("col.buckets").alias("bucket"), "batch", "col.around", "col.least")
+    answers = answered(_answers(sent.repartition(n // 2, "bucket"), length, gram), "answers")
+    read = records.drop("around", "least").join(answers, "batch", "left").join(hints.select("batch", "copies"), "batch", "left")
+    return _cut(stored.drop("h1", "h2").join(read, "batch"), length, gram, texts)
