@@ -227,7 +227,7 @@ def _encoder(raw: bytes, pattern: str) -> PrefixBPE:
     return _ENCODERS[key]
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", digests: bool = False, check: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, and either ids (array<int>) and decoded (binary), or their digests.
 
     A map without a shuffle. The rank file, read where the query is built, goes to the executors
@@ -237,27 +237,28 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
     with open(ranks_path, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema[doc_id].dataType
-    out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
+    out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, " + ("round_trip boolean" if check else "decoded binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(raw.value, pattern)
         for batch in batches:
             rows: list[list] = [[], [], []]
+            values = (value.as_py() or "" for value in batch.column(1)) if check else iter(())
             for packed in _packed(bpe, batch.column(1)):
                 ids = memoryview(packed).cast("I").tolist()
                 decoded = bpe.decode(ids)
                 if digests:
                     new = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest())
                 else:
-                    new = (ids, decoded)
+                    new = (ids, decoded == next(values).encode() if check else decoded)
                 for into, x in zip(rows, new, strict=False):
                     into.append(x)
             if digests:
                 arrays = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"]
             else:
-                arrays = [pa.array(rows[0], pa.list_(pa.int32())), pa.array(rows[1], pa.binary())]
-                names = ["ids", "decoded"]
+                arrays = [pa.array(rows[0], pa.list_(pa.int32())), pa.array(rows[1], pa.bool_() if check else pa.binary())]
+                names = ["ids", "round_trip" if check else "decoded"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [doc_id, *names])
 
     picked = docs.select(F.col(doc_id), F.col(text).cast("string"))

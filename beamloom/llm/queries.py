@@ -67,7 +67,7 @@ FROM b LEFT JOIN hv USING (source)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

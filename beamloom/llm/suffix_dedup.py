@@ -310,24 +310,26 @@ def _cut(joined: DataFrame, length: int, gram: int, texts: bool) -> DataFrame:
                 ids, sizes, blob, twins, answers, *stored = (c[r].as_py() for c in rb.columns)
                 batch = Batch(blob, sizes)
                 gone = _removed(batch, twins, tuple(stored), answers or [], length, gram)
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 start = 0
                 for end in batch.ends.tolist():
                     flags = gone[start:end]
                     kept = batch.data[start:end][~flags].tobytes() if flags.any() else batch.data[start:end].tobytes()
                     spans = int((flags[1:] & ~flags[:-1]).sum() + flags[:1].sum())
-                    for into, x in zip(out, (end - start, end - start - len(kept), spans, kept if texts else hashlib.sha256(kept).hexdigest()), strict=True):
+                    own = xxhash.xxh64_intdigest(batch.data[start:end].tobytes(), 42)
+                    own -= (own >> 63) << 64  # as Spark's xxhash64 of the text
+                    for into, x in zip(out, (end - start, end - start - len(kept), spans, kept if texts else hashlib.sha256(kept).hexdigest(), own), strict=True):
                         into.append(x)
                     start = end
-                arrays = [pa.array(ids, pa.int64())] + [pa.array(x, pa.int64()) for x in out[:3]] + [pa.array(out[3], pa.binary() if texts else pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept" if texts else "kept_sha256"])
+                arrays = [pa.array(ids, pa.int64())] + [pa.array(x, pa.int64()) for x in out[:3]] + [pa.array(out[3], pa.binary() if texts else pa.string()), pa.array(out[4], pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept" if texts else "kept_sha256", "text_hash"])
 
     cols = joined.select("ids", "sizes", "texts", "copies", "answers", "buckets", "counts", "at", "record", "smaller")
-    return cols.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept binary" if texts else "kept_sha256 string"))
+    return cols.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept binary" if texts else "kept_sha256 string") + ", text_hash long")
 
 
 def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (or the remaining bytes, `kept`) for each row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (or the remaining bytes, `kept`) and text_hash (xxhash64 of the text) for each row of docs."""
     if not gram < length <= gram + 31:
         raise ValueError("length must be from gram + 1 to gram + 31: a record's windows are one 32-bit mask")
     n = packed.buckets(docs)

@@ -45,7 +45,7 @@ def test_against_brute_force(spark):
     rows += [rows[3], (rows[4][0], rows[7][1] or "z"), (None, rows[10][1]), (None, "ab" * 30)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, batch int").repartition(3)
     for size in (4_000_000, 1500):
-        got = sorted(map(tuple, suffix_dedup(df, batch_bytes=size).collect()), key=str)
+        got = sorted(map(tuple, suffix_dedup(df, batch_bytes=size).drop("text_hash").collect()), key=str)
         assert got == brute(rows, 50)
     got = suffix_dedup(df, length=30, gram=16, texts=True).collect()
     want = brute(rows, 30)
