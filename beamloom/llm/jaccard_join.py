@@ -26,12 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beamloom.llm import packed
 from beamloom.llm.components import components
 from beamloom.llm.shared import written
+from beamloom.llm.text_batches import by_bucket, gathered, lengthened, shortened
 
 #: Sizes of a class of the routing scheme span this ratio.
 RATIO = 1.25
@@ -61,38 +63,49 @@ def _classes(n: int, percent: int) -> list[int]:
     return [c, c + 1] if 100 * n >= percent * _class_start(c + 1) else [c]
 
 
-def _scheme_keys(tokens: np.ndarray, differ: int, prefix: np.uint64) -> np.ndarray:
+def _scheme_keys(tokens: np.ndarray, weight: np.ndarray, differ: int, prefix: np.uint64) -> np.ndarray:
     """Keys of the parts of a set under the scheme for sets that differ in at most `differ` tokens.
 
     With `spare` parts more than differ + 1, linked sets agree on spare + 1 parts or more. So each
-    set may leave out its smallest parts, those of up to t tokens, for the largest t that at most
-    `spare` of its parts fall under: for the larger t of two sets, at least one of the parts that
-    they agree on is above it, and both send it. What is sent are parts that say much.
+    set may leave out its parts of up to weight t, for the largest t that at most `spare` of its
+    parts fall under: for the larger t of two sets, at least one of the parts that they agree on
+    is above it, and both send it. The weight is the number of tokens that are not frequent;
+    any weight that follows from a part's tokens would do, this one leaves out what says little.
     """
     spare = differ // 5
     parts = differ + 1 + spare
     spread = packed.mix(tokens)
     part = (((spread >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-    count = np.bincount(part, minlength=parts)
     sums = np.zeros(parts, np.uint64)
     np.add.at(sums, part, packed.mix(spread ^ np.uint64(0x5851F42D4C957F2D)))
     keys = packed.mix(sums ^ packed.mix(np.arange(1, parts + 1, dtype=np.uint64) ^ prefix))
-    below = np.cumsum(np.bincount(count))
-    t = int(np.searchsorted(below, spare, side="right")) - 1
-    return keys[count > t]
+    heavy = np.bincount(part, weight, parts).astype(np.int64)
+    t = int(np.searchsorted(np.cumsum(np.bincount(heavy)), spare, side="right")) - 1
+    return keys[heavy > t]
 
 
-def part_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the parts of a set: equal keys are equal parts of one scheme."""
+def part_keys(tokens: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> np.ndarray:
+    """Keys of the parts of a set: equal keys are equal parts of one scheme. `frequent`: ascending tokens without weight."""
     out = []
+    weight = np.ones(len(tokens), np.int64)
+    if frequent is not None and len(frequent):
+        weight -= frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
     for c in _classes(len(tokens), percent):
         largest = _class_start(c + 1) - 1
         # sets up to that size differ in at most 2 * largest * (100 - percent) / (100 + percent) tokens
         differ = 2 * largest * (100 - percent) // (100 + percent)
-        out.append(_scheme_keys(tokens, differ, packed.mix(np.array([c + 1], np.uint64))[0]))
+        out.append(_scheme_keys(tokens, weight, differ, packed.mix(np.array([c + 1], np.uint64))[0]))
     return np.concatenate(out)
 
 
+def _frequent(described: DataFrame) -> np.ndarray:
+    """Tokens that a thousandth of all documents or more have, ascending; batches name those frequent in
+    them. There are at most a thousand times as many as a document has on average."""
+    total = described.count()
+    sums = described.select(F.explode("often")).groupBy("col.token").agg(F.sum("col.n").alias("n")).filter(F.col("n") >= max(8, total // 1000))
+    return np.sort(np.array([r["token"] for r in sums.select("token").collect()], np.int64).view(np.uint64))
+
+
 class Tree:
     """A binary tree over sets in an order that puts like ones together; leaves hold up to LEAF sets."""
 
@@ -215,45 +228,64 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = packed.WordHashes()
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], []]
+            sets = []
             for value in batch.column(1):
                 s = shingles(value.as_py(), n, hashes)
                 k1 = int(packed.mix(s).sum(dtype=np.uint64)) if len(s) else 0
                 k2 = int(packed.mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)) if len(s) else 0
-                for into, x in zip(out, (len(s), k1 - (1 << 63), k2 - (1 << 63), part_keys(s, percent).tobytes() if len(s) else b""), strict=True):
+                sets.append(s)
+                for into, x in zip(out, (len(s), k1 - (1 << 63), k2 - (1 << 63)), strict=True):
                     into.append(x)
-            arrays = [pa.array(x, pa.int64()) for x in out[:3]] + [pa.array(out[3], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "n", "k1", "k2", "parts"])
-
-    described = written(rows.mapInArrow(describe, "id long, n long, k1 long, k2 long, parts binary"), "shingled")
-    usable = described.filter(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = written(usable.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")), "classes")
+            often: list = [None] * len(sets)
+            if sets:
+                tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+                many = counts >= max(4, len(sets) // 500)
+                often[0] = [{"token": t, "n": c} for t, c in zip(tokens[many].view(np.int64).tolist(), counts[many].tolist(), strict=True)]
+            kind = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))
+            arrays = [pa.array(x, pa.int64()) for x in out] + [pa.array(often, kind)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "n", "k1", "k2", "often"])
+
+    described = written(rows.mapInArrow(describe, "id long, n long, k1 long, k2 long, often array<struct<token:bigint,n:bigint>>"), "shingled")
+    usable = described.drop("often").filter(F.col("id").isNotNull() & (F.col("n") > 0))
+    same = ["n", "k1", "k2"]
+    classes = written(usable.groupBy(*same).agg(F.min("id").alias("rep")), "classes")
     total = packed.buckets(docs)
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(described))
+    copies = usable.join(classes, same).filter("id > rep").select(F.col("id").alias("other")).distinct()
+    others = written(copies.join(classes.select(F.col("rep").alias("other")), "other", "left_anti"), "copies")
+    reps = rows.filter(F.col("id").isNotNull()).join(others, F.col("id") == F.col("other"), "left_anti")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, pack = packed.WordHashes(), zstandard.ZstdCompressor(1).compress
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
-            ids = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
-            rows = list(packed.deal(np.concatenate(keys), [ids], total))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "keys", "ids"]
-            )
-
-    def meet(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        first = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1])
-        head = np.repeat(ids[first], np.diff(np.concatenate([first, [len(keys)]])))
-        pairs = np.unique(np.stack([ids, head], axis=1)[ids != head], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["u", "v"])
-
-    same = ["n", "k1", "k2"]
-    reps = usable.join(classes, same).filter("id = rep").groupBy("id").agg(F.any_value("parts").alias("parts"))
-    blobs = reps.mapInArrow(send, "bucket int, keys binary, ids binary")
-    met = packed.exchange(blobs, {"keys": "<u8", "ids": "<i8"}, meet, "u long, v long")
-    blocks = written(components(met), "blocks")
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                sets = [shingles(v.as_py(), n, hashes) for v in part.column(1)]
+                keys = [part_keys(s, percent, frequent.value) if len(s) else s for s in sets]
+                ids = np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])
+                flat = np.concatenate(keys)
+                order = np.argsort(flat)
+                flat, ids = flat[order], ids[order]
+                buckets, edges = by_bucket(flat, total)
+                short, spans = shortened(flat), list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+                blobs = [[short[a:b].tobytes() for a, b in spans], [pack(ids[a:b].tobytes()) for a, b in spans]]
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], ["bucket", "keys", "ids"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for parts in gathered(batches).values():
+            keys = np.concatenate([lengthened(p[0]) for p in parts])
+            ids = np.concatenate([np.frombuffer(unpack(p[1]), np.int64) for p in parts])
+            order = np.lexsort((ids, keys))
+            keys, ids = keys[order], ids[order]
+            first = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1])
+            head = np.repeat(ids[first], np.diff(np.concatenate([first, [len(keys)]])))
+            pairs = np.unique(np.stack([ids, head], axis=1)[ids != head], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["u", "v"])
+
+    sent = reps.mapInArrow(send, "bucket long, keys binary, ids binary").repartition(total // 2, "bucket")
+    blocks = written(components(sent.mapInArrow(meet, "u long, v long")), "blocks")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = packed.WordHashes()
@@ -273,6 +305,6 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     dealt = dealt.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b")
     found = components(_block_links(dealt, percent)).withColumnRenamed("node", "rep")
     named = classes.join(found, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
-    return described.drop("parts").join(named, same, "left").select(
+    return described.drop("often").join(named, same, "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component_id")
     )

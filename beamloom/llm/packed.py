@@ -1,4 +1,4 @@
-"""Exchange of fixed-width records as packed arrays, and hashing of words.
+"""Hashes of words and of runs of words, and the number of slices of the hash space.
 
 Operators that match many short keys (a few for each document or position) send them through
 Spark's shuffle as arrays: one row holds the keys of one batch that fall into one bucket. A
@@ -7,10 +7,7 @@ partition then sorts its keys with numpy. Rows and bytes are a fraction of one r
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
@@ -51,31 +48,3 @@ def rolled(h: np.ndarray, k: int) -> np.ndarray:
 
 def buckets(df: DataFrame) -> int:
     return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def deal(keys: np.ndarray, columns: list[np.ndarray], n: int) -> Iterator[tuple]:
-    """(bucket, keys, *columns) as bytes for each bucket that the keys fall into, keys ascending."""
-    order = np.argsort(keys)
-    keys, columns = keys[order], [c[order] for c in columns]
-    # equal slices of the key space, so ascending keys are ascending buckets
-    bucket = ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-    edges = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [len(keys)]])
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if a < b:
-            yield (int(bucket[a]), keys[a:b].tobytes(), *(c[a:b].tobytes() for c in columns))
-
-
-def exchange(blobs: DataFrame, kinds: dict[str, str], work: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """blobs (bucket, one binary column for each kind): all records of a partition's buckets go to
-    work(**arrays), the first one ascending within, as whole buckets are together."""
-    dealt = blobs.repartition("bucket")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list] = {k: [] for k in kinds}
-        for batch in batches:
-            for k in kinds:
-                parts[k] += [x.as_buffer() for x in batch.column(k) if len(x.as_buffer())]
-        if parts[next(iter(kinds))]:
-            yield from work(**{k: np.concatenate([np.frombuffer(x, kind) for x in parts[k]]) for k, kind in kinds.items()})
-
-    return dealt.mapInArrow(run, schema)

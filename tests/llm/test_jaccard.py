@@ -51,8 +51,17 @@ def test_linked_sets_share_a_part(tokens, rnd):
     for _ in range(rnd.randint(0, 8)):
         (b.discard(rnd.choice(sorted(b))) if rnd.random() < 0.5 and len(b) > 1 else b.add(rnd.randrange(2**64)))
     if 100 * len(a & b) >= 90 * len(a | b):
-        keys = [set(jaccard_join.part_keys(np.array(sorted(x), np.uint64), 90).tolist()) for x in (a, b)]
-        assert keys[0] & keys[1]
+        often = np.array(sorted(rnd.sample(sorted(a | b), rnd.randint(0, len(a)))), np.uint64)
+        for percent in (80, 90):
+            keys = [set(jaccard_join.part_keys(np.array(sorted(x), np.uint64), percent, often).tolist()) for x in (a, b)]
+            assert keys[0] & keys[1]
+
+
+def test_size_classes_meet():
+    for percent in (80, 90):
+        for a in range(1, 600):
+            for b in range(a, a * 100 // percent + 1):
+                assert set(jaccard_join._classes(a, percent)) & set(jaccard_join._classes(b, percent)), (a, b)
 
 
 def test_trees_against_all_pairs():
