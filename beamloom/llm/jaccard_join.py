@@ -39,6 +39,8 @@ from beamloom.llm.text_batches import by_bucket, gathered, lengthened, shortened
 RATIO = 1.25
 LEAF = 32
 MAX_BITS = 1 << 17
+#: Rows of numbers (32 bytes at most) that are broadcast; beyond, a shuffle join takes their place.
+BROADCAST_ROWS = 2_000_000
 
 
 def shingles(text: str | None, n: int, hashes: packed.WordHashes) -> np.ndarray:
@@ -106,6 +108,26 @@ def _frequent(described: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["token"] for r in sums.select("token").collect()], np.int64).view(np.uint64))
 
 
+def _small_columns(df: DataFrame, columns: list[str]):
+    """A broadcast of columns of numbers, ordered by the first, if there are at most BROADCAST_ROWS rows, else None:
+    then the caller joins. Texts need not be shuffled for a small table."""
+    df = written(df, "small")
+    if df.count() > BROADCAST_ROWS:
+        return None
+    t = df.select(columns).toArrow()
+    arrays = [t.column(c).to_numpy() for c in columns]
+    order = np.argsort(arrays[0], kind="stable")
+    return df.sparkSession.sparkContext.broadcast([a[order] for a in arrays])
+
+
+def _found(ascending: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ids in an ascending array, and which of them are there."""
+    if not len(ascending):
+        return np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+    at = np.minimum(np.searchsorted(ascending, ids), len(ascending) - 1)
+    return at, ascending[at] == ids
+
+
 class Tree:
     """A binary tree over sets in an order that puts like ones together; leaves hold up to LEAF sets."""
 
@@ -253,14 +275,20 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     total = packed.buckets(docs)
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(described))
     copies = usable.join(classes, same).filter("id > rep").select(F.col("id").alias("other")).distinct()
-    others = written(copies.join(classes.select(F.col("rep").alias("other")), "other", "left_anti"), "copies")
-    reps = rows.filter(F.col("id").isNotNull()).join(others, F.col("id") == F.col("other"), "left_anti")
+    others = copies.join(classes.select(F.col("rep").alias("other")), "other", "left_anti")
+    known = rows.filter(F.col("id").isNotNull())
+    left_out = _small_columns(others, ["other"])
+    reps = known if left_out else known.join(others, F.col("id") == F.col("other"), "left_anti")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, pack = packed.WordHashes(), zstandard.ZstdCompressor(1).compress
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
+                if left_out:
+                    part = part.filter(pa.array(~_found(left_out.value[0], part.column(0).to_numpy())[1]))
+                    if not part.num_rows:
+                        continue
                 sets = [shingles(v.as_py(), n, hashes) for v in part.column(1)]
                 keys = [part_keys(s, percent, frequent.value) if len(s) else s for s in sets]
                 ids = np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])
@@ -290,15 +318,22 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = packed.WordHashes()
         for batch in batches:
-            sets = [shingles(v.as_py(), n, hashes).tobytes() for v in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], ["id", "block", "tile", "tiles", "tokens"])
+            if small:
+                at, found = _found(small.value[0], batch.column(0).to_numpy())
+                batch = batch.filter(pa.array(found))
+                kept = [pa.array(c[at[found]], k) for c, k in zip(small.value[1:], (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            else:
+                kept = batch.columns[2:]
+            sets = [shingles(v.as_py(), n, hashes).tobytes() for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *kept, pa.array(sets, pa.binary())], ["id", "block", "tile", "tiles", "tokens"])
 
     sized = blocks.groupBy("component").agg(F.count("*").alias("members"))
     tiles = F.ceil(F.col("members") / tile).cast("int")
     chosen = blocks.join(sized, "component").select(
         F.col("node").alias("id"), F.col("component").alias("block"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"), tiles.alias("tiles")
     )
-    sets = rows.join(chosen, "id").select("id", "block", "tile", "tiles", "text").mapInArrow(tokens, "id long, block long, tile int, tiles int, tokens binary")
+    small = _small_columns(chosen, ["id", "block", "tile", "tiles"])
+    sets = (known if small else known.join(chosen, "id").select("id", "text", "block", "tile", "tiles")).mapInArrow(tokens, "id long, block long, tile int, tiles int, tokens binary")
     dealt = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "block", F.least("tile", "with").alias("a"), F.greatest("tile", "with").alias("b"), "id", "tile", "tokens"
     )
