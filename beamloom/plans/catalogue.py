@@ -1,11 +1,747 @@
-"""Registered queries of the tracking engine and their SQL counterparts."""
+"""Registered queries of the tracking engine and their SQL counterparts.
+
+Each query applies operators of this package to the driver's tables through the adapters; the
+SQL is written on its own. Doubles are rounded to six digits on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from beamloom.functions import coords, hist
+from beamloom.operators import assoc, cluster, correlate, efficiency, masks, sync, timing, track, waveform
+from beamloom.sources import adapters, geometry
+from beamloom.sources import hits as hit_sources
+from beamloom.streaming import building
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
 
-def queries() -> dict:
-    return {}
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def r6(c: str | Column) -> Column:
+    """Six digits, and no negative zero."""
+    return F.round(c, 6) + F.lit(0.0)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+HITS, DENSE = adapters.HITS_SQL, adapters.DENSE_SQL
+MASKED_SQL = """masked AS (SELECT 'P' || p AS detector, c::INT AS col, r::INT AS row FROM range(0, 7) a(p), range(0, 24) b(c), range(0, 24) d(r) WHERE (c * 7 + r) % 97 = 0)"""
+
+
+def _detectors(spark: SparkSession) -> DataFrame:
+    return geometry.table(spark, adapters.DETECTORS)
+
+
+def _masked(spark: SparkSession) -> DataFrame:
+    return masks.grid(_detectors(spark)).filter((F.col("col") * 7 + F.col("row")) % 97 == 0).select("detector", "col", "row")
+
+
+# ---- occupancy and masks
+
+
+@query(f"WITH {HITS} SELECT detector, col, row, count(*) AS n FROM hits GROUP BY ALL")
+def hit_occupancy(spark, sf_dir):
+    return masks.occupancy(adapters.hits(spark, sf_dir))
+
+
+@query(f"""WITH {HITS}, {MASKED_SQL}, o AS (SELECT detector, col, row, count(*) AS n FROM hits GROUP BY ALL),
+m AS (SELECT detector, sum(n) / 576.0 AS mean FROM o GROUP BY detector)
+SELECT detector, col, row, n FROM o JOIN m USING (detector) WHERE n > 2 * mean AND NOT EXISTS (SELECT 1 FROM masked k WHERE k.detector = o.detector AND k.col = o.col AND k.row = o.row)""")
+def mask_frequency(spark, sf_dir):
+    return masks.frequency_mask(adapters.hits(spark, sf_dir), _detectors(spark), _masked(spark), cut=2.0)
+
+
+@query(f"""WITH {HITS}, o AS (SELECT detector, col, row, count(*) AS n FROM hits GROUP BY ALL),
+s AS (SELECT a.detector, a.col, a.row, a.n, coalesce(sum(b.n), 0) AS around FROM o a LEFT JOIN o b ON a.detector = b.detector AND abs(a.col - b.col) <= 3 AND abs(a.row - b.row) <= 3
+  AND NOT (a.col = b.col AND a.row = b.row) GROUP BY ALL),
+m AS (SELECT *, around / ((least(23, col + 3) - greatest(0, col - 3) + 1) * (least(23, row + 3) - greatest(0, row - 3) + 1) - 1) AS mean FROM s)
+SELECT detector, col, row, n, round(mean, 6) AS mean, CASE WHEN mean > 0 THEN round((n - mean) / sqrt(mean), 6) END AS significance FROM m""")
+def mask_local_density(spark, sf_dir):
+    return _rounded(masks.local_density(adapters.hits(spark, sf_dir), _detectors(spark), bandwidth=3))
+
+
+@query(f"""WITH {HITS}, {MASKED_SQL} SELECT 'P' || p AS detector, c::INT AS col, r::INT AS row FROM range(0, 7) a(p), range(0, 24) b(c), range(0, 24) d(r)
+EXCEPT SELECT detector, col, row FROM hits WHERE event_id < 3000 EXCEPT SELECT detector, col, row FROM masked""")
+def mask_dead_pixels(spark, sf_dir):
+    return masks.dead_pixels(adapters.hits(spark, sf_dir).filter("event_id < 3000"), _detectors(spark), _masked(spark))
+
+
+@query(f"""WITH {HITS}, {MASKED_SQL}, o AS (SELECT detector, col, row FROM hits GROUP BY ALL HAVING count(*) > 25) SELECT detector, col, row FROM masked UNION SELECT detector, col, row FROM o""")
+def mask_merge(spark, sf_dir):
+    hot = masks.occupancy(adapters.hits(spark, sf_dir)).filter("n > 25")
+    return masks.merge(_masked(spark), hot)
+
+
+@query(f"""WITH {HITS}, {MASKED_SQL} SELECT detector, col, row, count(*) AS n FROM hits h WHERE NOT EXISTS
+(SELECT 1 FROM masked k WHERE k.detector = h.detector AND abs(k.col - h.col) <= 1 AND abs(k.row - h.row) <= 1) GROUP BY ALL""")
+def mask_neighbourhood(spark, sf_dir):
+    return masks.occupancy(hit_sources.drop_masked(adapters.hits(spark, sf_dir), masks.dilated(_masked(spark), 1)))
+
+
+# ---- scans
+
+
+def _routes(spark: SparkSession) -> DataFrame:
+    rows = [(f"S{s}", f"D{s}", [], 1, False) for s in range(4)] + [("S1", "D1a", [0, 1, 2, 3, 4, 5], 0, True), ("S2", "D2b", [6, 7], 0, False)]
+    return spark.createDataFrame(rows, "raw string, target string, channels array<int>, ordinal int, split boolean")
+
+
+@query(f"""WITH {HITS}, raw AS (SELECT 'S' || plane AS raw, channel, row FROM hits),
+t AS (SELECT raw, CASE WHEN raw = 'S1' AND channel <= 5 THEN 'D1a' WHEN raw = 'S2' AND channel IN (6, 7) THEN 'D2b' ELSE 'D' || substr(raw, 2) END AS detector, CASE WHEN raw = 'S1' AND channel <= 5 THEN 0 ELSE row END AS row FROM raw WHERE raw < 'S4')
+SELECT raw, detector, row, count(*) AS n FROM t GROUP BY ALL""")
+def sensor_routing(spark, sf_dir):
+    raw = adapters.hits(spark, sf_dir).select(F.concat(F.lit("S"), F.col("plane").cast("string")).alias("raw"), "channel", "row")
+    return hit_sources.route(raw, _routes(spark)).groupBy("raw", "detector", "row").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {HITS} SELECT 'S' || plane AS raw, count(*) AS n FROM hits WHERE plane > 3 GROUP BY ALL")
+def unknown_sensor_report(spark, sf_dir):
+    raw = adapters.hits(spark, sf_dir).select(F.concat(F.lit("S"), F.col("plane").cast("string")).alias("raw"), "channel", "row")
+    return hit_sources.unknown_sensors(raw, _routes(spark))
+
+
+@query(f"""WITH {HITS}, {MASKED_SQL} SELECT detector, count(*) AS n FROM hits h WHERE NOT EXISTS (SELECT 1 FROM masked k WHERE k.detector = h.detector AND k.col = h.col AND k.row = h.row) GROUP BY ALL""")
+def masked_hit_antijoin(spark, sf_dir):
+    return hit_sources.drop_masked(adapters.hits(spark, sf_dir), _masked(spark)).groupBy("detector").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {HITS}, off AS (SELECT max(event_id) + 1 AS o FROM hits), u AS (SELECT event_id FROM hits WHERE event_id < 500 UNION ALL SELECT event_id + o FROM hits, off WHERE event_id < 300)
+SELECT event_id, count(*) AS n FROM u GROUP BY ALL""")
+def file_offset_union(spark, sf_dir):
+    h = adapters.hits(spark, sf_dir)
+    return hit_sources.union_files([h, h], [500, 300]).groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {HITS} SELECT event_id, col, row, row_number() OVER (PARTITION BY plane ORDER BY event_id, col, row, channel, charge, ts) - 1 AS ordinal, plane FROM hits WHERE channel % 2 = 0""")
+def waveform_ordinals(spark, sf_dir):
+    h = adapters.hits(spark, sf_dir).withColumns({"has_waveform": F.col("channel") % 2 == 0, "file": F.col("plane"), "hit": F.struct("col", "row", "channel", "charge", "ts")})
+    return hit_sources.waveform_ordinals(h).select("event_id", "col", "row", F.col("ordinal").cast("long").alias("ordinal"), "plane")
+
+
+# ---- clusters
+
+PIXELS_SQL = DENSE + """,
+px AS (SELECT event_id, detector, col, row, charge, ts, channel FROM (SELECT *, row_number() OVER (PARTITION BY event_id, detector, col, row ORDER BY ts DESC, charge DESC, channel DESC) AS k FROM dense) WHERE k = 1)"""
+COMPONENTS_SQL = PIXELS_SQL + """,
+reach(event_id, detector, col, row, c2, r2) AS (SELECT event_id, detector, col, row, col, row FROM px
+  UNION SELECT r.event_id, r.detector, r.col, r.row, p.col, p.row FROM reach r JOIN px p ON p.event_id = r.event_id AND p.detector = r.detector AND abs(p.col - r.c2) <= 1 AND abs(p.row - r.r2) <= 1 {die}),
+lab AS (SELECT event_id, detector, col, row, min(c2 * 1000 + r2) // 1000 AS seed_col, min(c2 * 1000 + r2) % 1000 AS seed_row FROM reach GROUP BY ALL),
+cl AS (SELECT l.event_id, l.detector, l.seed_col, l.seed_row, sum(charge) AS charge, sum(charge * p.col) / nullif(sum(charge), 0) AS col, sum(charge * p.row) / nullif(sum(charge), 0) AS row, sum(charge * ts) / nullif(sum(charge), 0) AS ts,
+  min(ts) AS first_ts, count(*) AS size, max(p.col) - min(p.col) + 1 AS width_col, max(p.row) - min(p.row) + 1 AS width_row, max(charge) AS seed_charge, arg_max(channel, charge * 1e6 - p.col * 1000 - p.row) AS channel
+  FROM lab l JOIN px p USING (event_id, detector, col, row) GROUP BY ALL)"""
+NO_DIE = COMPONENTS_SQL.replace("{die}", "")
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    return cluster.label(cluster.last_hits(adapters.dense_hits(spark, sf_dir)))
+
+
+def _clusters(spark, sf_dir) -> DataFrame:
+    return cluster.clusters(_labelled(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {NO_DIE} SELECT event_id, detector, col, row, seed_col::INT AS seed_col, seed_row::INT AS seed_row FROM lab")
+def cluster_components(spark, sf_dir):
+    return _labelled(spark, sf_dir).select("event_id", "detector", "col", "row", "seed_col", "seed_row")
+
+
+@query(f"""WITH RECURSIVE {NO_DIE} SELECT event_id, detector, seed_col::INT AS seed_col, seed_row::INT AS seed_row, charge, round(col, 6) AS col, round(row, 6) AS row, round(ts / 1e9, 3) AS ts, round(first_ts / 1e9, 3) AS first_ts,
+size, width_col, width_row, seed_charge, channel FROM cl""")
+def cluster_table(spark, sf_dir):
+    c = _clusters(spark, sf_dir)
+    return c.withColumns({"col": r6("col"), "row": r6("row"), "ts": F.round(F.col("ts") / 1e9, 3), "first_ts": F.round(F.col("first_ts") / 1e9, 3)})
+
+
+@query(f"WITH RECURSIVE {NO_DIE} SELECT detector, count(*) AS clusters, sum(size)::BIGINT AS pixels, max(size) AS largest, round(avg(size), 6) AS mean_size, round(sum(charge), 6) AS charge, round(avg(width_col), 6) AS mean_width FROM cl GROUP BY detector")
+def cluster_summary(spark, sf_dir):
+    c = _clusters(spark, sf_dir)
+    return c.groupBy("detector").agg(F.count("*").alias("clusters"), F.sum("size").alias("pixels"), F.max("size").alias("largest"), r6(F.avg("size")).alias("mean_size"), r6(F.sum("charge")).alias("charge"), r6(F.avg("width_col")).alias("mean_width"))
+
+
+@query(f"WITH RECURSIVE {NO_DIE}, m AS (SELECT event_id, detector, count(*) AS clusters FROM cl GROUP BY ALL) SELECT detector, clusters, count(*) AS events FROM m GROUP BY ALL")
+def cluster_multiplicity(spark, sf_dir):
+    return cluster.multiplicity(_clusters(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {COMPONENTS_SQL.replace('{die}', 'AND (p.row < 12) = (r.r2 < 12)')} SELECT detector, CASE WHEN seed_row < 12 THEN 'BOTTOM' ELSE 'TOP' END AS die, size, count(*) AS n FROM cl GROUP BY ALL")
+def cluster_die_split(spark, sf_dir):
+    px = cluster.last_hits(adapters.dense_hits(spark, sf_dir)).withColumn("die", F.when(F.col("row") < 12, "BOTTOM").otherwise("TOP"))
+    c = cluster.clusters(cluster.label(px, "die"))
+    return c.groupBy("detector", F.when(F.col("seed_row") < 12, "BOTTOM").otherwise("TOP").alias("die"), "size").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {HITS}, full_ AS (SELECT event_id FROM hits WHERE detector IN ('P0', 'P1', 'P2') GROUP BY event_id HAVING count(DISTINCT detector) = 3) SELECT event_id, count(*) AS n FROM hits WHERE event_id IN (SELECT event_id FROM full_) GROUP BY ALL""")
+def events_with_all_detectors(spark, sf_dir):
+    return cluster.discard_incomplete(adapters.hits(spark, sf_dir), ["P0", "P1", "P2"]).groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {HITS}, new AS (SELECT event_id, detector, min(charge) AS charge FROM hits WHERE detector = 'P1' GROUP BY ALL), old AS (SELECT event_id, detector, charge FROM hits WHERE detector <> 'P1')
+SELECT detector, count(*) AS n, round(sum(charge), 6) AS charge FROM (SELECT * FROM old UNION ALL SELECT * FROM new) GROUP BY ALL""")
+def cluster_replace_detector(spark, sf_dir):
+    h = adapters.hits(spark, sf_dir).select("event_id", "detector", "charge")
+    new = h.filter("detector = 'P1'").groupBy("event_id", "detector").agg(F.min("charge").alias("charge"))
+    return cluster.replace_detector(h, new, "P1").groupBy("detector").agg(F.count("*").alias("n"), r6(F.sum("charge")).alias("charge"))
+
+
+# ---- histograms
+
+
+@query(f"WITH {HITS} SELECT detector, trunc((charge - 5) / 1.0)::INT AS bin, count(*)::DOUBLE AS content FROM hits WHERE charge >= 5 AND charge < 45 GROUP BY ALL")
+def hist1d_bins(spark, sf_dir):
+    return hist.bins_1d(adapters.hits(spark, sf_dir), "charge", 40, 5, 45, ("detector",))
+
+
+@query(f"""WITH {HITS}, s AS (SELECT detector, count(*) AS entries, sum(CASE WHEN charge >= 5 AND charge < 45 THEN 1.0 ELSE 0 END)::DOUBLE AS sum_w, sum(CASE WHEN charge >= 5 AND charge < 45 THEN charge ELSE 0 END) AS sum_wx,
+sum(CASE WHEN charge >= 5 AND charge < 45 THEN charge * charge ELSE 0 END) AS sum_wx2 FROM hits GROUP BY detector)
+SELECT *, round(sum_wx / sum_w, 6) AS mean, round(sqrt(greatest(sum_wx2 / sum_w - (sum_wx / sum_w) * (sum_wx / sum_w), 0)), 6) AS std FROM s""")
+def hist1d_moments(spark, sf_dir):
+    return _rounded(hist.stats_1d(adapters.hits(spark, sf_dir), "charge", 5, 45, ("detector",)))
+
+
+@query(f"""WITH {HITS} SELECT detector, count(*) FILTER (charge >= 5 AND charge < 45) AS entries FROM hits GROUP BY detector""")
+def hist1d_merged_entries(spark, sf_dir):
+    return hist.stats_1d(adapters.hits(spark, sf_dir), "charge", 5, 45, ("detector",), merged=True).select("detector", "entries")
+
+
+@query(f"""WITH {HITS} SELECT detector, trunc((col - 2) / 2.0)::INT AS ix, trunc((row - 2) / 4.0)::INT AS iy, count(*) AS content FROM hits WHERE col >= 2 AND col < 22 AND row >= 2 AND row < 22 GROUP BY ALL""")
+def hist2d_bins(spark, sf_dir):
+    return hist.bins_2d(adapters.hits(spark, sf_dir), "col", "row", 10, 2, 22, 5, 2, 22, ("detector",))
+
+
+@query(f"""WITH {HITS}, i AS (SELECT detector, col::DOUBLE AS x, row::DOUBLE AS y, (col >= 2 AND col < 22 AND row >= 2 AND row < 22)::INT::DOUBLE AS k FROM hits)
+SELECT detector, count(*) AS entries, sum(k) AS sum_w, sum(k * x) AS sum_x, sum(k * y) AS sum_y, sum(k * x * x) AS sum_x2, sum(k * y * y) AS sum_y2, sum(k * x * y) AS sum_xy FROM i GROUP BY detector""")
+def hist2d_moments(spark, sf_dir):
+    return hist.moments_2d(adapters.hits(spark, sf_dir), "col", "row", 2, 22, 2, 22, ("detector",))
+
+
+BINS_SQL = f"{HITS}, b AS (SELECT detector, trunc(charge / 2.0)::INT AS bin, count(*)::DOUBLE AS content FROM hits WHERE charge >= 0 AND charge < 60 GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY detector ORDER BY content DESC, bin) AS k FROM b), top AS (SELECT detector, bin AS mode_bin, 0 + (bin + 0.5) * 2 AS mode FROM t WHERE k = 1)"
+
+
+@query(f"WITH {BINS_SQL} SELECT detector, mode_bin, mode::DOUBLE AS mode FROM top")
+def hist_mode(spark, sf_dir):
+    return hist.mode(hist.bins_1d(adapters.hits(spark, sf_dir), "charge", 30, 0, 60, ("detector",)), 30, 0, 60, ("detector",))
+
+
+@query(f"""WITH {BINS_SQL}, n AS (SELECT top.detector, mode, mode_bin, coalesce(max(CASE WHEN bin = mode_bin - 1 THEN content END), 0) AS a, max(CASE WHEN bin = mode_bin THEN content END) AS b, coalesce(max(CASE WHEN bin = mode_bin + 1 THEN content END), 0) AS c
+FROM top JOIN b USING (detector) GROUP BY ALL) SELECT detector, round(mode + CASE WHEN mode_bin > 0 AND mode_bin < 29 AND a - 2 * b + c <> 0 THEN 0.5 * (a - c) / (a - 2 * b + c) ELSE 0 END * 2, 6) AS peak FROM n""")
+def hist_parabolic_peak(spark, sf_dir):
+    return _rounded(hist.parabolic_peak(hist.bins_1d(adapters.hits(spark, sf_dir), "charge", 30, 0, 60, ("detector",)), 30, 0, 60, ("detector",)))
+
+
+@query(f"WITH {BINS_SQL} SELECT detector, round(sum((bin + 0.5) * 2 * content) / sum(content), 6) AS mean FROM b WHERE (bin + 0.5) * 2 BETWEEN 10 AND 30 GROUP BY detector")
+def hist_mean_in_range(spark, sf_dir):
+    return _rounded(hist.mean_in_range(hist.bins_1d(adapters.hits(spark, sf_dir), "charge", 30, 0, 60, ("detector",)), 30, 0, 60, 10, 30, ("detector",)))
+
+
+@query(f"WITH {HITS} SELECT detector, col, count(*) AS n, round(avg(charge), 6) AS charge, round(avg(row), 6) AS row FROM hits GROUP BY ALL")
+def profile_mean(spark, sf_dir):
+    return _rounded(hist.profile(adapters.hits(spark, sf_dir), [F.col("detector"), F.col("col")], {"charge": F.col("charge"), "row": F.col("row")}))
+
+
+# ---- correlations
+
+
+def _things(spark, sf_dir) -> DataFrame:
+    return adapters.hits(spark, sf_dir).select("event_id", "detector", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "ts")
+
+
+PAIRS_SQL = f"{HITS}, pr AS (SELECT h.detector, r.col - h.col AS dx, r.row - h.row AS dy, r.ts - h.ts AS dt, h.row AS y, r.col AS ref_x FROM hits h JOIN hits r ON h.event_id = r.event_id AND r.detector = 'P0')"
+
+
+@query(f"WITH {PAIRS_SQL} SELECT detector, dx::DOUBLE AS dx, count(*) AS n FROM pr GROUP BY ALL")
+def corr_pixel_ref(spark, sf_dir):
+    return correlate.pairs(_things(spark, sf_dir), "P0").groupBy("detector", "dx").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT detector, ref_x::DOUBLE AS ref_x, y::DOUBLE AS y, count(*) AS n FROM pr WHERE abs(dt) < 2e16 GROUP BY ALL")
+def corr_time_cut(spark, sf_dir):
+    return correlate.pairs(_things(spark, sf_dir), "P0", time_cut=2e16).groupBy("detector", "ref_x", "y").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT detector, trunc(dt / 25e13)::BIGINT AS ticks, count(*) AS n FROM pr GROUP BY ALL")
+def corr_time_ticks(spark, sf_dir):
+    return correlate.tick_differences(correlate.pairs(_things(spark, sf_dir), "P0"), 25e13)
+
+
+@query(f"""WITH RECURSIVE {NO_DIE} SELECT a.detector, count(*) AS n, round(avg(b.col - a.col), 6) AS dx, round(avg(b.row - a.row), 6) AS dy FROM cl a JOIN cl b ON a.event_id = b.event_id AND b.detector = 'P0' GROUP BY a.detector""")
+def corr_cluster_ref(spark, sf_dir):
+    c = _clusters(spark, sf_dir).select("event_id", "detector", F.col("col").alias("x"), F.col("row").alias("y"), "ts")
+    return correlate.pairs(c, "P0").groupBy("detector").agg(F.count("*").alias("n"), r6(F.avg("dx")).alias("dx"), r6(F.avg("dy")).alias("dy"))
+
+
+def _shift_sql(x: str) -> str:
+    return f"SELECT detector, sum(CASE WHEN {x} >= -10 AND {x} < 10 THEN {x} END) / count(CASE WHEN {x} >= -10 AND {x} < 10 THEN 1 END) AS s FROM pr GROUP BY detector"
+
+
+@query(f"WITH {PAIRS_SQL} SELECT detector, round(a.s * 0.5, 6) AS shift_x, round(b.s * 0.5, 6) AS shift_y FROM ({_shift_sql('dx')}) a JOIN ({_shift_sql('dy')}) b USING (detector) WHERE detector <> 'P0'")
+def prealign_shift(spark, sf_dir):
+    return _rounded(correlate.shifts(correlate.pairs(_things(spark, sf_dir), "P0"), "mean", damping=0.5, fixed=("P0",)))
+
+
+def _mode_sql(x: str) -> str:
+    return f"SELECT detector, arg_max(b, n * 1000.0 - b) AS b FROM (SELECT detector, trunc(({x} + 10) / 0.5)::INT AS b, count(*) AS n FROM pr WHERE {x} >= -10 AND {x} < 10 GROUP BY ALL) GROUP BY detector"
+
+
+@query(f"WITH {PAIRS_SQL} SELECT detector, round(-10 + (x.b + 0.5) * 0.5, 6) AS shift_x, round(-10 + (y.b + 0.5) * 0.5, 6) AS shift_y FROM ({_mode_sql('dx')}) x JOIN ({_mode_sql('dy')}) y USING (detector)")
+def prealign_maximum(spark, sf_dir):
+    return _rounded(correlate.shifts(correlate.pairs(_things(spark, sf_dir), "P0"), "maximum", bins=40))
+
+
+# ---- waveforms
+
+
+@query("""WITH w AS (SELECT vec_id AS event_id, embedding::DOUBLE[] AS s FROM embeddings),
+p AS (SELECT *, list_position(s, list_max(s)) - 1 AS peak FROM w WHERE len(s) >= 2),
+a AS (SELECT *, list_median(s[1:peak]) AS med FROM p WHERE peak >= 1),
+b AS (SELECT *, med + list_median(list_transform(s[1:peak], lambda x: abs(x - med))) * 1.4826 AS thr FROM a),
+c AS (SELECT *, list_max(list_filter(range(0, peak), lambda k: s[k + 1] < thr)) AS start FROM b),
+d AS (SELECT *, s[1:start - 1] AS base FROM c WHERE start IS NOT NULL AND start - 1 > 0),
+e AS (SELECT *, list_sum(base) / len(base) AS baseline FROM d),
+f AS (SELECT *, sqrt(list_sum(list_transform(base, lambda x: (x - baseline) * (x - baseline))) / len(base)) AS noise FROM e)
+SELECT event_id, peak::INT AS peak, start::INT AS start, round(baseline, 6) AS baseline, round(noise, 6) AS noise, round(greatest(0, list_max(s) - baseline), 6) AS amplitude, round(greatest(0, list_max(s) - baseline) / noise, 4) AS snr FROM f WHERE noise > 0""")
+def wf_features(spark, sf_dir):
+    f = waveform.process(adapters.waveforms(spark, sf_dir), keep=("event_id",)).filter("peak IS NOT NULL")
+    return f.select("event_id", "peak", "start", r6("baseline").alias("baseline"), r6("noise").alias("noise"), r6("amplitude").alias("amplitude"), F.round("snr", 4).alias("snr"))
+
+
+def _pulses(spark, sf_dir) -> DataFrame:
+    return waveform.process(adapters.waveforms(spark, sf_dir), cfds=(0.5, 0.7), keep=("event_id", "channel", "col"))
+
+
+@query()
+def wf_cfd_times(spark, sf_dir):
+    return _pulses(spark, sf_dir).filter("peak IS NOT NULL").select("event_id", F.explode("start_time_cfd").alias("p")).select("event_id", "p.cfd", r6("p.t").alias("t"))
+
+
+@query()
+def wf_tot_ton(spark, sf_dir):
+    return _rounded(_pulses(spark, sf_dir).filter("peak IS NOT NULL").select("event_id", "time_over_threshold", "time_over_noise", "rise_time"))
+
+
+@query()
+def wf_integral(spark, sf_dir):
+    return _rounded(_pulses(spark, sf_dir).filter("peak IS NOT NULL").select("event_id", "integral"))
+
+
+@query()
+def wf_valid(spark, sf_dir):
+    return _rounded(waveform.valid(_pulses(spark, sf_dir), snr=(2.0, 100.0)).select("event_id", "snr", "integral"))
+
+
+@query()
+def wf_select(spark, sf_dir):
+    return _rounded(waveform.select(_pulses(spark, sf_dir), snr=(1.0, 5.0), amplitude=(0.1, 0.4), start_time=(1.0, 12.0)).select("event_id", "snr", "amplitude"))
+
+
+@query()
+def wf_to_pixels(spark, sf_dir):
+    p = _pulses(spark, sf_dir).filter("peak IS NOT NULL").withColumn("ts", F.col("event_id").cast("double"))
+    return _rounded(waveform.to_pixels(p, 0.5).select("event_id", "channel", coords.linear_channel(F.col("col"), F.lit(0), F.lit(4)).alias("pixel"), "charge", "ts"))
+
+
+# ---- tracks: the first pixel of each of planes 0 to 5 is a track's point; plane 6 is the detector under test
+
+POINTS_SQL = f"""{HITS}, pt AS (SELECT event_id, plane, detector, min(col * 100 + row) // 100 AS x, min(col * 100 + row) % 100 AS y, plane * 100.0 AS z, min(ts) AS ts FROM hits WHERE plane < 6 GROUP BY ALL),
+tr0 AS (SELECT event_id, count(*) AS n, regr_slope(x, z) AS mx, regr_intercept(x, z) AS cx, regr_slope(y, z) AS my, regr_intercept(y, z) AS cy FROM pt GROUP BY event_id HAVING count(*) >= 3),
+tr AS (SELECT event_id, n, mx, cx, my, cy, sum((x - cx - mx * z) * (x - cx - mx * z) + (y - cy - my * z) * (y - cy - my * z)) AS chi2 FROM tr0 JOIN pt USING (event_id) GROUP BY ALL)"""
+
+
+def _points(spark, sf_dir) -> DataFrame:
+    h = adapters.hits(spark, sf_dir).filter("plane < 6")
+    first = h.groupBy("event_id", "plane", "detector").agg(F.min(F.struct("col", "row")).alias("p"), F.min("ts").alias("ts"))
+    return first.select(
+        "event_id", F.col("event_id").alias("track_id"), "plane", "detector", F.col("p.col").cast("double").alias("x"), F.col("p.row").cast("double").alias("y"), (F.col("plane") * 100.0).alias("z"), F.lit(1.0).alias("w"), "ts"
+    )
+
+
+def _tracks(spark, sf_dir) -> DataFrame:
+    return track.fit(_points(spark, sf_dir)).filter("n >= 3")
+
+
+@query(f"WITH {POINTS_SQL} SELECT event_id AS track_id, round(mx, 6) + 0.0 AS mx, round(cx, 6) + 0.0 AS cx, round(my, 6) + 0.0 AS my, round(cy, 6) + 0.0 AS cy, round(chi2, 6) + 0.0 AS chi2, (2 * n - 4)::INT AS ndof, n FROM tr")
+def track_fit_wls(spark, sf_dir):
+    return _rounded(_tracks(spark, sf_dir))
+
+
+@query(f"WITH {POINTS_SQL} SELECT event_id AS track_id, plane, round(x - cx - mx * z, 6) + 0.0 AS rx, round(y - cy - my * z, 6) + 0.0 AS ry FROM pt JOIN tr USING (event_id)")
+def track_residuals(spark, sf_dir):
+    return _rounded(track.residuals(_points(spark, sf_dir), _tracks(spark, sf_dir)).select("track_id", "plane", "rx", "ry"))
+
+
+CL_SQL = f"{HITS}, c AS (SELECT DISTINCT event_id, plane, (event_id * 10 + plane) * 1000 + col * 24 + row AS cluster_id, col::DOUBLE AS x, row::DOUBLE AS y, plane * 100.0 AS z FROM hits)"
+
+
+def _pixel_clusters(spark, sf_dir) -> DataFrame:
+    h = adapters.hits(spark, sf_dir)
+    key = ((F.col("event_id") * 10 + F.col("plane")) * 1000 + F.col("col") * 24 + F.col("row")).alias("cluster_id")
+    return h.select("event_id", "plane", key, F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), (F.col("plane") * 100.0).alias("z"), F.lit(0.0).alias("ts"), F.lit(1.0).alias("w")).distinct()
+
+
+@query(f"WITH {CL_SQL}, e AS (SELECT event_id, min(plane) AS a, max(plane) AS b FROM c GROUP BY event_id HAVING max(plane) - min(plane) >= 2) SELECT event_id, a AS first, b AS last, p.cluster_id AS first_id, q.cluster_id AS last_id FROM e JOIN c p USING (event_id) JOIN c q USING (event_id) WHERE p.plane = a AND q.plane = b")
+def track_seeds(spark, sf_dir):
+    return track.seeds(_pixel_clusters(spark, sf_dir), 3).select("event_id", "first", "last", F.col("a.cluster_id").alias("first_id"), F.col("b.cluster_id").alias("last_id"))
+
+
+def _follow_sql() -> str:
+    out = [
+        CL_SQL,
+        """t0 AS (SELECT p.event_id, a, b, p.cluster_id AS ca, q.cluster_id AS cb, 2 AS n, p.z + q.z AS sz, p.z * p.z + q.z * q.z AS szz, p.x + q.x AS sx, p.x * p.z + q.x * q.z AS sxz, p.y + q.y AS sy, p.y * p.z + q.y * q.z AS syz
+  FROM (SELECT event_id, min(plane) AS a, max(plane) AS b FROM c GROUP BY event_id HAVING max(plane) - min(plane) >= 2) e JOIN c p USING (event_id) JOIN c q USING (event_id) WHERE p.plane = a AND q.plane = b)""",
+    ]
+    for k in range(1, 6):
+        z = 100.0 * k
+        px, py = ((f"((szz * s{v} - sz * s{v}z) + (n * s{v}z - sz * s{v}) * {z}) / (n * szz - sz * sz)") for v in "xy")
+        out.append(
+            f"""m{k} AS (SELECT t.ca, t.cb, c.x, c.y, row_number() OVER (PARTITION BY t.ca, t.cb ORDER BY round((c.x - {px}) * (c.x - {px}) + (c.y - {py}) * (c.y - {py}), 9), c.x, c.y) AS k
+  FROM t{k - 1} t JOIN c USING (event_id) WHERE c.plane = {k} AND a < {k} AND b > {k} AND ((c.x - {px}) * (c.x - {px}) + (c.y - {py}) * (c.y - {py})) / 36.0 <= 1),
+t{k} AS MATERIALIZED (SELECT event_id, a, b, t.ca, t.cb, n + CASE WHEN x IS NULL THEN 0 ELSE 1 END AS n, sz + CASE WHEN x IS NULL THEN 0 ELSE {z} END AS sz, szz + CASE WHEN x IS NULL THEN 0 ELSE {z * z} END AS szz,
+  sx + coalesce(x, 0) AS sx, sxz + coalesce(x * {z}, 0) AS sxz, sy + coalesce(y, 0) AS sy, syz + coalesce(y * {z}, 0) AS syz FROM t{k - 1} t LEFT JOIN m{k} m ON t.ca = m.ca AND t.cb = m.cb AND m.k = 1)"""
+        )
+    return ",\n".join(out)
+
+
+@query(f"WITH {_follow_sql()} SELECT event_id, ca AS first_id, cb AS last_id, n::INT AS n, round((n * sxz - sz * sx) / (n * szz - sz * sz), 6) AS mx, round((n * syz - sz * sy) / (n * szz - sz * sz), 6) AS my FROM t5 WHERE n >= 3")
+def track_follow(spark, sf_dir):
+    t = track.follow(_pixel_clusters(spark, sf_dir), [(k, 100.0 * k) for k in range(1, 6)], 6.0, 6.0, min_hits=3)
+    return t.select("event_id", F.col("a.cluster_id").alias("first_id"), F.col("b.cluster_id").alias("last_id"), "n", r6("mx").alias("mx"), r6("my").alias("my"))
+
+
+@query()
+def track_dedup(spark, sf_dir):
+    t = track.follow(_pixel_clusters(spark, sf_dir), [(k, 100.0 * k) for k in range(1, 6)], 6.0, 6.0, min_hits=3)
+    t = t.withColumns({"track_id": F.xxhash64("members"), "chi2ndof": F.round(F.abs("mx") + F.abs("my"), 9)})
+    return track.dedup(t).select("event_id", "track_id", "n")
+
+
+@query(f"""WITH {CL_SQL} SELECT DISTINCT a.cluster_id AS track_id FROM c a JOIN c b ON a.event_id = b.event_id AND a.plane = b.plane AND a.cluster_id <> b.cluster_id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 5""")
+def track_isolation(spark, sf_dir):
+    c = _pixel_clusters(spark, sf_dir).select((F.col("event_id") * 10 + F.col("plane")).alias("event_id"), F.col("cluster_id").alias("track_id"), "x", "y")
+    return track.close_tracks(c, 5.0)
+
+
+# ---- association and efficiency
+
+DUT_SQL = POINTS_SQL + """,
+du AS (SELECT event_id, event_id * 1000 + col * 24 + row AS cluster_id, col::DOUBLE AS x, row::DOUBLE AS y, max(charge) AS charge, min(ts) AS ts, CASE WHEN row < 12 THEN 'BOTTOM' ELSE 'TOP' END AS die FROM hits WHERE plane = 6 GROUP BY ALL),
+tp AS (SELECT *, round(cx + mx * 600, 6) + 0.0 AS px, round(cy + my * 600, 6) + 0.0 AS py, CASE WHEN floor(round(cy + my * 600, 6) + 0.5) < 12 THEN 'BOTTOM' ELSE 'TOP' END AS die FROM tr),
+ex AS (SELECT tp.event_id, cluster_id, tp.die, px, py, abs(px - x) AS dx, abs(py - y) AS dy, charge, du.ts, CASE WHEN (px - x) * (px - x) / 64.0 + (py - y) * (py - y) / 64.0 > 1 THEN 1 ELSE 0 END AS reason FROM tp JOIN du ON tp.event_id = du.event_id AND tp.die = du.die)"""
+
+
+def _dut(spark, sf_dir) -> DataFrame:
+    h = adapters.hits(spark, sf_dir).filter("plane = 6")
+    g = h.groupBy("event_id", "col", "row").agg(F.max("charge").alias("charge"), F.min("ts").alias("ts"))
+    x, y = F.col("col").cast("double"), F.col("row").cast("double")
+    die = F.when(F.col("row") < 12, "BOTTOM").otherwise("TOP")
+    return g.select("event_id", (F.col("event_id") * 1000 + F.col("col") * 24 + F.col("row")).alias("cluster_id"), x.alias("x"), y.alias("y"), "charge", "ts", die.alias("die"), F.array(F.struct(x.alias("x"), y.alias("y"))).alias("pixels"))
+
+
+def _predicted(spark, sf_dir) -> DataFrame:
+    t = _tracks(spark, sf_dir)
+    # rounded, so that both engines put a position on a border to the same side
+    px, py = r6(F.col("cx") + F.col("mx") * 600), r6(F.col("cy") + F.col("my") * 600)
+    return t.withColumns({"event_id": F.col("track_id"), "px": px, "py": py, "die": F.when(coords.half_up(py) < 12, "BOTTOM").otherwise("TOP"), "ts": F.lit(0.0)})
+
+
+def _examined(spark, sf_dir) -> DataFrame:
+    return assoc.examined(_predicted(spark, sf_dir), _dut(spark, sf_dir), 8.0, 8.0)
+
+
+@query(f"WITH {DUT_SQL} SELECT event_id AS track_id, cluster_id, round(dx, 6) AS dist_x, round(dy, 6) AS dist_y FROM ex WHERE reason = 0")
+def dut_assoc(spark, sf_dir):
+    return _rounded(assoc.associated(_examined(spark, sf_dir)).select("track_id", "cluster_id", "dist_x", "dist_y"))
+
+
+@query(f"WITH {DUT_SQL} SELECT event_id AS track_id, arg_min(cluster_id, (round(dx * dx + dy * dy, 9), cluster_id)) AS cluster_id FROM ex WHERE reason = 0 GROUP BY event_id")
+def dut_closest(spark, sf_dir):
+    return assoc.closest(_examined(spark, sf_dir))
+
+
+@query(f"WITH {DUT_SQL} SELECT tp.event_id AS track_id, tp.die, count(ex.cluster_id) AS n, tp.event_id IN (SELECT event_id FROM du) AS seen FROM tp LEFT JOIN ex ON ex.event_id = tp.event_id AND reason = 0 GROUP BY ALL")
+def dut_assoc_counts(spark, sf_dir):
+    return assoc.counts(_predicted(spark, sf_dir), _examined(spark, sf_dir), _dut(spark, sf_dir))
+
+
+@query(f"WITH {DUT_SQL}, g AS (SELECT die, reason, count(*) AS n, grouping(die) AS al FROM ex GROUP BY GROUPING SETS ((reason), (die, reason))) SELECT die, reason, n, round(n / sum(n) OVER (PARTITION BY die), 6) AS share FROM g")
+def dut_cut_reasons(spark, sf_dir):
+    return _rounded(assoc.reasons(_examined(spark, sf_dir)))
+
+
+@query(f"WITH {DUT_SQL} SELECT event_id AS track_id, round(min(dx), 6) AS near_x, round(min(dy), 6) AS near_y FROM ex GROUP BY event_id")
+def nearest_pixel(spark, sf_dir):
+    pixels = _dut(spark, sf_dir).groupBy("event_id", "die").agg(F.collect_list(F.struct("x", "y")).alias("pixels"))
+    j = _predicted(spark, sf_dir).join(pixels, ["event_id", "die"])
+    nx, ny = assoc.nearest_pixel(F.col("px"), F.col("py"), F.col("pixels"))
+    return _rounded(j.select("track_id", nx.alias("near_x"), ny.alias("near_y")))
+
+
+GOOD_SQL = DUT_SQL + """,
+st AS (SELECT tp.*, CASE WHEN px < 0.5 OR px > 22.5 OR py < 0.5 OR py > 22.5 THEN 'outside' WHEN round(chi2, 6) / (2 * n - 4) > 60 THEN 'chi2' WHEN event_id % 11 = 0 THEN 'not_isolated'
+  WHEN (floor(px + 0.5) * 7 + floor(py + 0.5))::INT % 97 = 0 THEN 'masked' WHEN event_id NOT IN (SELECT event_id FROM pt WHERE plane = 1) THEN 'no_required' ELSE 'good' END AS stage FROM tp),
+good AS (SELECT st.*, event_id IN (SELECT event_id FROM ex WHERE reason = 0) AS matched FROM st WHERE stage = 'good')"""
+
+
+def _staged(spark, sf_dir) -> DataFrame:
+    t = _predicted(spark, sf_dir)
+    have = _points(spark, sf_dir).filter("plane = 1").select(F.col("track_id")).withColumn("required", F.lit(True))
+    t = t.join(have, "track_id", "left")
+    outside = (F.col("px") < 0.5) | (F.col("px") > 22.5) | (F.col("py") < 0.5) | (F.col("py") > 22.5)
+    masked = (coords.half_up(F.col("px")) * 7 + coords.half_up(F.col("py"))) % 97 == 0
+    stage = efficiency.cut_stage(outside, track.chi2_ndof(r6("chi2"), F.col("ndof")), 60.0, F.col("track_id") % 11 != 0, masked, F.col("required").isNotNull())
+    return t.withColumn("stage", stage)
+
+
+def _good(spark, sf_dir) -> DataFrame:
+    hit = assoc.associated(_examined(spark, sf_dir)).select("track_id").distinct().withColumn("m", F.lit(True))
+    return _staged(spark, sf_dir).filter("stage = 'good'").join(hit, "track_id", "left").withColumn("matched", F.col("m").isNotNull())
+
+
+@query(f"WITH {GOOD_SQL} SELECT stage, count(*) AS n FROM st GROUP BY stage")
+def eff_cutflow(spark, sf_dir):
+    return efficiency.cut_flow(_staged(spark, sf_dir))
+
+
+@query(f"WITH {GOOD_SQL}, b AS (SELECT trunc(px / 4)::INT AS ix, trunc(py / 4)::INT AS iy, matched FROM good) SELECT ix, iy, sum(matched::INT)::BIGINT AS matched, count(*) AS n, round(avg(matched::INT), 6) AS efficiency FROM b WHERE ix BETWEEN 0 AND 5 AND iy BETWEEN 0 AND 5 GROUP BY ALL")
+def eff_map(spark, sf_dir):
+    return _rounded(efficiency.efficiency_map(_good(spark, sf_dir), "px", "py", 0.0, 0.0, 4.0, 6, 6))
+
+
+@query(f"WITH {GOOD_SQL} SELECT sum(matched::INT)::BIGINT AS matched, count(*) AS n, round(100 * avg(matched::INT), 6) AS percent FROM good")
+def eff_total(spark, sf_dir):
+    return _rounded(efficiency.total_efficiency(_good(spark, sf_dir)))
+
+
+@query(f"WITH {GOOD_SQL} SELECT event_id, round(sum(matched::INT) OVER (ORDER BY event_id) / count(*) OVER (ORDER BY event_id), 6) AS ratio FROM good")
+def eff_vs_event(spark, sf_dir):
+    return _rounded(efficiency.efficiency_by_event(_good(spark, sf_dir)))
+
+
+@query(f"WITH {DUT_SQL}, b AS (SELECT trunc(px / 4)::INT AS ix, trunc(py / 4)::INT AS iy, charge FROM ex WHERE reason = 0) SELECT ix, iy, count(*) AS n, round(avg(charge), 6) AS charge, round(-20 * ln(avg(exp(-charge / 20))), 6) AS mpv FROM b GROUP BY ALL")
+def charge_mpv_map(spark, sf_dir):
+    a = assoc.associated(_examined(spark, sf_dir)).withColumn("size", F.lit(1))
+    return _rounded(efficiency.charge_map(a, "px", "py", 0.0, 4.0, 20.0).select("ix", "iy", "n", "charge", "mpv"))
+
+
+INSIDE = "px BETWEEN 2 AND 21 AND py BETWEEN 2 AND 21"
+
+
+@query(f"WITH {DUT_SQL} SELECT cluster_id FROM du WHERE NOT EXISTS (SELECT 1 FROM tp WHERE tp.event_id = du.event_id AND NOT ({INSIDE}) AND (x - px) * (x - px) + (y - py) * (y - py) < 144)")
+def fake_radius(spark, sf_dir):
+    t = _predicted(spark, sf_dir).withColumn("inside", F.expr(INSIDE))
+    return efficiency.fakes_by_radius(_dut(spark, sf_dir), t, 12.0).select("cluster_id")
+
+
+@query(f"WITH {DUT_SQL}, f AS (SELECT * FROM du WHERE event_id NOT IN (SELECT event_id FROM tp WHERE {INSIDE})), e AS (SELECT event_id, min(ts) AS ts FROM hits GROUP BY event_id), k AS (SELECT event_id, count(*) AS f FROM f GROUP BY event_id) SELECT floor(ts / 1e16)::BIGINT AS second, sum(coalesce(f, 0))::BIGINT AS fakes, count(*) AS events, round(avg(coalesce(f, 0)), 6) AS rate FROM e LEFT JOIN k USING (event_id) GROUP BY ALL")
+def fake_edge(spark, sf_dir):
+    t = _predicted(spark, sf_dir).withColumn("inside", F.expr(INSIDE))
+    events = adapters.hits(spark, sf_dir).groupBy("event_id").agg(F.min("ts").alias("ts"))
+    return _rounded(efficiency.fake_rate(efficiency.fakes_by_edge(_dut(spark, sf_dir), t), events, 1e7))
+
+
+# ---- timing
+
+TIMING_SQL = f"""{HITS}, g AS (SELECT event_id AS track_id, detector, channel, ts, charge, plane, CASE WHEN channel BETWEEN 0 AND 7 OR channel = 16 THEN 0 WHEN channel BETWEEN 8 AND 15 OR channel = 17 THEN 1 ELSE -1 END AS grp FROM hits WHERE plane < 3),
+pr AS (SELECT a.track_id, a.detector AS first, b.detector AS second, a.ts - b.ts AS dt, a.charge AS qa, b.charge AS qb FROM g a JOIN g b ON a.track_id = b.track_id AND a.plane < b.plane AND a.grp = b.grp AND a.grp >= 0 {{gate}})"""
+ALL_OF = "WHERE a.track_id IN (SELECT track_id FROM g GROUP BY track_id HAVING count(DISTINCT detector) = 3)"
+ORDER = ["P0", "P1", "P2"]
+
+
+def _timed(spark, sf_dir) -> DataFrame:
+    return adapters.hits(spark, sf_dir).filter("plane < 3").select(F.col("event_id").alias("track_id"), "detector", "channel", "ts", "charge")
+
+
+@query(f"WITH {TIMING_SQL.format(gate='')} SELECT first, second, count(*) AS n, round(avg(dt / 1e12), 3) AS mean_dt FROM pr GROUP BY ALL")
+def timing_pairs(spark, sf_dir):
+    return timing.pairs(_timed(spark, sf_dir), ORDER).groupBy("first", "second").agg(F.count("*").alias("n"), F.round(F.avg(F.col("dt") / 1e12), 3).alias("mean_dt"))
+
+
+@query(f"WITH {TIMING_SQL.format(gate=ALL_OF)} SELECT first, second, count(*) AS n FROM pr GROUP BY ALL")
+def timing_pairs_all_of(spark, sf_dir):
+    return timing.pairs(_timed(spark, sf_dir), ORDER, all_of=True).groupBy("first", "second").agg(F.count("*").alias("n"))
+
+
+def _walk_columns() -> tuple[Column, Column]:
+    return F.col("charge_first") - F.col("charge_second"), F.col("dt") / 1e15
+
+
+@query(f"WITH {TIMING_SQL.format(gate='')}, f AS (SELECT first, second, count(*) AS n, sum(qa - qb) AS sx, sum((qa - qb) * (qa - qb)) AS sxx, sum(dt / 1e15) AS st, sum((qa - qb) * dt / 1e15) AS sxt FROM pr GROUP BY ALL) SELECT first, second, round((n * sxt - sx * st) / (n * sxx - sx * sx), 6) AS slope, round(sx / n, 6) AS mean_x, n FROM f")
+def timewalk_fit(spark, sf_dir):
+    return _rounded(timing.fit_walk(timing.pairs(_timed(spark, sf_dir), ORDER), ("first", "second"), *_walk_columns()))
+
+
+@query(f"WITH {TIMING_SQL.format(gate='')}, f AS (SELECT first, second, regr_slope(dt / 1e15, qa - qb) AS slope, avg(qa - qb) AS mean_x FROM pr GROUP BY ALL) SELECT track_id, first, second, round(CASE WHEN qa > 1e-3 THEN dt / 1e15 - slope * (qa - qb - mean_x) ELSE dt / 1e15 END, 4) AS corrected FROM pr JOIN f USING (first, second)")
+def timewalk_apply(spark, sf_dir):
+    p = timing.pairs(_timed(spark, sf_dir), ORDER)
+    x, t = _walk_columns()
+    done = timing.corrected(p, timing.fit_walk(p, ("first", "second"), x, t), ("first", "second"), x, t, F.col("charge_first"))
+    return done.select("track_id", "first", "second", F.round("corrected", 4).alias("corrected"))
+
+
+# ---- synchronisation: a detector that fires on even users until event 6000 and is five events off from there
+
+SYNC_SQL = """t AS (SELECT event_id, event_type AS detector, user_id, value FROM events),
+h AS (SELECT CASE WHEN event_id < 6000 THEN event_id ELSE event_id + 5 END AS event_id FROM events WHERE value > 10),
+fl AS (SELECT t.*, (t.event_id IN (SELECT event_id FROM h))::INT AS passed FROM t),
+nu AS (SELECT *, row_number() OVER (PARTITION BY detector ORDER BY event_id) AS n FROM fl),
+ba AS (SELECT detector, avg(passed) AS b FROM nu WHERE n <= 200 GROUP BY detector),
+cu AS (SELECT nu.*, sum(b - passed - 0.125) OVER (PARTITION BY detector ORDER BY n) AS s FROM nu JOIN ba USING (detector)),
+cs AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY detector ORDER BY n)) AS c FROM cu)"""
+
+
+def _sync_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e = adapters.read(spark, sf_dir, "events")
+    hits = e.filter("value > 10").select(F.when(F.col("event_id") < 6000, F.col("event_id")).otherwise(F.col("event_id") + 5).alias("event_id"))
+    return e.select("event_id", F.col("event_type").alias("detector"), "user_id", "value"), hits
+
+
+def _cusum(spark, sf_dir) -> DataFrame:
+    t, h = _sync_tables(spark, sf_dir)
+    return sync.cusum(sync.numbered(sync.flagged(t, h), "detector", ("event_id",)), "detector", 200, 0.125)
+
+
+@query(f"WITH {SYNC_SQL} SELECT detector, event_id, n, round(c, 6) AS c FROM cs")
+def sync_cusum(spark, sf_dir):
+    return _cusum(spark, sf_dir).select("detector", "event_id", F.col("n").cast("long").alias("n"), r6("c").alias("c"))
+
+
+@query(f"WITH {SYNC_SQL} SELECT detector, min(n) AS n, arg_min(event_id, n) AS event_id FROM cs WHERE c > 1.5001 GROUP BY detector")
+def sync_onset(spark, sf_dir):
+    return sync.onsets(_cusum(spark, sf_dir), "detector", 1.5001).withColumn("n", F.col("n").cast("long"))
+
+
+@query(f"WITH {SYNC_SQL}, r AS (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 500 AS block FROM t) SELECT block, s::INT AS shift, count(*) AS n FROM r, range(-8, 9) x(s) WHERE event_id + s IN (SELECT event_id FROM h) GROUP BY ALL")
+def sync_shift_scan(spark, sf_dir):
+    t, h = _sync_tables(spark, sf_dir)
+    return sync.shift_scan(t, h, 8, 500)
+
+
+@query("SELECT event_id - CASE WHEN event_id BETWEEN 100 AND 499 THEN 3 WHEN event_id BETWEEN 500 AND 9000 THEN 7 ELSE 0 END AS event_id, user_id FROM events")
+def sync_apply(spark, sf_dir):
+    segments = spark.createDataFrame([(100, 499, 3), (500, 9000, 7)], "first long, last long, shift long")
+    return sync.apply_shifts(adapters.read(spark, sf_dir, "events").select("event_id", "user_id"), segments)
+
+
+# ---- event building
+
+SUB_SQL = """su AS (SELECT event_id AS seq, event_type AS producer, CASE WHEN event_id % 37 = 0 THEN event_id // 3 - 20 ELSE event_id // 3 END AS number FROM events),
+ke AS (SELECT * FROM (SELECT *, max(number) OVER (PARTITION BY producer ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM su) WHERE m IS NULL OR number >= m)"""
+
+
+def _sub_events(spark, sf_dir) -> DataFrame:
+    e = adapters.read(spark, sf_dir, "events")
+    third = F.floor(F.col("event_id") / 3)
+    return e.select(F.col("event_id").alias("seq"), F.col("event_type").alias("producer"), F.when(F.col("event_id") % 37 == 0, third - 20).otherwise(third).alias("number"))
+
+
+@query(f"WITH {SUB_SQL} SELECT number, count(*) AS parts, count(DISTINCT producer) AS producers FROM ke GROUP BY number")
+def event_build_symmetric(spark, sf_dir):
+    return building.symmetric(_sub_events(spark, sf_dir))
+
+
+@query(f"WITH {SUB_SQL} SELECT number, count(*) AS parts FROM ke WHERE number IN (SELECT number FROM ke WHERE producer = 'click') GROUP BY number")
+def event_build_master(spark, sf_dir):
+    return building.master_anchored(_sub_events(spark, sf_dir), "click")
+
+
+@query("SELECT event_id // 500 AS \"window\", count(*) AS n FROM events GROUP BY ALL")
+def tumbling_by_event(spark, sf_dir):
+    return building.tumbling(adapters.read(spark, sf_dir, "events"), 500)
+
+
+# ---- saved data
+
+
+def _saved(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c = _points(spark, sf_dir).select((F.col("event_id") * 10 + F.col("plane")).alias("cluster_id"), "event_id", F.col("x").alias("col"), F.col("y").alias("row"), F.lit(1.0).alias("charge"))
+    t = _tracks(spark, sf_dir).select("track_id", F.col("track_id").alias("event_id"), "mx")
+    links = c.join(t.select("event_id"), "event_id", "left_semi").select(F.col("event_id").alias("track_id"), "cluster_id")
+    return t, links, c
+
+
+@query(f"WITH {POINTS_SQL} SELECT event_id AS track_id, event_id * 10 + plane AS cluster_id, round(mx, 6) + 0.0 AS mx, x::INT AS col, y::INT AS row FROM tr JOIN pt USING (event_id)")
+def reader_replay(spark, sf_dir):
+    r = hit_sources.replay(*_saved(spark, sf_dir))
+    p = F.get("pixels", F.lit(0))
+    return r.select("track_id", "cluster_id", r6("mx").alias("mx"), p["col"].alias("col"), p["row"].alias("row"))
+
+
+@query(f"WITH {POINTS_SQL} SELECT event_id * 10 + plane AS cluster_id FROM pt WHERE event_id NOT IN (SELECT event_id FROM tr)")
+def unlinked_clusters(spark, sf_dir):
+    _, links, c = _saved(spark, sf_dir)
+    return hit_sources.unlinked_clusters(c, links).select("cluster_id")
+
+
+# ---- relational features that come with the engine
+
+
+@query(f"WITH {HITS} SELECT detector, CASE WHEN row < 12 THEN 'BOTTOM' ELSE 'TOP' END AS die, count(*) AS n, round(avg(charge), 6) AS charge FROM hits GROUP BY GROUPING SETS ((detector), (detector, die))")
+def grouping_die_rollup(spark, sf_dir):
+    h = adapters.hits(spark, sf_dir).withColumn("die", F.when(F.col("row") < 12, "BOTTOM").otherwise("TOP"))
+    return h.groupingSets([["detector"], ["detector", "die"]], "detector", "die").agg(F.count("*").alias("n"), r6(F.avg("charge")).alias("charge"))
+
+
+@query("SELECT date_trunc('hour', ts) AS begun, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def window_tumbling(spark, sf_dir):
+    e = adapters.read(spark, sf_dir, "events")
+    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("begun"), "event_type", "n", "total")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS k FROM events),
+s AS (SELECT *, sum(k) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g) SELECT user_id, min(ts) AS begun, count(*) AS n FROM s GROUP BY user_id, sid""")
+def window_session(spark, sf_dir):
+    e = adapters.read(spark, sf_dir, "events")
+    return e.groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("begun"), "n")
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '2001-09-02' GROUP BY ALL")
+def pricing_summary(spark, sf_dir):
+    li = adapters.read(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") <= F.lit("2001-09-02").cast("timestamp_ntz"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.count("*").alias("n"))
+
+
+@query("SELECT n_name, count(DISTINCT o_orderkey) AS orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY n_name")
+def revenue_by_nation(spark, sf_dir):
+    n, c, o, li = (adapters.read(spark, sf_dir, t) for t in ("nation", "customer", "orders", "lineitem"))
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey).join(n, F.col("c_nationkey") == n.n_nationkey)
+    return j.groupBy("n_name").agg(F.count_distinct("o_orderkey").alias("orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) GROUP BY ALL")
+def customers_without_large_orders(spark, sf_dir):
+    c, o = adapters.read(spark, sf_dir, "customer"), adapters.read(spark, sf_dir, "orders").filter("o_totalprice > 400000")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (SELECT c_nationkey, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer) WHERE rank <= 3")
+def top_customers(spark, sf_dir):
+    c = adapters.read(spark, sf_dir, "customer")
+    w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
+    return c.select("c_nationkey", "c_custkey", "c_acctbal", F.row_number().over(w).cast("long").alias("rank")).filter("rank <= 3")
+
+
+@query()
+def approx_distinct(spark, sf_dir):
+    return adapters.hits(spark, sf_dir).groupBy("detector").agg(F.approx_count_distinct("event_id").alias("events"))
