@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from beamloom.functions import coords, hist
-from beamloom.operators import assoc, cluster, correlate, efficiency, masks, sync, timing, track, waveform
-from beamloom.sources import adapters, geometry
+from beamloom.operators import align, assoc, cluster, correlate, efficiency, masks, sync, timing, track, waveform
+from beamloom.sources import adapters, daq, geometry
 from beamloom.sources import hits as hit_sources
 from beamloom.streaming import building
 
@@ -671,6 +671,94 @@ def tumbling_by_event(spark, sf_dir):
     return building.tumbling(adapters.read(spark, sf_dir, "events"), 500)
 
 
+@query(f"""WITH {HITS}, s AS (SELECT event_id, plane, col, charge, channel, 'P' || plane || ':CH' || channel || ':col' || col || ':row' || row AS aux FROM hits)
+SELECT event_id, plane, channel, round((charge / 100 - (1000 * channel / 65535.0 - 0.5)) * 4096 + 2048)::SMALLINT AS code, CASE WHEN charge > 25 THEN charge * 10 / 1000.0 WHEN plane IN (1, 2) THEN (event_id - 0.2) / 1000.0 ELSE (col + col + 10) / 2000.0 END AS ts, count(*) AS n FROM s WHERE plane <> 3 GROUP BY ALL""")
+def raw_decode(spark, sf_dir):
+    h = adapters.hits(spark, sf_dir).withColumn("producer", F.col("detector"))
+    aux = F.concat(F.col("detector"), F.lit(":CH"), F.col("channel").cast("string"), F.lit(":col"), F.col("col").cast("string"), F.lit(":row"), F.col("row").cast("string"))
+    offsets = daq.dac_offsets(F.lit(" ".join(f"CH{k} : {1000 * k}" for k in range(18))))
+    s = daq.skip_producers(h, ["P3"]).withColumn("ch", daq.channel_of(aux))
+    code = F.get(daq.adc_codes(F.array(F.col("charge") / 100), daq.dc_offset(offsets, F.col("ch")), 4), F.lit(0))
+    ts = daq.timestamp_ns(F.when(F.col("charge") > 25, F.col("charge") * 10).otherwise(0.0), F.col("detector"), F.col("event_id"), F.col("col"), F.col("col") + 10, ("P1", "P2"))
+    return s.select("event_id", "plane", F.col("ch").alias("channel"), code.alias("code"), ts.cast("double").alias("ts")).groupBy("event_id", "plane", "channel", "code", "ts").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {HITS}, d AS (SELECT DISTINCT event_id AS event_number FROM hits) SELECT row_number() OVER (ORDER BY event_number) - 1 AS event_id, event_number FROM d")
+def window_numbers(spark, sf_dir):
+    return daq.number_windows(adapters.hits(spark, sf_dir).select(F.col("event_id").alias("event_number")))
+
+
+# ---- alignment (iterative: no SQL)
+
+
+def _alignment_points(spark, sf_dir) -> DataFrame:
+    """Exact lines through six planes, of which P2 and P4 are moved and turned; positions follow from the orders' keys."""
+    o = adapters.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("track_id"), (F.col("o_custkey") % 97 / 97.0).alias("u"), (F.col("o_orderkey") % 89 / 89.0).alias("v"), (F.col("o_orderkey") % 7 / 700.0).alias("s"))
+    p = o.withColumn("plane", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("z", F.col("plane") * 100.0)
+    x, y = F.col("u") * 20 - 10 + F.col("s") * F.col("z"), F.col("v") * 20 - 10 - F.col("s") * F.col("z") * 0.5
+    at = lambda k, a, b, c: F.when(F.col("plane") == k, a).when(F.col("plane") == b[0], b[1]).otherwise(c)
+    dx, dy, rz = at(2, 0.05, (4, -0.02), 0.0), at(2, -0.03, (4, 0.04), 0.0), at(2, 0.002, (4, -0.001), 0.0)
+    return p.select("track_id", F.concat(F.lit("P"), F.col("plane").cast("string")).alias("detector"), (x + dx - rz * y).alias("x"), (y + dy + rz * x).alias("y"), "z", F.lit(1.0).alias("w"))
+
+
+def _corrections(spark, found: dict) -> DataFrame:
+    return spark.createDataFrame([(d, *(float(round(x, 6)) + 0.0 for x in v)) for d, v in sorted(found.items())], "detector string, dx double, dy double, rz double")
+
+
+PLANES = [f"P{k}" for k in range(6)]
+
+
+@query()
+def align_millepede(spark, sf_dir):
+    return _corrections(spark, align.millepede(_alignment_points(spark, sf_dir), PLANES, fixed=("P0", "P1", "P5")))
+
+
+@query()
+def align_trackchi2(spark, sf_dir):
+    def refit(points: DataFrame) -> DataFrame:
+        anchors = points.filter(F.col("detector").isin("P0", "P1", "P5"))
+        return track.residuals(points, track.fit(anchors))
+
+    return _corrections(spark, align.track_chi2(_alignment_points(spark, sf_dir), refit, PLANES, fixed=("P0", "P1", "P5")))
+
+
+@query()
+def align_dut_rotation(spark, sf_dir):
+    p = _alignment_points(spark, sf_dir)
+    seen = p.filter("detector = 'P2'")
+    lines = track.fit(p.filter(F.col("detector").isin("P0", "P1", "P5")))
+    pairs = seen.join(lines, "track_id").select("x", "y", (F.col("cx") + F.col("mx") * F.col("z")).alias("u"), (F.col("cy") + F.col("my") * F.col("z")).alias("v"))
+    angle, steps = align.align_rotation(pairs)
+    return spark.createDataFrame([(round(angle, 6), len(steps))], "angle double, steps int")
+
+
+@query()
+def align_plateau(spark, sf_dir):
+    import numpy as np
+
+    h = adapters.hits(spark, sf_dir).filter("col >= 4 AND col < 20")
+    rows = hist.bins_1d(h, "col", 48, -12, 36, ("detector",)).collect()  # 48 bins a detector
+    out = []
+    for d in sorted({r["detector"] for r in rows}):
+        content = np.zeros(48)
+        for r in rows:
+            if r["detector"] == d:
+                content[r["bin"]] = r["content"]
+        found = align.plateau(content, -12.0, 36.0, width=16.0)
+        if found:
+            out.append((d, round(float(found["centre"]), 6), round(float(found["width"]), 6), bool(found["partial"])))
+    return spark.createDataFrame(out, "detector string, centre double, width double, partial boolean")
+
+
+@query()
+def track_fit_tilted(spark, sf_dir):
+    """Points of the straight tracks on planes of which P5 is tilted."""
+    d = _detectors(spark)
+    p = _points(spark, sf_dir).join(F.broadcast(d.drop("kind", "role")), "detector")
+    planes = ["px", "py", "pz", *[f"r{i}{j}" for i in range(3) for j in range(3)]]
+    return _rounded(track.fit_tilted(p.select("track_id", F.col("x").alias("u"), F.col("y").alias("v"), F.col("w").alias("wu"), F.col("w").alias("wv"), *planes)).filter("ndof >= 2"))
+
+
 # ---- saved data
 
 
