@@ -23,8 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beamloom.llm.shared import returned_memory
+
 #: Pieces kept encoded in each Python worker; the cache is emptied when full.
 CACHED_PIECES = 800_000
+#: Pieces that a worker may keep between two tasks.
+LEFT_PIECES = 300_000
 #: Characters of text split into pieces at a time.
 CHUNK_CHARS = 4_000_000
 
@@ -260,6 +264,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
                 arrays = [pa.array(rows[0], pa.list_(pa.int32())), pa.array(rows[1], pa.bool_() if check else pa.binary())]
                 names = ["ids", "round_trip" if check else "decoded"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [doc_id, *names])
+        if len(bpe.pieces) > LEFT_PIECES:  # the worker may serve other stages next
+            bpe.pieces.clear()
 
     picked = docs.select(F.col(doc_id), F.col(text).cast("string"))
-    return picked.mapInArrow(run, f"`{doc_id}` {kind.simpleString()}, {out}")
+    return picked.mapInArrow(returned_memory(run), f"`{doc_id}` {kind.simpleString()}, {out}")

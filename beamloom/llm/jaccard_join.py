@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from beamloom.llm import packed
 from beamloom.llm.components import components
-from beamloom.llm.shared import written
+from beamloom.llm.shared import returned_memory, written
 from beamloom.llm.text_batches import by_bucket, gathered, lengthened, shortened
 
 #: Sizes of a class of the routing scheme span this ratio.
@@ -240,7 +240,7 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
         if held:
             yield close()
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(returned_memory(run), "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90, tile: int = 2048) -> DataFrame:
@@ -249,26 +249,27 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = packed.WordHashes()
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            sets = []
-            for value in batch.column(1):
-                s = shingles(value.as_py(), n, hashes)
-                k1 = int(packed.mix(s).sum(dtype=np.uint64)) if len(s) else 0
-                k2 = int(packed.mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)) if len(s) else 0
-                sets.append(s)
-                for into, x in zip(out, (len(s), k1 - (1 << 63), k2 - (1 << 63)), strict=True):
-                    into.append(x)
-            often: list = [None] * len(sets)
-            if sets:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                out: list[list] = [[], [], []]
+                sets = []
+                for value in batch.column(1):
+                    s = shingles(value.as_py(), n, hashes)
+                    k1 = int(packed.mix(s).sum(dtype=np.uint64)) if len(s) else 0
+                    k2 = int(packed.mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)) if len(s) else 0
+                    sets.append(s)
+                    for into, x in zip(out, (len(s), k1 - (1 << 63), k2 - (1 << 63)), strict=True):
+                        into.append(x)
                 tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-                many = counts >= max(4, len(sets) // 500)
+                many = counts >= 4
+                often: list = [None] * len(sets)
                 often[0] = [{"token": t, "n": c} for t, c in zip(tokens[many].view(np.int64).tolist(), counts[many].tolist(), strict=True)]
-            kind = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))
-            arrays = [pa.array(x, pa.int64()) for x in out] + [pa.array(often, kind)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "n", "k1", "k2", "often"])
+                kind = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))
+                arrays = [pa.array(x, pa.int64()) for x in out] + [pa.array(often, kind)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "n", "k1", "k2", "often"])
 
-    described = written(rows.mapInArrow(describe, "id long, n long, k1 long, k2 long, often array<struct<token:bigint,n:bigint>>"), "shingled")
+    described = written(rows.mapInArrow(returned_memory(describe), "id long, n long, k1 long, k2 long, often array<struct<token:bigint,n:bigint>>"), "shingled")
     usable = described.drop("often").filter(F.col("id").isNotNull() & (F.col("n") > 0))
     same = ["n", "k1", "k2"]
     classes = written(usable.groupBy(*same).agg(F.min("id").alias("rep")), "classes")
@@ -312,8 +313,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             pairs = np.unique(np.stack([ids, head], axis=1)[ids != head], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["u", "v"])
 
-    sent = reps.mapInArrow(send, "bucket long, keys binary, ids binary").repartition(total // 2, "bucket")
-    blocks = written(components(sent.mapInArrow(meet, "u long, v long")), "blocks")
+    sent = reps.mapInArrow(returned_memory(send), "bucket long, keys binary, ids binary").repartition(total // 2, "bucket")
+    blocks = written(components(sent.mapInArrow(returned_memory(meet), "u long, v long")), "blocks")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = packed.WordHashes()
@@ -324,8 +325,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                 kept = [pa.array(c[at[found]], k) for c, k in zip(small.value[1:], (pa.int64(), pa.int32(), pa.int32()), strict=True)]
             else:
                 kept = batch.columns[2:]
-            sets = [shingles(v.as_py(), n, hashes).tobytes() for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *kept, pa.array(sets, pa.binary())], ["id", "block", "tile", "tiles", "tokens"])
+            for start in range(0, batch.num_rows, 1000):
+                sets = [shingles(v.as_py(), n, hashes).tobytes() for v in batch.column(1).slice(start, 1000)]
+                head = [c.slice(start, 1000) for c in (batch.column(0), *kept)]
+                yield pa.RecordBatch.from_arrays([*head, pa.array(sets, pa.binary())], ["id", "block", "tile", "tiles", "tokens"])
 
     sized = blocks.groupBy("component").agg(F.count("*").alias("members"))
     tiles = F.ceil(F.col("members") / tile).cast("int")
@@ -333,7 +336,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         F.col("node").alias("id"), F.col("component").alias("block"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"), tiles.alias("tiles")
     )
     small = _small_columns(chosen, ["id", "block", "tile", "tiles"])
-    sets = (known if small else known.join(chosen, "id").select("id", "text", "block", "tile", "tiles")).mapInArrow(tokens, "id long, block long, tile int, tiles int, tokens binary")
+    sets = (known if small else known.join(chosen, "id").select("id", "text", "block", "tile", "tiles")).mapInArrow(returned_memory(tokens), "id long, block long, tile int, tiles int, tokens binary")
     dealt = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "block", F.least("tile", "with").alias("a"), F.greatest("tile", "with").alias("b"), "id", "tile", "tokens"
     )

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beamloom.llm import packed
-from beamloom.llm.shared import written
+from beamloom.llm.shared import returned_memory, written
 from beamloom.llm.text_batches import BATCH_BYTES, Batch, answered, batches, by_bucket, copies, gathered, shared_names, shortened
 
 GRAM = 24
@@ -142,7 +142,7 @@ def _send_names(stored: DataFrame, length: int, gram: int, n: int) -> DataFrame:
                     ["bucket", "batch", "names", "several"],
                 )
 
-    return stored.select("batch", "ids", "sizes", "texts").mapInArrow(run, "bucket long, batch long, names binary, several binary").repartition(n // 2, "bucket")
+    return stored.select("batch", "ids", "sizes", "texts").mapInArrow(returned_memory(run), "bucket long, batch long, names binary, several binary").repartition(n // 2, "bucket")
 
 
 def _records(batch: Batch, ids: list, gone: list | None, live: list, length: int, gram: int, n: int):
@@ -201,7 +201,7 @@ def _stored_records(joined: DataFrame, length: int, gram: int, n: int) -> DataFr
                 yield pa.RecordBatch.from_arrays(arrays, ["batch", "buckets", "around", "least", "counts", "at", "record", "smaller"])
 
     cols = joined.select("batch", "ids", "sizes", "texts", "copies", "live")
-    made = cols.mapInArrow(run, "batch long, buckets array<long>, around array<binary>, least array<binary>, counts array<long>, at binary, record binary, smaller binary")
+    made = cols.mapInArrow(returned_memory(run), "batch long, buckets array<long>, around array<binary>, least array<binary>, counts array<long>, at binary, record binary, smaller binary")
     return written(made, "records")
 
 
@@ -272,7 +272,7 @@ def _answers(sent: DataFrame, length: int, gram: int) -> DataFrame:
             blobs = [masks[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([bucket] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], ["batch", "bucket", "bits"])
 
-    return sent.mapInArrow(run, "batch long, bucket long, bits binary")
+    return sent.mapInArrow(returned_memory(run), "batch long, bucket long, bits binary")
 
 
 def _removed(batch: Batch, twins: list | None, stored: tuple, answers: list, length: int, gram: int) -> np.ndarray:
@@ -325,7 +325,7 @@ def _cut(joined: DataFrame, length: int, gram: int, texts: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept" if texts else "kept_sha256", "text_hash"])
 
     cols = joined.select("ids", "sizes", "texts", "copies", "answers", "buckets", "counts", "at", "record", "smaller")
-    return cols.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept binary" if texts else "kept_sha256 string") + ", text_hash long")
+    return cols.mapInArrow(returned_memory(run), "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept binary" if texts else "kept_sha256 string") + ", text_hash long")
 
 
 def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, texts: bool = False) -> DataFrame:

@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beamloom.llm import packed
-from beamloom.llm.shared import written
+from beamloom.llm.shared import returned_memory, written
 
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_500_000
 U = np.uint64
 
 
@@ -64,7 +64,7 @@ def batches(docs: DataFrame, doc_id: str, text: str, batch_bytes: int) -> DataFr
 
     picked = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string"))
     longs = "array<long>"
-    return written(picked.mapInArrow(run, f"batch long, ids {longs}, sizes {longs}, h1 {longs}, h2 {longs}, texts binary"), "batches")
+    return written(picked.mapInArrow(returned_memory(run), f"batch long, ids {longs}, sizes {longs}, h1 {longs}, h2 {longs}, texts binary"), "batches")
 
 
 def copies(batches: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def shared_names(sent: DataFrame) -> DataFrame:
             bits = [np.packbits(live[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([bucket] * len(parts), pa.int64()), pa.array(bits, pa.binary())], ["batch", "bucket", "bits"])
 
-    return sent.mapInArrow(run, "batch long, bucket long, bits binary")
+    return sent.mapInArrow(returned_memory(run), "batch long, bucket long, bits binary")
 
 
 def answered(sent: DataFrame, name: str) -> DataFrame:
