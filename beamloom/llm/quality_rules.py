@@ -131,7 +131,8 @@ def quality_rules(
         "base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     )
     rows = written(rows if keep_text else rows.drop(text), "quality")
-    verdicts = host_verdicts(rows, host, max_host_rate)
+    # written, so that its size is known and a small one is broadcast: rows are not dealt by host
+    verdicts = written(host_verdicts(rows, host, max_host_rate), "verdicts")
     joined = rows.join(verdicts, F.col(host) == F.col("__host"), "left")
     rejected = F.coalesce(F.col("__rejected"), F.lit(False))
     return joined.withColumns({"host_rejected": rejected, "kept": ~F.col("base_failed") & ~rejected}).drop("__host", "__rate", "__rejected")
