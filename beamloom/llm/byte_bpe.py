@@ -23,12 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamloom.llm.shared import returned_memory
+from beamloom.llm.shared import returned_memory, short_batches
 
 #: Pieces kept encoded in each Python worker; the cache is emptied when full.
 CACHED_PIECES = 800_000
-#: Pieces that a worker may keep between two tasks.
-LEFT_PIECES = 300_000
+#: Entries of a memo that a worker may keep between two tasks.
+LEFT_ENTRIES = 100_000
 #: Characters of text split into pieces at a time.
 CHUNK_CHARS = 4_000_000
 
@@ -238,6 +238,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
     as a broadcast of its fixed size. With `digests` the ids never leave the worker: n_tokens,
     ids_sha256 and decoded_sha256 are returned. Other columns of docs are not returned.
     """
+    short_batches(docs.sparkSession)
     with open(ranks_path, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema[doc_id].dataType
@@ -264,8 +265,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
                 arrays = [pa.array(rows[0], pa.list_(pa.int32())), pa.array(rows[1], pa.bool_() if check else pa.binary())]
                 names = ["ids", "round_trip" if check else "decoded"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [doc_id, *names])
-        if len(bpe.pieces) > LEFT_PIECES:  # the worker may serve other stages next
-            bpe.pieces.clear()
+        for memo in (bpe.pieces, bpe._stable):  # the worker may serve other stages next
+            if len(memo) > LEFT_ENTRIES:
+                memo.clear()
 
     picked = docs.select(F.col(doc_id), F.col(text).cast("string"))
     return picked.mapInArrow(returned_memory(run), f"`{doc_id}` {kind.simpleString()}, {out}")

@@ -10,6 +10,7 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 2000
 #: Used only where the session names no shared folder, as in tests.
 DEFAULT_SHARED_DIR = "/tmp/checkpoints/beamloom"
 
@@ -19,15 +20,25 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR).rstrip("/")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Texts are long rows: an Arrow batch of Spark's default number of them takes tens of megabytes on both
+    sides. A session that still has this default gets BATCH_ROWS; a setting of the user's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts lineage and outlives lost executors."""
     spark = df.sparkSession
+    short_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
