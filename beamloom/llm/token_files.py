@@ -212,7 +212,7 @@ def write_token_files(
 ) -> DataFrame:
     """Encodes docs and stores files in the shared folder; returns their table.
 
-    Columns: first_doc, part, file (order of the files), doc_ids (array), n_ids, image. Texts are
+    Columns: part, file (order of the files), doc_ids (array), n_ids, image. Texts are
     range partitioned by doc_id and sorted inside a partition, nulls first and ties by text, so
     files are in ascending order and no task holds more than one file and one batch. A null text
     is an empty one and has only the end id. Repeated rows are repeated documents.
