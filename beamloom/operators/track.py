@@ -100,7 +100,7 @@ def solve_tilted(h: np.ndarray) -> tuple:
         j = np.stack([(residuals(theta + step[k] * np.eye(4)[k]) - residuals(theta - step[k] * np.eye(4)[k])) / (2 * step[k]) for k in range(4)], axis=1)
         move = np.linalg.lstsq(j, -f, rcond=None)[0]
         theta = theta + move
-        if np.abs(move).max() < 1e-12:
+        if np.abs(move).max() < 1e-9:
             break
     chi2 = float((residuals(theta) ** 2).sum())
     return (*theta.tolist(), 0.0 if len(h) == 2 else chi2, 2 * len(h) - 4) if np.isfinite(chi2) else (None,) * 6
