@@ -38,7 +38,7 @@ from beamloom.llm.text_batches import by_bucket, gathered, lengthened, shortened
 #: Sizes of a class of the routing scheme span this ratio.
 RATIO = 1.25
 LEAF = 32
-MAX_BITS = 1 << 17
+MAX_BITS = 1 << 15
 #: Rows of numbers (32 bytes at most) that are broadcast; beyond, a shuffle join takes their place.
 BROADCAST_ROWS = 2_000_000
 
@@ -230,8 +230,8 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("block", "a", "b", "id", "tile", "tokens")]
-            for block, a, b, doc, tile, tokens in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("block", "a", "b", "id", "tile")]
+            for block, a, b, doc, tile, tokens in zip(*cols, (x.as_py() for x in batch.column("tokens")), strict=True):
                 if key != (block, a, b):
                     if held:
                         yield close()
@@ -250,8 +250,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = packed.WordHashes()
         for whole in batches:
-            for start in range(0, whole.num_rows, 2000):
-                batch = whole.slice(start, 2000)
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
                 out: list[list] = [[], [], []]
                 sets = []
                 for value in batch.column(1):
@@ -325,9 +325,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                 kept = [pa.array(c[at[found]], k) for c, k in zip(small.value[1:], (pa.int64(), pa.int32(), pa.int32()), strict=True)]
             else:
                 kept = batch.columns[2:]
-            for start in range(0, batch.num_rows, 1000):
-                sets = [shingles(v.as_py(), n, hashes).tobytes() for v in batch.column(1).slice(start, 1000)]
-                head = [c.slice(start, 1000) for c in (batch.column(0), *kept)]
+            for start in range(0, batch.num_rows, 500):
+                sets = [shingles(v.as_py(), n, hashes).tobytes() for v in batch.column(1).slice(start, 500)]
+                head = [c.slice(start, 500) for c in (batch.column(0), *kept)]
                 yield pa.RecordBatch.from_arrays([*head, pa.array(sets, pa.binary())], ["id", "block", "tile", "tiles", "tokens"])
 
     sized = blocks.groupBy("component").agg(F.count("*").alias("members"))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 MASK = (1 << 64) - 1
-CACHED_WORDS = 250_000
+CACHED_WORDS = 150_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -7,10 +7,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_ROWS = 2000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 #: Used only where the session names no shared folder, as in tests.
 DEFAULT_SHARED_DIR = "/tmp/checkpoints/beamloom"
 
