@@ -303,6 +303,12 @@ def _removed(batch: Batch, twins: list | None, stored: tuple, answers: list, len
     return gone
 
 
+def whole_characters(data: np.ndarray, gone: np.ndarray) -> bytes:
+    """The bytes of a UTF-8 text that are not gone, without what is left of characters that lost some; each kept run is decoded by itself."""
+    edges = np.concatenate([[0], np.nonzero(np.diff(gone))[0] + 1, [len(gone)]])
+    return b"".join(data[a:b].tobytes().decode(errors="ignore").encode() for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b and not gone[a])
+
+
 def _cut(joined: DataFrame, length: int, gram: int, texts: bool) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
@@ -318,7 +324,7 @@ def _cut(joined: DataFrame, length: int, gram: int, texts: bool) -> DataFrame:
                     spans = int((flags[1:] & ~flags[:-1]).sum() + flags[:1].sum())
                     own = xxhash.xxh64_intdigest(batch.data[start:end].tobytes(), 42)
                     own -= (own >> 63) << 64  # as Spark's xxhash64 of the text
-                    for into, x in zip(out, (end - start, end - start - len(kept), spans, kept if texts else hashlib.sha256(kept).hexdigest(), own), strict=True):
+                    for into, x in zip(out, (end - start, end - start - len(kept), spans, whole_characters(batch.data[start:end], flags) if texts else hashlib.sha256(kept).hexdigest(), own), strict=True):
                         into.append(x)
                     start = end
                 arrays = [pa.array(ids, pa.int64())] + [pa.array(x, pa.int64()) for x in out[:3]] + [pa.array(out[3], pa.binary() if texts else pa.string()), pa.array(out[4], pa.int64())]
@@ -329,7 +335,7 @@ def _cut(joined: DataFrame, length: int, gram: int, texts: bool) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (or the remaining bytes, `kept`) and text_hash (xxhash64 of the text) for each row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (or the remaining bytes of whole characters, `kept`) and text_hash (xxhash64 of the text) for each row of docs."""
     if not gram < length <= gram + 31:
         raise ValueError("length must be from gram + 1 to gram + 31: a record's windows are one 32-bit mask")
     n = packed.buckets(docs)

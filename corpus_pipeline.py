@@ -32,8 +32,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     cut = suffix_dedup.suffix_dedup(docs, texts=True).filter("n_removed > 0")
     cut = cut.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("kept").alias("__kept"))
     cut = written(cut, "cut").dropDuplicates(["__id", "__hash"])
-    valid = F.replace(F.make_valid_utf8(F.col("__kept").cast("string")), F.lit("�"), F.lit(""))
-    text = F.when(F.col("__kept").isNotNull(), valid).otherwise(F.col("text"))
+    text = F.when(F.col("__kept").isNotNull(), F.col("__kept").cast("string")).otherwise(F.col("text"))
     joined = docs.join(cut, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))

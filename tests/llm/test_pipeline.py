@@ -2,11 +2,13 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers as P
 import tiktoken
 
 import corpus_pipeline
 from beamloom.llm import byte_bpe, source_mixing
+from beamloom.llm.suffix_dedup import whole_characters
 from tests.llm.test_jaccard import brute as brute_components
 from tests.llm.test_suffix import brute as brute_cut
 
@@ -71,6 +73,20 @@ def test_pipeline_against_plain_versions(spark):
         assert r.ids == tok.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.ids) and r.round_trip
 
 
+def test_replacement_characters_of_a_text_stay_when_it_is_cut(spark):
+    shared = "".join(chr(97 + i * i % 26) + str(i) for i in range(40))
+    rows = [(1, f"aé{shared}"), (2, f"b\ufffd {shared}\ufffd"), (3, f"c\ufffdè{shared}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    assert got == {1: rows[0][1], 2: "b\ufffd \ufffd", 3: "c\ufffdè"}
+
+
+def test_characters_do_not_join_over_a_cut():
+    data = np.frombuffer("éxè\ufffdy".encode(), np.uint8)
+    gone = np.array([0, 1, 1, 1, 0, 0, 0, 0, 0], bool)
+    assert whole_characters(data, gone).decode() == "\ufffdy"
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
