@@ -130,7 +130,7 @@ def path_features(path: tuple) -> tuple[str, ...]:
 def text_features(text: str, linked: float) -> tuple[str, ...]:
     n = text.count(" ") + 1
     out = [f"n:{min(6, n.bit_length())}", f"a:{int(linked * 3.999)}", f"end:{'.' if text[-1] in '.!?…:' else 'w' if text[-1].isalnum() else 'o'}"]
-    if _NOTICE.search(text[:400]):
+    if _NOTICE.search(text):
         out.append("notice" if n < 60 else "long notice")
     if text[0] == "©":
         out.append("copyright")

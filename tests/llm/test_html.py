@@ -26,6 +26,12 @@ def test_viterbi_against_all_labellings():
         assert abs(value(best) - value(model.decode(found))) < 1e-9
 
 
+def test_a_notice_is_found_wherever_its_mark_stands():
+    text = " ".join(["incomprehensibilities"] * 30) + " cookie"
+    assert "notice" in h.text_features(text, 0.0)
+    assert "long notice" in h.text_features("word " * 100 + "privacy.", 0.0)
+
+
 def test_accuracy_on_pages_not_trained_on():
     right = total = 0
     for seed in range(7000, 7300):
