@@ -58,11 +58,16 @@ def _class_start(c: int) -> int:
 
 
 def _classes(n: int, percent: int) -> list[int]:
-    """Schemes in which a set of n tokens takes part: its own class, and the next if larger partners reach into it."""
+    """Schemes in which a set of n tokens takes part: its own class, and all those above that larger partners reach into."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     c = 0
     while _class_start(c + 1) <= n:
         c += 1
-    return [c, c + 1] if 100 * n >= percent * _class_start(c + 1) else [c]
+    out = [c]
+    while 100 * n >= percent * _class_start(out[-1] + 1):
+        out.append(out[-1] + 1)
+    return out
 
 
 def _scheme_keys(tokens: np.ndarray, weight: np.ndarray, differ: int, prefix: np.uint64) -> np.ndarray:

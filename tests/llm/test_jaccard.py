@@ -64,6 +64,16 @@ def test_size_classes_meet():
                 assert set(jaccard_join._classes(a, percent)) & set(jaccard_join._classes(b, percent)), (a, b)
 
 
+def test_size_classes_meet_at_low_percent():
+    for percent in (30, 50, 60, 79):
+        for small in range(1, 120):
+            for large in range(small, 100 * small // percent + 1):
+                assert set(jaccard_join._classes(small, percent)) & set(jaccard_join._classes(large, percent)), (percent, small, large)
+    tokens = np.sort(np.random.default_rng(3).integers(0, 2**63, 100).astype(np.uint64))
+    keys = [set(jaccard_join.part_keys(t, 60).tolist()) for t in (tokens, tokens[:60])]
+    assert keys[0] & keys[1]
+
+
 def test_trees_against_all_pairs():
     hashes = packed.WordHashes()
     texts = [t for t in dict.fromkeys(corpus(5, 300)) if t]
