@@ -23,14 +23,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamloom.llm.shared import returned_memory, short_batches
-
-#: Pieces kept encoded in each Python worker; the cache is emptied when full.
-CACHED_PIECES = 800_000
-#: Entries of a memo that a worker may keep between two tasks.
-LEFT_ENTRIES = 100_000
+from beamloom.llm.shared import returned_memory
+
+#: Bytes of the pieces that each Python worker keeps encoded, with what an entry takes beside them; the memo is emptied when full.
+CACHED_BYTES, ENTRY_BYTES = 64_000_000, 200
+#: Longer pieces are encoded each time.
+CACHED_PIECE = 64
+#: Pairs of tokens whose stability a worker keeps.
+CACHED_PAIRS = 300_000
+#: Share of the memos that a worker may keep between two tasks.
+LEFT_SHARE = 0.25
 #: Characters of text split into pieces at a time.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -57,6 +61,7 @@ class PrefixBPE:
         self._stable: dict[int, bool] = {}
         self._reach: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = 0  # bytes of the memo of pieces
 
     def _split(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two tokens whose merge makes this one; None for one byte, (b"", b"") if no merges reach it."""
@@ -100,7 +105,7 @@ class PrefixBPE:
                 before, ties, x = rank[x], False, a[1]  # type: ignore[index]
             else:
                 before, ties, y = rank[y], True, b[0]
-        if len(self._stable) > 1_000_000:
+        if len(self._stable) > CACHED_PAIRS:
             self._stable.clear()
         self._stable[key] = result
         return result
@@ -151,9 +156,9 @@ class PrefixBPE:
         piece before it keeps that part of the table and is appended from there.
         """
         found = [self.find(text) for text in texts]
-        if len(self.pieces) > CACHED_PIECES:
-            self.pieces.clear()
+        self.trim(1.0)
         new = {piece for pieces in found for piece in pieces if piece not in self.pieces} if len(found) == 1 else set().union(*found) - self.pieces.keys()
+        long: dict[str, bytes] = {}
         before, last = b"", []
         for data in sorted(x.encode() for x in new):
             if (whole := self.ranks.get(data)) is not None:
@@ -163,8 +168,22 @@ class PrefixBPE:
                 self.extend(data, last, same)
                 before = data
                 packed = struct.pack(f"<{len(ids := self.read_off(last))}I", *ids)
-            self.pieces[data.decode()] = packed
-        return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in found]
+            if len(data) > CACHED_PIECE:
+                long[data.decode()] = packed
+            else:
+                self.pieces[data.decode()] = packed
+                self.held += len(data) + len(packed) + ENTRY_BYTES
+        if not long:
+            return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in found]
+        return [b"".join([self.pieces[p] if p in self.pieces else long[p] for p in pieces]) for pieces in found]
+
+    def trim(self, share: float) -> None:
+        """Empties the memos that hold more than a share of what they may."""
+        if self.held > share * CACHED_BYTES:
+            self.pieces.clear()
+            self.held = 0
+        if len(self._stable) > share * CACHED_PAIRS:
+            self._stable.clear()
 
     def encode(self, text: str) -> list[int]:
         return memoryview(self.encode_all([text])[0]).cast("I").tolist()
@@ -238,7 +257,6 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
     as a broadcast of its fixed size. With `digests` the ids never leave the worker: n_tokens,
     ids_sha256 and decoded_sha256 are returned. Other columns of docs are not returned.
     """
-    short_batches(docs.sparkSession)
     with open(ranks_path, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema[doc_id].dataType
@@ -265,9 +283,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
                 arrays = [pa.array(rows[0], pa.list_(pa.int32())), pa.array(rows[1], pa.bool_() if check else pa.binary())]
                 names = ["ids", "round_trip" if check else "decoded"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [doc_id, *names])
-        for memo in (bpe.pieces, bpe._stable):  # the worker may serve other stages next
-            if len(memo) > LEFT_ENTRIES:
-                memo.clear()
+        bpe.trim(LEFT_SHARE)  # the worker may serve other stages next
 
     picked = docs.select(F.col(doc_id), F.col(text).cast("string"))
     return picked.mapInArrow(returned_memory(run), f"`{doc_id}` {kind.simpleString()}, {out}")

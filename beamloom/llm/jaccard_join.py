@@ -33,19 +33,19 @@ from pyspark.sql import functions as F
 from beamloom.llm import packed
 from beamloom.llm.components import components
 from beamloom.llm.shared import returned_memory, written
-from beamloom.llm.text_batches import by_bucket, gathered, lengthened, shortened
+from beamloom.llm.text_batches import BATCH_BYTES, Batch, batches, by_bucket, dealt, grouped, lengthened, shortened
 
 #: Sizes of a class of the routing scheme span this ratio.
 RATIO = 1.25
 LEAF = 32
 MAX_BITS = 1 << 15
-#: Rows of numbers (32 bytes at most) that are broadcast; beyond, a shuffle join takes their place.
-BROADCAST_ROWS = 2_000_000
+#: Tokens that count as frequent at most, the most frequent ones; they steer the routing only, any choice gives the same links.
+FREQUENT = 200_000
 
 
-def shingles(text: str | None, n: int, hashes: packed.WordHashes) -> np.ndarray:
+def shingles(text: bytes, n: int, hashes: packed.WordHashes) -> np.ndarray:
     """The set of a text's n-grams as ascending 64-bit hashes."""
-    words = (text or "").encode().lower().split()
+    words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     h = hashes.of(words)
@@ -106,31 +106,11 @@ def part_keys(tokens: np.ndarray, percent: int, frequent: np.ndarray | None = No
 
 
 def _frequent(described: DataFrame) -> np.ndarray:
-    """Tokens that a thousandth of all documents or more have, ascending; batches name those frequent in
-    them. There are at most a thousand times as many as a document has on average."""
+    """The FREQUENT most common of the tokens that a thousandth of all documents or more have, ascending; batches name those frequent in them."""
     total = described.count()
-    sums = described.select(F.explode("often")).groupBy("col.token").agg(F.sum("col.n").alias("n")).filter(F.col("n") >= max(8, total // 1000))
-    return np.sort(np.array([r["token"] for r in sums.select("token").collect()], np.int64).view(np.uint64))
-
-
-def _small_columns(df: DataFrame, columns: list[str]):
-    """A broadcast of columns of numbers, ordered by the first, if there are at most BROADCAST_ROWS rows, else None:
-    then the caller joins. Texts need not be shuffled for a small table."""
-    df = written(df, "small")
-    if df.count() > BROADCAST_ROWS:
-        return None
-    t = df.select(columns).toArrow()
-    arrays = [t.column(c).to_numpy() for c in columns]
-    order = np.argsort(arrays[0], kind="stable")
-    return df.sparkSession.sparkContext.broadcast([a[order] for a in arrays])
-
-
-def _found(ascending: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ids in an ascending array, and which of them are there."""
-    if not len(ascending):
-        return np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
-    at = np.minimum(np.searchsorted(ascending, ids), len(ascending) - 1)
-    return at, ascending[at] == ids
+    sums = described.select(F.explode("often").alias("o")).groupBy("o.token").agg(F.sum("o.n").alias("n")).filter(F.col("n") >= max(8, total // 1000))
+    found = sums.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").collect()
+    return np.sort(np.array([r["token"] for r in found], np.int64).view(np.uint64))
 
 
 class Tree:
@@ -248,56 +228,53 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(returned_memory(run), "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90, tile: int = 2048) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs; links have a Jaccard index of percent / 100 or more."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+def _described(stored: DataFrame, n: int) -> DataFrame:
+    """One row a document: id, batch, pos, n, the 128-bit name of its set, and (in a batch's first row) the tokens frequent in the batch."""
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = packed.WordHashes()
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                out: list[list] = [[], [], []]
-                sets = []
-                for value in batch.column(1):
-                    s = shingles(value.as_py(), n, hashes)
-                    k1 = int(packed.mix(s).sum(dtype=np.uint64)) if len(s) else 0
-                    k2 = int(packed.mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)) if len(s) else 0
-                    sets.append(s)
-                    for into, x in zip(out, (len(s), k1 - (1 << 63), k2 - (1 << 63)), strict=True):
-                        into.append(x)
+        kind = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))
+        for rb in rows:
+            for r in range(rb.num_rows):
+                number, ids, sizes, blob = (c[r].as_py() for c in rb.columns)
+                sets = list(_sets(Batch(blob, sizes), range(len(ids)), n, hashes))
+                k1 = [int(packed.mix(s).sum(dtype=np.uint64)) - (1 << 63) for s in sets]
+                k2 = [int(packed.mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)) - (1 << 63) for s in sets]
                 tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-                many = counts >= 4
+                many = counts >= max(4, len(sets) // 500)
                 often: list = [None] * len(sets)
                 often[0] = [{"token": t, "n": c} for t, c in zip(tokens[many].view(np.int64).tolist(), counts[many].tolist(), strict=True)]
-                kind = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))
-                arrays = [pa.array(x, pa.int64()) for x in out] + [pa.array(often, kind)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "n", "k1", "k2", "often"])
+                longs = ([number] * len(ids), range(len(ids)), map(len, sets), k1, k2)
+                arrays = [pa.array(ids, pa.int64()), *[pa.array(list(x), pa.int64()) for x in longs], pa.array(often, kind)]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "batch", "pos", "n", "k1", "k2", "often"])
+
+    schema = "id long, batch long, pos long, n long, k1 long, k2 long, often array<struct<token:bigint,n:bigint>>"
+    return written(stored.select("batch", "ids", "sizes", "texts").mapInArrow(returned_memory(run), schema), "shingled")
+
+
+def _sets(batch: Batch, places, n: int, hashes: packed.WordHashes) -> Iterator[np.ndarray]:
+    """The sets of some documents of a batch."""
+    for i in places:
+        yield shingles(batch.data[batch.ends[i - 1] if i else 0 : batch.ends[i]].tobytes(), n, hashes)
+
+
+def _asked(stored: DataFrame, rows: DataFrame, fields: list[str]) -> DataFrame:
+    """The batches that rows (batch, fields) name, each with its rows, `asked`; texts are not shuffled, as batches are bucketed."""
+    per = rows.groupBy("batch").agg(F.collect_list(F.struct(*fields)).alias("asked"))
+    return stored.select("batch", "ids", "sizes", "texts").join(per, "batch").select("ids", "sizes", "texts", "asked")
 
-    described = written(rows.mapInArrow(returned_memory(describe), "id long, n long, k1 long, k2 long, often array<struct<token:bigint,n:bigint>>"), "shingled")
-    usable = described.drop("often").filter(F.col("id").isNotNull() & (F.col("n") > 0))
-    same = ["n", "k1", "k2"]
-    classes = written(usable.groupBy(*same).agg(F.min("id").alias("rep")), "classes")
-    total = packed.buckets(docs)
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(described))
-    copies = usable.join(classes, same).filter("id > rep").select(F.col("id").alias("other")).distinct()
-    others = copies.join(classes.select(F.col("rep").alias("other")), "other", "left_anti")
-    known = rows.filter(F.col("id").isNotNull())
-    left_out = _small_columns(others, ["other"])
-    reps = known if left_out else known.join(others, F.col("id") == F.col("other"), "left_anti")
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _routes(stored: DataFrame, reps: DataFrame, frequent, n: int, percent: int, total: int) -> DataFrame:
+    """(u, v): representatives that share a part, as stars around the smallest id of each part."""
+
+    def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, pack = packed.WordHashes(), zstandard.ZstdCompressor(1).compress
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                if left_out:
-                    part = part.filter(pa.array(~_found(left_out.value[0], part.column(0).to_numpy())[1]))
-                    if not part.num_rows:
-                        continue
-                sets = [shingles(v.as_py(), n, hashes) for v in part.column(1)]
-                keys = [part_keys(s, percent, frequent.value) if len(s) else s for s in sets]
-                ids = np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])
+        for rb in rows:
+            for r in range(rb.num_rows):
+                own, sizes, blob, asked = (c[r].as_py() for c in rb.columns)
+                places = [a["pos"] for a in asked]
+                keys = [part_keys(s, percent, frequent.value) for s in _sets(Batch(blob, sizes), places, n, hashes)]
+                ids = np.repeat(np.array([own[i] for i in places], np.int64), [len(k) for k in keys])
                 flat = np.concatenate(keys)
                 order = np.argsort(flat)
                 flat, ids = flat[order], ids[order]
@@ -306,9 +283,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                 blobs = [[short[a:b].tobytes() for a, b in spans], [pack(ids[a:b].tobytes()) for a, b in spans]]
                 yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], ["bucket", "keys", "ids"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for parts in gathered(batches).values():
+        for _, parts in grouped(rows):
             keys = np.concatenate([lengthened(p[0]) for p in parts])
             ids = np.concatenate([np.frombuffer(unpack(p[1]), np.int64) for p in parts])
             order = np.lexsort((ids, keys))
@@ -318,36 +295,53 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             pairs = np.unique(np.stack([ids, head], axis=1)[ids != head], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["u", "v"])
 
-    sent = reps.mapInArrow(returned_memory(send), "bucket long, keys binary, ids binary").repartition(total // 2, "bucket")
-    blocks = written(components(sent.mapInArrow(returned_memory(meet), "u long, v long")), "blocks")
+    sent = _asked(stored, reps, ["pos"]).mapInArrow(returned_memory(send), "bucket long, keys binary, ids binary")
+    return dealt(sent, total).mapInArrow(returned_memory(meet), "u long, v long")
+
+
+def _tokens(stored: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """id, block, tile, tiles and the set of the documents in blocks."""
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = packed.WordHashes()
-        for batch in batches:
-            if small:
-                at, found = _found(small.value[0], batch.column(0).to_numpy())
-                batch = batch.filter(pa.array(found))
-                kept = [pa.array(c[at[found]], k) for c, k in zip(small.value[1:], (pa.int64(), pa.int32(), pa.int32()), strict=True)]
-            else:
-                kept = batch.columns[2:]
-            for start in range(0, batch.num_rows, 500):
-                sets = [shingles(v.as_py(), n, hashes).tobytes() for v in batch.column(1).slice(start, 500)]
-                head = [c.slice(start, 500) for c in (batch.column(0), *kept)]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(sets, pa.binary())], ["id", "block", "tile", "tiles", "tokens"])
+        for rb in rows:
+            for r in range(rb.num_rows):
+                own, sizes, blob, asked = (c[r].as_py() for c in rb.columns)
+                batch = Batch(blob, sizes)
+                for start in range(0, len(asked), 500):
+                    part = asked[start : start + 500]
+                    sets = [s.tobytes() for s in _sets(batch, [a["pos"] for a in part], n, hashes)]
+                    cols = [pa.array([own[a["pos"]] for a in part], pa.int64()), *[pa.array([a[c] for a in part], k) for c, k in (("block", pa.int64()), ("tile", pa.int32()), ("tiles", pa.int32()))]]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(sets, pa.binary())], ["id", "block", "tile", "tiles", "tokens"])
+
+    asked = _asked(stored, chosen, ["pos", "block", "tile", "tiles"])
+    return asked.mapInArrow(returned_memory(run), "id long, block long, tile int, tiles int, tokens binary")
 
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90, tile: int = 2048) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs; links have a Jaccard index of percent / 100 or more."""
+    _classes(1, percent)
+    total = packed.buckets(docs)
+    stored = batches(docs, doc_id, text, BATCH_BYTES)
+    described = _described(stored, n)
+    same = ["n", "k1", "k2"]
+    usable = described.drop("often").filter(F.col("id").isNotNull() & (F.col("n") > 0))
+    least = F.min(F.struct("id", "batch", "pos")).alias("least")
+    classes = written(usable.groupBy(*same).agg(least).select(*same, F.col("least.id").alias("rep"), "least.batch", "least.pos"), "classes")
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(described))
+    blocks = written(components(_routes(stored, classes.select("batch", "pos"), frequent, n, percent, total)), "blocks")
     sized = blocks.groupBy("component").agg(F.count("*").alias("members"))
     tiles = F.ceil(F.col("members") / tile).cast("int")
     chosen = blocks.join(sized, "component").select(
-        F.col("node").alias("id"), F.col("component").alias("block"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"), tiles.alias("tiles")
+        F.col("node").alias("rep"), F.col("component").alias("block"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"), tiles.alias("tiles")
     )
-    small = _small_columns(chosen, ["id", "block", "tile", "tiles"])
-    sets = (known if small else known.join(chosen, "id").select("id", "text", "block", "tile", "tiles")).mapInArrow(returned_memory(tokens), "id long, block long, tile int, tiles int, tokens binary")
-    dealt = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+    sets = _tokens(stored, classes.select("rep", "batch", "pos").join(chosen, "rep"), n)
+    spread = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "block", F.least("tile", "with").alias("a"), F.greatest("tile", "with").alias("b"), "id", "tile", "tokens"
     )
-    dealt = dealt.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b")
-    found = components(_block_links(dealt, percent)).withColumnRenamed("node", "rep")
+    spread = spread.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b")
+    found = components(_block_links(spread, percent)).withColumnRenamed("node", "rep")
     named = classes.join(found, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
-    return described.drop("often").join(named, same, "left").select(
+    return described.drop("often", "batch", "pos").join(named, same, "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component_id")
     )

@@ -2,43 +2,85 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch.
+#: Rows of an Arrow batch while a table is written.
 BATCH_ROWS = 1000
-#: Used only where the session names no shared folder, as in tests.
+#: Used only in one process, as in tests, where driver and executors share every folder.
 DEFAULT_SHARED_DIR = "/tmp/checkpoints/beamloom"
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR).rstrip("/")
+_WRITTEN: list[str] = []
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Texts are long rows: an Arrow batch of Spark's default number of them takes tens of megabytes on both
-    sides. A session that still has this default gets BATCH_ROWS; a setting of the user's stays."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; without it, only a local session has one."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return DEFAULT_SHARED_DIR
+    raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+
+
+@contextlib.contextmanager
+def short_batches(spark: SparkSession):
+    """Texts are long rows: an Arrow batch of Spark's default number of them takes tens of megabytes on both sides.
+    While a table is written, a session that has this default gets BATCH_ROWS; afterwards its setting is back."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    before = spark.conf.get(key)
+    if before == "10000":
         spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        if before == "10000":
+            spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts lineage and outlives lost executors."""
+def written(df: DataFrame, name: str, buckets: tuple[int, str] | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: it cuts lineage and outlives lost executors.
+
+    `buckets` (number, column) stores it bucketed and sorted by the column, so that joins on the column
+    shuffle the other side only. `swept` removes the tables that this process has written.
+    """
     spark = df.sparkSession
-    short_batches(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    key = f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{key}"
+    with short_batches(spark):
+        _WRITTEN.append(path)
+        if buckets is None:
+            df.write.parquet(path)
+            return spark.read.parquet(path)
+        named = key.replace("-", "_")
+        df.write.bucketBy(buckets[0], buckets[1]).sortBy(buckets[1]).option("path", path).saveAsTable(named)
+        return spark.table(named)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _remove(df.sparkSession, path)
+
+
+def swept(spark: SparkSession) -> None:
+    """Removes all tables written by this process; results that still read them end with it."""
+    while _WRITTEN:
+        _remove(spark, _WRITTEN.pop())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from beamloom.llm import packed
 from beamloom.llm.shared import returned_memory, written
-from beamloom.llm.text_batches import BATCH_BYTES, Batch, answered, batches, by_bucket, copies, gathered, shared_names, shortened
+from beamloom.llm.text_batches import BATCH_BYTES, Batch, answered, batches, by_bucket, copies, dealt, grouped, shared_names, shortened, twins_of
 
 GRAM = 24
 U = np.uint64
@@ -142,65 +142,93 @@ def _send_names(stored: DataFrame, length: int, gram: int, n: int) -> DataFrame:
                     ["bucket", "batch", "names", "several"],
                 )
 
-    return stored.select("batch", "ids", "sizes", "texts").mapInArrow(returned_memory(run), "bucket long, batch long, names binary, several binary").repartition(n // 2, "bucket")
+    return dealt(stored.select("batch", "ids", "sizes", "texts").mapInArrow(returned_memory(run), "bucket long, batch long, names binary, several binary"), n)
 
 
-def _records(batch: Batch, ids: list, gone: list | None, live: list, length: int, gram: int, n: int):
-    """The survivors' surroundings, equal ones once: their bytes, first and last valid window, smallest
-    id, names by bucket, and which anchor has which record."""
-    giving = np.array([i is not None for i in ids])
-    at, doc, distinct, of, _ = _names_of(batch, giving, length, gram)
-    alive = np.zeros(len(distinct), bool)
+#: Anchors whose surroundings are held at a time.
+SLICE = 1 << 14
+
+
+def _alive(distinct: np.ndarray, live: list, n: int) -> np.ndarray:
+    """The answered bits of a batch's names."""
+    out = np.zeros(len(distinct), bool)
     buckets, edges = by_bucket(distinct, n)
     bits = {r["bucket"]: r["bits"] for r in live}
     for k, b in enumerate(buckets.tolist()):
-        alive[edges[k] : edges[k + 1]] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=edges[k + 1] - edges[k])
-    giving[[c["pos"] for c in gone or []]] = False
-    keep = alive[of] & giving[doc]
+        out[edges[k] : edges[k + 1]] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=edges[k + 1] - edges[k])
+    return out
+
+
+def _survivors(batch: Batch, ids: list, twins: list, live: list, length: int, gram: int, n: int):
+    """Positions, document numbers and names of the anchors whose names other documents have, ordered by name, then position; copies take no part."""
+    giving = np.array([i is not None for i in ids])
+    at, doc, distinct, of, _ = _names_of(batch, giving, length, gram)
+    giving[[k for k, _ in twins]] = False
+    keep = _alive(distinct, live, n)[of]
+    keep &= giving[doc]
     at, doc, of = at[keep], doc[keep], of[keep]
+    order = np.argsort(of, kind="stable")
+    return at[order], doc[order].astype(np.int32), distinct[of[order]]
+
+
+def _surroundings(batch: Batch, at: np.ndarray, doc: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Rows of the bytes around some anchors, and the first and past the last valid window; bytes of other texts are
+    blanked, so that equal surroundings are equal rows."""
     before = length - gram
     width = length + before
-    padded = np.concatenate([np.zeros(before, np.uint8), batch.data, np.zeros(before, np.uint8)])
-    around = np.lib.stride_tricks.sliding_window_view(padded, width)[at]
-    starts = np.concatenate([[0], batch.ends[:-1]])
-    first = np.maximum(0, starts[doc] - (at - before))
-    last = np.minimum(before, batch.ends[doc] - length - (at - before))
-    # bytes of neighbouring texts are blanked, so that equal surroundings are equal bytes
+    begin = at - before
     column = np.arange(width)
-    around = np.where((column >= first[:, None]) & (column < (last + length)[:, None]), around, 0).astype(np.uint8)
-    limits = np.stack([first, np.maximum(last + 1, first)], axis=1).astype(np.uint8)
-    whole = np.ascontiguousarray(np.concatenate([around, limits], axis=1))
-    key, key2 = _row_names(whole)
-    number = np.array([x if x is not None else 0 for x in ids], np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
-    order = np.lexsort((number, key2, key, of))
-    new = np.ones(len(order), bool)
-    new[1:] = (of[order][1:] != of[order][:-1]) | (key[order][1:] != key[order][:-1]) | (key2[order][1:] != key2[order][:-1])
-    record = np.zeros(len(order), np.int64)
-    record[order] = np.cumsum(new) - 1
-    head = order[new]
-    name = distinct[of[head]]
-    least = number[head]
-    return at, doc, record, whole[head], least, name, number
+    around = batch.data[np.clip(begin[:, None] + column, 0, len(batch.data) - 1)]
+    starts = np.concatenate([[0], batch.ends[:-1]])
+    first = np.maximum(0, starts[doc] - begin)
+    last = np.minimum(before, batch.ends[doc] - length - begin)
+    around[(column < first[:, None]) | (column >= (last + length)[:, None])] = 0
+    return np.concatenate([around, np.stack([first, np.maximum(last + 1, first)], axis=1).astype(np.uint8)], axis=1)
 
 
 def _stored_records(joined: DataFrame, length: int, gram: int, n: int) -> DataFrame:
-    """One row a batch: what it sends (buckets, around, least) and what it needs to read the answers (at, record, smaller, counts)."""
+    """One row a batch: what it sends (buckets, around, least) and what it needs to read the answers (at, record, smaller, counts).
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Anchors are taken in slices by name; equal surroundings of a slice are one record with their smallest id.
+    """
+
+    def sliced(batch: Batch, ids: list, twins: list, live: list) -> list:
         pack = zstandard.ZstdCompressor(1).compress
+        at, doc, name = _survivors(batch, ids, twins, live, length, gram, n)
+        owner = np.array([0 if i is None else i for i in ids], np.int64)
+        sent: list[list] = [[], [], [], []]
+        record, smaller, made = np.zeros(len(at), "<i4"), np.zeros(len(at), bool), 0
+        for a in range(0, len(at), SLICE):
+            part = slice(a, a + SLICE)
+            rows = _surroundings(batch, at[part], doc[part], length, gram)
+            k1, k2 = _row_names(rows)
+            own, called = owner[doc[part]], name[part]
+            order = np.lexsort((own, k2, k1, called))
+            new = np.ones(len(order), bool)
+            new[1:] = (called[order][1:] != called[order][:-1]) | (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
+            number = np.empty(len(order), np.int64)
+            number[order] = np.cumsum(new) - 1
+            head = order[new]
+            least = own[head]
+            record[part], smaller[part] = number + made, own > least[number]
+            made += len(head)
+            buckets, edges = by_bucket(called[head], n)
+            whole = rows[head]
+            for b, lo, hi in zip(buckets.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                for into, x in zip(sent, (b, pack(whole[lo:hi].tobytes()), least[lo:hi].tobytes(), hi - lo), strict=True):
+                    into.append(x)
+        return [*sent, pack(at.astype("<i4").tobytes()), pack(record.tobytes()), pack(np.packbits(smaller).tobytes())]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (*[pa.list_(k) for k in (pa.int64(), pa.binary(), pa.binary(), pa.int64())], *[pa.binary()] * 3)
         for rb in rows:
             for r in range(rb.num_rows):
-                number, ids, sizes, blob, gone, live = (rb.column(i)[r].as_py() for i in range(6))
-                at, _, record, around, least, name, own = _records(Batch(blob, sizes), ids, gone, live or [], length, gram, n)
-                buckets, edges = by_bucket(name, n)
-                spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-                cells = (buckets, [pack(around[a:b].tobytes()) for a, b in spans], [least[a:b].tobytes() for a, b in spans], np.diff(edges))
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64())
-                mine = (np.diff(at, prepend=0).astype("<i4"), record.astype("<i4"), np.packbits(own > least[record]) if len(record) else np.zeros(0, np.uint8))
-                arrays = [pa.array([number], pa.int64())] + [pa.array([c], pa.list_(k)) for c, k in zip(cells, kinds, strict=True)] + [pa.array([pack(m.tobytes())], pa.binary()) for m in mine]
+                number, ids, sizes, h1, h2, blob, gone, live = (rb.column(i)[r].as_py() for i in range(8))
+                cells = sliced(Batch(blob, sizes), ids, twins_of(ids, h1, h2, gone), live or [])
+                arrays = [pa.array([number], pa.int64())] + [pa.array([c], k) for c, k in zip(cells, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, ["batch", "buckets", "around", "least", "counts", "at", "record", "smaller"])
 
-    cols = joined.select("batch", "ids", "sizes", "texts", "copies", "live")
+    cols = joined.select("batch", "ids", "sizes", "h1", "h2", "texts", "copies", "live")
     made = cols.mapInArrow(returned_memory(run), "batch long, buckets array<long>, around array<binary>, least array<binary>, counts array<long>, at binary, record binary, smaller binary")
     return written(made, "records")
 
@@ -238,12 +266,19 @@ def covered_windows(around: np.ndarray, least: np.ndarray, length: int, gram: in
     need = np.zeros(group[-1] + 1, bool)
     need[groups[open_]] = True
     rows = np.nonzero(need[groups])[0]
-    if not len(rows):
-        return mask
-    h1, h2 = np.empty((len(rows), before + 1), U), np.empty((len(rows), before + 1), U)
-    for a in range(0, len(rows), 20_000):  # names of a record take several hundred bytes
-        part = np.ascontiguousarray(bytes_[rows[a : a + 20_000]])
-        h1[a : a + 20_000], h2[a : a + 20_000] = names(part, length), names(part, length, 1)
+    rows = rows[np.argsort(groups[rows], kind="stable")]
+    edges = np.append(np.nonzero(np.diff(groups[rows]))[0] + 1, len(rows))
+    start = 0
+    while start < len(rows):  # whole groups, some 20,000 records at a time: names of a record's windows take several hundred bytes
+        end = int(edges[np.searchsorted(edges, min(start + 20_000, len(rows)))])
+        _compare(rows[start:end], np.ascontiguousarray(bytes_[rows[start:end]]), lo, hi, least, length, before, mask)
+        start = end
+    return mask
+
+
+def _compare(rows: np.ndarray, around: np.ndarray, lo, hi, least, length: int, before: int, mask: np.ndarray) -> None:
+    """Sets the bits of the windows of some records that a smaller id of theirs has, one offset after the other."""
+    h1, h2 = names(around, length), names(around, length, 1)
     for o in range(before + 1):
         valid = (lo[rows] <= o) & (o < hi[rows])
         r = rows[valid]
@@ -256,32 +291,31 @@ def covered_windows(around: np.ndarray, least: np.ndarray, length: int, gram: in
         has = np.zeros(len(s), bool)
         has[s] = ids[s] > ids[s][start][np.cumsum(start) - 1]
         mask[r[has]] |= np.uint32(1 << o)
-    return mask
 
 
 def _answers(sent: DataFrame, length: int, gram: int) -> DataFrame:
-    """(batch, bucket, masks) for the records sent."""
+    """(batch, piece, masks) for the records sent; a piece is named `bucket` as in other answers."""
     width = 2 * length - gram + 2
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for bucket, parts in gathered(rows).items():
+        for _, parts in grouped(rows):
             around = np.concatenate([np.frombuffer(unpack(p[1]), np.uint8).reshape(-1, width) for p in parts])
             masks = covered_windows(around, np.concatenate([np.frombuffer(p[2], "<i8") for p in parts]), length, gram)
             cuts = np.cumsum([0, *[len(p[2]) // 8 for p in parts]])
             blobs = [masks[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([bucket] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], ["batch", "bucket", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([p[3] for p in parts], pa.int64()), pa.array(blobs, pa.binary())], ["batch", "bucket", "bits"])
 
     return sent.mapInArrow(returned_memory(run), "batch long, bucket long, bits binary")
 
 
-def _removed(batch: Batch, twins: list | None, stored: tuple, answers: list, length: int, gram: int) -> np.ndarray:
+def _removed(batch: Batch, twins: list, stored: tuple, answers: list, length: int, gram: int) -> np.ndarray:
     """A flag for each byte of a batch."""
     unpack = zstandard.ZstdDecompressor().decompress
     buckets, counts, at, record, smaller = stored
-    at, record = np.cumsum(np.frombuffer(unpack(at), "<i4"), dtype=np.int64), np.frombuffer(unpack(record), "<i4")
+    at, record = np.frombuffer(unpack(at), "<i4").astype(np.int64), np.frombuffer(unpack(record), "<i4")
     bits = {r["bucket"]: r["bits"] for r in answers}
-    masks = np.frombuffer(b"".join(bits[b] for b in buckets), "<u4")
+    masks = np.frombuffer(b"".join(bits[piece] for piece in range(len(buckets))), "<u4")
     if len(masks) != sum(counts):
         raise ValueError("an answer is missing")
     before = length - gram
@@ -297,7 +331,7 @@ def _removed(batch: Batch, twins: list | None, stored: tuple, answers: list, len
     mark = begun.astype(np.int32)
     mark[length:] -= begun[:-length] if len(begun) > length else 0
     gone = np.cumsum(mark[:-1]) > 0
-    for c in (x["pos"] for x in twins or []):
+    for c, _ in twins:
         if batch.ends[c] - starts[c] >= length:
             gone[starts[c] : batch.ends[c]] = True
     return gone
@@ -313,9 +347,9 @@ def _cut(joined: DataFrame, length: int, gram: int, texts: bool) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
             for r in range(rb.num_rows):
-                ids, sizes, blob, twins, answers, *stored = (c[r].as_py() for c in rb.columns)
+                ids, sizes, h1, h2, blob, found, answers, *stored = (c[r].as_py() for c in rb.columns)
                 batch = Batch(blob, sizes)
-                gone = _removed(batch, twins, tuple(stored), answers or [], length, gram)
+                gone = _removed(batch, twins_of(ids, h1, h2, found), tuple(stored), answers or [], length, gram)
                 out: list[list] = [[], [], [], [], []]
                 start = 0
                 for end in batch.ends.tolist():
@@ -330,7 +364,7 @@ def _cut(joined: DataFrame, length: int, gram: int, texts: bool) -> DataFrame:
                 arrays = [pa.array(ids, pa.int64())] + [pa.array(x, pa.int64()) for x in out[:3]] + [pa.array(out[3], pa.binary() if texts else pa.string()), pa.array(out[4], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept" if texts else "kept_sha256", "text_hash"])
 
-    cols = joined.select("ids", "sizes", "texts", "copies", "answers", "buckets", "counts", "at", "record", "smaller")
+    cols = joined.select("ids", "sizes", "h1", "h2", "texts", "copies", "answers", "buckets", "counts", "at", "record", "smaller")
     return cols.mapInArrow(returned_memory(run), "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept binary" if texts else "kept_sha256 string") + ", text_hash long")
 
 
@@ -341,10 +375,10 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     n = packed.buckets(docs)
     stored = batches(docs, doc_id, text, batch_bytes)
     live = answered(shared_names(_send_names(stored, length, gram, n)), "live")
-    hints = written(live.join(copies(stored), "batch", "full"), "hints")
-    joined = stored.drop("h1", "h2").join(hints, "batch", "left")
-    records = _stored_records(joined, length, gram, n)
-    sent = records.select("batch", F.explode(F.arrays_zip("buckets", "around", "least"))).select(F.col("col.buckets").alias("bucket"), "batch", "col.around", "col.least")
-    answers = answered(_answers(sent.repartition(n // 2, "bucket"), length, gram), "answers")
+    hints = written(live.join(copies(stored, length), "batch", "full"), "hints")
+    records = _stored_records(stored.join(hints, "batch", "left"), length, gram, n)
+    sent = records.select("batch", F.posexplode(F.arrays_zip("buckets", "around", "least")).alias("piece", "p"))
+    sent = sent.select(F.col("p.buckets").alias("bucket"), "batch", "p.around", "p.least", F.col("piece").cast("long").alias("piece"))
+    answers = answered(_answers(dealt(sent, n), length, gram), "answers")
     read = records.drop("around", "least").join(answers, "batch", "left").join(hints.select("batch", "copies"), "batch", "left")
-    return _cut(stored.drop("h1", "h2").join(read, "batch"), length, gram, texts)
+    return _cut(stored.join(read, "batch"), length, gram, texts)

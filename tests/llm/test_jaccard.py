@@ -78,7 +78,7 @@ def test_trees_against_all_pairs():
     hashes = packed.WordHashes()
     texts = [t for t in dict.fromkeys(corpus(5, 300)) if t]
     want = brute(list(enumerate(texts)))
-    sets = [jaccard_join.shingles(t, 3, hashes) for t in texts]
+    sets = [jaccard_join.shingles((t or "").encode(), 3, hashes) for t in texts]
     for cut in (None, 100):
         links = jaccard_join._cell_links(np.arange(len(sets)), np.zeros(len(sets), int), sets, True, 90)
         if cut:
@@ -92,12 +92,11 @@ def test_trees_against_all_pairs():
         assert label == [want[i][1] for i in range(len(sets))]
 
 
-def test_against_brute_force(spark, monkeypatch):
+def test_against_brute_force(spark):
     rows = [(i * 7 % 1000, t) for i, t in enumerate(corpus(1))] + [(2001, None), (2002, ""), (2003, " \n"), (2004, "A b"), (2005, "a B"), (2006, "long " * 5000)]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows] + [(None, "a b", 1, "x"), rows[0] + (1, "x")], "doc_id long, text string, n int, block string")
     want = brute(rows)
-    for tile, small in ((2048, 2_000_000), (8, 0)):
-        monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", small)
+    for tile in (2048, 8):
         got = [(r.doc_id, (r.n_shingles, r.component_id)) for r in jaccard_join.jaccard_components(df, tile=tile).collect()]
         assert len(got) == len(rows) + 2
         assert (None, (1, None)) in got
