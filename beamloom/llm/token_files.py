@@ -16,12 +16,19 @@ blocks                ids, `bits` bits each, low bits first; each block starts o
 Block offsets let a reader unpack any range of ids without reading what stands before it.
 The images are stored in a Parquet table in the shared folder, one row a file, as executors
 can only reach the cluster's storage through Spark; ``export`` writes them out as plain files.
+
+Defined results: a null text is an empty one and has only the end id; strings of special tokens in a
+text are these tokens, as the library's `encode` takes them; texts of any length are taken whole
+(a document is never cut over two files); repeated rows are repeated documents, null ids come
+first; an empty table gives no file and an empty result; other columns of the input, whatever their
+names, are neither read nor returned.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import unicodedata
 import zlib
@@ -39,13 +46,13 @@ MAGIC = b"BLTOKEN1"
 BLOCK = 4096
 #: A file is closed once it holds so many ids.
 FILE_IDS = 4_000_000
-#: Words kept encoded in each Python worker; the cache is emptied beyond.
-CACHED_WORDS = 800_000
+#: Bytes of the words that each Python worker keeps encoded, with what an entry takes beside them; the memo is emptied when full.
+CACHED_BYTES, ENTRY_BYTES = 128_000_000, 200
+#: Longer words are encoded each time.
+CACHED_WORD = 64
 MARKS = ".,;:!?*%$#&|()-"
 #: Characters of text encoded at a time.
-CHUNK_CHARS = 4_000_000
-#: Files whose starts are broadcast (16 bytes each); more are joined by a shuffle.
-BROADCAST_FILES = 500_000
+CHUNK_CHARS = 2_000_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -113,9 +120,12 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.held = 0
         spec = json.loads(raw)
+        # strings that the library looks for in whole texts, before it parts words
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or []]
+        self.added = re.compile("|".join(added), re.I) if added else None
         self.lowers = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         suffix = spec["model"].get("end_of_word_suffix")
         self.ends = None
@@ -127,24 +137,35 @@ class _Words:
         return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def by_word(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHED_WORDS:
+        if self.held > CACHED_BYTES:
             self.known.clear()
+            self.held = 0
         known, found, new = self.known, [], set()
         for text in texts:
+            if self.added and self.added.search(text):
+                found.append(None)
+                continue
             words = self.folded(text).replace("\n", " ").split(" ")
             ids = list(map(known.get, words))
             holes = [(i, words[i]) for i, v in enumerate(ids) if v is None]
             new.update(w for _, w in holes)
             found.append((ids, holes))
-        self.learn(new)
-        for ids, holes in found:
+        long = self.learn(new)
+        out = []
+        for text, parts in zip(texts, found, strict=True):
+            if parts is None:
+                out += self.whole([text])
+                continue
+            ids, holes = parts
             for i, w in holes:
-                ids[i] = known[w]
-        return [b"".join(ids) for ids, _ in found]
-
-    def learn(self, new: set[str]) -> None:
-        """Adds words to `known`. Marks behind a letter are pieces of their own for the tokenizer's pattern."""
-        known, letters, rest, cut = self.known, set(), set(), []
+                ids[i] = known[w] if w in known else long[w]
+            out.append(b"".join(ids))
+        return out
+
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """Adds words to `known` and returns the long ones, which aren't kept. Marks behind a letter are pieces of their own
+        for the tokenizer's pattern."""
+        known, letters, rest, cut = dict(), set(), set(), []
         for w in new:
             if "İ" in w:  # its lower case ends with a mark
                 rest.add(w)
@@ -157,10 +178,15 @@ class _Words:
             else:
                 rest.add(w)
         for words, encode in ((letters, self.runs), (rest, self.whole)):
+            known.update((w, self.known[w]) for w in words if w in self.known)
             missing = [w for w in words if w not in known]
             known.update(zip(missing, encode(missing), strict=True))
         for w, base, tail in cut:
             known[w] = known[base] + known[tail]
+        long = {w: known.pop(w) for w in [w for w in known if len(w) > CACHED_WORD]}
+        self.held += sum(len(w) + len(v) + ENTRY_BYTES for w, v in known.items() if w not in self.known)
+        self.known.update(known)
+        return long
 
     def folded(self, text: str) -> str:
         """The text in lower case if the tokenizer does just this to it anyway, so that fewer words differ."""
@@ -260,16 +286,20 @@ def write_token_files(
 def read_token_files(files: DataFrame, digests: bool = False) -> DataFrame:
     """One row per document from the stored images: doc_id, start, n_tokens, and ids or ids_crc32.
 
-    The starts of files are running sums over one small row a file (no image is moved for them).
+    Images are read where they lie. The starts of files come in behind them: a running sum over the parts (one row each,
+    as many as the writer had range partitions), and inside each part over its files.
     """
-    order = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("part", "file", "n_ids").withColumn("first", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).drop("n_ids")
+    sized = written(files.select("part", "file", "n_ids"), "file-sizes")
+    over = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sized.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", over(Window.orderBy("part")).alias("base"))
+    inner = sized.select("part", "file", over(Window.partitionBy("part").orderBy("file")).alias("within"))
+    starts = written(inner.join(parts, "part").select("part", "file", (F.col("base") + F.col("within")).alias("first")), "file-starts")
     out = "ids_crc32 long" if digests else "ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                first, keys = batch.column("first")[r].as_py(), batch.column("doc_ids")[r].as_py()
+                part, number, keys = (batch.column(c)[r].as_py() for c in ("part", "file", "doc_ids"))
                 file = TokenFile(batch.column("image")[r].as_buffer().to_pybytes())
                 ids = file.read(0, file.n_ids).astype("<u4")
                 at = np.concatenate([[0], file.ends.astype(np.int64)])
@@ -279,13 +309,12 @@ def read_token_files(files: DataFrame, digests: bool = False) -> DataFrame:
                 else:
                     last = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.uint32()).cast(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(at[:-1] + first, pa.int64()), pa.array(np.diff(at), pa.int64()), last],
-                    ["doc_id", "start", "n_tokens", "ids_crc32" if digests else "ids"],
+                    [pa.array([part] * len(keys), pa.int32()), pa.array([number] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), last],
+                    ["part", "file", "doc_id", "at", "n_tokens", "ids_crc32" if digests else "ids"],
                 )
 
-    if files.select("part").count() <= BROADCAST_FILES:
-        starts = F.broadcast(starts)
-    return files.join(starts, ["part", "file"]).mapInArrow(run, f"doc_id long, start long, n_tokens long, {out}")
+    read = files.select("part", "file", "doc_ids", "image").mapInArrow(run, f"part int, file int, doc_id long, at long, n_tokens long, {out}")
+    return read.join(starts, ["part", "file"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", out.split()[0])
 
 
 def export(files: DataFrame, folder: str) -> list[str]:

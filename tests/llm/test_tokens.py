@@ -17,7 +17,8 @@ OURS = byte_bpe.PrefixBPE(RANKS, P.PATTERN)
 THEIRS = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 with open(P.path("word_bpe_49k.json")) as f:
     WORDS = token_files._Words(f.read())
-TEXTS = [None, "", "a", " ", "\n\n x  y ", "l'été où ß ñ 你好 🙂", "x" * 3000, "the cat sat " * 400, "1234 %%% ***", "<|endoftext|> <|startoftext|>"]
+UNTOUCHED = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+TEXTS = [None, "", "a", " ", "\n\n x  y ", "l'été où ß ñ 你好 🙂", "x" * 3000, "the cat sat " * 400, "1234 %%% ***", "<|endoftext|> <|startoftext|>", "a<|endoftext|>B <|ENDOFTEXT|> c", "x<|startoftext|", "y" * 70 + " " + "Z" * 90]
 
 
 @settings(max_examples=200, deadline=None)
@@ -74,15 +75,18 @@ def test_packing_round_trip(bits):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text("aÉéΣİßñ你🙂  '.,!*\n\u0301\u00a0\x1c3sSłK\u0327") | st.text(), max_size=6))
+@given(st.lists(st.text("aÉéΣİßñ你🙂  '.,!*\n\u0301\u00a0\x1c3sSłK\u0327") | st.text() | st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", " ", "a"])).map("".join), max_size=6))
 def test_words_equal_whole_texts(texts):
-    assert WORDS.by_word(texts) == WORDS.whole(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in WORDS.by_word(texts)] == [UNTOUCHED.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_special_tokens_are_those_of_the_library():
+    assert np.frombuffer(WORDS.by_word(["<|endoftext|>"])[0], "<u4").tolist() == [49407]
 
 
 def test_token_files(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)][::-1] + [(3, " ", 2), (None, "b", 3)], "doc_id long, text string, part int")
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     files = token_files.write_token_files(docs, P.path("word_bpe_49k.json"), file_ids=300)
     got = token_files.read_token_files(files, digests=True).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, 0, 1, 2, 3, 3, *range(4, len(TEXTS))]
