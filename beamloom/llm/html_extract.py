@@ -7,9 +7,10 @@ with two states, text and boilerplate, scores blocks in page order; its weights
 maximum likelihood on labelled pages, and Viterbi decoding picks the best labelling of a page.
 
 Defined results: null, empty or textless html gives an empty string; unclosed elements end with
-their parent; unclosed comments and scripts run to the page's end; repeated rows are extracted
-as often as they occur; nothing is capped, and time is in proportion to the html; an empty
-table gives an empty result.
+their parent; unclosed comments and scripts run to the page's end, an unclosed tag is text; repeated
+rows are extracted as often as they occur; nothing is capped, and time and memory are in
+proportion to the html, however deep or broken it is; ids and urls are carried as they are, null
+ones too; an empty table gives an empty result; other columns of the input are not returned.
 """
 
 from __future__ import annotations
@@ -26,17 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TEXT, BOILERPLATE = 1, 0
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|svg|textarea|select|iframe|math|object|canvas)\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|</?[a-zA-Z][^>]*>|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: Elements whose content is no text of the page.
+_RAW = re.compile(r"(script|style|template|svg|textarea|select|iframe|canvas)\b", re.I)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 #: Elements that never have content.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements inside a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br object math mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot munder mover munderover mtable mtr mtd mstyle semantics annotation".split())
 #: An element of the key ends open elements of the value, up to a container.
 CLOSES = {
     "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "p": {"p"},
@@ -47,9 +45,12 @@ _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
-@lru_cache(4096)
 def _words(attrs: str) -> tuple[str, ...]:
     """Words of class, id and role, and a mark for hidden elements."""
+    return _short_words(attrs) if len(attrs) < 300 else _found_words(attrs)
+
+
+def _found_words(attrs: str) -> tuple[str, ...]:
     out = []
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -64,10 +65,115 @@ def _words(attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
-def blocks(page: str) -> list[tuple[str, tuple[tuple[str, tuple[str, ...]], ...], float]]:
-    """(text, path of (tag, words) from the outermost ancestor, share of characters in links) of the leaf blocks."""
+_short_words = lru_cache(4096)(_found_words)
+
+
+class Element:
+    """An open element: its parent, tag, words, and the features that its ancestors lack. Blocks share their ancestors."""
+
+    __slots__ = ("parent", "tag", "words", "new", "score")
+
+    def __init__(self, parent: Element | None, tag: str, words: tuple[str, ...], new: tuple[str, ...]):
+        self.parent, self.tag, self.words, self.new, self.score = parent, tag, words, new, None
+
+    def path(self) -> list[tuple[str, tuple[str, ...]]]:
+        """(tag, words) from the outermost ancestor."""
+        out, node = [], self
+        while node is not None:
+            out.append((node.tag, node.words))
+            node = node.parent
+        return out[::-1]
+
+
+class _Stack:
+    """The open elements, with counts of their features and tags, so that a push or pop costs what it changes."""
+
+    def __init__(self):
+        self.items: list[Element] = []
+        self.features: dict[str, int] = {}
+        self.tags: dict[str, int] = {}
+
+    def push(self, tag: str, words: tuple[str, ...]) -> None:
+        own = (f"t:{tag}", *[f"w:{w}" for w in words])
+        new = tuple(f for f in own if not self.features.get(f))
+        for f in own:
+            self.features[f] = self.features.get(f, 0) + 1
+        self.tags[tag] = self.tags.get(tag, 0) + 1
+        self.items.append(Element(self.items[-1] if self.items else None, tag, words, new))
+
+    def pop(self) -> str:
+        e = self.items.pop()
+        for f in (f"t:{e.tag}", *[f"w:{w}" for w in e.words]):
+            self.features[f] -= 1
+        self.tags[e.tag] -= 1
+        return e.tag
+
+    def close(self, tag: str) -> None:
+        if self.tags.get(tag):
+            while self.pop() != tag:
+                pass
+
+
+class _Tags:
+    """Finds where tags of a page end, in linear time over all calls."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.dead: set[int] = set()  # places outside quotes from which no end is found
+
+    def end(self, start: int) -> int:
+        """The place of the ">" that ends a tag's attributes, not one inside quotes; if quotes do not close, the next ">"; -1 without any."""
+        page, last = self.page, self.last
+        if start > last[">"]:
+            return -1
+        at, passed = start, []
+        while (m := _STOP.search(page, at)) is not None:
+            at = m.start()
+            if m[0] == ">":
+                return at
+            if at in self.dead or last[m[0]] <= at:
+                break
+            passed.append(at)
+            at = page.find(m[0], at + 1) + 1
+        self.dead.update(passed)
+        if m is not None:
+            self.dead.add(at)
+        return page.find(">", start)
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag or None for what is skipped, whether it is an end tag, attributes) of the markup of a page."""
+    tags, at, n = _Tags(page), 0, len(page)
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+            yield at, end, None, False, ""
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1 if at < tags.last[">"] else 0
+            if end:
+                yield at, end, None, False, ""
+        elif (m := _TAG.match(page, at + 1)) is None:
+            end = 0
+        elif not m[1] and (raw := _RAW.match(page, at + 1)):
+            end = page.find(">", raw.end()) + 1 if at < tags.last[">"] else 0
+            if end:
+                if page[end - 2] != "/":
+                    close = re.compile(rf"</{raw[1]}\s*>", re.I).search(page, end)
+                    end = close.end() if close else n
+                yield at, end, None, False, ""
+        else:
+            end = tags.end(m.end()) + 1
+            if end:
+                yield at, end, m[2].lower(), bool(m[1]), page[m.end() : end - 1]
+        at = end or at + 1
+
+
+def blocks(page: str) -> list[tuple[str, Element | None, float]]:
+    """(text, innermost open element, share of characters in links) of the leaf blocks."""
     out: list = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
     parts: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -76,38 +182,33 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, tuple[str, ...]], ...]
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((text, tuple(stack), min(1.0, linked / len(text))))
+                out.append((text, stack.items[-1] if stack.items else None, min(1.0, linked / len(text))))
             parts.clear()
             linked = 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+    for start, end, tag, ends, attrs in _tokens(page):
+        if start > at:
+            parts.append(page[at:start])
             if in_link:
-                linked += m.start() - at
-        at = m.end()
-        tag = m["tag"]
+                linked += start - at
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "a":
-                in_link = 0 if m["end"] else 1
+                in_link = 0 if ends else 1
             elif tag == "br" or tag == "img":
                 parts.append(" ")
             continue
         flush()
         in_link = 0
-        if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+        if ends:
+            stack.close(tag)
         elif tag not in VOID:
             closing = CLOSES.get(tag) or {"p"}
-            while stack and stack[-1][0] in closing:
+            while stack.items and stack.items[-1].tag in closing:
                 stack.pop()
-            stack.append((tag, _words(m["attrs"] or "")))
+            stack.push(tag, _words(attrs))
     if at < len(page):
         parts.append(page[at:])
     flush()
@@ -117,14 +218,17 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, tuple[str, ...]], ...]
 _NOTICE = re.compile(r"cookie|consent|newsletter|subscribe|sign up|log ?in|privacy|advert|sponsor|all rights reserved|terms of|share this|read more|click here|copyright|©", re.I)
 
 
-@lru_cache(65536)
-def path_features(path: tuple) -> tuple[str, ...]:
-    tags = [t for t, _ in path]
-    out = {f"t:{t}" for t in tags} | {f"w:{w}" for _, words in path for w in words}
-    out.add(f"leaf:{tags[-1] if tags else ''}")
-    if tags:
-        out |= {f"lw:{w}" for w in path[-1][1]}
-    return tuple(sorted(out))
+def leaf_features(element: Element | None) -> tuple[str, ...]:
+    return ("leaf:",) if element is None else (f"leaf:{element.tag}", *[f"lw:{w}" for w in element.words])
+
+
+def path_features(element: Element | None) -> list[str]:
+    """Each tag and word of the ancestors once, and the innermost element's as such."""
+    out = list(leaf_features(element))
+    while element is not None:
+        out += element.new
+        element = element.parent
+    return out
 
 
 def text_features(text: str, linked: float) -> tuple[str, ...]:
@@ -142,16 +246,30 @@ class ChainCRF:
 
     def __init__(self, weights: dict[str, float], trans: list[list[float]], start: list[float]):
         self.weights, self.trans, self.start = weights, trans, start
-        self._paths: dict[tuple, float] = {}
+
+    def path_score(self, element: Element | None) -> float:
+        """The weights of a block's ancestors; each element's sum is kept on it."""
+        open_, node = [], element
+        while node is not None and node.score is None:
+            open_.append(node)
+            node = node.parent
+        total, get = 0.0 if node is None else node.score, self.weights.get
+        for node in reversed(open_):
+            for f in node.new:
+                total += get(f, 0.0)
+            node.score = total
+        return total
 
     def scores(self, found: list) -> list[float]:
-        get, paths, out = self.weights.get, self._paths, []
-        if len(paths) > 100_000:
-            paths.clear()
-        for text, path, linked in found:
-            if (s := paths.get(path)) is None:
-                s = paths[path] = sum(get(f, 0.0) for f in path_features(path))
-            out.append(s + sum(get(f, 0.0) for f in text_features(text, linked)))
+        """One number a block. Elements keep sums of the model that scored them first."""
+        get, out = self.weights.get, []
+        for text, element, linked in found:
+            s = self.path_score(element)
+            for f in leaf_features(element):
+                s += get(f, 0.0)
+            for f in text_features(text, linked):
+                s += get(f, 0.0)
+            out.append(s)
         return out
 
     def decode(self, found: list) -> list[int]:
@@ -318,8 +436,10 @@ def labelled_page(seed: int) -> tuple[str, set[str]]:
                 out.append(f"<blockquote><p>{keep(text)}</p></blockquote>")
             elif kind < 0.94:
                 out.append("<table>" + "".join(f"<tr><td>{keep(words(1, 5))}</td><td>{keep(words(1, 5))}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>")
-            elif kind < 0.97:
+            elif kind < 0.96:
                 out.append(f"<pre>{keep(text)}</pre>")
+            elif kind < 0.97:
+                out.append(f"<noscript><p>{keep(text)}</p></noscript>")
             else:
                 a = words(1, 2)
                 out.append(f"<p>{link(a)} {text}</p>")
@@ -332,8 +452,13 @@ def labelled_page(seed: int) -> tuple[str, set[str]]:
         inner = a + "".join(out) + tail + b
         return f"<main>{inner}</main>" if r.random() < 0.2 else inner
 
+    def unscripted() -> str:
+        return f"<noscript>{r.choice(['Please enable JavaScript', words(2, 9)])}{r.choice(['.', ''])}</noscript>"
+
     before = [f() for f, p in ((notice, 0.2), (banner, 0.4), (menu, 0.7), (advert, 0.4), (form, 0.15), (aside, 0.15)) if r.random() < p]
     after = [f() for f, p in ((share, 0.2), (aside, 0.3), (comments, 0.35), (advert, 0.25), (form, 0.15), (notice, 0.2), (footer, 0.8)) if r.random() < p]
+    if r.random() < 0.06:
+        before.append(unscripted())
     r.shuffle(before)
     foot = [x for x in after if "foot" in x[:40] or "copyright" in x[:40]]
     rest = [x for x in after if x not in foot]

@@ -1,4 +1,8 @@
 import re
+import time
+import tracemalloc
+
+import pytest
 
 from beamloom.llm import html_extract as h
 
@@ -7,12 +11,47 @@ def test_blocks():
     page = '<body><div class="adBox Main"><p>a &amp; b<br>c <b>d</b>\n e<p>f</div><!-- <p>no</p> --><script>var t="</p>";</script><ul><li>x<li><a href="u">y z</a></ul>tail'
     found = h.blocks(page)
     assert [b[0] for b in found] == ["a & b c d e", "f", "x", "y z", "tail"]
-    assert found[0][1] == (("body", ()), ("div", ("ad", "box", "main")), ("p", ())) and found[3][1][-2:] == (("ul", ()), ("li", ()))
+    assert found[0][1].path() == [("body", ()), ("div", ("ad", "box", "main")), ("p", ())] and found[3][1].path()[-2:] == [("ul", ()), ("li", ())]
+    assert sorted(h.path_features(found[0][1])) == ["leaf:p", "t:body", "t:div", "t:p", "w:ad", "w:box", "w:main"]
     assert found[3][2] == 1.0 and found[0][2] == 0.0
     assert h.blocks("") == [] and h.blocks("<script>x") == [] and [b[0] for b in h.blocks("a <b")] == ["a <b"]
     assert [b[0] for b in h.blocks('<p title="a>b">q</p><p title="x>r')] == ["q", "r"]
 
 
+def test_text_inside_math_object_and_noscript_stays():
+    page = "<article><p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p><object data=f>a figure</object><noscript><p>plain words</p></noscript><svg><text>no</text></svg></article>"
+    assert [b[0] for b in h.blocks(page)] == ["let x=2 be", "a figure", "plain words"]
+
+
+@pytest.mark.parametrize(
+    "part", ["<svg ", "<a ", "<a '", '<a "> ', '<a ">" ', "<p>x", "<div>x", "</b>", "</div>", "<!--", "<!", "<script>", "<", "<div class=c{}>x", "<a href='>' b=\"", "<li>x</q>", "&amp", "<svg/>", "<p><b></i>"]
+)
+def test_hostile_pages_take_linear_time(part):
+    model = h.trained()
+    page = "".join(part.replace("{}", str(i)) for i in range(1_000_000 // len(part)))
+    for tail in ("", "'", ">"):
+        began = time.process_time()
+        h.main_text(page + tail, model)
+        assert time.process_time() - began < (2 if len(part) > 4 else 4)
+
+
+def test_deep_pages_take_memory_in_proportion():
+    tracemalloc.start()
+    found = h.blocks("<div class=a>x" * 100_000)
+    size = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 100_000 and size < 100e6
+
+
+def test_whole_texts_of_labelled_pages():
+    model, same = h.trained(), 0
+    for seed in range(8000, 8200):
+        page, main = h.labelled_page(seed)
+        want = "\n\n".join(t for t, y in zip([b[0] for b in h.blocks(page)], h.label(page, main)[1], strict=True) if y)
+        same += h.main_text(page, model) == want
+    assert same >= 180
+
+
 def test_viterbi_against_all_labellings():
     model = h.trained()
     for seed in range(9000, 9010):
