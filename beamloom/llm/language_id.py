@@ -6,13 +6,17 @@ own list by out-of-place distance: the sum over the document's n-grams of how fa
 ranks lie apart, or the profile's length for n-grams that the profile lacks.
 
 Profiles are counted over a bounded sample of labelled rows: at most `per_language` documents
-of each language, those with the smallest hashes of their ids. Every document is predicted from
-its whole text in a map without a shuffle; the profiles are languages x `profile` numbers.
+of each language, those with the smallest hashes of their ids. From a language's number of
+documents follows a hash below which there are some more than that; only such hashes are ranked,
+however common the language. The chosen hashes are a written table of known size, so
+texts stay where they are while it is small. Every document is predicted from its whole
+text in a map without a shuffle; the profiles are languages x `profile` numbers.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0; ties go to the
 language that comes first by name; without any labelled row every document is ``und``;
 repeated rows are predicted as often as they occur; a null id is not held out; an empty table
-gives an empty result. Only the id and the text of a row are used for its prediction.
+gives an empty result; other columns of the input are not returned, whatever their names. Only
+the id and the text of a row are used for its prediction, and the id for `held_out` alone.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beamloom.llm.shared import written
+
 UNKNOWN = "und"
 _FOLD: list[np.ndarray] = []
 
@@ -71,8 +77,12 @@ def learn_profiles(
     """Language: n-gram codes by falling frequency. At most languages x profile numbers reach the driver."""
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     slim = known.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h"))
+    counts = written(slim.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    # ten standard deviations more than asked for
+    share = (per_language + 10 * per_language**0.5 + 100) / F.col("n")
+    low = slim.join(counts, "lang").filter(F.col("h").cast("double") / 2.0**64 + 0.5 <= share).select("lang", "h")
     first = Window.partitionBy("lang").orderBy("h")
-    chosen = slim.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language).select("lang", "h").distinct()
+    chosen = written(low.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language).select("lang", "h").distinct(), "chosen")
     sample = known.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("text")).join(chosen, ["lang", "h"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

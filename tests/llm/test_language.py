@@ -48,3 +48,23 @@ def test_edges(spark):
     got = {(r.doc_id, r.lang_pred, r.held_out) for r in language_id.identify_languages(df).collect()}
     assert {(1, "und", False), (2, "und", False), (3, "und", False), (None, "en", False), (6, "de", False)} <= {(a, b, False) for a, b, _ in got}
     assert language_id.identify_languages(df.limit(0)).count() == 0
+
+
+def test_profiles_against_a_plain_count(spark):
+    import collections
+
+    words = ["der", "die", "und", "the", "and", "of", "cat", "Hund", "x1y"]
+    rows = [(i, " ".join(words[(i * k) % 9] for k in range(1, 2 + i % 7)), ("de", "en", None)[i % 3]) for i in range(300)] + [(7, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    hashes = {r.doc_id: r.h for r in df.selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    for per in (20, 2000):
+        want = {}
+        for lang in ("de", "en"):
+            some = sorted((hashes[i], t) for i, t, known in rows if known == lang and t is not None)[:per]
+            counts = collections.Counter()
+            for _, t in some:
+                flat = " " + " ".join("".join(c.lower() if c.isalpha() else " " for c in t).split()) + " "
+                counts.update(flat[i : i + n] for n in (1, 2, 3) for i in range(len(flat) - n + 1) if flat[i : i + n] != " ")
+            code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+            want[lang] = sorted(map(code, counts), key=lambda c, n={code(g): v for g, v in counts.items()}: (-n[c], c))[:60]
+        assert language_id.learn_profiles(df, per_language=per, profile=60) == want
