@@ -56,3 +56,19 @@ def test_against_brute_force(spark):
     assert embedding_links(df.limit(0)).count() == 0
     null_id = spark.createDataFrame([(None, [1.0], 1), (1, [1.0], 1), (1, [1.0], 1)], "vec_id long, embedding array<float>, label int")
     assert sorted((str(r.vec_id), r.n_links, r.kept) for r in embedding_links(null_id).collect()) == [("1", 0, True), ("1", 0, True), ("None", 0, True)]
+
+
+def test_a_pair_at_the_threshold_links(spark):
+    """49 / 50 in plain arithmetic, in either kind of numbers; a last bit below links with nothing."""
+    rows = [(1, [1.0, 0.0, 0.0, 0.0, 0.0], 1), (2, [49.0, 9.0, 3.0, 3.0, 0.0], 1), (3, [3.0, 0.0, 0.0, 0.0, 0.0], 2), (4, [49.0, 9.0, 3.0, 3.0, 1e-6], 2)]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_links(df, tables=200).collect()}
+        assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+
+
+def test_an_id_with_several_vectors_stands_for_all(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1), (4, [-1.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_links(df).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
