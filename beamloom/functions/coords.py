@@ -74,20 +74,29 @@ def bin_2d(value: Column, low: Column, width) -> Column:
     return trunc((value - low) / width)
 
 
+def slope_angle(slope: Column) -> Column:
+    return F.atan(slope)
+
+
+def nearest_index(c: Column) -> Column:
+    """Half up, as die and mask look-ups round."""
+    return half_up(c)
+
+
 def ticks(dt: Column, period: float = 25.0) -> Column:
     return (dt / period).cast("long")
 
 
 def inside_polygon(x: Column, y: Column, corners: list[tuple[int, int]]) -> Column:
-    """Winding number of a closed polygon round the truncated point is not zero; on an edge counts by the half-open rule."""
+    """Whether a ray from the truncated point to the right crosses an odd number of sides; a side has its lower end but not its upper one."""
     px, py = trunc(x), trunc(y)
-    wind: Column = F.lit(0)
-    for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1], strict=True):
-        left = (px - x1) * (y2 - y1) * -1 + (x2 - x1) * (py - y1)
-        up = (F.lit(y1) <= py) & (F.lit(y2) > py) & (left > 0)
-        down = (F.lit(y1) > py) & (F.lit(y2) <= py) & (left < 0)
-        wind = wind + F.when(up, 1).when(down, -1).otherwise(0)
-    return wind != 0
+    crossings: Column = F.lit(0)
+    for a, b in zip(corners, corners[1:] + corners[:1], strict=True):
+        (x1, y1), (x2, y2) = sorted((a, b), key=lambda c: c[1])
+        if y1 != y2:
+            at = x1 + (py - y1) * ((x2 - x1) / (y2 - y1))
+            crossings = crossings + ((py >= y1) & (py < y2) & (px < at)).cast("int")
+    return crossings % 2 == 1
 
 
 def start_time_at(pairs: Column, fraction: float, default: Column) -> Column:

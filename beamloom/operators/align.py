@@ -1,207 +1,529 @@
-"""Alignment: plateau fits, per-detector minimisation, a global linear solve, and rotation of a detector under test.
+"""Alignment: plateau fits, track-based minimisation (one detector at a time, or all at once), and detectors under test.
 
-Tracks stay distributed. What reaches the driver is bounded by the geometry: histograms of a
-few hundred bins, normal equations of six numbers a detector, or one sum an evaluation.
+Tracks stay distributed. A detector's geometry enters as a few columns of a broadcast dimension
+(one row a detector): where a local point lies, and how that place moves with each degree of
+freedom. Per pass, one aggregation brings sums to the driver whose number follows from the
+geometry alone: a matrix of (6 x detectors)^2 numbers, or a histogram of fixed bins.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Upper limits of chi2 / ndof at 1, 2 and 3 standard deviations for many degrees of freedom, by the Wilson-Hilferty rule.
-_QUANTILE = {1: 0.4750, 2: 1.6902, 3: 2.7822}
+from beamloom.functions import coords, hist
+from beamloom.operators import track
+from beamloom.sources import geometry
+from beamloom.sources.geometry import Detector
 
+DOFS = ("x", "y", "z", "rx", "ry", "rz")
 
+
+# ---- limits of chi2
+
+
+def _chi2_cdf(x: float, ndof: int) -> float:
+    """The regularised lower incomplete gamma function P(ndof / 2, x / 2), by its series."""
+    a, h = ndof / 2, x / 2
+    if h <= 0:
+        return 0.0
+    term = total = 1.0 / a
+    k = 0
+    while term > total * 1e-17:
+        k += 1
+        term *= h / (a + k)
+        total += term
+    return min(1.0, total * math.exp(a * math.log(h) - h - math.lgamma(a)))
+
+
+@lru_cache(256)
 def chi2_limit(deviations: int, ndof: int) -> float:
-    """chi2 / ndof below which a track lies with the probability of so many standard deviations."""
-    if deviations <= 0 or ndof <= 0:
-        return float("inf")
-    z = _QUANTILE.get(deviations, deviations)
-    k = 2.0 / (9.0 * ndof)
-    return (1 - k + z * math.sqrt(k)) ** 3
+    """chi2 / ndof that a track exceeds as rarely as a normal variable so many (1 to 3) standard deviations; 0 without degrees of
+    freedom. Up to 30 the exact quantile to four digits, beyond it Fisher's approximation."""
+    if ndof < 1:
+        return 0.0
+    level = math.erf(max(1, min(deviations, 3)) / math.sqrt(2))
+    if ndof > 30:
+        return (NormalDist().inv_cdf(level) + math.sqrt(2 * ndof - 3)) ** 2 / (2 * ndof - 2)
+    low, high = 0.0, 100.0 + 10 * ndof
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _chi2_cdf(middle, ndof) < level else (low, middle)
+    return round(high / ndof, 4)
+
+
+# ---- plateau
 
 
-def plateau(content: np.ndarray, low: float, high: float, width: float | None = None, half_pitch: float = 0.0) -> dict | None:
-    """Centre and width of a box profile: the outermost crossings of half the plateau's height, by linear interpolation.
+@dataclass
+class Plateau:
+    centre: float
+    width: float
+    warning: str = ""
 
-    The height is the median of bins over half the maximum of a moving average of five. With a known
-    `width`, a profile of less than 0.7 of it misses a side: then the steeper edge fixes the centre.
-    Profiles of fewer than 100 entries give None.
+
+def plateau(content: np.ndarray, low: float, high: float, width: float = 0.0, pitch: float = 0.0, tolerance: float = 0.15) -> Plateau | None:
+    """Centre and width of a box profile over a background; None for fewer than 100 entries.
+
+    Levels are means of five bins: the plateau's round the fullest bin, the background's 1.6 widths away on both sides. The
+    edges are the outermost bins within 1.3 widths that reach the middle of the two levels, moved to it by linear
+    interpolation with their outer neighbours. A profile of less than 0.7 of the known width misses a channel: the
+    centre moves half a pitch to the side that shows a run of bins with some signal.
     """
+    n = len(content)
     if content.sum() < 100:
         return None
-    step = (high - low) / len(content)
-    smooth = np.convolve(content, np.ones(5) / 5, mode="same")
-    level = np.median(content[smooth > smooth.max() / 2]) / 2
-    above = np.nonzero(smooth >= level)[0]
-
-    def cross(a: int, b: int) -> float:
-        ya, yb = smooth[a], smooth[b]
-        return low + step * (a + 0.5 + (0.5 if ya == yb else (level - ya) / (yb - ya)) * (b - a))
-
-    left = cross(above[0] - 1, above[0]) if above[0] else low
-    right = cross(above[-1], above[-1] + 1) if above[-1] + 1 < len(content) else high
-    left, right = left + half_pitch, right + half_pitch
-    out = {"left": left, "right": right, "width": right - left, "centre": (left + right) / 2, "partial": False}
-    if width and right - left < 0.7 * width:
-        rise = np.abs(np.diff(smooth, prepend=0, append=0))
-        sharp_left = rise[above[0]] >= rise[above[-1] + 1]
-        out |= {"partial": True, "centre": left + width / 2 if sharp_left else right - width / 2}
+    step = (high - low) / n
+    window = np.ones(5)
+    level = np.convolve(content, window, mode="same") / np.convolve(np.ones(n), window, mode="same")
+    peak = int(content.argmax())
+    away = round(1.6 * width / step) + 2
+    background = (level[max(0, peak - away)] + level[min(n - 1, peak + away)]) / 2
+    height = level[peak] - background
+    reach = round(1.3 * width / step) + 2
+    first, last = max(0, peak - reach), min(n - 1, peak + reach)
+    over = np.nonzero(content[first : last + 1] >= background + height / 2)[0] + first
+    left = int(over[0]) if len(over) and over[0] <= peak else peak
+    right = int(over[-1]) if len(over) and over[-1] >= peak else peak
+
+    def edge(inner: int, outer: int) -> float:
+        """Where the profile passes the middle between a bin over it and its outer neighbour."""
+        centre = low + (inner + 0.5) * step
+        if not 0 <= outer < n:
+            return centre
+        rise = content[inner] - content[outer]
+        missing = (content[inner] - background - height / 2) / rise if rise else 1.0
+        return float(centre + (outer - inner) * missing * step)
+
+    a, b = edge(left, left - 1), edge(right, right + 1)
+    found = Plateau((a + b) / 2, b - a)
+    if width <= 0:
+        return found
+    if found.width < 0.7 * width:
+        shift = pitch / 2 if pitch > 0 else (width - found.width) / 2
+        shortest = max(3, round(0.3 * pitch / step))
+        loose = background + 0.15 * height
+        sides = [_best_run(content[first:left] - background, loose - background, shortest), _best_run(content[right + 1 : last + 1] - background, loose - background, shortest)]
+        side = int(np.sign(sides[1] - sides[0])) if max(sides) > 0 else 0
+        told = {-1: "moved to the low side", 0: "no signal on either side, not moved", 1: "moved to the high side"}[side]
+        return Plateau(found.centre + side * shift, found.width, f"a channel looks missing: {told}")
+    if abs(found.width - width) / width > tolerance:
+        found.warning = f"the width differs by {abs(found.width - width) / width:.0%}"
+    return found
+
+
+def _best_run(excess: np.ndarray, least: float, shortest: int) -> float:
+    """The largest sum over runs of at least `shortest` values above `least`."""
+    flags = np.concatenate([[0], excess > least, [0]])
+    begins, ends = np.nonzero(np.diff(flags) == 1)[0], np.nonzero(np.diff(flags) == -1)[0]
+    return max((float(excess[b:e].sum()) for b, e in zip(begins, ends, strict=True) if e - b >= shortest), default=0.0)
+
+
+def prealigned(tracks: DataFrame, d: Detector, bins: int = 500, reach: float = 10.0) -> tuple[Detector, dict[str, Plateau | None]]:
+    """A detector moved to the centres of the plateaus of track positions at its z. Positions are global, so a centre is the
+    new position itself. Layouts share this way; those that are not known count as generic."""
+    z = d.position[2]
+    at = tracks.select((F.col("cx") + F.col("mx") * z).alias("x"), (F.col("cy") + F.col("my") * z).alias("y"))
+    found, place = {}, list(d.position)
+    for k, axis in enumerate("xy"):
+        content = np.zeros(bins)
+        for r in hist.bins_1d(at, axis, bins, -reach, reach).collect():  # at most `bins` rows
+            content[r["bin"]] = r["content"]
+        found[axis] = plateau(content, -reach, reach, d.size()[k], (d.pitch_x, d.pitch_y)[k])
+        if found[axis]:
+            place[k] = found[axis].centre
+    return replace(d, position=tuple(place)), found
+
+
+# ---- tracks and degrees of freedom
+
+
+def _turned(d: Detector, by: np.ndarray) -> np.ndarray:
+    return np.array(replace(d, orientation=tuple(np.array(d.orientation) + by)).rotation())
+
+
+def placement(spark: SparkSession, detectors: list[Detector]) -> DataFrame:
+    """One row a detector: place and rotation (p.., r..) and the derivatives of the rotation by each angle (d<angle>_ij)."""
+    rows, names = [], []
+    for d in detectors:
+        row = {"detector": d.name, "wx": 1 / d.res_x**2, "wy": 1 / d.res_y**2} | {f"p{a}": float(v) for a, v in zip("xyz", d.position, strict=True)}
+        r = np.array(d.rotation())
+        row |= {f"r{i}{j}": float(r[i, j]) for i in range(3) for j in range(2)}
+        for k, name in enumerate(DOFS[3:]):
+            step = np.eye(3)[k] * 1e-6
+            slope = (_turned(d, step) - _turned(d, -step)) / 2e-6
+            row |= {f"d{name}_{i}{j}": float(slope[i, j]) for i in range(3) for j in range(2)}
+        names = list(row)
+        rows.append(tuple(row.values()))
+    return spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n == 'detector' else 'double'}" for n in names))
+
+
+def placed(points: DataFrame, detectors: list[Detector]) -> DataFrame:
+    """points (by, detector, u, v: local) with x, y, z, the weights, and how (x, y, z) move with each degree of freedom."""
+    d = F.broadcast(placement(points.sparkSession, detectors))  # one row a detector
+    j = points.join(d, "detector")
+    at = {a: F.col(f"p{a}") + F.col(f"r{i}0") * F.col("u") + F.col(f"r{i}1") * F.col("v") for i, a in enumerate("xyz")}
+    moves = {f"g{name}_{a}": F.lit(float(name == a)) for name in DOFS[:3] for a in "xyz"}
+    moves |= {f"g{name}_{a}": F.col(f"d{name}_{i}0") * F.col("u") + F.col(f"d{name}_{i}1") * F.col("v") for name in DOFS[3:] for i, a in enumerate("xyz")}
+    return j.select(*points.columns, "wx", "wy", *[c.alias(n) for n, c in (at | moves).items()])
+
+
+BY = ("event_id", "track_id")
+
+
+def linearised(placed_points: DataFrame, dofs: tuple[str, ...]) -> DataFrame:
+    """BY, detector, x, y, z, wx, wy and for each degree of freedom how the residuals in x and y move (ax_, ay_): the point moves,
+    and the track is met at another z."""
+    w = (F.col("wx") + F.col("wy")) / 2
+    lines = track.fit(placed_points.withColumn("w", w), BY).select(*BY, "mx", "my")
+    j = placed_points.join(lines, list(BY))
+    slopes = [(F.col(f"g{k}_{a}") - F.col(f"m{a}") * F.col(f"g{k}_z")).alias(f"a{a}_{k}") for k in dofs for a in "xy"]
+    return j.select(*BY, "detector", "x", "y", "z", "wx", "wy", *slopes)
+
+
+def _moved(points: DataFrame, change: dict[str, np.ndarray], dofs: tuple[str, ...]) -> DataFrame:
+    """linearised points with x and y moved by a change of each detector's degrees of freedom."""
+    step = {k: F.lit(0.0) for k in dofs}
+    for name, values in change.items():
+        step = {k: F.when(F.col("detector") == name, F.lit(float(values[i]))).otherwise(step[k]) for i, k in enumerate(dofs)}
+    new = {a: sum((F.col(f"a{a}_{k}") * step[k] for k in dofs), F.col(a)) for a in "xy"}
+    return points.withColumns(new)
+
+
+def _fitted(points: DataFrame) -> DataFrame:
+    """points with the sums of their track's straight line in each axis, the residuals ex, ey, and the track's chi2 and n."""
+    h = F.collect_list(F.struct("z", "x", "y", "wx", "wy"))
+    tracks = points.groupBy(*BY).agg(F.sort_array(h).alias("h"))
+    total = lambda e: F.aggregate("h", F.lit(0.0), lambda s, p: s + e(p))
+    for a in "xy":
+        tracks = tracks.withColumns({f"s{a}": total(lambda p, a=a: p["w" + a]), f"z{a}": total(lambda p, a=a: p["w" + a] * p["z"]), f"v{a}": total(lambda p, a=a: p["w" + a] * p[a])})
+        tracks = tracks.withColumns({f"z{a}": F.col(f"z{a}") / F.col(f"s{a}"), f"v{a}": F.col(f"v{a}") / F.col(f"s{a}")})
+        centred = lambda p, a=a: p["z"] - F.col(f"z{a}")
+        tracks = tracks.withColumn(f"q{a}", total(lambda p, a=a, c=centred: p["w" + a] * c(p) * c(p)))
+        tracks = tracks.withColumn(f"m{a}", total(lambda p, a=a, c=centred: p["w" + a] * c(p) * (p[a] - F.col(f"v{a}"))) / F.col(f"q{a}"))
+    miss = {a: (lambda p, a=a: p[a] - F.col(f"v{a}") - F.col(f"m{a}") * (p["z"] - F.col(f"z{a}"))) for a in "xy"}
+    chi2 = total(lambda p: p["wx"] * miss["x"](p) * miss["x"](p) + p["wy"] * miss["y"](p) * miss["y"](p))
+    worst = F.array_max(F.transform("h", lambda p: F.greatest(F.abs(miss["x"](p)), F.abs(miss["y"](p)))))
+    tracks = tracks.withColumns({"chi2": chi2, "worst": worst, "n": F.size("h")}).drop("h")
+    out = points.join(tracks, list(BY))
+    return out.withColumns({f"e{a}": F.col(a) - F.col(f"v{a}") - F.col(f"m{a}") * (F.col("z") - F.col(f"z{a}")) for a in "xy"})
+
+
+@dataclass
+class Normal:
+    """The reduced normal equations of some detectors: track parameters are eliminated."""
+
+    matrix: np.ndarray
+    vector: np.ndarray
+    chi2: float
+    points: int
+    tracks: int
+
+
+def normal_equations(fitted: DataFrame, detectors: list[str], dofs: tuple[str, ...]) -> Normal:
+    """Sums over the tracks of the points with `use` set (all, if there is no such column), for the degrees of freedom of `detectors`.
+
+    A point's residual moves with its own detector, and with all points of its track through the straight line: by
+    the leverage h = w_i w_j (1/S + d_i d_j / Q) of a pair of points, in each axis. Pairs of a track's points (planes
+    squared) meet in one join on the track; (6 x detectors)^2 sums reach the driver.
+    """
+    k = len(dofs)
+    size = k * len(detectors)
+    at = {d: i * k for i, d in enumerate(detectors)}
+    lever = ["zx", "qx", "sx", "zy", "qy", "sy"]
+    mine = fitted.filter(F.col("detector").isin(detectors))
+    a_cols = [f"a{a}_{d}" for d in dofs for a in "xy"]
+    rhs = mine.groupBy("detector").agg(*[F.sum(F.col("wx") * F.col(f"ax_{d}") * F.col("ex") + F.col("wy") * F.col(f"ay_{d}") * F.col("ey")).alias(f"b{i}") for i, d in enumerate(dofs)])
+    left = mine.select(*BY, "detector", "z", "wx", "wy", *lever, *a_cols)
+    right = mine.select(*BY, *[F.col(c).alias("o_" + c) for c in ("detector", "z", "wx", "wy", *a_cols)])
+    pairs = left.join(right, list(BY))
+    same = (F.col("detector") == F.col("o_detector")) & (F.col("z") == F.col("o_z"))
+
+    def weight(a: str) -> Column:
+        near = (F.col("z") - F.col(f"z{a}")) * (F.col("o_z") - F.col(f"z{a}")) / F.col(f"q{a}")
+        return F.when(same, F.col(f"w{a}")).otherwise(0.0) - F.col(f"w{a}") * F.col(f"o_w{a}") * (1 / F.col(f"s{a}") + near)
+
+    pairs = pairs.withColumns({"hx": weight("x"), "hy": weight("y")})
+    cells = [F.sum(F.col("hx") * F.col(f"ax_{p}") * F.col(f"o_ax_{q}") + F.col("hy") * F.col(f"ay_{p}") * F.col(f"o_ay_{q}")).alias(f"c{i}_{j}") for i, p in enumerate(dofs) for j, q in enumerate(dofs)]
+    sums = pairs.groupBy("detector", "o_detector").agg(*cells)
+    out = Normal(np.zeros((size, size)), np.zeros(size), 0.0, 0, 0)
+    for r in sums.collect():  # one row a pair of detectors
+        i, j = at[r["detector"]], at[r["o_detector"]]
+        out.matrix[i : i + k, j : j + k] = [[r[f"c{p}_{q}"] for q in range(k)] for p in range(k)]
+    for r in rhs.collect():  # one row a detector
+        out.vector[at[r["detector"]] : at[r["detector"]] + k] = [-r[f"b{i}"] for i in range(k)]
+    per = fitted.agg(F.sum(F.col("chi2") / F.col("n")).alias("chi2"), F.count("*").alias("points"), F.sum(1 / F.col("n")).alias("tracks")).first()
+    out.chi2, out.points, out.tracks = per["chi2"] or 0.0, per["points"], round(per["tracks"] or 0)
     return out
 
 
-def levenberg_marquardt(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps: np.ndarray, rounds: int = 50, tol: float = 1e-9) -> np.ndarray:
-    """Minimises the sum of squares of f. Derivatives are central differences with the given steps."""
-    x, lam = start.astype(float), 1e-3
-    r = f(x)
-    best = float(r @ r)
-    for _ in range(rounds):
-        j = np.stack([(f(x + s) - f(x - s)) / (2 * s[i]) for i, s in enumerate(np.diag(steps))], axis=1)
-        a, g = j.T @ j, j.T @ r
-        for _ in range(12):
-            d = np.linalg.solve(a + lam * np.diag(np.maximum(np.diag(a), 1e-12)), -g)
-            new = f(x + d)
-            if float(new @ new) < best:
-                break
-            lam *= 10
-        else:
-            return x
-        gain, x, r, lam = best - float(new @ new), x + d, new, lam / 10
-        best = float(r @ r)
-        if gain <= tol * max(best, tol):
-            return x
-    return x
+def with_change(d: Detector, dofs: tuple[str, ...], values: np.ndarray) -> Detector:
+    step = dict(zip(dofs, map(float, values), strict=True))
+    move = lambda old, names: tuple(v + step.get(n, 0.0) for v, n in zip(old, names, strict=True))
+    return replace(d, position=move(d.position, DOFS[:3]), orientation=move(d.orientation, DOFS[3:]))
 
 
-PARAMETERS = ("dx", "dy", "rz")
+@dataclass
+class Aligned:
+    """The geometry after the last pass, and the corrections of each pass: (pass, detector, degree of freedom, value)."""
 
+    detectors: list[Detector]
+    steps: list[tuple[int, str, str, float]] = field(default_factory=list)
 
-def normal_equations(residuals: DataFrame, by: str = "detector") -> dict[str, tuple[np.ndarray, np.ndarray, int]]:
-    """For each detector: A, b and the number of points of the least squares for (dx, dy, rz) from residuals (rx, ry, x, y, w) in its plane.
 
-    To first order rx = dx - rz * y and ry = dy + rz * x. Ten sums a detector reach the driver.
-    """
-    w, x, y = F.col("w"), F.col("x"), F.col("y")
-    sums = residuals.groupBy(by).agg(
-        F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * y).alias("wy"), F.sum(w * (x * x + y * y)).alias("wrr"), F.sum(w * F.col("rx")).alias("bx"), F.sum(w * F.col("ry")).alias("by"),
-        F.sum(w * (x * F.col("ry") - y * F.col("rx"))).alias("br"), F.count("*").alias("n"),
-    )
-    out = {}
-    for s in sums.collect():
-        a = np.array([[s["w"], 0.0, -s["wy"]], [0.0, s["w"], s["wx"]], [-s["wy"], s["wx"], s["wrr"]]])
-        out[s[by]] = (a, np.array([s["bx"], s["by"], s["br"]]), s["n"])
+def on_all_planes(points: DataFrame, planes: int) -> DataFrame:
+    """Points of the tracks that have one in every plane."""
+    full = points.groupBy(*BY).agg(F.count_distinct("detector").alias("k")).filter(F.col("k") == planes)
+    return points.join(full.select(*BY), list(BY), "left_semi")
+
+
+def _constraints(detectors: list[Detector], dofs: tuple[str, ...]) -> np.ndarray:
+    """Rows that keep the whole from moving: no common shift in x and y, no shear of x and y along z, no common turn about z, and no
+    turn about x and y of the planes up to the fourth against the others. Shifts along z are not constrained."""
+    z = np.array([d.position[2] for d in detectors])
+    spread = (z - z.mean()) / max(z.var(), 1e-300)
+    arms = np.where(np.arange(len(z)) >= 4, 1.0, -1.0)
+    rows = []
+    for i, name in enumerate(dofs):
+        for values in {"x": (np.ones(len(z)), spread), "y": (np.ones(len(z)), spread), "rx": (arms,), "ry": (arms,), "rz": (np.ones(len(z)),)}.get(name, ()):
+            row = np.zeros((len(z), len(dofs)))
+            row[:, i] = values
+            rows.append(row.ravel())
+    return np.array(rows).reshape(len(rows), len(z) * len(dofs))
+
+
+def _solved(n: Normal, constraints: np.ndarray, done: np.ndarray, sigmas: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """The step under linear constraints on the whole change, with a prior width for each degree of freedom."""
+    a = n.matrix + np.diag(1 / sigmas**2)
+    c = n.tracks * constraints[:, free]
+    kkt = np.block([[a[np.ix_(free, free)], c.T], [c, np.zeros((len(c), len(c)))]])
+    b = np.concatenate([n.vector[free], -n.tracks * (constraints @ done)])
+    out = np.zeros(len(done))
+    out[free] = np.linalg.lstsq(kkt, b, rcond=None)[0][: int(free.sum())]
     return out
 
 
-def track_chi2(points: DataFrame, fit: Callable[[DataFrame], DataFrame], detectors: list[str], fixed: tuple[str, ...] = (), rounds: int = 5) -> dict[str, np.ndarray]:
-    """Corrections (dx, dy, rz) of each detector, one after the other, tracks refitted after each pass.
+def millepede(
+    points: DataFrame, detectors: list[Detector], dofs: tuple[str, ...] = ("x", "y", "rx", "ry", "rz"), fixed: tuple[str, ...] = (), iterations: int = 3, inner: int = 9,
+    residual_cut_init: float = 0.6, residual_cut: float = 0.1, deviations: int = 0, sigmas: dict[str, float] | None = None, convergence: float = 1e-5, constrained: bool = True,
+) -> Aligned:
+    """Corrections of all detectors at once from points (BY, detector, u, v) of the tracks that hit every plane.
 
-    points: track_id, detector, x, y, z, w. fit gives residuals (rx, ry) of corrected points against
-    their tracks. A detector's residual is the sum over its own points, so its minimum is a linear
-    solve of ten sums; a pass is one aggregation and the loop ends when corrections stop shrinking.
+    Each pass linearises at the present geometry. Inside it the equations are solved again and again with the same
+    derivatives: tracks with a residual beyond the cut (a wide one first), or a chi2 beyond the limit times a factor that falls
+    from 100 to 1 by square roots, are left out. A pass's corrections go into the geometry; passes end when they are small.
     """
-    total = {d: np.zeros(3) for d in detectors}
-    last = float("inf")
-    for _ in range(rounds):
-        equations = normal_equations(fit(moved(points, total)))
-        size = 0.0
-        for d in detectors:
-            if d in fixed or d not in equations:
-                continue
-            a, b, n = equations[d]
-            if n >= 3:
-                step = np.linalg.lstsq(a, b, rcond=None)[0]
-                total[d] = total[d] + step
-                size = max(size, float(np.abs(step).max()))
-        if size < 1e-9 or size > 10 * last:
+    done = Aligned(list(detectors))
+    planes = [d.name for d in detectors]
+    points = on_all_planes(points.filter(F.col("detector").isin(planes)), len(planes))
+    widths = np.tile([(sigmas or {}).get(k, 0.05 if k in "xyz" else 0.005) for k in dofs], len(planes))
+    free = np.repeat([p not in fixed for p in planes], len(dofs))
+    for number in range(iterations):
+        base = linearised(placed(points, done.detectors), dofs)
+        limits = _constraints(done.detectors, dofs) if constrained else np.zeros((0, len(free)))
+        total, factor = np.zeros(len(free)), 100.0
+        for k in range(inner):
+            change = {p: total[i * len(dofs) : (i + 1) * len(dofs)] for i, p in enumerate(planes)}
+            now = _fitted(_moved(base, change, dofs))
+            now = now.filter(F.col("worst") < (residual_cut_init if k == 0 else residual_cut))
+            if deviations:
+                ndof = 2 * len(planes) - 4
+                now = now.filter(F.col("chi2") <= chi2_limit(deviations, ndof) * factor)
+            n = normal_equations(now, planes, dofs)
+            if not n.points:
+                raise ValueError("no track is left")
+            step = _solved(n, limits, total, widths, free)
+            total = total + step
+            factor = math.sqrt(factor) if math.sqrt(factor) > 1.2 else 1.0
+            if k and np.abs(step).max() < 1e-10 and factor == 1.0:
+                break
+        for i, p in enumerate(planes):
+            values = total[i * len(dofs) : (i + 1) * len(dofs)]
+            done.detectors[i] = with_change(done.detectors[i], dofs, values)
+            done.steps += [(number, p, name, float(v)) for name, v in zip(dofs, values, strict=True)]
+        if np.abs(total).sum() / (6 * len(planes)) < convergence:
             break
-        last = min(last, size)
-    return total
+    return done
 
 
-def moved(points: DataFrame, corrections: dict[str, np.ndarray]) -> DataFrame:
-    """points with a detector's correction taken off: p - (dx, dy) - rz * (-y, x)."""
-    c = [F.lit(0.0)] * 3
-    for d, v in corrections.items():
-        c = [F.when(F.col("detector") == d, F.lit(float(v[k]))).otherwise(c[k]) for k in range(3)]
-    return points.withColumns({"x": F.col("x") - c[0] + c[2] * F.col("y"), "y": F.col("y") - c[1] - c[2] * F.col("x")})
+def track_chi2(
+    points: DataFrame, detectors: list[Detector], dofs: tuple[str, ...] = ("x", "y", "rx", "ry", "rz"), fixed: tuple[str, ...] = (), iterations: int = 5, evaluations: int = 20, tolerance: float = 1e-9
+) -> Aligned:
+    """Corrections of one detector after the other that minimise the summed chi2 of the tracks with a point on it, tracks refitted.
 
-
-def millepede(points: DataFrame, detectors: list[str], fixed: tuple[str, ...] = (), max_residual: float | None = None) -> dict[str, np.ndarray]:
-    """Corrections (dx, dy, rz) of all detectors at once, track parameters eliminated.
-
-    For a track with points at z and weights w, the derivative rows of its alignment parameters
-    are projected off the span of (1, z): with one weight a track, the reduced matrix of a pair of
-    its points i, j is w * (delta_ij - h_ij), h_ij = 1/n + d_i d_j / sum d^2. Pairs of a track's
-    points (planes squared) meet in a join on the track, and products are summed for each pair of
-    parameters: a matrix of (3 x detectors)^2 numbers reaches the driver. Fixed detectors, and a
-    tiny ridge for what the data leave free, pin the solution. Tracks with a point beyond
-    max_residual of their straight line are left out.
+    Levenberg-Marquardt steps on the reduced equations; a trial is one aggregation of its tracks.
     """
-    mean = points.groupBy("track_id").agg(F.avg("z").alias("zm"), F.count("*").alias("n"))
-    c = points.join(mean, "track_id").filter("n >= 3").withColumn("d", F.col("z") - F.col("zm"))
-    sdd = c.groupBy("track_id").agg(F.sum(F.col("d") * F.col("d")).alias("sdd"))
-    c = c.join(sdd, "track_id").select("track_id", "detector", "x", "y", "w", "d", "n", "sdd")
-    if max_residual is not None:
-        h0 = 1 / F.col("n") + F.col("d") * F.col("e") / F.col("sdd")
-        o = c.select("track_id", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("d").alias("e"))
-        off = c.join(o, "track_id").groupBy("track_id", "detector", "x", "y").agg(F.sum(h0 * F.col("ox")).alias("fx"), F.sum(h0 * F.col("oy")).alias("fy"))
-        bad = off.filter((F.abs(F.col("x") - F.col("fx")) > max_residual) | (F.abs(F.col("y") - F.col("fy")) > max_residual)).select("track_id").distinct()
-        c = c.join(bad, "track_id", "left_anti")
-    a, b = c.alias("a"), c.alias("b")
-    h = F.when(F.col("a.d") == F.col("b.d"), 1.0).otherwise(0.0) - 1 / F.col("a.n") - F.col("a.d") * F.col("b.d") / F.col("a.sdd")
-    g = F.col("a.w") * h
-    ax, ay, bx, by = F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")
-    sums = a.join(b, F.col("a.track_id") == F.col("b.track_id")).groupBy(F.col("a.detector").alias("i"), F.col("b.detector").alias("j")).agg(
-        F.sum(g).alias("g"), F.sum(g * by).alias("gy"), F.sum(g * bx).alias("gx"), F.sum(g * ay).alias("ay"), F.sum(g * ax).alias("ax"), F.sum(g * (ay * by + ax * bx)).alias("rr"),
-        F.sum(g * bx).alias("bx"), F.sum(g * by).alias("by"), F.sum(g * (ax * by - ay * bx)).alias("br"),
-    )
-    at = {d: 3 * k for k, d in enumerate(detectors)}
-    size = 3 * len(detectors)
-    m, v = np.zeros((size, size)), np.zeros(size)
-    for s in sums.collect():
-        if s["i"] not in at or s["j"] not in at:
-            continue
-        i, j = at[s["i"]], at[s["j"]]
-        m[i : i + 3, j : j + 3] += np.array([[s["g"], 0, -s["gy"]], [0, s["g"], s["gx"]], [-s["ay"], s["ax"], s["rr"]]])
-        v[i : i + 3] += np.array([s["bx"], s["by"], s["br"]])
-    free = [k for d, k0 in at.items() if d not in fixed for k in range(k0, k0 + 3)]
-    out = np.zeros(size)
-    sub = m[np.ix_(free, free)]
-    out[free] = np.linalg.solve(sub + 1e-12 * np.trace(sub) / max(1, len(free)) * np.eye(len(free)), v[free])
-    return {d: out[k : k + 3] for d, k in at.items()}
-
-
-def rotation_angle(pairs: DataFrame) -> float:
-    """The angle that turns points (x, y) onto (u, v), both about their means: atan2 of summed cross and dot products."""
-    s = pairs.agg(*[F.avg(c).alias(c) for c in ("x", "y", "u", "v")], F.avg(F.col("x") * F.col("v")).alias("xv"), F.avg(F.col("y") * F.col("u")).alias("yu"), F.avg(F.col("x") * F.col("u")).alias("xu"), F.avg(F.col("y") * F.col("v")).alias("yv")).first()
-    cross = (s["xv"] - s["x"] * s["v"]) - (s["yu"] - s["y"] * s["u"])
-    dot = (s["xu"] - s["x"] * s["u"]) + (s["yv"] - s["y"] * s["v"])
-    return math.atan2(cross, dot)
-
-
-def align_rotation(pairs: DataFrame, rounds: int = 12, tolerance: float = 1e-6) -> tuple[float, list[float]]:
-    """Total angle and the steps of the iterated rotation; it stops when a step grows."""
-    total, steps = 0.0, []
-    for _ in range(rounds):
-        c, s = math.cos(total), math.sin(total)
-        step = rotation_angle(pairs.withColumns({"x": c * F.col("x") - s * F.col("y"), "y": s * F.col("x") + c * F.col("y")}))
-        if steps and abs(step) > abs(steps[-1]) and abs(step) > tolerance:
+    done = Aligned(list(detectors))
+    for number in range(iterations):
+        for i, d in enumerate(detectors):
+            if d.name in fixed:
+                continue
+            seen = points.filter(F.col("detector") == d.name).select(*BY).distinct()
+            own = points.join(seen, list(BY), "left_semi")
+
+            def at(values: np.ndarray, i=i, own=own, d=d) -> Normal:
+                trial = list(done.detectors)
+                trial[i] = with_change(trial[i], dofs, values)
+                return normal_equations(_fitted(linearised(placed(own, trial), dofs)), [d.name], dofs)
+
+            x, damping, now = np.zeros(len(dofs)), 1e-3, at(np.zeros(len(dofs)))
+            for _ in range(evaluations):
+                if now.points < len(dofs):
+                    break
+                scale = np.maximum(np.diag(now.matrix), 1e-300)
+                step = np.linalg.lstsq(now.matrix + damping * np.diag(scale), now.vector, rcond=1e-12)[0]
+                new = at(x + step)
+                if new.chi2 < now.chi2:
+                    gain, x, now, damping = now.chi2 - new.chi2, x + step, new, damping / 10
+                    if gain <= tolerance * max(now.chi2, tolerance):
+                        break
+                else:
+                    damping *= 10
+                if np.abs(step).max() < 1e-10:
+                    break
+            done.detectors[i] = with_change(done.detectors[i], dofs, x)
+            done.steps += [(number, d.name, name, float(v)) for name, v in zip(dofs, x, strict=True)]
+    return done
+
+
+# ---- detectors under test
+
+
+def rotation_angle(nominal: np.ndarray, measured: np.ndarray) -> float:
+    """The angle that turns one set of points onto the other, both about their means."""
+    p, q = (nominal - nominal.mean(axis=0)).T, (measured - measured.mean(axis=0)).T
+    return math.atan2(float((p[0] * q[1] - p[1] * q[0]).sum()), float((p * q).sum()))
+
+
+@dataclass
+class Density:
+    """Matched track positions in the detector's plane, counted in bins over 1.4 times its size."""
+
+    counts: np.ndarray
+    low: tuple[float, float]
+    width: tuple[float, float]
+
+    def centroids(self, d: Detector) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For all pixels (columns x rows): entries and the centroid over the bins that touch the pixel, from running sums of the map."""
+        place = [self.low[k] + (np.arange(self.counts.shape[k]) + 0.5) * self.width[k] for k in range(2)]
+        maps = (self.counts, self.counts * place[0][:, None], self.counts * place[1][None, :])
+        pitches, centres = (d.pitch_x, d.pitch_y), pixel_centres(d)
+        edges = []
+        for k in range(2):
+            bins = [np.clip(np.trunc((centres[k] + s * pitches[k] / 2 - self.low[k]) / self.width[k]).astype(int), 0, self.counts.shape[k] - 1) for s in (-1, 1)]
+            edges.append((bins[0], bins[1] + 1))
+        (x0, x1), (y0, y1) = edges
+        out = []
+        for m in maps:
+            s = np.zeros((m.shape[0] + 1, m.shape[1] + 1))
+            s[1:, 1:] = m.cumsum(axis=0).cumsum(axis=1)
+            out.append(s[np.ix_(x1, y1)] - s[np.ix_(x0, y1)] - s[np.ix_(x1, y0)] + s[np.ix_(x0, y0)])
+        n, sx, sy = out
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return n, sx / n, sy / n
+
+
+def pixel_centres(d: Detector) -> tuple[np.ndarray, np.ndarray]:
+    """Local x of the columns and local y of the rows."""
+    px, py = d.effective_pitch()
+    return (np.arange(d.n_cols) - (d.n_cols - 1) / 2) * px, (np.arange(d.n_rows) - (d.n_rows - 1) / 2) * py
+
+
+def local_position(matched: DataFrame, d: Detector) -> DataFrame:
+    """matched (gx, gy, gz: global) with u, v in the detector's plane."""
+    r = np.array(d.rotation())
+    moved = [F.col("g" + a) - float(p) for a, p in zip("xyz", d.position, strict=True)]
+    return matched.withColumns({n: sum((moved[i] * float(r[i, k]) for i in range(3)), F.lit(0.0)) for k, n in enumerate("uv")})
+
+
+def density(matched: DataFrame, d: Detector, bin_size: tuple[float, float] = (0.01, 0.01)) -> Density:
+    """One aggregation; as many numbers as bins reach the driver."""
+    size = d.size()
+    bins = [max(1, math.floor(1.4 * s / b + 0.5)) for s, b in zip(size, bin_size, strict=True)]
+    low = (-0.7 * size[0], -0.7 * size[1])
+    width = tuple(1.4 * s / b for s, b in zip(size, bins, strict=True))
+    at = local_position(matched, d)
+    cells = at.groupBy(coords.bin_2d(F.col("u"), F.lit(low[0]), width[0]).alias("ix"), coords.bin_2d(F.col("v"), F.lit(low[1]), width[1]).alias("iy")).agg(F.count("*").alias("n"))
+    counts = np.zeros(bins)
+    for r in cells.filter(F.col("ix").between(0, bins[0] - 1) & F.col("iy").between(0, bins[1] - 1)).collect():
+        counts[r["ix"], r["iy"]] = r["n"]
+    return Density(counts, low, width)
+
+
+def trusted_pixels(found: Density, d: Detector, least: float = 50.0, deviation: float = 0.5, row: int = 0) -> np.ndarray:
+    """Pixels (columns x rows) with enough entries and a centroid near their centre; `row` > 0 keeps the last row only, < 0 the first.
+    A pixel that fails takes its whole die with it."""
+    n, cx, cy = found.centroids(d)
+    px, py = pixel_centres(d)
+    off = np.hypot(cx - px[:, None], cy - py[None, :])
+    good = (n >= least) & (off <= deviation * min(d.pitch_x, d.pitch_y))
+    if row:
+        good &= np.arange(d.n_rows)[None, :] == (d.n_rows - 1 if row > 0 else 0)
+    for pixels in d.dies.values():
+        cols, rows = np.array([(int(c), int(r)) for c, r in pixels]).T
+        if not good[cols, rows].all():
+            good[cols, rows] = False
+    return good
+
+
+def align_dut(
+    matched: DataFrame, d: Detector, translate: bool = True, rotate: bool = True, rotations: int = 12, row: int = 0, least: float = 50.0, deviation: float = 0.5, bin_size: tuple[float, float] = (0.01, 0.01)
+) -> tuple[Detector, list[float], np.ndarray]:
+    """The detector moved and turned to its matched tracks (gx, gy, gz), the steps of the rotation, and the trusted pixels.
+
+    The new place is the mean of the matched positions on trusted pixels, from 100 of them on; where one die alone is trusted, its own
+    offset is taken off. The rotation is fitted to the centroids of the trusted pixels again and again; it ends with a step
+    below a millionth, and a step that is no smaller than the one before is not taken.
+    """
+    good = trusted_pixels(density(matched, d, bin_size), d, least, deviation, row)
+    if translate:
+        px, py = d.effective_pitch()
+        near = lambda c, n, p: F.least(F.greatest(F.round(c / p + (n - 1) / 2).cast("int"), F.lit(0)), F.lit(n - 1))
+        pixels = matched.sparkSession.createDataFrame([(int(c), int(r)) for c, r in zip(*np.nonzero(good), strict=True)], "col int, row int")
+        at = local_position(matched, d).withColumns({"col": near(F.col("u"), d.n_cols, px), "row": near(F.col("v"), d.n_rows, py)})
+        mean = at.join(pixels, ["col", "row"], "left_semi").agg(F.avg("gx").alias("x"), F.avg("gy").alias("y"), F.count("*").alias("n")).first()
+        if mean["n"] >= 100:
+            origin = np.array([mean["x"], mean["y"], d.position[2]])
+            ends = good.any(axis=0)[[0, -1]]
+            if d.dies and d.n_rows >= 2 and ends[0] != ends[1]:
+                origin = origin - np.array(d.rotation())[:, 1] * pixel_centres(d)[1][0 if ends[0] else -1]
+            d = replace(d, position=(float(origin[0]), float(origin[1]), d.position[2]))
+    steps: list[float] = []
+    cols, rows = np.nonzero(good)
+    px, py = pixel_centres(d)
+    for _ in range(rotations if rotate else 0):
+        n, cx, cy = density(matched, d, bin_size).centroids(d)
+        some = n[cols, rows] >= least
+        if some.sum() < 2:
+            break
+        c, r = cols[some], rows[some]
+        step = rotation_angle(np.stack([px[c], py[r]], axis=1), np.stack([cx[c, r], cy[c, r]], axis=1))
+        if abs(step) >= 1e-6 and steps and abs(step) >= abs(steps[-1]):
             break
         steps.append(step)
-        total += step
-        if abs(step) < tolerance:
+        d = with_change(d, ("rz",), np.array([step]))
+        if abs(step) < 1e-6:
             break
-    return total, steps
+    return d, steps, good
+
+
+def corrections(spark: SparkSession, found: Aligned, before: list[Detector]) -> DataFrame:
+    """detector and the whole change of each degree of freedom."""
+    rows = [(a.name, *[float(n - o) for n, o in zip((*a.position, *a.orientation), (*b.position, *b.orientation), strict=True)]) for a, b in zip(found.detectors, before, strict=True)]
+    return spark.createDataFrame(rows, "detector string, " + ", ".join(f"{k} double" for k in DOFS))
+
+
+def graphs(spark: SparkSession, found: Aligned) -> DataFrame:
+    """detector, graph, x (the pass), y (the correction in um or degrees)."""
+    rows = [(d, ("displacement" if k in DOFS[:3] else "rotation") + k[-1].upper(), float(n), v * 1000 if k in DOFS[:3] else math.degrees(v)) for n, d, k, v in found.steps]
+    return spark.createDataFrame(rows, "detector string, graph string, x double, y double")
 
 
-def trusted_pixels(matches: DataFrame, pitch: float, min_entries: int = 50, max_deviation: float = 0.5) -> DataFrame:
-    """detector, col, row, x, y, n: mean track position of each pixel with enough entries and a centroid near its centre (cx, cy)."""
-    g = matches.groupBy("detector", "col", "row").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.count("*").alias("n"))
-    near = (F.abs(F.col("x") - F.col("cx")) <= max_deviation * pitch) & (F.abs(F.col("y") - F.col("cy")) <= max_deviation * pitch)
-    return g.filter((F.col("n") >= min_entries) & near)
+def saved(found: list[Detector], source: str, target: str) -> None:
+    geometry.write(target, source, found)

@@ -31,17 +31,18 @@ def associated(pairs: DataFrame) -> DataFrame:
 
 
 def closest(pairs: DataFrame) -> DataFrame:
-    """track_id, cluster_id of the nearest association; ties by cluster id."""
+    """event_id, track_id, cluster_id of the nearest association; ties by cluster id."""
     d = F.col("dist_x") * F.col("dist_x") + F.col("dist_y") * F.col("dist_y")
-    return associated(pairs).groupBy("track_id").agg(F.min_by("cluster_id", F.struct(d, "cluster_id")).alias("cluster_id"))
+    return associated(pairs).groupBy("event_id", "track_id").agg(F.min_by("cluster_id", F.struct(d, "cluster_id")).alias("cluster_id"))
 
 
 def counts(tracks: DataFrame, pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     """track_id, die, n, seen: associations of each track on each die and, die null, in all; seen: its event had a cluster at all."""
-    by = associated(pairs).groupBy("track_id", "track_die").agg(F.count("*").alias("n"))
+    by = associated(pairs).groupBy("event_id", "track_id", "track_die").agg(F.count("*").alias("n"))
     events = clusters.select("event_id").distinct().withColumn("seen", F.lit(True))
     base = tracks.select("event_id", "track_id", F.col("die").alias("track_die")).join(events, "event_id", "left")
-    each = base.join(by, ["track_id", "track_die"], "left").select("track_id", F.col("track_die").alias("die"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("seen", F.lit(False)).alias("seen"))
+    same = (F.col("a.event_id") == F.col("b.event_id")) & (F.col("a.track_id") == F.col("b.track_id")) & F.col("a.track_die").eqNullSafe(F.col("b.track_die"))
+    each = base.alias("a").join(by.alias("b"), same, "left").select("a.event_id", "a.track_id", "a.track_die", "seen", "n").select("track_id", F.col("track_die").alias("die"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("seen", F.lit(False)).alias("seen"))
     return each
 
 
@@ -53,6 +54,14 @@ def reasons(pairs: DataFrame) -> DataFrame:
     return j.select(F.col("track_die").alias("die"), "reason", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
-def with_all(links: DataFrame, required: list[str]) -> DataFrame:
-    """track_id of tracks with a cluster on every required detector."""
-    return links.filter(F.col("detector").isin(required)).groupBy("track_id").agg(F.count_distinct("detector").alias("k")).filter(F.col("k") == len(set(required))).select("track_id")
+def with_all(links: DataFrame, required: list[str], by: tuple[str, ...] = ("track_id",)) -> DataFrame:
+    """The tracks with a cluster on every required detector; all tracks of `links` if none is required."""
+    if not required:
+        return links.select(*by).distinct()
+    return links.filter(F.col("detector").isin(required)).groupBy(*by).agg(F.count_distinct("detector").alias("k")).filter(F.col("k") == len(set(required))).select(*by)
+
+
+def on_tracks(fit_clusters: DataFrame, associations: DataFrame, by: tuple[str, ...] = ("event_id", "track_id")) -> DataFrame:
+    """Clusters that a track was fitted to or that are associated with it, each once: what a requirement on a detector looks at."""
+    names = [*by, "detector", "cluster_id"]
+    return fit_clusters.select(*names).unionByName(associations.select(*names)).distinct()

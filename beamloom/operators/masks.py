@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PIXEL = ("detector", "col", "row")
@@ -22,7 +22,7 @@ def frequency_mask(hits: DataFrame, detectors: DataFrame, masked: DataFrame, cut
     """New masks: pixels with more than `cut` times the mean over all pixels, empty ones included."""
     n = occupancy(hits)
     total = n.groupBy("detector").agg(F.sum("n").alias("total"))
-    mean = total.join(F.broadcast(detectors), "detector").select("detector", (F.col("total") / (F.col("n_cols") * F.col("n_rows"))).alias("mean"))
+    mean = total.join(F.broadcast(detectors.select("detector", "n_cols", "n_rows")), "detector").select("detector", (F.col("total") / (F.col("n_cols") * F.col("n_rows"))).alias("mean"))
     hot = n.join(F.broadcast(mean), "detector").filter(F.col("n") > cut * F.col("mean"))
     return hot.select(*PIXEL, "n").join(masked, list(PIXEL), "left_anti")
 
@@ -30,19 +30,20 @@ def frequency_mask(hits: DataFrame, detectors: DataFrame, masked: DataFrame, cut
 def local_density(hits: DataFrame, detectors: DataFrame, bandwidth: int = 10) -> DataFrame:
     """n, mean of the neighbours in a box without the pixel itself (clipped at the edges), and significance.
 
-    Each filled pixel is added to the sums of its neighbours: (2b + 1)^2 rows a filled pixel, and
-    pixels are as many as the sensors have, however many hits there are.
+    The box is summed in one direction after the other: each filled pixel is added to the 2b + 1 rows next to it, and then
+    a frame of 2b + 1 columns runs along each row. Pixels are as many as the sensors have, however many hits there are.
     """
     n = occupancy(hits)
-    step = F.sequence(F.lit(-bandwidth), F.lit(bandwidth))
-    spread = n.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).filter("dx <> 0 OR dy <> 0")
-    sums = spread.groupBy("detector", (F.col("col") + F.col("dx")).alias("col"), (F.col("row") + F.col("dy")).alias("row")).agg(F.sum("n").alias("around"))
-    joined = n.join(sums, list(PIXEL), "left").join(F.broadcast(detectors.select("detector", "n_cols", "n_rows")), "detector")
+    near = F.sequence(F.col("row") - bandwidth, F.col("row") + bandwidth)
+    tall = n.select("detector", "col", F.explode(near).alias("row"), "n").groupBy(*PIXEL).agg(F.sum("n").alias("tall"))
+    along = Window.partitionBy("detector", "row").orderBy("col").rangeBetween(-bandwidth, bandwidth)
+    boxes = tall.withColumn("box", F.sum("tall").over(along)).drop("tall")
+    joined = n.join(boxes, list(PIXEL)).withColumn("around", F.col("box") - F.col("n")).join(F.broadcast(detectors.select("detector", "n_cols", "n_rows")), "detector")  # one row a detector
 
     def side(c: str, size: str):
         return F.least(F.col(size) - 1, F.col(c) + bandwidth) - F.greatest(F.lit(0), F.col(c) - bandwidth) + 1
 
-    mean = F.coalesce("around", F.lit(0)) / (side("col", "n_cols") * side("row", "n_rows") - 1)
+    mean = F.col("around") / (side("col", "n_cols") * side("row", "n_rows") - 1)
     return joined.select(*PIXEL, "n", mean.alias("mean"), F.when(mean > 0, (F.col("n") - mean) / F.sqrt(mean)).alias("significance"))
 
 

@@ -1,10 +1,30 @@
-"""Loss of synchronisation between a detector and the tracks: when it starts, by how many events, and its repair."""
+"""Loss of synchronisation between a detector and the tracks: when it starts, by how many events, and its repair.
+
+Ordered values run over blocks of event ids: a window inside each block, and one over a row a block, whose sums
+and minima are put together. So a detector with most rows is as many tasks as it has blocks.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Event ids of a block.
+BLOCK = 4096
+
+
+def passing(waveforms: DataFrame, cfd: float = 0.7, **bounds: tuple[float, float]) -> DataFrame:
+    """Waveforms inside inclusive bounds on snr, amplitude, noise, rise_time, integral and the start time at a fraction; a fraction
+    that was not saved is an error."""
+    start = F.get(F.filter("start_time_cfd", lambda p: F.abs(p["cfd"] - cfd) < 1e-9), F.lit(0))["t"]
+    known = F.when(F.col("start_time_cfd").isNotNull() & start.isNull(), F.raise_error(F.lit(f"no start times at fraction {cfd}"))).otherwise(start)
+    cut: Column = F.lit(True)
+    for name, (low, high) in bounds.items():
+        cut &= (known if name == "start_time" else F.col(name)).between(low, high)
+    return waveforms.filter(cut)
+
 
 def flagged(tracks: DataFrame, hits: DataFrame) -> DataFrame:
     """tracks with `passed`: the event has a hit."""
@@ -12,21 +32,41 @@ def flagged(tracks: DataFrame, hits: DataFrame) -> DataFrame:
     return tracks.join(events, "event_id", "left").withColumn("passed", F.coalesce("passed", F.lit(0)))
 
 
-def numbered(df: DataFrame, by: str, order: tuple[str, ...]) -> DataFrame:
-    """df with n, the row's number (from 1) in its detector."""
-    return df.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+def _blocked(df: DataFrame) -> DataFrame:
+    return df.withColumn("block", F.floor(F.col("event_id") / BLOCK))
+
+
+def numbered(df: DataFrame, by: str, order: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """df with n, the row's number (from 1) in its detector, ordered by event id first."""
+    rows = _blocked(df)
+    before = Window.partitionBy(by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy(by, "block").agg(F.count("*").alias("k")).select(by, "block", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy(by, "block").orderBy(*order))
+    return rows.join(bases, [by, "block"]).withColumn("n", F.col("base") + inside).drop("base", "block")
+
+
+def baseline_rows(rows: int) -> int:
+    """How many first rows give the baseline: a fifth of them, 5000 at most."""
+    return min(5000, max(rows // 5, 1))
 
 
 def cusum(df: DataFrame, by: str, baseline_rows: int, slack: float) -> DataFrame:
     """numbered rows with c, the one-sided cumulative sum of (baseline - passed - slack), not below 0.
 
-    In closed form: with the running sum s and its running minimum, c = s - min(0, min s).
+    In closed form: with the running sum s and its running minimum, c = s - min(0, min s). Both are put together from the
+    blocks before a row and the rows of its own block.
     """
     base = df.filter(F.col("n") <= baseline_rows).groupBy(by).agg(F.avg("passed").alias("baseline"))
-    step = F.col("baseline") - F.col("passed") - slack
-    order = Window.partitionBy(by).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    run = df.join(F.broadcast(base), by).withColumn("total", F.sum(step).over(order))
-    return run.withColumn("c", F.col("total") - F.least(F.lit(0.0), F.min("total").over(order))).drop("total")
+    rows = _blocked(df).join(base, by).withColumn("step", F.col("baseline") - F.col("passed") - slack)
+    inside = Window.partitionBy(by, "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("own", F.sum("step").over(inside)).withColumn("low", F.min("own").over(inside))
+    blocks = rows.groupBy(by, "block").agg(F.sum("step").alias("t"), F.min("own").alias("m"))
+    earlier = Window.partitionBy(by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("s", F.coalesce(F.sum("t").over(earlier), F.lit(0.0)))
+    blocks = blocks.withColumn("least", F.coalesce(F.min(F.col("s") + F.col("m")).over(earlier), F.lit(0.0))).select(by, "block", "s", "least")
+    run = rows.join(blocks, [by, "block"])
+    floor = F.least(F.lit(0.0), F.col("least"), F.col("s") + F.col("low"))
+    return run.withColumn("c", F.col("s") + F.col("own") - floor).drop("block", "step", "own", "low", "s", "least")
 
 
 def onsets(run: DataFrame, by: str, threshold: float) -> DataFrame:
@@ -45,7 +85,7 @@ def shift_scan(tracks: DataFrame, hits: DataFrame, band: int, window: int) -> Da
     Tracks are numbered by event in blocks: a total for each block of events gives each block's first number, so no window
     has all rows.
     """
-    per = tracks.groupBy("event_id").agg(F.count("*").alias("k")).withColumn("b", F.floor(F.col("event_id") / 4096))
+    per = _blocked(tracks.groupBy("event_id").agg(F.count("*").alias("k"))).withColumnRenamed("block", "b")
     totals = per.groupBy("b").agg(F.sum("k").alias("t"))
     before = totals.select("b", F.coalesce(F.sum("t").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("t0"))
     at = Window.partitionBy("b").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -55,24 +95,64 @@ def shift_scan(tracks: DataFrame, hits: DataFrame, band: int, window: int) -> Da
     return shifted.join(hits.select(F.col("event_id").alias("at")).distinct(), "at", "left_semi").groupBy("block", "shift").agg(F.count("*").alias("n"))
 
 
-def walk_shifts(scan: DataFrame, start: int = 0, band: int = 3) -> list[tuple[int, int]]:
+def walk_shifts(scan: DataFrame, start: int = 0, band: int = 3) -> Iterator[tuple[int, int]]:
     """(block, best shift) with a band that is centred anew on each block's best; the first of equal shifts wins.
-    One small row a block and shift comes to the driver, as each step depends on the one before."""
-    by: dict[int, dict[int, int]] = {}
-    for r in scan.collect():
-        by.setdefault(r["block"], {})[r["shift"]] = r["n"]
-    out, centre = [], start
-    for block in sorted(by):
-        near = [(by[block].get(s, 0), -s) for s in range(centre - band, centre + band + 1)]
+
+    Each step depends on the one before, so blocks come to the driver one after the other (one row a block, its counts
+    in a map); none but the present one is held.
+    """
+    rows = scan.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("shift", "n"))).alias("counts")).orderBy("block")
+    centre = start
+    for r in rows.toLocalIterator():
+        near = [(r["counts"].get(s, 0), -s) for s in range(centre - band, centre + band + 1)]
         centre = -max(near)[1]
-        out.append((block, centre))
-    return out
+        yield r["block"], centre
+
 
+def segments(spark: SparkSession, tracks: DataFrame, walked: Iterator[tuple[int, int]], window: int, onset: int) -> DataFrame:
+    """first, last, shift: the event ranges of runs of blocks with one shift that is not 0, from the onset on. The range of a block
+    is that of its tracks."""
+    runs: list[list[int]] = []
+    for block, shift in walked:
+        if runs and runs[-1][2] == shift and runs[-1][1] == block - 1:
+            runs[-1][1] = block
+        else:
+            runs.append([block, block, shift])
+    rows = numbered(tracks.select("event_id").withColumn("__all", F.lit(0)), "__all").withColumn("block", F.floor((F.col("n") - 1) / window))
+    ranges = rows.groupBy("block").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    table = spark.createDataFrame([tuple(r) for r in runs if r[2]], "a long, b long, shift long")
+    spans = table.select("a", "b", "shift", F.explode(F.sequence("a", "b")).alias("block")).join(ranges, "block").groupBy("a", "b", "shift").agg(F.min("lo").alias("lo"), F.max("hi").alias("last"))
+    return spans.select(F.greatest("lo", F.lit(onset)).alias("first"), "last", "shift").filter("first <= last")
 
-def apply_shifts(df: DataFrame, segments: DataFrame) -> DataFrame:
-    """event_id minus the shift of the segment [first, last] it falls into; a negative result is an error. Segments are disjoint and few."""
-    s = F.broadcast(segments.select(F.col("first").alias("__a"), F.col("last").alias("__b"), F.col("shift").alias("__s")))
-    moved = df.join(s, F.col("event_id").between(F.col("__a"), F.col("__b")), "left")
+
+def apply_shifts(df: DataFrame, segments: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """event_id minus the shift of the segment [first, last] it falls into; a negative result is an error. Segments are disjoint.
+
+    Rows and segments meet on blocks of event ids, so a run of many segments is no product of rows and segments.
+    """
+    s = segments.select(F.col("first").alias("__a"), F.col("last").alias("__b"), F.col("shift").alias("__s"))
+    s = s.withColumn("__block", F.explode(F.sequence(F.floor(F.col("__a") / block), F.floor(F.col("__b") / block))))
+    inside = F.col("event_id").between(F.col("__a"), F.col("__b"))
+    moved = df.withColumn("__at", F.floor(F.col("event_id") / block)).join(s, (F.col("__at") == F.col("__block")) & inside, "left")
     new = F.col("event_id") - F.coalesce("__s", F.lit(0))
     checked = F.when(new < 0, F.raise_error(F.lit("a shifted event id is negative"))).otherwise(new)
-    return moved.withColumn("event_id", checked.cast("long")).drop("__a", "__b", "__s")
+    return moved.withColumn("event_id", checked.cast("long")).drop("__a", "__b", "__s", "__at", "__block")
+
+
+def write_shifted(waveforms: DataFrame, segments: DataFrame, detectors: list[str], source: str, target: str, in_place: bool = False) -> None:
+    """waveforms (by detector) with the shifts applied to some detectors, written beside the target and renamed onto it at the end, so
+    that a failure leaves what was there. A target that is the source needs `in_place`; no segments are an error."""
+    spark = waveforms.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.makeQualified(path(source)).equals(fs.makeQualified(path(target))) and not in_place:
+        raise ValueError("the target is the source; say in_place")
+    if segments.isEmpty():
+        raise ValueError("no segments to apply")
+    hit = F.col("detector").isin(detectors)
+    done = apply_shifts(waveforms.filter(hit), segments).unionByName(waveforms.filter(~hit))
+    partial = f"{target}.partial"
+    done.write.mode("overwrite").partitionBy("detector").parquet(partial)
+    fs.delete(path(target), True)
+    if not fs.rename(path(partial), path(target)):
+        raise OSError(f"could not move {partial} to {target}")

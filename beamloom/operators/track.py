@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beamloom.functions import coords
+
 
 def seeds(clusters: DataFrame, min_span: int = 5, time_cut: float = 690_000.0) -> DataFrame:
     """event_id, a and b (first and last cluster: id, plane, x, y, z, ts, w): a span counts all planes between the outermost ones."""
@@ -37,44 +39,46 @@ def line(s: str = "") -> dict[str, Column]:
 
 
 def fit(points: DataFrame, by: tuple[str, ...] = ("track_id",)) -> DataFrame:
-    """by, mx, cx, my, cy, chi2, ndof, n from points (x, y, z, w) of untilted planes: sums only, no Python.
+    """by, mx, cx, my, cy, chi2, ndof, n from points (x, y, z, w) of untilted planes, without Python.
 
-    z is taken relative to the track's mean, so that sums do not cancel; two points are met exactly.
+    One shuffle: a track's points are a few, and meet in one array, in which z is taken relative to their mean, so
+    that sums do not cancel; two points are met exactly.
     """
-    mean = points.groupBy(*by).agg((F.sum(F.col("w") * F.col("z")) / F.sum("w")).alias("zm"))
-    c = points.join(mean, list(by)).withColumn("d", F.col("z") - F.col("zm"))
-    total = lambda e: F.sum(F.col("w") * e)
-    s = c.groupBy(*by).agg(
-        F.count("*").alias("n"), F.first("zm").alias("zm"), F.sum("w").alias("sw"), total(F.col("d") * F.col("d")).alias("sdd"), total(F.col("x")).alias("sx"), total(F.col("x") * F.col("d")).alias("sxd"),
-        total(F.col("y")).alias("sy"), total(F.col("y") * F.col("d")).alias("syd"),
-    ).filter((F.col("n") >= 2) & (F.abs(F.col("sw") * F.col("sdd")) >= 1e-12))
-    mx, my = F.col("sxd") / F.col("sdd"), F.col("syd") / F.col("sdd")
-    lines = s.select(*by, "n", mx.alias("mx"), (F.col("sx") / F.col("sw") - mx * F.col("zm")).alias("cx"), my.alias("my"), (F.col("sy") / F.col("sw") - my * F.col("zm")).alias("cy"))
-    rx, ry = F.col("x") - F.col("cx") - F.col("mx") * F.col("z"), F.col("y") - F.col("cy") - F.col("my") * F.col("z")
-    chi = points.join(lines, list(by)).groupBy(*by).agg(F.sum(F.col("w") * (rx * rx + ry * ry)).alias("chi2"))
-    chi2 = F.when(F.col("n") == 2, 0.0).otherwise(F.col("chi2"))
-    return lines.join(chi, list(by)).select(*by, "mx", "cx", "my", "cy", chi2.alias("chi2"), (2 * F.col("n") - 4).cast("int").alias("ndof"), "n")
+    h = points.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("z", "x", "y", "w"))).alias("h")).withColumn("n", F.size("h").cast("long")).filter("n >= 2")
+    total = lambda e: F.aggregate("h", F.lit(0.0), lambda s, p: s + e(p))
+    s = h.withColumns({"sw": total(lambda p: p["w"]), "sx": total(lambda p: p["w"] * p["x"]), "sy": total(lambda p: p["w"] * p["y"]), "zm": total(lambda p: p["w"] * p["z"])})
+    s = s.withColumn("zm", F.try_divide(F.col("zm"), F.col("sw")))
+    d = lambda p: p["z"] - F.col("zm")
+    s = s.withColumns({"sdd": total(lambda p: p["w"] * d(p) * d(p)), "sxd": total(lambda p: p["w"] * p["x"] * d(p)), "syd": total(lambda p: p["w"] * p["y"] * d(p))})
+    s = s.filter(F.abs(F.col("sw") * F.col("sdd")) >= 1e-12)
+    s = s.withColumns({f"m{a}": F.try_divide(F.col(f"s{a}d"), F.col("sdd")) for a in "xy"})
+    s = s.withColumns({f"c{a}": F.try_divide(F.col(f"s{a}"), F.col("sw")) - F.col(f"m{a}") * F.col("zm") for a in "xy"})
+    miss = lambda p, a: p[a] - F.col(f"c{a}") - F.col(f"m{a}") * p["z"]
+    chi2 = total(lambda p: p["w"] * (miss(p, "x") * miss(p, "x") + miss(p, "y") * miss(p, "y")))
+    return s.select(*by, "mx", "cx", "my", "cy", F.when(F.col("n") == 2, 0.0).otherwise(chi2).alias("chi2"), (2 * F.col("n") - 4).cast("int").alias("ndof"), "n")
 
 
 def chi2_ndof(chi2: Column, ndof: Column) -> Column:
     return F.when(ndof > 0, chi2 / ndof).otherwise(-1.0)
 
 
-def fit_tilted(points: DataFrame, by: str = "track_id") -> DataFrame:
+def fit_tilted(points: DataFrame, by: tuple[str, ...] = ("track_id",)) -> DataFrame:
     """The coupled fit for tilted planes: residuals in each plane's local frame.
 
     points: by, u, v (local hit), wu, wv, and the plane (px, py, pz, r00..r22), one row a hit. A
     track's hits are a few; they are fitted where they lie after one shuffle on the track.
     """
     names = ["u", "v", "wu", "wv", "px", "py", "pz", *[f"r{i}{j}" for i in range(3) for j in range(3)]]
-    packed = points.groupBy(by).agg(F.collect_list(F.array(*[F.col(n).cast("double") for n in names])).alias("hits"))
+    packed = points.groupBy(*by).agg(F.collect_list(F.array(*[F.col(n).cast("double") for n in names])).alias("hits"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = [(k, *solve_tilted(np.array([list(h) for h in hits]))) for k, hits in zip(f[by], f["hits"], strict=True)]
-            yield pd.DataFrame(out, columns=[by, "mx", "cx", "my", "cy", "chi2", "ndof"])
+            out = [solve_tilted(np.array([list(h) for h in hits])) for hits in f["hits"]]
+            fitted = pd.DataFrame(out, columns=["mx", "cx", "my", "cy", "chi2", "ndof"]).astype({"ndof": "Int32"})
+            yield pd.concat([f[list(by)].reset_index(drop=True), fitted], axis=1)
 
-    return packed.mapInPandas(run, f"{by} {points.schema[by].dataType.simpleString()}, mx double, cx double, my double, cy double, chi2 double, ndof int")
+    keys = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in by)
+    return packed.mapInPandas(run, f"{keys}, mx double, cx double, my double, cy double, chi2 double, ndof int")
 
 
 def solve_tilted(h: np.ndarray) -> tuple:
@@ -154,6 +158,11 @@ def follow(clusters: DataFrame, planes: list[tuple[int, float]], cut_x: float, c
     return out.filter((F.col("n") >= min_hits) & F.col("mx").isNotNull())
 
 
+def track_number(members: Column) -> Column:
+    """A 64-bit number of a set of clusters; with the event it names a track."""
+    return F.xxhash64(F.sort_array(members))
+
+
 def dedup(tracks: DataFrame) -> DataFrame:
     """Of tracks that share clusters in an event, those first by (more clusters, smaller chi2/ndof, id) stay.
 
@@ -166,8 +175,8 @@ def dedup(tracks: DataFrame) -> DataFrame:
     step = lambda acc, x: F.when(F.arrays_overlap(acc["used"], m(x)), acc).otherwise(
         F.struct(F.concat(acc["used"], m(x)).alias("used"), F.concat(acc["kept"], F.array(x["id"].cast("bigint"))).alias("kept"))
     )
-    kept = grouped.select(F.explode(F.aggregate("ts", zero, step)["kept"]).alias("track_id"))
-    return tracks.join(kept, "track_id", "left_semi")
+    kept = grouped.select("event_id", F.explode(F.aggregate("ts", zero, step)["kept"]).alias("track_id"))
+    return tracks.join(kept, ["event_id", "track_id"], "left_semi")
 
 
 def close_tracks(positions: DataFrame, cut: float) -> DataFrame:
@@ -178,8 +187,49 @@ def close_tracks(positions: DataFrame, cut: float) -> DataFrame:
     return near.select(F.explode(F.array("a.track_id", "b.track_id")).alias("track_id")).distinct()
 
 
-def residuals(points: DataFrame, tracks: DataFrame) -> DataFrame:
+def residuals(points: DataFrame, tracks: DataFrame, by: tuple[str, ...] = ("track_id",)) -> DataFrame:
     """points with rx, ry and pulls against their track."""
-    j = points.join(tracks.select("track_id", "mx", "cx", "my", "cy"), "track_id")
+    j = points.join(tracks.select(*by, "mx", "cx", "my", "cy"), list(by))
     rx, ry = F.col("x") - F.col("cx") - F.col("mx") * F.col("z"), F.col("y") - F.col("cy") - F.col("my") * F.col("z")
     return j.withColumns({"rx": rx, "ry": ry, "pull_x": rx * F.sqrt("w"), "pull_y": ry * F.sqrt("w")})
+
+
+def residuals_on(points: DataFrame, tracks: DataFrame, detectors: DataFrame, by: tuple[str, ...] = ("event_id", "track_id")) -> DataFrame:
+    """points (by, detector, x, y, z: global) with residuals against where their track meets the detector's plane: res_<axis>_global,
+    res_x_local and res_y_local without the detector's rotation, and both pairs of pulls by its resolution."""
+    d = F.broadcast(detectors.select("detector", "px", "py", "pz", "tilt", "res_x", "res_y", *[f"r{i}{j}" for i in range(3) for j in range(3)]))  # one row a detector
+    j = points.join(d, "detector").join(tracks.select(*by, "mx", "cx", "my", "cy"), list(by))
+    ix, iy, iz = coords.intercept(F.col("mx"), F.col("cx"), F.col("my"), F.col("cy"))
+    j = j.withColumns({"ix": ix, "iy": iy, "iz": iz})
+    hit, met = coords.to_local(F.col("x"), F.col("y"), F.col("z")), coords.to_local(F.col("ix"), F.col("iy"), F.col("iz"))
+    out = {f"res_{a}_global": F.col(a) - F.col(f"i{a}") for a in "xyz"} | {f"res_{a}_local": hit[k] - met[k] for k, a in enumerate("xy")}
+    j = j.withColumns(out)
+    pulls = {f"pull_{a}_{f}": F.col(f"res_{a}_{f}") / F.col(f"res_{a}") for a in "xy" for f in ("local", "global")}
+    return j.withColumns(pulls).drop("px", "py", "pz", "tilt", "res_x", "res_y", *[f"r{i}{j}" for i in range(3) for j in range(3)])
+
+
+def angles(tracks: DataFrame) -> DataFrame:
+    return tracks.withColumns({"angle_x": coords.slope_angle(F.col("mx")), "angle_y": coords.slope_angle(F.col("my"))})
+
+
+def per_event(tracks: DataFrame, clusters: DataFrame) -> DataFrame:
+    """event_id, tracks: events with a cluster but no track have 0."""
+    events = clusters.select("event_id").distinct()
+    n = tracks.groupBy("event_id").agg(F.count("*").alias("tracks"))
+    return events.join(n, "event_id", "left").select("event_id", F.coalesce("tracks", F.lit(0)).cast("long").alias("tracks"))
+
+
+def event_times(tracks: DataFrame) -> DataFrame:
+    """event_id, ts: the earliest time of the event's tracks."""
+    return tracks.groupBy("event_id").agg(F.min("ts").alias("ts"))
+
+
+def first_tracks(tracks: DataFrame, target: int) -> DataFrame:
+    """The tracks of the first events, up to the whole event that reaches a target. Events are numbered in blocks of ids, so
+    no ordered window has more than one row a block or a block's events."""
+    per = tracks.groupBy("event_id").agg(F.count("*").alias("k")).withColumn("b", F.floor(F.col("event_id") / 4096))
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    bases = per.groupBy("b").agg(F.sum("k").alias("t")).select("b", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base")).filter(F.col("base") < target)
+    inside = Window.partitionBy("b").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    events = per.join(bases, "b").withColumn("so_far", F.col("base") + F.coalesce(F.sum("k").over(inside), F.lit(0))).filter(F.col("so_far") < target)
+    return tracks.join(events.select("event_id"), "event_id", "left_semi")

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from beamloom.functions import coords, hist
-from beamloom.operators import align, assoc, cluster, correlate, efficiency, masks, sync, timing, track, waveform
+from beamloom.functions import coords, hist, units
+from beamloom.operators import align, assoc, cluster, correlate, efficiency, masks, plots, sync, timing, track, waveform
+from beamloom.plans import plots as plot_sets
 from beamloom.sources import adapters, daq, geometry
 from beamloom.sources import hits as hit_sources
 from beamloom.streaming import building
@@ -85,9 +86,9 @@ def mask_local_density(spark, sf_dir):
 
 
 @query(f"""WITH {HITS}, {MASKED_SQL} SELECT 'P' || p AS detector, c::INT AS col, r::INT AS row FROM range(0, 7) a(p), range(0, 24) b(c), range(0, 24) d(r)
-EXCEPT SELECT detector, col, row FROM hits WHERE event_id < 3000 EXCEPT SELECT detector, col, row FROM masked""")
+EXCEPT SELECT detector, col, row FROM hits EXCEPT SELECT detector, col, row FROM masked""")
 def mask_dead_pixels(spark, sf_dir):
-    return masks.dead_pixels(adapters.hits(spark, sf_dir).filter("event_id < 3000"), _detectors(spark), _masked(spark))
+    return masks.dead_pixels(adapters.hits(spark, sf_dir), _detectors(spark), _masked(spark))
 
 
 @query(f"""WITH {HITS}, {MASKED_SQL}, o AS (SELECT detector, col, row FROM hits GROUP BY ALL HAVING count(*) > 25) SELECT detector, col, row FROM masked UNION SELECT detector, col, row FROM o""")
@@ -332,37 +333,77 @@ def _pulses(spark, sf_dir) -> DataFrame:
     return waveform.process(adapters.waveforms(spark, sf_dir), cfds=(0.5, 0.7), keep=("event_id", "channel", "col"))
 
 
-@query()
+WAVE_SQL = """w AS (SELECT vec_id AS event_id, (vec_id % 18)::INT AS channel, (label % 4)::INT AS col, embedding::DOUBLE[] AS s FROM embeddings),
+p AS (SELECT *, list_position(s, list_max(s)) - 1 AS peak FROM w WHERE len(s) >= 2),
+a AS (SELECT *, list_median(s[1:peak]) AS med FROM p WHERE peak >= 1),
+b AS (SELECT *, med + list_median(list_transform(s[1:peak], lambda x: abs(x - med))) * 1.4826 AS thr FROM a),
+c AS (SELECT *, list_max(list_filter(range(0, peak), lambda k: s[k + 1] < thr)) AS start FROM b),
+d AS (SELECT *, s[1:start - 1] AS base FROM c WHERE start IS NOT NULL AND start - 1 > 0),
+e AS (SELECT *, list_sum(base) / len(base) AS baseline FROM d),
+f0 AS (SELECT *, sqrt(list_sum(list_transform(base, lambda x: (x - baseline) * (x - baseline))) / len(base)) AS noise, greatest(0, list_max(s) - baseline) AS amplitude FROM e),
+f AS (SELECT *, amplitude / noise AS snr, baseline + 0.99 * amplitude AS ceil, least(peak, len(s) - 2) AS j0 FROM f0 WHERE noise > 0),
+lv AS (SELECT *, unnest([{'n': 't9', 'l': baseline + 0.9 * amplitude}, {'n': 't1', 'l': baseline + 0.1 * amplitude}, {'n': 'half', 'l': baseline + 0.5 * amplitude}, {'n': 't7', 'l': baseline + 0.7 * amplitude}, {'n': 'quiet', 'l': baseline + noise}]) AS q FROM f),
+r1 AS (SELECT *, list_max(list_filter(range(1, j0 + 1), lambda k: s[k + 1] <= ceil AND s[k + 1] < q.l)) AS lo, list_max(list_filter(range(1, j0 + 1), lambda k: s[k + 1] <= ceil)) + 1 AS brink FROM lv),
+r2 AS (SELECT *, list_sort(list_transform(list_filter(range(lo + 1, j0 + 1), lambda k: s[k + 1] <= ceil), lambda k: {'v': s[k + 1], 'k': k}))[1].k AS near FROM r1),
+r3 AS (SELECT *, coalesce(near, CASE WHEN brink <= j0 THEN brink END, lo) AS hi FROM r2),
+rise AS (SELECT event_id, q.n AS n, CASE WHEN lo IS NULL THEN 0 ELSE lo * 0.2 + CASE WHEN s[hi + 1] > s[lo + 1] THEN least(1, (q.l - s[lo + 1]) / (s[hi + 1] - s[lo + 1])) ELSE 0 END * (hi - lo) * 0.2 END AS t FROM r3),
+g1 AS (SELECT *, list_min(list_filter(range(peak, len(s)), lambda k: s[k + 1] <= ceil AND s[k + 1] < q.l)) AS lo, list_min(list_filter(range(peak, len(s)), lambda k: s[k + 1] <= ceil)) - 1 AS brink FROM lv),
+g2 AS (SELECT *, list_sort(list_transform(list_filter(range(peak, lo), lambda k: s[k + 1] <= ceil), lambda k: {'v': s[k + 1], 'k': k}))[1].k AS near FROM g1),
+g3 AS (SELECT *, coalesce(near, CASE WHEN brink >= peak THEN brink END, lo) AS hi FROM g2),
+fall AS (SELECT event_id, q.n AS n, CASE WHEN lo IS NULL THEN 0 ELSE lo * 0.2 + CASE WHEN s[hi + 1] > s[lo + 1] THEN least(1, (q.l - s[lo + 1]) / (s[hi + 1] - s[lo + 1])) ELSE 0 END * (hi - lo) * 0.2 END AS t FROM g3),
+i1 AS (SELECT *, list_max(list_filter(range(1, peak + 1), lambda k: s[k + 1] < baseline + noise / 2)) AS first FROM f),
+i2 AS (SELECT *, trunc((2.8::DOUBLE + first * 0.2::DOUBLE) / 0.2::DOUBLE)::BIGINT - 1 AS last, len(list_filter(range(first, peak + 1), lambda k: s[k + 1] > ceil)) AS tops FROM i1),
+i3 AS (SELECT event_id, CASE WHEN first IS NOT NULL AND tops > 0 AND last > first AND last < len(s)
+  THEN 0.5 * abs(list_sum(list_transform(range(first, last), lambda k: (s[k + 1] + s[k + 2]) * 0.2)) - (s[first + 1] + s[last + 1]) * (last - first) * 0.2) ELSE 0 END AS integral FROM i2),
+x AS (SELECT f.*, integral, r.t9 - r.t1 AS rise_time, r.half AS t5, r.t7 AS t7, greatest(0, l.half - r.half) AS tot, greatest(0, l.quiet - r.quiet) AS ton FROM f JOIN i3 USING (event_id)
+  JOIN (SELECT event_id, max(CASE WHEN n = 't9' THEN t END) AS t9, max(CASE WHEN n = 't1' THEN t END) AS t1, max(CASE WHEN n = 'half' THEN t END) AS half, max(CASE WHEN n = 't7' THEN t END) AS t7, max(CASE WHEN n = 'quiet' THEN t END) AS quiet FROM rise GROUP BY event_id) r USING (event_id)
+  JOIN (SELECT event_id, max(CASE WHEN n = 'half' THEN t END) AS half, max(CASE WHEN n = 'quiet' THEN t END) AS quiet FROM fall GROUP BY event_id) l USING (event_id))"""
+
+
+@query(f"WITH {WAVE_SQL} SELECT event_id, 0.5::DOUBLE AS cfd, round(t5, 6) + 0.0 AS t FROM x UNION ALL SELECT event_id, 0.7::DOUBLE, round(t7, 6) + 0.0 FROM x")
 def wf_cfd_times(spark, sf_dir):
     return _pulses(spark, sf_dir).filter("peak IS NOT NULL").select("event_id", F.explode("start_time_cfd").alias("p")).select("event_id", "p.cfd", r6("p.t").alias("t"))
 
 
-@query()
+@query(f"WITH {WAVE_SQL} SELECT event_id, round(tot, 6) + 0.0 AS time_over_threshold, round(ton, 6) + 0.0 AS time_over_noise, round(rise_time, 6) + 0.0 AS rise_time FROM x")
 def wf_tot_ton(spark, sf_dir):
     return _rounded(_pulses(spark, sf_dir).filter("peak IS NOT NULL").select("event_id", "time_over_threshold", "time_over_noise", "rise_time"))
 
 
-@query()
+@query(f"WITH {WAVE_SQL} SELECT event_id, round(integral, 6) + 0.0 AS integral FROM x")
 def wf_integral(spark, sf_dir):
     return _rounded(_pulses(spark, sf_dir).filter("peak IS NOT NULL").select("event_id", "integral"))
 
 
-@query()
+@query(f"WITH {WAVE_SQL} SELECT event_id, round(snr, 6) + 0.0 AS snr, round(integral, 6) + 0.0 AS integral FROM x WHERE abs(snr) > 2 AND abs(snr) < 100 AND t5 > 0 AND rise_time > 0 AND integral > 0")
 def wf_valid(spark, sf_dir):
     return _rounded(waveform.valid(_pulses(spark, sf_dir), snr=(2.0, 100.0)).select("event_id", "snr", "integral"))
 
 
-@query()
+@query(f"WITH {WAVE_SQL} SELECT event_id, round(snr, 6) + 0.0 AS snr, round(amplitude, 6) + 0.0 AS amplitude FROM x WHERE snr BETWEEN 1 AND 5 AND amplitude BETWEEN 0.1 AND 0.4 AND t5 BETWEEN 1 AND 12")
 def wf_select(spark, sf_dir):
     return _rounded(waveform.select(_pulses(spark, sf_dir), snr=(1.0, 5.0), amplitude=(0.1, 0.4), start_time=(1.0, 12.0)).select("event_id", "snr", "amplitude"))
 
 
-@query()
+@query(f"WITH {WAVE_SQL} SELECT event_id, channel, col AS pixel, round(integral, 6) + 0.0 AS charge, round(event_id + t5, 6) + 0.0 AS ts FROM x")
 def wf_to_pixels(spark, sf_dir):
     p = _pulses(spark, sf_dir).filter("peak IS NOT NULL").withColumn("ts", F.col("event_id").cast("double"))
     return _rounded(waveform.to_pixels(p, 0.5).select("event_id", "channel", coords.linear_channel(F.col("col"), F.lit(0), F.lit(4)).alias("pixel"), "charge", "ts"))
 
 
+@query("WITH q AS (SELECT vec_id AS event_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT event_id, i::INT AS i, round(((round(v * 4096 + 2048) - 2048) / 4096 + 0.125) * -1, 6) + 0.0 AS volts FROM q")
+def wf_calibrated(spark, sf_dir):
+    """Codes of the traces, calibrated with an offset and turned."""
+    codes = F.transform("samples", lambda v: F.round(v * 4096.0 + 2048.0))
+    w = adapters.waveforms(spark, sf_dir).select("event_id", waveform.calibrated(codes, F.lit(0.125), -1).alias("v"))
+    return _rounded(w.select("event_id", F.posexplode("v").alias("i", "volts")).withColumn("i", F.col("i") + 1))
+
+
+@query(f"WITH {WAVE_SQL} SELECT event_id, round(snr, 6) + 0.0 AS snr FROM x WHERE snr BETWEEN 1 AND 5 AND t7 BETWEEN 1 AND 12 AND rise_time BETWEEN 0 AND 2")
+def sync_passing(spark, sf_dir):
+    return _rounded(sync.passing(_pulses(spark, sf_dir).filter("peak IS NOT NULL"), 0.7, snr=(1.0, 5.0), start_time=(1.0, 12.0), rise_time=(0.0, 2.0)).select("event_id", "snr"))
+
+
 # ---- tracks: the first pixel of each of planes 0 to 5 is a track's point; plane 6 is the detector under test
 
 POINTS_SQL = f"""{HITS}, pt AS (SELECT event_id, plane, detector, min(col * 100 + row) // 100 AS x, min(col * 100 + row) % 100 AS y, plane * 100.0 AS z, min(ts) AS ts FROM hits WHERE plane < 6 GROUP BY ALL),
@@ -430,10 +471,23 @@ def track_follow(spark, sf_dir):
     return t.select("event_id", F.col("a.cluster_id").alias("first_id"), F.col("b.cluster_id").alias("last_id"), "n", r6("mx").alias("mx"), r6("my").alias("my"))
 
 
-@query()
+def _dedup_sql() -> str:
+    members = _follow_sql().replace("SELECT p.event_id, a, b, p.cluster_id AS ca, q.cluster_id AS cb, 2 AS n", "SELECT p.event_id, a, b, p.cluster_id AS ca, q.cluster_id AS cb, [p.cluster_id, q.cluster_id] AS mem, 2 AS n")
+    members = members.replace("SELECT t.ca, t.cb, c.x, c.y, row_number()", "SELECT t.ca, t.cb, c.cluster_id AS hit, c.x, c.y, row_number()").replace(
+        "SELECT event_id, a, b, t.ca, t.cb, n + CASE", "SELECT event_id, a, b, t.ca, t.cb, CASE WHEN x IS NULL THEN mem ELSE list_append(mem, hit) END AS mem, n + CASE"
+    )
+    return members + """,
+tk AS (SELECT event_id, event_id * 100000000 + (ca - event_id * 10000) * 10000 + (cb - event_id * 10000) AS track_id, mem, n, round(abs((n * sxz - sz * sx) / (n * szz - sz * sz)) + abs((n * syz - sz * sy) / (n * szz - sz * sz)), 9) AS c FROM t5 WHERE n >= 3),
+od AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, c, track_id) AS k FROM tk),
+go(event_id, k, used, kept, track_id, n) AS (SELECT event_id, k, mem, true, track_id, n FROM od WHERE k = 1
+  UNION ALL SELECT o.event_id, o.k, CASE WHEN list_has_any(g.used, o.mem) THEN g.used ELSE list_concat(g.used, o.mem) END, NOT list_has_any(g.used, o.mem), o.track_id, o.n FROM go g JOIN od o ON o.event_id = g.event_id AND o.k = g.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {_dedup_sql()} SELECT event_id, track_id, n::INT AS n FROM go WHERE kept")
 def track_dedup(spark, sf_dir):
     t = track.follow(_pixel_clusters(spark, sf_dir), [(k, 100.0 * k) for k in range(1, 6)], 6.0, 6.0, min_hits=3)
-    t = t.withColumns({"track_id": F.xxhash64("members"), "chi2ndof": F.round(F.abs("mx") + F.abs("my"), 9)})
+    number = F.col("event_id") * 100000000 + (F.col("a.cluster_id") - F.col("event_id") * 10000) * 10000 + (F.col("b.cluster_id") - F.col("event_id") * 10000)
+    t = t.withColumns({"track_id": number, "chi2ndof": F.round(F.abs("mx") + F.abs("my"), 9)})
     return track.dedup(t).select("event_id", "track_id", "n")
 
 
@@ -477,7 +531,7 @@ def dut_assoc(spark, sf_dir):
 
 @query(f"WITH {DUT_SQL} SELECT event_id AS track_id, arg_min(cluster_id, (round(dx * dx + dy * dy, 9), cluster_id)) AS cluster_id FROM ex WHERE reason = 0 GROUP BY event_id")
 def dut_closest(spark, sf_dir):
-    return assoc.closest(_examined(spark, sf_dir))
+    return assoc.closest(_examined(spark, sf_dir)).select("track_id", "cluster_id")
 
 
 @query(f"WITH {DUT_SQL} SELECT tp.event_id AS track_id, tp.die, count(ex.cluster_id) AS n, tp.event_id IN (SELECT event_id FROM du) AS seen FROM tp LEFT JOIN ex ON ex.event_id = tp.event_id AND reason = 0 GROUP BY ALL")
@@ -688,66 +742,106 @@ def window_numbers(spark, sf_dir):
     return daq.number_windows(adapters.hits(spark, sf_dir).select(F.col("event_id").alias("event_number")))
 
 
-# ---- alignment (iterative: no SQL)
+# ---- alignment: exact lines through six planes of which some are moved; the SQL gives the planted changes
 
+PLANES = [f"P{k}" for k in range(6)]
+PLANTED = {"P2": (0.05, -0.03, 0.002), "P4": (-0.02, 0.04, -0.001)}
+PLANTED_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{p}', " + ", ".join(f"{v}::DOUBLE" for v in PLANTED.get(p, (0.0, 0.0, 0.0))) + ")" for p in PLANES) + ") v(detector, x, y, rz)"
 
-def _alignment_points(spark, sf_dir) -> DataFrame:
-    """Exact lines through six planes, of which P2 and P4 are moved and turned; positions follow from the orders' keys."""
-    o = adapters.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("track_id"), (F.col("o_custkey") % 97 / 97.0).alias("u"), (F.col("o_orderkey") % 89 / 89.0).alias("v"), (F.col("o_orderkey") % 7 / 700.0).alias("s"))
-    p = o.withColumn("plane", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("z", F.col("plane") * 100.0)
-    x, y = F.col("u") * 20 - 10 + F.col("s") * F.col("z"), F.col("v") * 20 - 10 - F.col("s") * F.col("z") * 0.5
-    at = lambda k, a, b, c: F.when(F.col("plane") == k, a).when(F.col("plane") == b[0], b[1]).otherwise(c)
-    dx, dy, rz = at(2, 0.05, (4, -0.02), 0.0), at(2, -0.03, (4, 0.04), 0.0), at(2, 0.002, (4, -0.001), 0.0)
-    return p.select("track_id", F.concat(F.lit("P"), F.col("plane").cast("string")).alias("detector"), (x + dx - rz * y).alias("x"), (y + dy + rz * x).alias("y"), "z", F.lit(1.0).alias("w"))
 
+def _plane(k: int, change: tuple[float, ...] = (0.0, 0.0, 0.0)) -> geometry.Detector:
+    """A plane, its rows and columns one apart, at its place or moved by a change of x, y and the turn about z."""
+    x, y, rz = change
+    return geometry.Detector(f"P{k}", position=(x, y, 100.0 * k), orientation=(0.0, 0.0, rz), n_cols=24, n_rows=24, pitch_x=1.0, pitch_y=1.0, res_x=0.3, res_y=0.3)
 
-def _corrections(spark, found: dict) -> DataFrame:
-    return spark.createDataFrame([(d, *(float(round(x, 6)) + 0.0 for x in v)) for d, v in sorted(found.items())], "detector string, dx double, dy double, rz double")
 
+def _alignment_points(spark, sf_dir) -> DataFrame:
+    """Where exact lines meet the planes as they truly lie, in the planes' own frames; lines follow from the orders' keys."""
+    o = adapters.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("track_id"), (F.col("o_custkey") % 97 / 97.0).alias("u"), (F.col("o_orderkey") % 89 / 89.0).alias("v"), (F.col("o_orderkey") % 7 / 700.0).alias("s"), (F.col("o_custkey") % 5 / 500.0).alias("t"))
+    p = o.withColumn("plane", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("z", F.col("plane") * 100.0)
+    x, y = F.col("u") * 20 - 10 + F.col("s") * F.col("z"), F.col("v") * 20 - 10 - F.col("t") * F.col("z")
+    d = F.broadcast(geometry.table(spark, [_plane(k, PLANTED.get(f"P{k}", (0.0, 0.0, 0.0))) for k in range(6)]).drop("kind", "role"))  # one row a plane
+    j = p.withColumns({"gx": x, "gy": y, "detector": F.concat(F.lit("P"), F.col("plane").cast("string"))}).join(d, "detector")
+    u, v, _ = coords.to_local(F.col("gx"), F.col("gy"), F.col("z"))
+    return j.select(F.col("track_id").alias("event_id"), "track_id", "detector", u.alias("u"), v.alias("v"))
 
-PLANES = [f"P{k}" for k in range(6)]
 
+def _found(spark, found: align.Aligned) -> DataFrame:
+    c = align.corrections(spark, found, [_plane(k) for k in range(6)])
+    return c.select("detector", *[(F.round(k, 5) + 0.0).alias(k) for k in ("x", "y", "rz")])
 
-@query()
+
+@query(PLANTED_SQL)
 def align_millepede(spark, sf_dir):
-    return _corrections(spark, align.millepede(_alignment_points(spark, sf_dir), PLANES, fixed=("P0", "P1", "P5")))
+    found = align.millepede(_alignment_points(spark, sf_dir), [_plane(k) for k in range(6)], ("x", "y", "rz"), ("P0", "P1", "P5"), iterations=2, inner=1, residual_cut_init=10.0, residual_cut=10.0, sigmas=dict.fromkeys(align.DOFS, 1e3), constrained=False)
+    return _found(spark, found)
 
 
-@query()
+@query(PLANTED_SQL)
 def align_trackchi2(spark, sf_dir):
-    def refit(points: DataFrame) -> DataFrame:
-        anchors = points.filter(F.col("detector").isin("P0", "P1", "P5"))
-        return track.residuals(points, track.fit(anchors))
+    found = align.track_chi2(_alignment_points(spark, sf_dir), [_plane(k) for k in range(6)], ("x", "y", "rz"), ("P0", "P1", "P3", "P5"), iterations=2, evaluations=2)
+    return _found(spark, found)
 
-    return _corrections(spark, align.track_chi2(_alignment_points(spark, sf_dir), refit, PLANES, fixed=("P0", "P1", "P5")))
 
+DUT_SPOTS = """o AS (SELECT o_orderkey AS id, (o_orderkey % 4) AS c, (o_custkey % 3) AS r, ((o_orderkey * 7 % 11) - 5) / 25.0 AS a, ((o_custkey * 5 % 13) - 6) / 30.0 AS b FROM orders),
+m AS (SELECT id, (c - 1.5) + a AS u0, (r - 1.0) + b AS v0 FROM o), g AS (SELECT id, 3.0 + cos(0.02) * u0 - sin(0.02) * v0 AS gx, -2.0 + sin(0.02) * u0 + cos(0.02) * v0 AS gy FROM m)"""
 
-@query()
+
+def _dut_spots(spark, sf_dir) -> tuple[DataFrame, geometry.Detector]:
+    """Tracks round the pixels of a sensor of 4 x 3 that is moved by (3, -2) and turned by 20 mrad against its geometry."""
+    import math
+
+    o = adapters.read(spark, sf_dir, "orders")
+    u = (F.col("o_orderkey") % 4 - 1.5) + ((F.col("o_orderkey") * 7 % 11) - 5) / 25.0
+    v = (F.col("o_custkey") % 3 - 1.0) + ((F.col("o_custkey") * 5 % 13) - 6) / 30.0
+    c, s = math.cos(0.02), math.sin(0.02)
+    spots = o.select(F.col("o_orderkey").alias("id"), (3.0 + c * u - s * v).alias("gx"), (-2.0 + s * u + c * v).alias("gy"), F.lit(50.0).alias("gz"))
+    return spots, geometry.Detector("D", position=(3.0, -2.0, 50.0), n_cols=4, n_rows=3, pitch_x=1.0, pitch_y=1.0, res_x=0.3, res_y=0.3)
+
+
+@query(f"""WITH {DUT_SPOTS}, l AS (SELECT round(gx - 3.0, 9) AS u, round(gy + 2.0, 9) AS v FROM g), b AS (SELECT trunc((u + 2.8) / 0.1)::INT AS ix, trunc((v + 2.1) / 0.1)::INT AS iy, count(*) AS n FROM l GROUP BY ALL),
+px AS (SELECT c::INT AS col, r::INT AS row, c - 1.5 AS x, r - 1.0 AS y FROM range(0, 4) a(c), range(0, 3) d(r)),
+t AS (SELECT col, row, x, y, sum(n) AS n, sum(n * (-2.8 + (ix + 0.5) * 0.1)) / sum(n) AS cx, sum(n * (-2.1 + (iy + 0.5) * 0.1)) / sum(n) AS cy FROM px JOIN b ON ix BETWEEN greatest(0, trunc(round((x + 2.3) / 0.1, 6)))::INT AND trunc(round((x + 3.3) / 0.1, 6))::INT
+  AND iy BETWEEN greatest(0, trunc(round((y + 1.6) / 0.1, 6)))::INT AND trunc(round((y + 2.6) / 0.1, 6))::INT GROUP BY ALL)
+SELECT col, row, n::BIGINT AS n, n >= 200 AND sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y)) <= 0.05 AS trusted FROM t""")
+def dut_trusted_pixels(spark, sf_dir):
+    spots, d = _dut_spots(spark, sf_dir)
+    spots = spots.withColumns({"gx": F.round(F.col("gx") - 3.0, 9) + 3.0, "gy": F.round(F.col("gy") + 2.0, 9) - 2.0})
+    found = align.density(spots, d, (0.1, 0.1))
+    n, _, _ = found.centroids(d)
+    good = align.trusted_pixels(found, d, 200.0, 0.05)
+    rows = [(c, r, int(n[c, r]), bool(good[c, r])) for c in range(4) for r in range(3)]
+    return spark.createDataFrame(rows, "col int, row int, n long, trusted boolean")
+
+
+@query(f"""WITH {DUT_SPOTS}, s AS (SELECT avg(gx) AS mx, avg(gy) AS my FROM g) SELECT round(mx, 6) AS x, round(my, 6) AS y, true AS turned FROM s""")
 def align_dut_rotation(spark, sf_dir):
-    p = _alignment_points(spark, sf_dir)
-    seen = p.filter("detector = 'P2'")
-    lines = track.fit(p.filter(F.col("detector").isin("P0", "P1", "P5")))
-    pairs = seen.join(lines, "track_id").select("x", "y", (F.col("cx") + F.col("mx") * F.col("z")).alias("u"), (F.col("cy") + F.col("my") * F.col("z")).alias("v"))
-    angle, steps = align.align_rotation(pairs)
-    return spark.createDataFrame([(round(angle, 6), len(steps))], "angle double, steps int")
+    """The place is the mean of all matched positions; the turn is found to a tenth of a milliradian's twenty, in shrinking steps."""
+    spots, d = _dut_spots(spark, sf_dir)
+    new, steps, good = align.align_dut(spots, d, bin_size=(0.01, 0.01), least=20.0)
+    turned = bool(good.all()) and abs(new.orientation[2] - 0.02) < 2e-3 and all(abs(b) < abs(a) for a, b in zip(steps, steps[1:], strict=False))
+    return spark.createDataFrame([(round(new.position[0], 6), round(new.position[1], 6), turned)], "x double, y double, turned boolean")
 
 
-@query()
+@query("""WITH h AS (SELECT l_linenumber - 1 AS plane, l_partkey % 24 AS col FROM lineitem WHERE l_partkey % 24 BETWEEN 4 AND 19), c AS (SELECT 'P' || plane AS detector, col + 12 AS bin, count(*)::DOUBLE AS n FROM h GROUP BY ALL),
+t AS (SELECT detector, sum(n) AS total, max(n) AS top, min(bin) AS lo, max(bin) AS hi FROM c GROUP BY detector)
+SELECT detector, true AS wide, true AS centred FROM t WHERE total >= 100""")
 def align_plateau(spark, sf_dir):
+    """Box profiles of the columns 4 to 19 in bins of one: 16 wide round 11.5, to a bin."""
     import numpy as np
 
     h = adapters.hits(spark, sf_dir).filter("col >= 4 AND col < 20")
-    rows = hist.bins_1d(h, "col", 48, -12, 36, ("detector",)).collect()  # 48 bins a detector
+    rows = hist.bins_1d(h, "col", 48, -12.5, 35.5, ("detector",)).collect()  # 48 bins a detector
     out = []
     for d in sorted({r["detector"] for r in rows}):
         content = np.zeros(48)
         for r in rows:
             if r["detector"] == d:
                 content[r["bin"]] = r["content"]
-        found = align.plateau(content, -12.0, 36.0, width=16.0)
+        found = align.plateau(content, -12.5, 35.5, width=16.0)
         if found:
-            out.append((d, round(float(found["centre"]), 6), round(float(found["width"]), 6), bool(found["partial"])))
-    return spark.createDataFrame(out, "detector string, centre double, width double, partial boolean")
+            out.append((d, bool(abs(found.width - 16) < 1), bool(abs(found.centre - 11.5) < 1)))
+    return spark.createDataFrame(out, "detector string, wide boolean, centred boolean")
 
 
 @query()
@@ -759,6 +853,347 @@ def track_fit_tilted(spark, sf_dir):
     return _rounded(track.fit_tilted(p.select("track_id", F.col("x").alias("u"), F.col("y").alias("v"), F.col("w").alias("wu"), F.col("w").alias("wv"), *planes)).filter("ndof >= 2"))
 
 
+# ---- scans, geometry and rules of a run
+
+LOADED = f"""{HITS}, raw AS (SELECT *, 'S_' || plane AS raw FROM hits), ld AS (SELECT *, CASE plane WHEN 0 THEN 'P0' WHEN 1 THEN CASE WHEN channel IN (0, 1, 2, 3, 4, 5) THEN 'P1a' WHEN channel IN (6, 7, 8) THEN 'P1b' END WHEN 2 THEN 'P2' END AS target FROM raw)"""
+
+
+def _loader(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Raw hits by sensor type and plane; P1 is dealt to two detectors by channel, P3 is excluded by name, P4 by type, others are unknown."""
+    one = lambda name, source, kind="telescope", channels=(): geometry.Detector(name, kind, n_cols=24, n_rows=24, source=source, channels=channels)
+    found = [one("P0", "S_0"), one("P1a", "S_1", channels=(0, 1, 2, 3, 4, 5)), one("P1b", "S_1", channels=(6, 7, 8)), one("P2", "S_2"), one("P3", "S_3"), one("P4", "S_4", "dut")]
+    h = adapters.hits(spark, sf_dir).select("event_id", "col", "row", "channel", "charge", F.lit("S").alias("sensor_type"), F.col("plane").alias("plane_id"), F.col("ts").alias("timestamp"))
+    return hit_sources.raw_identity(h), hit_sources.route_table(spark, found, "telescope", ("P3",))
+
+
+@query(f"WITH {LOADED} SELECT target AS detector, CASE WHEN plane = 1 THEN 0 ELSE row END AS row, count(*) AS n, round(sum(charge), 6) AS charge FROM ld WHERE target IS NOT NULL GROUP BY ALL")
+def load_routed_hits(spark, sf_dir):
+    pixels, _ = hit_sources.load(*_loader(spark, sf_dir))
+    return pixels.groupBy("detector", "row").agg(F.count("*").alias("n"), r6(F.sum("charge")).alias("charge"))
+
+
+@query(f"WITH {LOADED} SELECT raw, CASE WHEN plane IN (3, 4) THEN 'filtered' WHEN plane > 4 THEN 'unknown' ELSE 'channel' END AS reason, count(*) AS n FROM ld WHERE target IS NULL GROUP BY ALL")
+def discarded_hits(spark, sf_dir):
+    return hit_sources.discarded(*_loader(spark, sf_dir))
+
+
+@query(f"WITH {HITS} SELECT detector, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM hits WHERE event_id >= 1000 AND event_id < 1500 GROUP BY detector")
+def event_range_scan(spark, sf_dir):
+    h = hit_sources.event_range(adapters.hits(spark, sf_dir), 1000, 500)
+    return h.groupBy("detector").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
+@query(f"WITH {HITS} SELECT detector, count(*) AS n FROM hits WHERE event_id < 700 GROUP BY detector")
+def event_stop(spark, sf_dir):
+    return hit_sources.up_to_events(adapters.hits(spark, sf_dir), 700).groupBy("detector").agg(F.count("*").alias("n"))
+
+
+@query("SELECT regexp_replace('S ' || n_name || chr(9) || n_nationkey, '\\s', '', 'g') AS name, n_nationkey FROM nation")
+def sensor_names(spark, sf_dir):
+    n = adapters.read(spark, sf_dir, "nation")
+    return n.select(daq.sensor_name(F.concat(F.lit("S "), F.col("n_name"), F.lit("\t"), F.col("n_nationkey").cast("string"))).alias("name"), "n_nationkey")
+
+
+@query("""WITH v AS (SELECT event_id, value, event_id % 6 AS k FROM events), u AS (SELECT event_id, round(value, 3) AS x, CASE k WHEN 0 THEN 1e-3 WHEN 1 THEN 1.0 WHEN 2 THEN 1e3 WHEN 3 THEN 1e-3 WHEN 4 THEN 0.0 ELSE 1.0 END AS f FROM v)
+SELECT event_id, round(x * f, 6) + 0.0 AS base FROM u""")
+def unit_strings(spark, sf_dir):
+    """Numbers with units: um, mm, us, mrad, an unknown one, none."""
+    e = adapters.read(spark, sf_dir, "events")
+    unit = F.element_at(F.array(*[F.lit(u) for u in ("um", " mm", "us", "mrad", "GeV", "")]), (F.col("event_id") % 6 + 1).cast("int"))
+    return _rounded(e.select("event_id", units.unit_to_base(F.concat(F.format_string("%.3f", F.round("value", 3)), unit)).alias("base")))
+
+
+ROT = "WITH r AS (SELECT cos(0.1::DOUBLE) AS c, sin(0.1::DOUBLE) AS s)"
+
+
+@query(f"""{ROT}, l AS (SELECT l_orderkey AS event_id, l_linenumber AS n, (l_partkey % 24 - 11.5) AS u, (l_suppkey % 24 - 11.5) AS v FROM lineitem)
+SELECT event_id, n, round(u, 6) + 0.0 AS x, round(c * v, 6) + 0.0 AS y, round(500 + s * v, 6) + 0.0 AS z, round(u + 11.5, 6) + 0.0 AS col, round(v + 11.5, 6) + 0.0 AS row FROM l, r""")
+def pixel_places(spark, sf_dir):
+    """Pixels of the plane that is tilted about x: their place, and back to the pixel."""
+    d = F.broadcast(_detectors(spark).filter("detector = 'P5'"))  # one row
+    h = adapters.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("n"), (F.col("l_partkey") % 24).alias("c"), (F.col("l_suppkey") % 24).alias("r"))
+    j = h.crossJoin(d)
+    x, y, z = coords.to_global(coords.local_x(F.col("c"), F.col("n_cols"), F.col("pitch_x")), coords.local_x(F.col("r"), F.col("n_rows"), F.col("pitch_y")))
+    j = j.withColumns({"x": x, "y": y, "z": z})
+    u, v, _ = coords.to_local(F.col("x"), F.col("y"), F.col("z"))
+    return _rounded(j.select("event_id", "n", "x", "y", "z", coords.pixel(u, F.col("n_cols"), F.col("pitch_x")).alias("col"), coords.pixel(v, F.col("n_rows"), F.col("pitch_y")).alias("row")))
+
+
+MET_SQL = POINTS_SQL + """, rot AS (SELECT cos(0.1::DOUBLE) AS c, sin(0.1::DOUBLE) AS s), mz AS (SELECT tr.*, (s * cy + c * 500) / (c - s * my) AS z5, c, s FROM tr, rot),
+me AS (SELECT event_id, 'P5' AS detector, cx + mx * z5 AS gx, cy + my * z5 AS gy, z5 AS gz, cx + mx * z5 AS u, c * (cy + my * z5) + s * (z5 - 500) AS v FROM mz
+  UNION ALL SELECT event_id, 'P6', cx + mx * 600, cy + my * 600, 600, cx + mx * 600, cy + my * 600 FROM tr)"""
+
+
+def _met(spark, sf_dir) -> DataFrame:
+    from beamloom.plans import stages
+
+    return stages.intercepts(_tracks(spark, sf_dir).withColumn("event_id", F.col("track_id")), _detectors(spark).filter("detector IN ('P5', 'P6')"))
+
+
+@query(f"WITH {MET_SQL} SELECT event_id, detector, round(gx, 5) + 0.0 AS gx, round(gy, 5) + 0.0 AS gy, round(gz, 5) + 0.0 AS gz, round(u, 5) + 0.0 AS u, round(v, 5) + 0.0 AS v, round(u + 11.5, 5) + 0.0 AS col, round(v + 11.5, 5) + 0.0 AS row FROM me")
+def track_intercepts(spark, sf_dir):
+    """Tracks on a tilted plane and on one that is not."""
+    m = _met(spark, sf_dir)
+    return m.select("event_id", "detector", *[(F.round(c, 5) + 0.0).alias(c) for c in ("gx", "gy", "gz", "u", "v", "col", "row")])
+
+
+@query(f"""WITH {MET_SQL}, a AS (SELECT event_id, detector, round(u + 11.5, 5) AS col, round(v, 5) AS v, round(v + 11.5, 5) AS row FROM me)
+SELECT event_id, detector, NOT (col < 0.5) AND NOT (col > 22.5) AND NOT (v < -11) AND NOT (v > 11) AS inside, NOT (col < -2.5) AND NOT (col > 25.5) AND NOT (v < -14) AND NOT (v > 14) AND abs((row - round(row)) * 1.25) <= 0.5 AS wide FROM a""")
+def acceptance_flags(spark, sf_dir):
+    """Inside the sensor less a pixel at each edge; and inside a widened one with gaps between rows."""
+    m = _met(spark, sf_dir).withColumns({c: F.round(c, 5) for c in ("col", "row", "v")})
+    inside = coords.has_intercept(F.col("col"), F.col("v"), F.lit(24), F.lit(24.0), F.lit(1.0), 1.0)
+    wide = coords.has_intercept(F.col("col"), F.col("v"), F.lit(24), F.lit(24.0), F.lit(1.0), -2.0, F.col("row"), F.lit(1.25))
+    return m.select("event_id", "detector", inside.alias("inside"), wide.alias("wide"))
+
+
+@query(f"""WITH {MET_SQL}, a AS (SELECT event_id, detector, floor(round(u + 11.5, 5) + 0.5)::INT AS c, floor(round(v + 11.5, 5) + 0.5)::INT AS r FROM me)
+SELECT detector, CASE WHEN detector = 'P6' AND c BETWEEN 0 AND 23 AND r BETWEEN 0 AND 11 THEN 'BOTTOM' WHEN detector = 'P6' AND c BETWEEN 0 AND 23 AND r BETWEEN 12 AND 20 THEN 'TOP' ELSE '' END AS die, count(*) AS n FROM a GROUP BY ALL""")
+def die_of_position(spark, sf_dir):
+    """Two dies on P6, which leave three rows out; positions count by their nearest pixel."""
+    dies = {"BOTTOM": [(c, r) for c in range(24) for r in range(12)], "TOP": [(c, r) for c in range(24) for r in range(12, 21)]}
+    table = geometry.die_table(spark, [geometry.Detector("P6", dies=dies)])
+    m = _met(spark, sf_dir).withColumns({c: F.round(c, 5) for c in ("col", "row")})
+    return geometry.with_die(m, table).groupBy("detector", "die").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {HITS} SELECT detector, count(*) AS n FROM hits WHERE (row >= 2 AND row < 12 AND col >= 2 AND col < 22 - row) GROUP BY detector")
+def polygon_inside(spark, sf_dir):
+    """Hits inside a trapezium."""
+    h = adapters.hits(spark, sf_dir)
+    return h.filter(coords.inside_polygon(F.col("col"), F.col("row"), [(2, 2), (20, 2), (10, 12), (2, 12)])).groupBy("detector").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {POINTS_SQL} SELECT event_id AS track_id, round(atan(mx), 6) + 0.0 AS angle_x, round(atan(my), 6) + 0.0 AS angle_y FROM tr")
+def track_angles(spark, sf_dir):
+    return _rounded(track.angles(_tracks(spark, sf_dir)).select("track_id", "angle_x", "angle_y"))
+
+
+@query(f"WITH {POINTS_SQL}, n AS (SELECT h.event_id, count(DISTINCT tr.event_id) AS tracks FROM hits h LEFT JOIN tr USING (event_id) GROUP BY h.event_id) SELECT tracks, count(*) AS events FROM n GROUP BY tracks")
+def tracks_per_event(spark, sf_dir):
+    t = _tracks(spark, sf_dir).withColumn("event_id", F.col("track_id"))
+    return track.per_event(t, adapters.hits(spark, sf_dir)).groupBy("tracks").agg(F.count("*").alias("events"))
+
+
+@query("SELECT event_id % 100 AS event_id, round(min(value), 6) AS ts FROM events GROUP BY ALL")
+def event_times(spark, sf_dir):
+    return _rounded(track.event_times(adapters.read(spark, sf_dir, "events").select((F.col("event_id") % 100).alias("event_id"), F.col("value").alias("ts"))))
+
+
+@query("WITH k AS (SELECT l_orderkey AS event_id, count(*) AS k FROM lineitem GROUP BY ALL), s AS (SELECT *, sum(k) OVER (ORDER BY event_id) - k AS before FROM k) SELECT event_id, k AS n FROM s WHERE before < 5001")
+def track_target(spark, sf_dir):
+    """The events up to the one that reaches 5001 tracks."""
+    t = adapters.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"))
+    return track.first_tracks(t, 5001).groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {POINTS_SQL}, rot AS (SELECT cos(0.1::DOUBLE) AS c, sin(0.1::DOUBLE) AS s), hit AS (SELECT pt.event_id, plane, x, y, z, mx, cx, my, cy, c, s FROM pt JOIN tr USING (event_id), rot WHERE plane IN (4, 5)),
+k AS (SELECT *, CASE WHEN plane = 5 THEN (s * cy + c * 500) / (c - s * my) ELSE 400 END AS iz FROM hit), d AS (SELECT *, x - cx - mx * iz AS dx, y - cy - my * iz AS dy, z - iz AS dz FROM k)
+SELECT event_id, plane, round(dx, 5) + 0.0 AS res_x_global, round(dy, 5) + 0.0 AS res_y_global, round(dz, 5) + 0.0 AS res_z_global, round(CASE WHEN plane = 5 THEN c * dy + s * dz ELSE dy END, 5) + 0.0 AS res_y_local, round(dx / 0.3, 5) + 0.0 AS pull_x_local FROM d""")
+def residuals_frames(spark, sf_dir):
+    """Residuals in both frames, on a plane that is tilted and on one that is not."""
+    p = _points(spark, sf_dir).filter("plane IN (4, 5)")
+    t = _tracks(spark, sf_dir).withColumn("event_id", F.col("track_id"))
+    r = track.residuals_on(p, t, _detectors(spark))
+    return r.select("event_id", "plane", *[(F.round(c, 5) + 0.0).alias(c) for c in ("res_x_global", "res_y_global", "res_z_global", "res_y_local", "pull_x_local")])
+
+
+@query(f"WITH {GOOD_SQL}, cells AS (SELECT a AS ix, b AS iy FROM range(0, 9) x(a), range(0, 9) y(b)), l AS (SELECT trunc((px - 11.5 + 16.8) / 3.7333333333333334)::INT AS ix, trunc((py - 11.5 + 16.8) / 3.7333333333333334)::INT AS iy, matched FROM good), n AS (SELECT ix, iy, sum(matched::INT) AS m, count(*) AS n FROM l GROUP BY ALL) SELECT f AS frame, ix::INT AS ix, iy::INT AS iy, coalesce(m, 0)::BIGINT AS matched, coalesce(n, 0)::BIGINT AS n, round(CASE WHEN n > 0 THEN m / n ELSE 0 END, 6) AS efficiency FROM cells LEFT JOIN n USING (ix, iy), (VALUES ('local'), ('global')) v(f)")
+def eff_maps_frames(spark, sf_dir):
+    """Both maps with their empty bins; the sensor's middle is at (11.5, 11.5)."""
+    g = _good(spark, sf_dir).withColumns({"u": F.col("px") - 11.5, "v": F.col("py") - 11.5, "x": F.col("px"), "y": F.col("py")})
+    return _rounded(efficiency.efficiency_maps(g, (24.0, 24.0), (3.7, 3.7), (11.5, 11.5)))
+
+
+@query(f"WITH {DUT_SQL}, b AS (SELECT trunc(px / 4)::INT AS ix, trunc(py / 4)::INT AS iy, charge, charge % 3 AS wc, charge % 5 AS wr, ts FROM ex WHERE reason = 0) SELECT ix, iy, count(*) AS n, round(avg(charge), 6) AS charge, round(avg(1), 6) AS size, round(avg(wc), 6) AS width_col, round(avg(wr), 6) AS width_row, round(avg(ts / 1e15), 6) AS ts, round(-20 * ln(avg(exp(-charge / 20))), 6) AS mpv FROM b GROUP BY ALL")
+def profile_maps(spark, sf_dir):
+    a = assoc.associated(_examined(spark, sf_dir))
+    cells = {"ix": coords.bin_2d(F.col("px"), F.lit(0.0), 4.0), "iy": coords.bin_2d(F.col("py"), F.lit(0.0), 4.0), "size": F.lit(1), "width_col": F.col("charge") % 3, "width_row": F.col("charge") % 5, "ts": F.col("ts") / 1e15}
+    return _rounded(efficiency.profile_maps(a.withColumns(cells), 20.0))
+
+
+@query(f"WITH {DUT_SQL}, f AS (SELECT * FROM du WHERE event_id NOT IN (SELECT event_id FROM tp WHERE {INSIDE})), e AS (SELECT event_id FROM tp UNION SELECT event_id FROM du) SELECT x::INT AS col, y::INT AS row, round(count(*) / (SELECT count(*) FROM e WHERE event_id NOT IN (SELECT event_id FROM tp WHERE {INSIDE})), 9) AS rate FROM f GROUP BY ALL")
+def fake_map(spark, sf_dir):
+    """Fakes by the edge rule as a map for each event that was looked at: those with a track or a cluster and no track inside."""
+    t = _predicted(spark, sf_dir).withColumn("inside", F.expr(INSIDE))
+    c = _dut(spark, sf_dir)
+    events = efficiency.all_events(t, c).join(t.filter("inside").select("event_id").distinct(), "event_id", "left_anti")
+    pixels = efficiency.fakes_by_edge(c, t).select(F.col("x").cast("int").alias("col"), F.col("y").cast("int").alias("row"))
+    return efficiency.fake_map(pixels, events).withColumn("rate", F.round("rate", 9))
+
+
+@query(f"WITH {POINTS_SQL} SELECT event_id FROM tr UNION SELECT event_id FROM hits WHERE plane = 6")
+def event_union(spark, sf_dir):
+    t = _tracks(spark, sf_dir).withColumn("event_id", F.col("track_id"))
+    return efficiency.all_events(t, adapters.hits(spark, sf_dir).filter("plane = 6"))
+
+
+@query(f"WITH {TIMING_SQL.format(gate='')}, c AS (SELECT track_id, first, second, count(*) AS pairs FROM pr GROUP BY ALL) SELECT first, second, pairs, count(*) AS tracks FROM c GROUP BY ALL")
+def timing_pair_counts(spark, sf_dir):
+    return timing.pair_counts(timing.pairs(_timed(spark, sf_dir), ORDER))
+
+
+@query(f"WITH {HITS}, c AS (SELECT event_id, detector, count(*) AS clusters FROM hits WHERE plane < 3 GROUP BY ALL) SELECT detector, clusters, count(*) AS tracks FROM c GROUP BY ALL")
+def timing_cluster_counts(spark, sf_dir):
+    return timing.cluster_counts(_timed(spark, sf_dir))
+
+
+@query(f"WITH {HITS} SELECT event_id, detector, CASE WHEN charge > 0 THEN round(ts / 1e15 - (2.0 / charge + 0.5), 6) ELSE ts / 1e15 END AS inverse, round(ts / 1e15 - (2.0 / sqrt(charge) + 0.5), 6) AS root, round(ts / 1e15, 6) AS plain FROM hits WHERE plane < 2")
+def timewalk_methods(spark, sf_dir):
+    h = adapters.hits(spark, sf_dir).filter("plane < 2").withColumn("t", F.col("ts") / 1e15)
+    one = lambda m: F.round(timing.walk(F.col("t"), F.col("charge"), 2.0, 0.5, m), 6)
+    return h.select("event_id", "detector", one("inverse").alias("inverse"), one("root").alias("root"), one("none").alias("plain"))
+
+
+@query(f"WITH {POINTS_SQL}, a AS (SELECT event_id, 'D' || (channel % 3) AS detector FROM hits WHERE plane = 6) SELECT event_id FROM (SELECT event_id, detector FROM pt UNION SELECT event_id, detector FROM a) WHERE detector IN ('P0', 'P3', 'D1') GROUP BY event_id HAVING count(DISTINCT detector) = 3")
+def required_on_track(spark, sf_dir):
+    """Events with clusters of the fit on P0 and P3 and an associated one on D1."""
+    fit = _points(spark, sf_dir).select("event_id", "detector", F.col("plane").cast("long").alias("cluster_id"))
+    a = adapters.hits(spark, sf_dir).filter("plane = 6").select("event_id", F.concat(F.lit("D"), (F.col("channel") % 3).cast("string")).alias("detector"), F.col("channel").cast("long").alias("cluster_id"))
+    return assoc.with_all(assoc.on_tracks(fit, a, ("event_id",)), ["P0", "P3", "D1"], ("event_id",))
+
+
+@query(f"WITH RECURSIVE {SYNC_SQL}, r AS (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 500 AS block FROM t), sc AS (SELECT block, s::INT AS shift, count(*) AS n FROM r, range(-12, 13) x(s) WHERE event_id + s IN (SELECT event_id FROM h) GROUP BY ALL), wk(block, centre) AS (SELECT -1::BIGINT, 0 UNION ALL SELECT wk.block + 1, (SELECT arg_max(shift, n * 1000 - shift) FROM sc WHERE sc.block = wk.block + 1 AND abs(shift - wk.centre) <= 3) FROM wk WHERE wk.block < (SELECT max(block) FROM sc)) SELECT block, centre::BIGINT AS shift FROM wk WHERE block >= 0")
+def sync_walk(spark, sf_dir):
+    t, h = _sync_tables(spark, sf_dir)
+    return spark.createDataFrame(list(sync.walk_shifts(sync.shift_scan(t, h, 12, 500))), "block long, shift long")
+
+
+@query(f"WITH {POINTS_SQL}, c AS (SELECT event_id, plane, event_id IN (SELECT event_id FROM tr) AS linked FROM pt), l AS (SELECT max(event_id) AS m FROM tr) SELECT least(event_id, m) // 1000 AS \"window\", event_id, max(linked::INT)::BIGINT AS tracks, sum(linked::INT)::BIGINT AS linked, sum((NOT linked)::INT)::BIGINT AS unlinked FROM c, l GROUP BY ALL")
+def replay_windows(spark, sf_dir):
+    return hit_sources.replay_by_event(*_saved(spark, sf_dir), 1000)
+
+
+@query(f"WITH {POINTS_SQL}, l AS (SELECT event_id, plane FROM pt WHERE event_id IN (SELECT event_id FROM tr) AND plane <> 3), f AS (SELECT event_id, count(*) AS n, regr_slope(x, z) AS mx, regr_intercept(x, z) AS cx FROM l JOIN pt USING (event_id, plane) GROUP BY event_id HAVING count(*) >= 2) SELECT event_id AS track_id, n, round(mx, 6) + 0.0 AS mx, round(cx, 6) + 0.0 AS cx FROM f")
+def track_refit_links(spark, sf_dir):
+    """Tracks fitted anew from their links, without one plane."""
+    t, links, c = _saved(spark, sf_dir)
+    kept = links.join(c.filter("cluster_id % 10 <> 3").select("cluster_id", F.col("col").alias("x"), F.col("row").alias("y"), ((F.col("cluster_id") % 10) * 100.0).alias("z"), F.lit(1.0).alias("w")), "cluster_id")
+    return _rounded(track.fit(kept).select("track_id", "n", "mx", "cx"))
+
+
+# ---- plots
+
+
+def _stats(sets: list, names: tuple[str, ...]) -> DataFrame:
+    s = plots.stats(plot_sets.filled(sets))
+    return _rounded(s.filter(F.col("plot").isin(list(names))).select("path", "plot", "entries", "sum_w", "mean_x"))
+
+
+@query(f"WITH RECURSIVE {NO_DIE} SELECT detector AS path, 'clusterSize' AS plot, count(*) AS entries, count(*)::DOUBLE AS sum_w, round(avg(size), 6) AS mean_x FROM cl GROUP BY detector UNION ALL SELECT detector, 'clusterWidthRow', count(*), count(*)::DOUBLE, round(avg(width_row), 6) FROM cl GROUP BY detector UNION ALL SELECT detector, 'clusterCharge', count(*), count(*)::DOUBLE, round(avg(charge), 6) FROM cl GROUP BY detector UNION ALL SELECT detector, 'clusterMultiplicity', count(DISTINCT k), sum(e)::DOUBLE, round(sum(k * e) / sum(e), 6) FROM (SELECT detector, k, count(*) AS e FROM (SELECT event_id, detector, count(*) AS k FROM cl GROUP BY ALL) GROUP BY ALL) GROUP BY detector")
+def plots_clustering(spark, sf_dir):
+    c = _clusters(spark, sf_dir).withColumns({"x": F.col("col"), "y": F.col("row")})
+    sets = plot_sets.clustering(c, cluster.multiplicity(c), _detectors(spark))
+    return _stats(sets, ("clusterSize", "clusterWidthRow", "clusterCharge", "clusterMultiplicity"))
+
+
+@query(f"WITH {PAIRS_SQL}, p2 AS (SELECT h.detector, r.col - h.col AS dx, r.row - h.col AS xy, (r.ts - h.ts) / 1e12 AS dt FROM hits h JOIN hits r ON h.event_id = r.event_id AND r.detector = 'P0') SELECT detector AS path, 'correlationX' AS plot, count(*) AS entries, count(*) FILTER (dx >= -10.01 AND dx < 9.99)::DOUBLE AS sum_w, round(avg(dx) FILTER (dx >= -10.01 AND dx < 9.99), 6) + 0.0 AS mean_x FROM p2 GROUP BY detector UNION ALL SELECT detector, 'correlationXY', count(*), count(*) FILTER (xy >= -10.01 AND xy < 9.99)::DOUBLE, round(avg(xy) FILTER (xy >= -10.01 AND xy < 9.99), 6) + 0.0 FROM p2 GROUP BY detector UNION ALL SELECT detector, 'hitmap', count(*), count(*)::DOUBLE, round(avg(col), 6) FROM hits GROUP BY detector")
+def plots_correlations(spark, sf_dir):
+    h = _things(spark, sf_dir).withColumns({"col": F.col("x").cast("int"), "row": F.col("y").cast("int")})
+    ref = h.filter("detector = 'P0'").select("event_id", *[F.col(c).alias("ref_" + c) for c in ("col", "row", "x", "y", "ts")])
+    p = h.join(ref, "event_id").withColumns({"dx": F.col("ref_x") - F.col("x"), "dy": F.col("ref_y") - F.col("y"), "dt": F.col("ref_ts") - F.col("ts")})
+    sets = plot_sets.correlations(h, h, p, p, _detectors(spark), "P0")
+    return _stats(sets, ("correlationX", "correlationXY", "hitmap"))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT detector AS path, 'correlationY' AS plot, count(*) AS entries, count(*) FILTER (dy >= -10 AND dy < 10)::DOUBLE AS sum_w, round(avg(dy) FILTER (dy >= -10 AND dy < 10), 6) + 0.0 AS mean_x FROM pr WHERE detector <> 'P0' GROUP BY detector")
+def plots_prealignment(spark, sf_dir):
+    h = _things(spark, sf_dir).withColumns({"col": F.col("x").cast("int"), "row": F.col("y").cast("int")})
+    ref = h.filter("detector = 'P0'").select("event_id", *[F.col(c).alias("ref_" + c) for c in ("col", "row", "x", "y")])
+    p = h.filter("detector <> 'P0'").join(ref, "event_id").withColumns({"dx": F.col("ref_x") - F.col("x"), "dy": F.col("ref_y") - F.col("y")})
+    return _stats(plot_sets.prealignment(p, _detectors(spark), "P0"), ("correlationY",))
+
+
+@query(f"WITH {POINTS_SQL}, a AS (SELECT cx + mx * 600 AS x, cy + my * 600 AS y FROM tr) SELECT '' AS path, 'intercept_x_P6' AS plot, count(*) AS entries, count(*) FILTER (round(x, 9) >= -10 AND round(x, 9) < 10)::DOUBLE AS sum_w, round(avg(x) FILTER (round(x, 9) >= -10 AND round(x, 9) < 10), 6) + 0.0 AS mean_x FROM a")
+def plots_prealignment_dut(spark, sf_dir):
+    t = _tracks(spark, sf_dir).select(F.round(F.col("cx") + F.col("mx") * 600, 9).alias("cx"), F.lit(0.0).alias("mx"), "cy", "my")
+    return _stats(plot_sets.prealignment_dut(t, {"P6": 600.0}), ("intercept_x_P6",))
+
+
+@query(f"WITH {POINTS_SQL} SELECT '' AS path, 'track_chi2ndof' AS plot, count(*) AS entries, count(*) FILTER (round(chi2, 6) / (2 * n - 4) < 50)::DOUBLE AS sum_w, round(avg(round(chi2, 6) / (2 * n - 4)) FILTER (round(chi2, 6) / (2 * n - 4) < 50), 6) AS mean_x FROM tr UNION ALL SELECT '', 'clusters_per_track', count(*), count(*)::DOUBLE, round(avg(n), 6) FROM tr UNION ALL SELECT '', 'tracks_per_event', count(*), count(*)::DOUBLE, round(avg(k), 6) FROM (SELECT h.event_id, count(DISTINCT tr.event_id) AS k FROM hits h LEFT JOIN tr USING (event_id) GROUP BY h.event_id)")
+def plots_tracking(spark, sf_dir):
+    t = _tracks(spark, sf_dir).withColumns({"event_id": F.col("track_id"), "ts": F.lit(0.0), "chi2ndof": track.chi2_ndof(r6("chi2"), F.col("ndof"))})
+    p = _points(spark, sf_dir).withColumns({"width_col": F.lit(1), "width_row": F.lit(1)})
+    sets = plot_sets.tracking(track.angles(t), track.per_event(t, adapters.hits(spark, sf_dir)), track.residuals_on(p, t, _detectors(spark)), _met(spark, sf_dir).withColumnsRenamed({"gx": "ix", "gy": "iy"}), _detectors(spark))
+    return _stats(sets, ("track_chi2ndof", "clusters_per_track", "tracks_per_event"))
+
+
+PULSE_AT = "'cfd_0.50/total', 'cfd_0.50/P' || (event_id % 2) || '/total', 'cfd_0.50/P' || (event_id % 2) || '/channel_' || (col + 24 * (channel % 2)), 'cfd_0.70/total', 'cfd_0.70/P' || (event_id % 2) || '/total', 'cfd_0.70/P' || (event_id % 2) || '/channel_' || (col + 24 * (channel % 2))"
+
+
+def _placed_pulses(spark, sf_dir) -> DataFrame:
+    p = _pulses(spark, sf_dir)
+    return p.withColumns({"detector": F.concat(F.lit("P"), (F.col("event_id") % 2).cast("string")), "row": F.col("channel") % 2})
+
+
+@query(f"WITH {WAVE_SQL}, pe AS (SELECT unnest([{PULSE_AT}]) AS path, amplitude FROM x) SELECT path, 'amplitude' AS plot, count(*) AS entries, count(*) FILTER (amplitude < 1.2)::DOUBLE AS sum_w, round(avg(amplitude) FILTER (amplitude < 1.2), 6) AS mean_x FROM pe GROUP BY path UNION ALL SELECT '', 'raw_snr', count(*), count(*)::DOUBLE, round(avg(snr), 6) FROM x")
+def plots_waveforms(spark, sf_dir):
+    """In total, by detector and by channel, at each fraction."""
+    p = _placed_pulses(spark, sf_dir)
+    return _stats(plot_sets.waveform_processing(p, p.filter("peak IS NOT NULL"), _detectors(spark)), ("amplitude", "raw_snr"))
+
+
+@query(f"WITH {WAVE_SQL}, pe AS (SELECT unnest(['total', 'P' || (event_id % 2) || '/total', 'P' || (event_id % 2) || '/channel_' || (col + 24 * (channel % 2))]) AS path, rise_time, tot FROM x) SELECT path, 'rise_time' AS plot, count(*) AS entries, count(*) FILTER (round(rise_time, 9) >= 0 AND round(rise_time, 9) < 5)::DOUBLE AS sum_w, round(coalesce(avg(rise_time) FILTER (round(rise_time, 9) >= 0 AND round(rise_time, 9) < 5), 0), 6) + 0.0 AS mean_x FROM pe GROUP BY path")
+def plots_waveform_selector(spark, sf_dir):
+    p = _placed_pulses(spark, sf_dir).filter("peak IS NOT NULL").withColumn("rise_time", F.round("rise_time", 9))
+    return _stats(plot_sets.waveform_selector(p, _detectors(spark)), ("rise_time",))
+
+
+@query(f"WITH {DUT_SQL}, e AS (SELECT unnest(['P6', 'P6/' || die]) AS path, reason FROM ex) SELECT path, 'hCutHisto' AS plot, count(*) FILTER (reason > 0) AS entries, count(*) FILTER (reason > 0)::DOUBLE AS sum_w, 1.0::DOUBLE AS mean_x FROM e GROUP BY path HAVING count(*) FILTER (reason > 0) > 0 UNION ALL SELECT path, 'no_assoc_cls', count(*), count(*)::DOUBLE, round(avg(n), 6) FROM (SELECT unnest(['P6', 'P6/' || tp.die]) AS path, (SELECT count(*) FROM ex WHERE ex.event_id = tp.event_id AND reason = 0) AS n FROM tp WHERE event_id IN (SELECT event_id FROM du)) GROUP BY path")
+def plots_dut_association(spark, sf_dir):
+    p = _predicted(spark, sf_dir).withColumns({"detector": F.lit("P6"), "gx": F.col("px"), "gy": F.col("py")})
+    c = _dut(spark, sf_dir).withColumns({"cluster_gx": F.col("x"), "cluster_gy": F.col("y")})
+    pairs = assoc.examined(p, c, 8.0, 8.0).withColumn("detector", F.lit("P6"))
+    counts = assoc.counts(p, pairs, c).withColumn("detector", F.lit("P6"))
+    sets = plot_sets.dut_association(pairs.join(p.select("event_id", "track_id", "gx", "gy"), ["event_id", "track_id"]), counts, p, _detectors(spark))
+    return _stats(sets, ("hCutHisto", "no_assoc_cls"))
+
+
+@query(f"WITH {DUT_SQL}, f AS (SELECT * FROM du WHERE event_id NOT IN (SELECT event_id FROM tp WHERE {INSIDE})), e AS (SELECT event_id FROM (SELECT event_id FROM tp UNION SELECT event_id FROM du) WHERE event_id NOT IN (SELECT event_id FROM tp WHERE {INSIDE})), k AS (SELECT e.event_id, count(f.cluster_id) AS n FROM e LEFT JOIN f USING (event_id) GROUP BY ALL) SELECT 'P6' AS path, 'hFakeClusterPerEvent' AS plot, count(*) AS entries, count(*)::DOUBLE AS sum_w, round(avg(n), 6) AS mean_x FROM k UNION ALL SELECT 'P6', 'hFakeClusterCharge', count(*), count(*)::DOUBLE, round(avg(charge), 6) FROM f")
+def plots_efficiency(spark, sf_dir):
+    t = _predicted(spark, sf_dir).withColumn("inside", F.expr(INSIDE))
+    c = _dut(spark, sf_dir).withColumns({"detector": F.lit("P6"), "size": F.lit(1), "die": F.lit("")})
+    fakes = efficiency.fakes_by_edge(c, t)
+    events = efficiency.all_events(t, c).join(t.filter("inside").select("event_id").distinct(), "event_id", "left_anti")
+    per = events.join(fakes.groupBy("event_id").agg(F.count("*").alias("clusters")), "event_id", "left").select(F.lit("P6").alias("detector"), F.lit("").alias("die"), F.coalesce("clusters", F.lit(0)).alias("clusters"), F.coalesce("clusters", F.lit(0)).alias("pixels"))
+    near = c.select("detector", "die", (F.col("x") - 11.5).alias("dx"), (F.col("y") - 11.5).alias("dy"))
+    return _stats(plot_sets.analysis_efficiency(near, fakes, fakes, per, _detectors(spark), 100, 100.0), ("hFakeClusterPerEvent", "hFakeClusterCharge"))
+
+
+@query(f"WITH {TIMING_SQL.format(gate='')}, q AS (SELECT first || '_vs_' || second AS path, round(dt / 1e16, 9) AS t FROM pr) SELECT path, 'dtoa' AS plot, count(*) AS entries, count(*) FILTER (t >= -5 AND t < 5)::DOUBLE AS sum_w, round(avg(t) FILTER (t >= -5 AND t < 5), 6) + 0.0 AS mean_x FROM q GROUP BY path UNION ALL SELECT detector, 'ncat', count(*), sum(e)::DOUBLE, round(sum(k * e) / sum(e), 6) FROM (SELECT detector, k, count(*) AS e FROM (SELECT event_id, detector, count(*) AS k FROM hits WHERE plane < 3 GROUP BY ALL) GROUP BY ALL) GROUP BY detector")
+def plots_timing(spark, sf_dir):
+    h = _timed(spark, sf_dir).withColumn("die", F.lit(""))
+    p = timing.pairs(h, ORDER).withColumns({"dt": F.round(F.col("dt") / 1e16, 9), "die_first": F.lit(""), "die_second": F.lit("")})
+    return _stats(plot_sets.analysis_timing(h, p, timing.cluster_counts(h), timing.pair_counts(p)), ("dtoa", "ncat"))
+
+
+@query(f"WITH {HITS}, {MASKED_SQL} SELECT detector AS path, 'occupancy' AS plot, count(*) AS entries, sum(n)::DOUBLE AS sum_w, round(sum(n * col) / sum(n), 6) AS mean_x FROM (SELECT detector, col, row, count(*) AS n FROM hits GROUP BY ALL) GROUP BY detector UNION ALL SELECT detector, 'maskmap', count(*), count(*)::DOUBLE, round(avg(col), 6) FROM masked GROUP BY detector")
+def plots_masks(spark, sf_dir):
+    o = masks.occupancy(adapters.hits(spark, sf_dir))
+    return _stats(plot_sets.mask_creator(o, _masked(spark), _detectors(spark), masks.local_density(adapters.hits(spark, sf_dir), _detectors(spark), 3)), ("occupancy", "maskmap"))
+
+
+@query(f"WITH {GOOD_SQL} SELECT 'P6' AS path, 'efficiency_vs_event' AS graph, event_id::DOUBLE AS x, round(sum(matched::INT) OVER (ORDER BY event_id) / count(*) OVER (ORDER BY event_id), 6) AS y FROM good")
+def graph_points(spark, sf_dir):
+    return _rounded(plot_sets.efficiency_graph(efficiency.efficiency_by_event(_good(spark, sf_dir)), "P6"))
+
+
+@query(f"WITH {DUT_SPOTS} SELECT 'D' AS path, 'xy_translation_matched_x' AS plot, count(*) AS entries, count(*)::DOUBLE AS sum_w, round(avg(gx), 6) AS mean_x FROM g")
+def plots_alignment_dut(spark, sf_dir):
+    spots, d = _dut_spots(spark, sf_dir)
+    return _stats(plot_sets.alignment_dut(align.local_position(spots, d), "D", d.position[:2], d.size(), (56, 42)), ("xy_translation_matched_x",))
+
+
+@query("SELECT 'P' || p AS path, g AS graph, 0.0::DOUBLE AS x, (p * 10 + CASE WHEN g = 'rotationZ' THEN 0.0 ELSE 1.0 END)::DOUBLE AS y FROM range(1, 4) a(p), (VALUES ('displacementX'), ('rotationZ')) v(g)")
+def plots_alignment(spark, sf_dir):
+    """Corrections as points, in um and degrees."""
+    import math
+
+    steps = [(0, f"P{p}", k, (p * 10 + 1) / 1000 if k == "x" else math.radians(p * 10)) for p in range(1, 4) for k in ("x", "rz")]
+    g = align.graphs(spark, align.Aligned([], steps))
+    return _rounded(g.select(F.col("detector").alias("path"), "graph", "x", "y"))
+
+
 # ---- saved data
 
 

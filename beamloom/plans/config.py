@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import argparse
+import time
 import tomllib
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
-
 from beamloom.functions import units
+from beamloom.sources import store
 
-Tables = dict[str, DataFrame]
+#: Tables by name; `geometry` is the list of detectors, `plots` and `graphs` are tables by stage.
+Tables = dict[str, Any]
+#: Tables that several stages read.
+KEPT = ("hits", "traces", "pixels", "clusters", "tracks", "track_cluster_links", "residuals", "waveforms", "associations", "masked", "time_pairs")
 _STAGES: dict[str, Callable[[Tables, "Block"], Tables]] = {}
 
 
@@ -98,12 +102,54 @@ def parse(text: str, overrides: tuple[str, ...] = ()) -> list[Block]:
     return blocks
 
 
-def run(blocks: list[Block], tables: Tables) -> Tables:
-    """Applies the stages one after the other. Nothing is computed until a table is written."""
+@dataclass
+class Report:
+    """What a run tells about itself: seconds by stage, and counts of rows by table."""
+
+    seconds: dict[str, float] = field(default_factory=dict)
+    whole: float = 0.0
+    counts: dict[str, int] = field(default_factory=dict)
+
+    def lines(self) -> list[str]:
+        """The slowest stage first, then the counts."""
+        slow = sorted(self.seconds.items(), key=lambda s: -s[1])
+        return [f"{n}: {s:.3f} s" for n, s in slow] + [f"in all: {self.whole:.3f} s"] + [f"{n}: {units.count(c)}" for n, c in sorted(self.counts.items())]
+
+
+def run(blocks: list[Block], tables: Tables, report: Report | None = None) -> Tables:
+    """Applies the stages one after the other. The tables that later stages build on (KEPT) are stored once they are made; others are
+    plans that are computed where they are written.
+
+    A stage with `concurrent` starts on the tables that are there and runs beside those after it; its new tables join
+    at the end. Its jobs share the cluster's cores with theirs.
+    """
+    report = report or Report()
+    begun = time.monotonic()
+    beside: list[tuple[set, str, Future]] = []
+
+    def applied(b: Block, t: Tables) -> Tables:
+        start = time.monotonic()
+        out = _STAGES[b.kind](t, b)
+        out = out | {n: store.stored(out[n], n) for n in KEPT if n in out and out[n] is not t.get(n)}
+        report.seconds[b.name] = report.seconds.get(b.name, 0.0) + time.monotonic() - start
+        return out
+
     for b in blocks:
         if b.kind not in _STAGES:
             raise KeyError(f"no stage {b.kind}")
-        tables = _STAGES[b.kind](tables, b)
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        for b in blocks:
+            if b.flag("concurrent"):
+                beside.append((set(tables), b.kind, pool.submit(applied, b, {k: v for k, v in tables.items() if k not in ("plots", "graphs")})))
+            else:
+                tables = applied(b, tables)
+        for before, name, done in beside:
+            new = done.result()
+            for kind in ("plots", "graphs"):
+                if name in new.get(kind, {}):
+                    tables = tables | {kind: tables.get(kind, {}) | {name: new[kind][name]}}
+            tables = tables | {k: v for k, v in new.items() if k not in before and k not in ("plots", "graphs")}
+    report.whole = time.monotonic() - begun
     return tables
 
 

@@ -6,26 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fixed values of the digitiser's offset DAC and of its codes.
+DAC_STEPS, DAC_CENTRE, ZERO_CODE, CODES_PER_VOLT = 65535.0, 0.5, 2048.0, 4096.0
+
+
 def skip_producers(sub: DataFrame, skipped: list[str]) -> DataFrame:
     return sub.filter(~F.col("producer").isin(skipped)) if skipped else sub
 
 
 def channel_of(aux: Column) -> Column:
-    """The channel in `<name>:CH<n>:col..:row..`; -1 if there is none."""
-    return F.coalesce(F.regexp_extract(aux, "CH([0-9]+)", 1).try_cast("int"), F.lit(-1))
+    """The channel in `<name>:CH<n>:col..:row..`; -1 if no part behind the name is one."""
+    parts = F.split(aux, ":")
+    named = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p.startswith("CH"))
+    return F.coalesce(F.substring(F.get(named, F.lit(0)), 3, 9).try_cast("int"), F.lit(-1))
 
 
 def dac_offsets(text: Column) -> Column:
-    """Map of channel to volts from `CH <n> : <dac>` entries; volts are dac / 65535 - 0.5."""
-    pairs = F.regexp_extract_all(text, F.lit(r"CH(\d+)\s*:\s*(\d+)"), F.lit(0))
-    entry = lambda p: F.struct(
-        F.regexp_extract(p, r"CH(\d+)", 1).cast("int").alias("key"), (F.regexp_extract(p, r":\s*(\d+)", 1).cast("double") / 65535.0 - 0.5).alias("value")
-    )
-    return F.map_from_entries(F.transform(pairs, entry))
+    """Map of channel to volts from entries `CH<n>: <dac>`; what is no entry is passed over, and of equal channels the last counts."""
+    parts = F.split(text, "CH")
+    pieces = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.split(p, ":"))
+    entry = lambda p: F.struct(F.rtrim(p[0]).try_cast("int").alias("key"), volts(F.split(F.ltrim(F.get(p, F.lit(1))), "[^0-9]")[0].try_cast("double")).alias("value"))
+    read = F.filter(F.transform(pieces, entry), lambda e: e["key"].isNotNull() & e["value"].isNotNull())
+    last = F.filter(read, lambda e, i: ~F.exists(F.slice(read, i + 2, F.size(read)), lambda o: o["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+def volts(dac: Column) -> Column:
+    return dac / DAC_STEPS - DAC_CENTRE
 
 
 def dc_offset(offsets: Column, channel: Column, default_dac: int = 32768) -> Column:
-    return F.coalesce(F.try_element_at(offsets, channel), F.lit(default_dac / 65535.0 - 0.5))
+    return F.coalesce(F.try_element_at(offsets, channel), volts(F.lit(float(default_dac))))
 
 
 def sensor_name(c: Column) -> Column:
@@ -42,7 +53,7 @@ def timestamp_ns(pixel_ps: Column, kind: Column, event_number: Column, begin: Co
 
 def adc_codes(volts: Column, dc: Column, length: int = 1024) -> Column:
     """16-bit codes round((v - dc) * 4096 + 2048), padded with zeros or cut to `length`."""
-    codes = F.transform(volts, lambda v: F.round((v - dc) * 4096.0 + 2048.0).cast("short"))
+    codes = F.transform(volts, lambda v: F.round((v - dc) * CODES_PER_VOLT + ZERO_CODE).cast("short"))
     zeros = F.array_repeat(F.lit(0).cast("short"), F.greatest(F.lit(0), F.lit(length) - F.size(volts)))
     return F.slice(F.concat(codes, zeros), 1, length)
 

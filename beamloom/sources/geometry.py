@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import tomllib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from beamloom.functions import units
+from beamloom.functions import coords, units
 
 
 @dataclass
@@ -41,9 +43,22 @@ class Detector:
         return [[cc * cb, cc * sb * sa - sc * ca, cc * sb * ca + sc * sa], [sc * cb, sc * sb * sa + cc * ca, sc * sb * ca - cc * sa], [-sb, cb * sa, cb * ca]]
 
     def effective_pitch(self) -> tuple[float, float]:
-        """The gap is shared out over the pixels."""
-        wide = lambda p, g, n: p + g / (n - 1) if n >= 2 else p
-        return wide(self.pitch_x, self.gap_x, self.n_cols), wide(self.pitch_y, self.gap_y, self.n_rows)
+        """By the layout's rule."""
+        return LAYOUTS.get(self.layout, LAYOUTS[""]).pitch(self)
+
+    def is_pixel(self) -> bool:
+        return self.n_cols > 0 and self.n_rows > 0
+
+    def die_labels(self) -> list[str]:
+        """Dies of the dies file in its order; without one, those of the layout (none of the known layouts has its own)."""
+        return list(self.dies) or list(LAYOUTS.get(self.layout, LAYOUTS[""]).dies)
+
+    def has_die_split(self) -> bool:
+        return bool(self.die_labels())
+
+    def unknown_layout(self) -> bool:
+        """A layout is named that no rule is registered for; the generic one takes its place."""
+        return bool(self.layout) and self.layout not in LAYOUTS
 
     def size(self) -> tuple[float, float]:
         px, py = self.effective_pitch()
@@ -54,7 +69,45 @@ class Detector:
         out = {"detector": self.name, "kind": self.kind, "role": self.role, "n_cols": self.n_cols, "n_rows": self.n_rows, "pitch_x": px, "pitch_y": py, "size_x": sx, "size_y": sy, "res_x": self.res_x, "res_y": self.res_y}
         out |= {f"p{a}": float(v) for a, v in zip("xyz", self.position, strict=True)}
         out |= {f"r{i}{j}": r[i][j] for i in range(3) for j in range(3)}
-        return out | {"tilt": math.sqrt(sum(t * t for t in self.orientation)), "has_dies": bool(self.dies)}
+        return out | {"tilt": math.sqrt(sum(t * t for t in self.orientation)), "has_dies": self.has_die_split(), "is_pixel": self.is_pixel()}
+
+
+def _shared_gap(d: Detector) -> tuple[float, float]:
+    """The gap is shared out over the steps between pixels."""
+    steps = (max(d.n_cols - 1, 0), max(d.n_rows - 1, 0))
+    return tuple(p + (g / k if k else 0.0) for p, g, k in zip((d.pitch_x, d.pitch_y), (d.gap_x, d.gap_y), steps, strict=True))
+
+
+@dataclass(frozen=True)
+class Layout:
+    """What a board's layout decides: the step between pixels, and dies of its own."""
+
+    pitch: Callable[[Detector], tuple[float, float]] = _shared_gap
+    dies: tuple[str, ...] = ()
+
+
+#: Layouts by the name in a geometry file; the empty name is the generic one.
+LAYOUTS = {"": Layout(), "orthogonal": Layout(), "OrthogonalLayout": Layout()}
+
+
+def bound(detectors: list[Detector], name: str = "", kind: str = "") -> list[Detector]:
+    """The detector of a name or, without one, all of a type; neither is an error, as is a name that does not occur."""
+    if name:
+        found = [d for d in detectors if d.name == name]
+        if not found:
+            raise KeyError(f"no detector {name}")
+        return found
+    if not kind:
+        raise ValueError("a name or a type is needed")
+    return [d for d in detectors if d.kind == kind]
+
+
+def with_die(df: DataFrame, dies: DataFrame, col: str = "col", row: str = "row", out: str = "die") -> DataFrame:
+    """df (detector and a position in pixels) with the die of the nearest pixel, halves up; "" outside of all dies. Where dies share a
+    pixel, the first by name is taken."""
+    first = dies.groupBy("detector", F.col("col").alias("__c"), F.col("row").alias("__r")).agg(F.min("die").alias("__die"))
+    at = df.withColumns({"__c": coords.nearest_index(F.col(col)), "__r": coords.nearest_index(F.col(row))})
+    return at.join(first, ["detector", "__c", "__r"], "left").withColumn(out, F.coalesce("__die", F.lit(""))).drop("__c", "__r", "__die")
 
 
 def table(spark: SparkSession, detectors: list[Detector]) -> DataFrame:
@@ -95,7 +148,7 @@ def read(path: str) -> list[Detector]:
 
 
 def write(path: str, source: str, detectors: list[Detector]) -> None:
-    """The source file with new positions and orientations, all other lines and their order as they were."""
+    """The source file with new positions and orientations in fitting units, all other lines and their order as they were."""
     by_name, now, out = {d.name: d for d in detectors}, None, []
     for line in Path(source).read_text().splitlines():
         head = line.strip()
@@ -103,8 +156,8 @@ def write(path: str, source: str, detectors: list[Detector]) -> None:
             now = by_name.get(head.strip("[]").strip('"'))
         key = head.split("=")[0].strip()
         if now and key == "position":
-            line = "position = [" + ", ".join(f'"{v:.9g}mm"' for v in now.position) + "]"
+            line = "position = [" + ", ".join(f'"{units.display(v, "length", 12)}"' for v in now.position) + "]"
         elif now and key == "orientation":
-            line = "orientation = [" + ", ".join(f'"{v:.9g}rad"' for v in now.orientation) + "]"
+            line = "orientation = [" + ", ".join(f'"{units.display(v, "angle", 12)}"' for v in now.orientation) + "]"
         out.append(line)
     Path(path).write_text("\n".join(out) + "\n")

@@ -1,13 +1,10 @@
-import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from beamloom.operators import align, assoc, cluster, correlate, efficiency, masks, sync, timing, track, waveform
-from beamloom.plans import config
-from beamloom.plans import stages  # noqa: F401
+from beamloom.operators import assoc, cluster, correlate, efficiency, masks, sync, timing, track, waveform
 from beamloom.sources import daq, geometry
 from beamloom.sources import hits as hit_sources
 
@@ -79,16 +76,54 @@ def pulse(kind):
     return s
 
 
-def test_waveforms():
-    v, t = waveform.features(pulse("short"), (0.5, 0.7))
-    f = dict(zip(waveform.FEATURES, v, strict=True))
+def named(s, *args):
+    kept, values, times = waveform.features(np.array([s]), *args)
+    return (dict(zip(waveform.FEATURES, values[0], strict=True)), times[0]) if kept[0] else None
+
+
+def test_waveforms(spark):
+    f, t = named(pulse("short"), (0.5, 0.7))
     assert f["peak"] == 43 and abs(f["baseline"]) < 0.002 and f["noise"] == pytest.approx(0.01, rel=0.1) and f["amplitude"] == pytest.approx(0.99, abs=0.01)
     assert 8.0 < t[0] < t[1] < 8.6 and f["rise_time"] > 0 and f["time_over_threshold"] == pytest.approx(1.0, abs=0.25) and f["time_over_noise"] > f["time_over_threshold"] and f["integral"] > 0
-    v, _ = waveform.features(pulse("long"))
-    assert dict(zip(waveform.FEATURES, v, strict=True))["time_over_threshold"] == 0.0
-    assert waveform.features(np.arange(10)[::-1] * 1.0) is None and waveform.features(np.zeros(1)) is None and waveform.features(np.zeros(50)) is None
-    assert waveform.calibrated(np.array([2048.0, 0.0]), 0.1).tolist() == [-0.1, 0.4]
-    assert waveform.inverted(np.array([0.0, 0.25]), 0.0, 4).tolist() == [2048, 3072, 0, 0]
+    f, _ = named(pulse("long"))
+    assert f["time_over_threshold"] == 0.0
+    assert named(np.arange(10)[::-1] * 1.0) is None and named(np.zeros(1)) is None and named(np.zeros(50)) is None
+    two = spark.createDataFrame([(1, [2048.0, 0.0]), (2, None), (3, [])], "k int, s array<double>").select(waveform.calibrated(F.col("s"), 0.1)).collect()
+    assert two[0][0] == [-0.1, 0.4] and two[1][0] is None and two[2][0] == []
+    mixed = spark.createDataFrame([(1, pulse("short").tolist()), (2, None), (3, [1.0]), (4, pulse("short").tolist() + [0.0] * 7), (5, [0.0] * 30)], "k int, s array<double>")
+    got = {r.k: r for r in waveform.process(mixed, "s", (0.5, 0.7), keep=("k",)).collect()}
+    assert got[1].peak == got[4].peak == 43 and [p.cfd for p in got[4].start_time_cfd] == [0.5, 0.7] and all(got[k].peak is None and got[k].start_time_cfd is None for k in (2, 3, 5))
+    codes = mixed.withColumn("s", F.transform("s", lambda v: F.round(-v * 4096 + 2048)))
+    assert {r.k: r.peak for r in waveform.process(codes, "s", keep=("k",), polarity=-1).collect()}[1] == 43
+
+
+def walked(s, ceiling, level, places, dt):
+    """When a trace passes a level, sample by sample from the peak outwards."""
+    points, above = [], None
+    for k in places:
+        if s[k] > ceiling:
+            above = (s[k], k * dt)
+            continue
+        points += [above] if not points and above else []
+        points.append((s[k], k * dt))
+        if s[k] < level:
+            low = points[-1]
+            high = min((p for p in points[:-1]), default=low)
+            return low[1] + (min(1.0, (level - low[0]) / (high[0] - low[0])) * (high[1] - low[1]) if high[0] > low[0] else 0.0)
+    return 0.0
+
+
+def test_passages_against_walking():
+    r = np.random.default_rng(2)
+    for n in (3, 8, 40):
+        s = r.standard_normal((300, n)).round(1) + 4 * np.exp(-(((np.arange(n) - n / 2) / 3) ** 2))
+        peak = s.argmax(axis=1)
+        top, level = s.max(axis=1) * 0.9, s.max(axis=1) * r.choice([0.2, 0.5, 0.8], 300)
+        span = np.arange(n) <= peak[:, None]
+        got = waveform._passed(s, span, top, level, 0.2, True)
+        assert np.allclose(got, [walked(s[i], top[i], level[i], range(peak[i], -1, -1), 0.2) for i in range(300)])
+        got = waveform._passed(s, np.arange(n) >= peak[:, None], top, level, 0.2, False)
+        assert np.allclose(got, [walked(s[i], top[i], level[i], range(peak[i], n), 0.2) for i in range(300)])
 
 
 def test_exact_lines(spark):
@@ -135,7 +170,7 @@ def test_association_borders(spark):
     assert {r.cluster_id: r.reason for r in e.collect()} == {10: 0, 11: 1, 13: 2, 14: 1}
     n = {r.track_id: (r.n, r.seen) for r in assoc.counts(t, e, c).collect()}
     assert n == {1: (1, True), 2: (0, True), 3: (0, False), 4: (0, True)}
-    assert [tuple(r) for r in assoc.closest(e).collect()] == [(1, 10)]
+    assert [tuple(r) for r in assoc.closest(e).collect()] == [(1, 1, 10)]
 
 
 def test_fakes(spark):
@@ -169,10 +204,31 @@ def test_sync(spark):
         assert got.c == pytest.approx(c, abs=1e-9)
     t = spark.createDataFrame([(i,) for i in range(0, 9000, 7)], "event_id long")
     h = t.filter("event_id % 3 = 0").select(F.when(F.col("event_id") < 4000, F.col("event_id") + 1).otherwise(F.col("event_id") + 3).alias("event_id"))
-    found = sync.walk_shifts(sync.shift_scan(t, h, 6, 300), 0, 2)
+    found = list(sync.walk_shifts(sync.shift_scan(t, h, 6, 300), 0, 2))
     assert found[0] == (0, 1) and found[-1][1] == 3
     with pytest.raises(Exception, match="negative"):
         sync.apply_shifts(t, spark.createDataFrame([(0, 10, 50)], "first long, last long, shift long")).collect()
+    segments = sync.segments(spark, t, iter(found), 300, 500)
+    moved = sync.apply_shifts(h, segments)
+    late = {r.event_id for r in moved.filter("event_id >= 4500").collect()}
+    assert late <= {r.event_id for r in t.collect()} and len(late) > 100
+    with pytest.raises(Exception, match="0.3"):
+        sync.passing(spark.createDataFrame([(1.0, [(0.5, 1.0)])], "snr double, start_time_cfd array<struct<cfd:double,t:double>>"), 0.3, start_time=(0.0, 9.0)).collect()
+
+
+def test_shifted_files(spark, tmp_path):
+    rows = [(e, d, float(e)) for e in range(20) for d in ("A", "B")]
+    w = spark.createDataFrame(rows, "event_id long, detector string, snr double")
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    w.write.parquet(source)
+    segments = spark.createDataFrame([(10, 19, 3)], "first long, last long, shift long")
+    with pytest.raises(ValueError, match="in_place"):
+        sync.write_shifted(w, segments, ["A"], source, source)
+    with pytest.raises(ValueError, match="no segments"):
+        sync.write_shifted(w, segments.limit(0), ["A"], source, target)
+    sync.write_shifted(spark.read.parquet(source), segments, ["A"], source, target)
+    got = {(r.detector, int(r.snr)): r.event_id for r in spark.read.parquet(target).collect()}
+    assert got == {(d, e): e - 3 if d == "A" and e >= 10 else e for e, d, _ in rows} and not (tmp_path / "out.partial").exists()
 
 
 def test_prealignment_methods_agree(spark):
@@ -184,39 +240,17 @@ def test_prealignment_methods_agree(spark):
         assert s.shift_x == pytest.approx(1.2, abs=0.3) and s.shift_y == pytest.approx(-0.7, abs=0.3)
 
 
-def test_alignment(spark):
-    box = np.zeros(100)
-    box[30:70] = 50
-    f = align.plateau(box, 0.0, 100.0)
-    assert f["centre"] == pytest.approx(50.0, abs=0.5) and f["width"] == pytest.approx(40.0, abs=1.0) and not f["partial"]
-    half = np.zeros(100)
-    half[30:50] = 50
-    assert align.plateau(half, 0.0, 100.0, width=40.0)["partial"] and align.plateau(np.ones(10), 0, 1) is None
-    x = align.levenberg_marquardt(lambda t: np.array([t[0] - 3, 10 * (t[1] + 1), t[0] * t[1] + 3]), np.zeros(2), np.array([1e-4, 1e-4]))
-    assert x == pytest.approx([3, -1], abs=1e-6)
-    assert align.chi2_limit(1, 100) < align.chi2_limit(3, 100) and math.isinf(align.chi2_limit(0, 5))
-    from beamloom.plans.catalogue import align_millepede, align_trackchi2
-
-    for q in (align_millepede, align_trackchi2):
-        got = {r.detector: (r.dx, r.dy, r.rz) for r in q(spark, "/root/testdata/sf0.001").collect()}
-        assert got["P2"] == pytest.approx((0.05, -0.03, 0.002), abs=3e-4) and got["P4"] == pytest.approx((-0.02, 0.04, -0.001), abs=3e-4) and got["P3"] == pytest.approx((0, 0, 0), abs=1e-4)
+def test_dead_pixels(spark):
+    det = geometry.table(spark, [geometry.Detector("A", n_cols=3, n_rows=2)])
+    hits = spark.createDataFrame([("A", 0, 0, 5000), ("A", 1, 1, 9000), ("A", 2, 0, 1)], "detector string, col int, row int, event_id long")
+    masked = spark.createDataFrame([("A", 0, 1)], "detector string, col int, row int")
+    assert {tuple(r) for r in masks.dead_pixels(hits, det, masked).collect()} == {("A", 1, 0), ("A", 2, 1)}
 
 
 def test_daq_and_scans(spark):
-    d = spark.createDataFrame([("x:CH12:col1:row2", "CH0 : 0\nCH12 : 65535"), ("none", "")], "aux string, dac string")
+    d = spark.createDataFrame([("x:CH12:col1:row2", "CH0 : 0\nCH12 : 65535"), ("none", ""), ("CH7sensor:col1", "CH1 x : 3 CH2: 13107V CH2 :0")], "aux string, dac string")
     got = d.select(daq.channel_of(F.col("aux")).alias("c"), daq.dac_offsets(F.col("dac")).alias("m")).collect()
-    assert [r.c for r in got] == [12, -1] and got[0].m == {0: -0.5, 12: 0.5} and got[1].m == {}
+    assert [r.c for r in got] == [12, -1, -1] and got[0].m == {0: -0.5, 12: 0.5} and got[1].m == {} and got[2].m == {2: -0.5}
     h = spark.createDataFrame([(1,), (3,)], "event_id long")
     assert sorted(r[0] for r in hit_sources.union_files([h, h, h], [2, 4]).collect()) == [1, 5, 7, 9, 11]
     assert hit_sources.normalised(h, ("channel", "has_waveform")).first()[1:] == (-1, False)
-
-
-def test_stages_end_to_end(spark):
-    dets = [geometry.Detector(f"P{k}", position=(0.0, 0.0, 100.0 * k), n_cols=50, n_rows=50, pitch_x=1.0, pitch_y=1.0, res_x=0.3, res_y=0.3) for k in range(5)]
-    rows = [(e, f"P{k}", 10 + e % 20 + k, 30 - k, 1.0, 0.0, 0) for e in range(40) for k in range(5)]
-    t = {"hits": spark.createDataFrame(rows, "event_id long, detector string, col int, row int, charge double, ts double, channel int"), "detectors": geometry.table(spark, dets)}
-    text = "[ClusteringSpatial]\n[Globalise]\n[Tracking4D]\nspatial_cut_abs = 1.5\nmin_hits_on_track = 5\nunique_cluster_usage = true\n"
-    out = config.run(config.parse(text), t)
-    tracks = out["tracks"].collect()
-    assert len(tracks) == 40 and all(r.mx == pytest.approx(0.01) and r.n == 5 for r in tracks)
-    assert out["track_cluster_links"].count() == 200
