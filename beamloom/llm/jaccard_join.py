@@ -203,25 +203,27 @@ def _cell_links(ids: np.ndarray, tile: np.ndarray, sets: list[np.ndarray], same_
     return [(int(ids[order[x]]), int(ids[order[y]])) for x, y in found]
 
 
-def _block_links(rows: DataFrame, percent: int) -> DataFrame:
-    """Runs over rows sorted by (block, a, b); a group has at most about two tiles of sets."""
+def _block_links(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Runs over rows sorted by (block, a, b); a group has at most about two tiles of sets. Texts come compressed, a third of
+    the bytes of their sets, which are made here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
+        hashes, unpack = packed.WordHashes(), zstandard.ZstdDecompressor().decompress
 
         def close() -> pa.RecordBatch:
-            found = _cell_links(np.array(list(held)), np.array([r[0] for r in held.values()]), [np.frombuffer(r[1], np.uint64) for r in held.values()], key[1] == key[2], percent) if len(held) > 1 else []
+            found = _cell_links(np.array(list(held)), np.array([r[0] for r in held.values()]), [r[1] for r in held.values()], key[1] == key[2], percent) if len(held) > 1 else []
             u, v = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("block", "a", "b", "id", "tile")]
-            for block, a, b, doc, tile, tokens in zip(*cols, (x.as_py() for x in batch.column("tokens")), strict=True):
+            for block, a, b, doc, tile, text in zip(*cols, (x.as_py() for x in batch.column("text")), strict=True):
                 if key != (block, a, b):
                     if held:
                         yield close()
                     key, held = (block, a, b), {}
-                held[doc] = (tile, tokens)
+                held[doc] = (tile, shingles(unpack(text), n, hashes))
         if held:
             yield close()
 
@@ -299,23 +301,23 @@ def _routes(stored: DataFrame, reps: DataFrame, frequent, n: int, percent: int,
     return dealt(sent, total).mapInArrow(returned_memory(meet), "u long, v long")
 
 
-def _tokens(stored: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
-    """id, block, tile, tiles and the set of the documents in blocks."""
+def _texts(stored: DataFrame, chosen: DataFrame) -> DataFrame:
+    """id, block, tile, tiles and the compressed text of the documents in blocks."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = packed.WordHashes()
+        pack = zstandard.ZstdCompressor(3).compress
         for rb in rows:
             for r in range(rb.num_rows):
                 own, sizes, blob, asked = (c[r].as_py() for c in rb.columns)
                 batch = Batch(blob, sizes)
                 for start in range(0, len(asked), 500):
                     part = asked[start : start + 500]
-                    sets = [s.tobytes() for s in _sets(batch, [a["pos"] for a in part], n, hashes)]
+                    texts = [pack(batch.data[batch.ends[a["pos"] - 1] if a["pos"] else 0 : batch.ends[a["pos"]]].tobytes()) for a in part]
                     cols = [pa.array([own[a["pos"]] for a in part], pa.int64()), *[pa.array([a[c] for a in part], k) for c, k in (("block", pa.int64()), ("tile", pa.int32()), ("tiles", pa.int32()))]]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(sets, pa.binary())], ["id", "block", "tile", "tiles", "tokens"])
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.binary())], ["id", "block", "tile", "tiles", "text"])
 
     asked = _asked(stored, chosen, ["pos", "block", "tile", "tiles"])
-    return asked.mapInArrow(returned_memory(run), "id long, block long, tile int, tiles int, tokens binary")
+    return asked.mapInArrow(returned_memory(run), "id long, block long, tile int, tiles int, text binary")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90, tile: int = 2048) -> DataFrame:
@@ -335,12 +337,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     chosen = blocks.join(sized, "component").select(
         F.col("node").alias("rep"), F.col("component").alias("block"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"), tiles.alias("tiles")
     )
-    sets = _tokens(stored, classes.select("rep", "batch", "pos").join(chosen, "rep"), n)
-    spread = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "block", F.least("tile", "with").alias("a"), F.greatest("tile", "with").alias("b"), "id", "tile", "tokens"
+    texts = _texts(stored, classes.select("rep", "batch", "pos").join(chosen, "rep"))
+    spread = texts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "block", F.least("tile", "with").alias("a"), F.greatest("tile", "with").alias("b"), "id", "tile", "text"
     )
     spread = spread.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b")
-    found = components(_block_links(spread, percent)).withColumnRenamed("node", "rep")
+    found = components(_block_links(spread, n, percent)).withColumnRenamed("node", "rep")
     named = classes.join(found, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     return described.drop("often", "batch", "pos").join(named, same, "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component_id")
