@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from beamloom.llm import packed
 from beamloom.llm.shared import returned_memory, written
 
-BATCH_BYTES = 2_500_000
+#: Bytes of text in a batch. Compressed, a batch then stays under half a megabyte: the JVM gives larger objects regions of their own,
+#: which keep its heap wide.
+BATCH_BYTES = 1_200_000
 U = np.uint64
 
 
