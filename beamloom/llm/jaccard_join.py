@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 
 from beamloom.llm import packed
 from beamloom.llm.components import components
-from beamloom.llm.shared import returned_memory, written
+from beamloom.llm.shared import dropped, returned_memory, written
 from beamloom.llm.text_batches import BATCH_BYTES, Batch, batches, by_bucket, dealt, grouped, lengthened, shortened
 
 #: Sizes of a class of the routing scheme span this ratio.
 RATIO = 1.25
 LEAF = 32
 MAX_BITS = 1 << 15
+#: Documents of a task that are counted together to find frequent tokens.
+COUNTED_DOCS = 3000
 #: Tokens that count as frequent at most, the most frequent ones; they steer the routing only, any choice gives the same links.
 FREQUENT = 200_000
 
@@ -231,21 +233,26 @@ def _block_links(rows: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _described(stored: DataFrame, n: int) -> DataFrame:
-    """One row a document: id, batch, pos, n, the 128-bit name of its set, and (in a batch's first row) the tokens frequent in the batch."""
+    """One row a document: id, batch, pos, n, the 128-bit name of its set, and (in the first row of some batches) the tokens that are
+    frequent in the documents counted up to there, COUNTED_DOCS or a task's last ones."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = packed.WordHashes()
         kind = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))
+        counted: list[np.ndarray] = []
         for rb in rows:
             for r in range(rb.num_rows):
                 number, ids, sizes, blob = (c[r].as_py() for c in rb.columns)
                 sets = list(_sets(Batch(blob, sizes), range(len(ids)), n, hashes))
                 k1 = [int(packed.mix(s).sum(dtype=np.uint64)) - (1 << 63) for s in sets]
                 k2 = [int(packed.mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)) - (1 << 63) for s in sets]
-                tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-                many = counts >= max(4, len(sets) // 500)
                 often: list = [None] * len(sets)
-                often[0] = [{"token": t, "n": c} for t, c in zip(tokens[many].view(np.int64).tolist(), counts[many].tolist(), strict=True)]
+                counted += sets
+                if len(counted) >= COUNTED_DOCS or r == rb.num_rows - 1:
+                    tokens, counts = np.unique(np.concatenate(counted), return_counts=True)
+                    many = counts >= max(4, len(counted) // 700)
+                    often[0] = [{"token": t, "n": c} for t, c in zip(tokens[many].view(np.int64).tolist(), counts[many].tolist(), strict=True)]
+                    counted = []
                 longs = ([number] * len(ids), range(len(ids)), map(len, sets), k1, k2)
                 arrays = [pa.array(ids, pa.int64()), *[pa.array(list(x), pa.int64()) for x in longs], pa.array(often, kind)]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "batch", "pos", "n", "k1", "k2", "often"])
@@ -343,6 +350,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
     spread = spread.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b")
     found = components(_block_links(spread, n, percent)).withColumnRenamed("node", "rep")
+    dropped(stored)
     named = classes.join(found, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     return described.drop("often", "batch", "pos").join(named, same, "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component_id")

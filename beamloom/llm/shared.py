@@ -67,6 +67,22 @@ def dropped(*tables: DataFrame) -> None:
     for df in tables:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             _remove(df.sparkSession, path)
+            _WRITTEN[:] = [p for p in _WRITTEN if p.rsplit("/", 1)[-1] != path.rsplit("/", 1)[-1]]
+
+
+def tables_since(mark: int = 0) -> list[str]:
+    """The folders of the tables that this process has written and not removed, without the first so many."""
+    return _WRITTEN[mark:]
+
+
+def released(spark: SparkSession, folders: list[str], reader: DataFrame) -> None:
+    """Removes written tables that a DataFrame does not read."""
+    read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in reader.inputFiles()}
+    for path in [p for p in folders if p.rsplit("/", 1)[-1] not in read]:
+        _remove(spark, path)
+        folders.remove(path)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
 
 
 def swept(spark: SparkSession) -> None:
