@@ -7,19 +7,40 @@ operators' own texts say; here, rows with a null id are never near duplicates an
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beamloom.llm import byte_bpe, jaccard_join, quality_rules, source_mixing, suffix_dedup
 from beamloom.llm.queries import vocabulary
-from beamloom.llm.shared import table, written
+from beamloom.llm.shared import released, table, tables_since, written
+
+#: Tables that the stages so far have written on their way.
+_LEFT: list[str] = []
+
+
+def _stage(f):
+    """The stage, before which tables of earlier stages go that docs does not read; docs is the written result of the stage before."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        released(spark, _LEFT, docs)
+        mark = len(tables_since())
+        out = f(spark, docs, sf_dir)
+        _LEFT.extend(tables_since(mark))
+        return out
+
+    return run
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or their host's verdict reject go."""
     return quality_rules.quality_rules(docs).filter("kept").select(*docs.columns)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8 or more, the smallest id stays."""
     found = jaccard_join.jaccard_components(docs, n=5, percent=80)
@@ -27,6 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of 50-byte strings that a smaller id has are cut out of the texts; a cut inside a character drops what is left of it."""
     cut = suffix_dedup.suffix_dedup(docs, texts=True).filter("n_removed > 0")
@@ -39,11 +61,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return joined.select(*docs.columns)
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled to the target weights of source, language and topic."""
     return source_mixing.mix(docs).filter("kept").select(*docs.columns)
 
 
+@_stage
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and whether decoding gives the text's bytes again."""
     import public_tokenizers
@@ -67,5 +91,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")  # one table a stage, kept for recovery
     return STAGES[-1][1](spark, docs, sf_dir)
