@@ -14,18 +14,20 @@ from pyspark.sql import functions as F
 
 from beamloom.llm import byte_bpe, jaccard_join, quality_rules, source_mixing, suffix_dedup
 from beamloom.llm.queries import vocabulary
-from beamloom.llm.shared import released, table, tables_since, written
+from beamloom.llm.shared import collected, released, table, tables_since, written
 
 #: Tables that the stages so far have written on their way.
 _LEFT: list[str] = []
 
 
 def _stage(f):
-    """The stage, before which tables of earlier stages go that docs does not read; docs is the written result of the stage before."""
+    """The stage, before which tables of earlier stages go that docs does not read, and executors give free memory back; docs is
+    the written result of the stage before."""
 
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         released(spark, _LEFT, docs)
+        collected(spark)
         mark = len(tables_since())
         out = f(spark, docs, sf_dir)
         _LEFT.extend(tables_since(mark))
