@@ -86,8 +86,9 @@ def released(spark: SparkSession, folders: list[str], reader: DataFrame) -> None
 
 
 def collected(spark: SparkSession) -> None:
-    """Lets the executors collect their heaps once and give back what is free. A heap that one stage's garbage has widened stays
+    """Lets the executors and the driver collect their heaps once and give back what is free. A heap that one stage's garbage has widened stays
     wide otherwise, and the Python workers of the next stage need the memory."""
+    spark.sparkContext._jvm.System.gc()
     tasks = 2 * spark.sparkContext.defaultParallelism
     spark.range(0, tasks, 1, tasks).selectExpr("reflect('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
 
