@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beamloom.llm.quality_rules import SPACE
-from beamloom.llm.shared import written
+from beamloom.llm.shared import dropped, written
 
 DIMS = ("__source", "__lang", "__topic")
 NONE = "(none)"
@@ -31,7 +31,7 @@ TOPICS = {"licence": "(?i)licen[sc]e|all rights reserved", "symbols": r"[#$%&*]{
 REST = "prose"
 #: A share for each class (classes not listed split the rest by tokens), or a power of the token counts.
 TARGETS: tuple[dict[str, float] | float, ...] = (0.5, {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, {"licence": 0.05, "symbols": 0.05, "table": 0.1})
-ROUNDS, CALIBRATION_ROUNDS, FRACTION, SEED = 12, 8, 0.8, "mix"
+ROUNDS, CALIBRATION_ROUNDS, FRACTION, SEED, TOLERANCE = 12, 8, 0.8, "mix", 1e-10
 
 
 def _classed(docs: DataFrame, source: str, lang: str, text: str, topics: dict[str, str]) -> DataFrame:
@@ -63,15 +63,24 @@ def _aimed(cells: DataFrame, dim: str, target: dict[str, float] | float) -> Data
     return raw.crossJoin(F.broadcast(total)).select(dim, F.coalesce(F.try_divide("__a", "__all"), F.lit(0.0)).alias("__aim"))  # one row on the right
 
 
-def raked(cells: DataFrame, targets=TARGETS, rounds: int = ROUNDS) -> DataFrame:
-    """cells (DIMS, __n) with __w, raked so that its sums by each dimension are the targets' shares."""
+def raked(cells: DataFrame, targets=TARGETS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """cells (DIMS, __n) with __w, raked so that its sums by each dimension are the targets' shares: up to so many rounds, fewer once
+    no weight moves by more than the tolerance, in relation to itself, in a round. What is left is one number a round on the driver."""
     aims = [written(_aimed(cells, dim, target), "aims") for dim, target in zip(DIMS, targets, strict=True)]
     now = cells.withColumn("__w", F.col("__n").cast("double"))
-    for _ in range(rounds):
+    for number in range(rounds):
+        before = now
+        now = now.withColumn("__v", F.col("__w"))
         for dim, aim in zip(DIMS, aims, strict=True):
             factor = now.groupBy(dim).agg(F.sum("__w").alias("__have")).join(aim, dim).select(dim, F.coalesce(F.try_divide("__aim", "__have"), F.lit(0.0)).alias("__f"))
-            now = now.join(factor, dim).withColumn("__w", F.col("__w") * F.col("__f")).select(*DIMS, "__n", "__w")
+            now = now.join(factor, dim).withColumn("__w", F.col("__w") * F.col("__f")).select(*DIMS, "__n", "__w", "__v")
         now = written(now, "raked")
+        if number:
+            dropped(before)
+        moved = now.agg(F.max(F.try_divide(F.abs(F.col("__w") - F.col("__v")), F.col("__w")))).first()[0]
+        now = now.drop("__v")
+        if moved is None or moved < tolerance:
+            break
     return now
 
 
