@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamloom.llm import byte_bpe, embedding_dedup, fuzzy_passages, html_extract, jaccard_join, language_id, quality_rules, source_mixing, suffix_dedup, token_files
+from beamloom.llm import byte_bpe, centroids, embedding_dedup, fuzzy_passages, html_extract, jaccard_join, language_id, license_scan, quality_rules, source_mixing, suffix_dedup, token_files
 from beamloom.llm.shared import table
 
 
@@ -109,6 +109,14 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.lloyd(table(spark, sf_dir, "embeddings"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -121,8 +129,16 @@ def queries() -> dict:
         "op8_language_id": op8_language_id,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op11_centroid_clusters": op11_centroid_clusters,
+        "op12_license_scan": op12_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1_SQL, "op4_quality_rules": OP4_SQL, "op9_jaccard_join": OP9_SQL}
+    return {
+        "op1_source_mixing": OP1_SQL,
+        "op4_quality_rules": OP4_SQL,
+        "op9_jaccard_join": OP9_SQL,
+        "op11_centroid_clusters": centroids.lloyd_sql("embeddings"),
+        "op12_license_scan": license_scan.scan_sql("documents"),
+    }
