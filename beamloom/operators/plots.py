@@ -59,20 +59,29 @@ def bins(filled: DataFrame) -> DataFrame:
     return filled.filter("ix IS NOT NULL AND iy IS NOT NULL").groupBy("path", "plot", "ix", "iy").agg(F.sum("w").alias("content"))
 
 
-def stats(filled: DataFrame) -> DataFrame:
-    """path, plot, entries, sums, means and population deviations."""
+def sums(filled: DataFrame) -> DataFrame:
+    """path, plot, entries and sums of moments: all of them add up, over parts of a table as well."""
     inside = F.col("ix").isNotNull() & F.col("iy").isNotNull()
     total = lambda e: F.coalesce(F.sum(F.when(inside, F.col("w") * e)), F.lit(0.0))
-    s = filled.groupBy("path", "plot").agg(
+    return filled.groupBy("path", "plot").agg(
         F.count("*").alias("entries"), total(F.lit(1.0)).alias("sum_w"), total(F.col("x")).alias("sum_x"), total(F.col("x") * F.col("x")).alias("sum_x2"),
         total(F.col("y")).alias("sum_y"), total(F.col("y") * F.col("y")).alias("sum_y2"), total(F.col("x") * F.col("y")).alias("sum_xy"),
     )
+
+
+def moments(s: DataFrame) -> DataFrame:
+    """sums with means and population deviations."""
     mean = {a: F.when(F.col("sum_w") != 0, F.col(f"sum_{a}") / F.col("sum_w")).otherwise(0.0) for a in "xy"}
     s = s.withColumns({f"mean_{a}": m for a, m in mean.items()})
     spread = {a: F.when(F.col("sum_w") != 0, F.col(f"sum_{a}2") / F.col("sum_w") - F.col(f"mean_{a}") * F.col(f"mean_{a}")).otherwise(0.0) for a in "xy"}
     return s.withColumns({f"std_{a}": F.sqrt(F.greatest(v, F.lit(0.0))) for a, v in spread.items()})
 
 
+def stats(filled: DataFrame) -> DataFrame:
+    """path, plot, entries, sums, means and population deviations."""
+    return moments(sums(filled))
+
+
 def graph(df: DataFrame, path: Value, name: str, x: Value, y: Value) -> DataFrame:
     """path, graph, x, y: points in any number of calls are united, so a graph grows by union."""
     where = F.lit(path) if isinstance(path, str) else path

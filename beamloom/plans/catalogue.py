@@ -720,6 +720,34 @@ def event_build_master(spark, sf_dir):
     return building.master_anchored(_sub_events(spark, sf_dir), "click")
 
 
+def _windows_sql(anchor: str) -> str:
+    return f"""WITH su AS (SELECT event_id // 3000 AS run, event_id AS seq, event_type AS producer, CASE WHEN event_id % 37 = 0 THEN event_id // 3 - 20 WHEN event_id % 41 = 0 THEN event_id // 3 + 9 ELSE event_id // 3 END AS number,
+  CASE WHEN user_id % 3 > 0 THEN user_id END AS ts FROM events),
+k AS (SELECT *, max(CASE WHEN {anchor} THEN number END) OVER (PARTITION BY run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM su),
+kept AS (SELECT * FROM k WHERE top IS NULL OR number >= top),
+o AS (SELECT run, number, min(seq) AS opened, row_number() OVER (PARTITION BY run ORDER BY number) - 1 AS event_id FROM kept WHERE {anchor} GROUP BY run, number)
+SELECT run, event_id, number, count(*) AS parts, count(DISTINCT producer) AS producers, coalesce(arg_min(ts, (seq <> opened, seq)) FILTER (ts IS NOT NULL), 0)::DOUBLE AS window_ts
+FROM kept JOIN o USING (run, number) GROUP BY ALL"""
+
+
+def _run_sub_events(spark, sf_dir) -> DataFrame:
+    """Runs of 3000 sub-events, some late, some ahead, a third without times."""
+    e, third = adapters.read(spark, sf_dir, "events"), F.floor(F.col("event_id") / 3)
+    time = F.when(F.col("user_id") % 3 > 0, F.col("user_id") * 1000).otherwise(0)
+    number = F.when(F.col("event_id") % 37 == 0, third - 20).when(F.col("event_id") % 41 == 0, third + 9).otherwise(third)
+    return e.select(F.floor(F.col("event_id") / 3000).alias("run"), F.col("event_id").alias("seq"), F.col("event_type").alias("producer"), number.alias("number"), time.alias("begin"), time.alias("end"))
+
+
+@query(_windows_sql("true"))
+def event_windows_symmetric(spark, sf_dir):
+    return building.windows(building.windowed(_run_sub_events(spark, sf_dir)))
+
+
+@query(_windows_sql("producer = 'click'"))
+def event_windows_master(spark, sf_dir):
+    return building.windows(building.windowed(_run_sub_events(spark, sf_dir), "click"))
+
+
 @query("SELECT event_id // 500 AS \"window\", count(*) AS n FROM events GROUP BY ALL")
 def tumbling_by_event(spark, sf_dir):
     return building.tumbling(adapters.read(spark, sf_dir, "events"), 500)
