@@ -1,8 +1,7 @@
 """Alignment: plateau fits, track-based minimisation (one detector at a time, or all at once), and detectors under test.
 
-Tracks stay distributed. A detector's geometry enters as a few columns of a broadcast dimension
-(one row a detector): where a local point lies, and how that place moves with each degree of
-freedom. Per pass, one aggregation brings sums to the driver whose number follows from the
+Tracks stay distributed: one row a track with its points, stored once. A detector's geometry enters as a few
+constants: where a local point lies, and how that place moves with each degree of freedom. Per pass, one aggregation brings sums to the driver whose number follows from the
 geometry alone: a matrix of (6 x detectors)^2 numbers, or a histogram of fixed bins.
 """
 
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from beamloom.functions import coords, hist
 from beamloom.operators import track
-from beamloom.sources import geometry
+from beamloom.sources import geometry, store
 from beamloom.sources.geometry import Detector
 
 DOFS = ("x", "y", "z", "rx", "ry", "rz")
@@ -144,62 +143,29 @@ def prealigned(tracks: DataFrame, d: Detector, bins: int = 500, reach: float = 1
 # ---- tracks and degrees of freedom
 
 
-def _turned(d: Detector, by: np.ndarray) -> np.ndarray:
-    return np.array(replace(d, orientation=tuple(np.array(d.orientation) + by)).rotation())
-
-
-def placement(spark: SparkSession, detectors: list[Detector]) -> DataFrame:
-    """One row a detector: place and rotation (p.., r..) and the derivatives of the rotation by each angle (d<angle>_ij)."""
-    rows, names = [], []
-    for d in detectors:
-        row = {"detector": d.name, "wx": 1 / d.res_x**2, "wy": 1 / d.res_y**2} | {f"p{a}": float(v) for a, v in zip("xyz", d.position, strict=True)}
-        r = np.array(d.rotation())
-        row |= {f"r{i}{j}": float(r[i, j]) for i in range(3) for j in range(2)}
-        for k, name in enumerate(DOFS[3:]):
-            step = np.eye(3)[k] * 1e-6
-            slope = (_turned(d, step) - _turned(d, -step)) / 2e-6
-            row |= {f"d{name}_{i}{j}": float(slope[i, j]) for i in range(3) for j in range(2)}
-        names = list(row)
-        rows.append(tuple(row.values()))
-    return spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n == 'detector' else 'double'}" for n in names))
-
-
-def placed(points: DataFrame, detectors: list[Detector]) -> DataFrame:
-    """points (by, detector, u, v: local) with x, y, z, the weights, and how (x, y, z) move with each degree of freedom."""
-    d = F.broadcast(placement(points.sparkSession, detectors))  # one row a detector
-    j = points.join(d, "detector")
-    at = {a: F.col(f"p{a}") + F.col(f"r{i}0") * F.col("u") + F.col(f"r{i}1") * F.col("v") for i, a in enumerate("xyz")}
-    moves = {f"g{name}_{a}": F.lit(float(name == a)) for name in DOFS[:3] for a in "xyz"}
-    moves |= {f"g{name}_{a}": F.col(f"d{name}_{i}0") * F.col("u") + F.col(f"d{name}_{i}1") * F.col("v") for name in DOFS[3:] for i, a in enumerate("xyz")}
-    return j.select(*points.columns, "wx", "wy", *[c.alias(n) for n, c in (at | moves).items()])
+BY = ("event_id", "track_id")
 
 
-BY = ("event_id", "track_id")
+def track_rows(points: DataFrame, detectors: list[Detector]) -> DataFrame:
+    """BY and h, a track's points (d: the detector's number, u, v: local), from points (BY, detector, u, v). This is the only shuffle of an
+    alignment: all passes work on these rows, where each track is whole."""
+    number = F.create_map(*[F.lit(x) for i, d in enumerate(detectors) for x in (d.name, i)])
+    known = points.withColumn("d", F.try_element_at(number, F.col("detector"))).filter("d IS NOT NULL")
+    return known.groupBy(*BY).agg(F.sort_array(F.collect_list(F.struct("d", "u", "v"))).alias("h"))
 
 
-def linearised(placed_points: DataFrame, dofs: tuple[str, ...]) -> DataFrame:
-    """BY, detector, x, y, z, wx, wy and for each degree of freedom how the residuals in x and y move (ax_, ay_): the point moves,
-    and the track is met at another z."""
-    w = (F.col("wx") + F.col("wy")) / 2
-    lines = track.fit(placed_points.withColumn("w", w), BY).select(*BY, "mx", "my")
-    j = placed_points.join(lines, list(BY))
-    slopes = [(F.col(f"g{k}_{a}") - F.col(f"m{a}") * F.col(f"g{k}_z")).alias(f"a{a}_{k}") for k in dofs for a in "xy"]
-    return j.select(*BY, "detector", "x", "y", "z", "wx", "wy", *slopes)
+def _of(values: list[float], d: Column) -> Column:
+    """The value of the detector with this number."""
+    return F.get(F.array(*[F.lit(float(v)) for v in values]), d)
 
 
-def _moved(points: DataFrame, change: dict[str, np.ndarray], dofs: tuple[str, ...]) -> DataFrame:
-    """linearised points with x and y moved by a change of each detector's degrees of freedom."""
-    step = {k: F.lit(0.0) for k in dofs}
-    for name, values in change.items():
-        step = {k: F.when(F.col("detector") == name, F.lit(float(values[i]))).otherwise(step[k]) for i, k in enumerate(dofs)}
-    new = {a: sum((F.col(f"a{a}_{k}") * step[k] for k in dofs), F.col(a)) for a in "xy"}
-    return points.withColumns(new)
+def _mapped(tracks: DataFrame, point) -> DataFrame:
+    """tracks with each point of h turned into a struct of the named columns that `point` gives."""
+    return tracks.withColumn("h", F.transform("h", lambda p: F.struct(*[c.alias(n) for n, c in point(p).items()])))
 
 
-def _fitted(points: DataFrame) -> DataFrame:
-    """points with the sums of their track's straight line in each axis, the residuals ex, ey, and the track's chi2 and n."""
-    h = F.collect_list(F.struct("z", "x", "y", "wx", "wy"))
-    tracks = points.groupBy(*BY).agg(F.sort_array(h).alias("h"))
+def _lines(tracks: DataFrame) -> DataFrame:
+    """tracks (h with x, y, z, wx, wy) with the sums of a straight line in each axis, and the track's chi2, worst residual and n."""
     total = lambda e: F.aggregate("h", F.lit(0.0), lambda s, p: s + e(p))
     for a in "xy":
         tracks = tracks.withColumns({f"s{a}": total(lambda p, a=a: p["w" + a]), f"z{a}": total(lambda p, a=a: p["w" + a] * p["z"]), f"v{a}": total(lambda p, a=a: p["w" + a] * p[a])})
@@ -207,12 +173,51 @@ def _fitted(points: DataFrame) -> DataFrame:
         centred = lambda p, a=a: p["z"] - F.col(f"z{a}")
         tracks = tracks.withColumn(f"q{a}", total(lambda p, a=a, c=centred: p["w" + a] * c(p) * c(p)))
         tracks = tracks.withColumn(f"m{a}", total(lambda p, a=a, c=centred: p["w" + a] * c(p) * (p[a] - F.col(f"v{a}"))) / F.col(f"q{a}"))
-    miss = {a: (lambda p, a=a: p[a] - F.col(f"v{a}") - F.col(f"m{a}") * (p["z"] - F.col(f"z{a}"))) for a in "xy"}
-    chi2 = total(lambda p: p["wx"] * miss["x"](p) * miss["x"](p) + p["wy"] * miss["y"](p) * miss["y"](p))
-    worst = F.array_max(F.transform("h", lambda p: F.greatest(F.abs(miss["x"](p)), F.abs(miss["y"](p)))))
-    tracks = tracks.withColumns({"chi2": chi2, "worst": worst, "n": F.size("h")}).drop("h")
-    out = points.join(tracks, list(BY))
-    return out.withColumns({f"e{a}": F.col(a) - F.col(f"v{a}") - F.col(f"m{a}") * (F.col("z") - F.col(f"z{a}")) for a in "xy"})
+    chi2 = total(lambda p: p["wx"] * _miss(p, "x") * _miss(p, "x") + p["wy"] * _miss(p, "y") * _miss(p, "y"))
+    worst = F.array_max(F.transform("h", lambda p: F.greatest(F.abs(_miss(p, "x")), F.abs(_miss(p, "y")))))
+    return tracks.withColumns({"chi2": chi2, "worst": worst, "n": F.size("h")})
+
+
+def _miss(p: Column, a: str) -> Column:
+    return p[a] - F.col(f"v{a}") - F.col(f"m{a}") * (p["z"] - F.col(f"z{a}"))
+
+
+def _turned(d: Detector, by: np.ndarray) -> np.ndarray:
+    return np.array(replace(d, orientation=tuple(np.array(d.orientation) + by)).rotation())
+
+
+def linearised(tracks: DataFrame, detectors: list[Detector], dofs: tuple[str, ...]) -> DataFrame:
+    """track_rows with points (d, x, y, z, wx, wy and, for each degree of freedom, how the residuals in x and y move: ax, ay). The point
+    moves, and the track is met at another z."""
+    turns = [np.array(d.rotation()) for d in detectors]
+
+    def placed(p: Column) -> dict[str, Column]:
+        at = {a: _of([d.position[i] for d in detectors], p["d"]) + _of([r[i, 0] for r in turns], p["d"]) * p["u"] + _of([r[i, 1] for r in turns], p["d"]) * p["v"] for i, a in enumerate("xyz")}
+        return {n: p[n] for n in "duv"} | at | {f"w{a}": _of([1 / r**2 for r in (d.res_x if a == "x" else d.res_y for d in detectors)], p["d"]) for a in "xy"}
+
+    def moves(p: Column, name: str) -> list[Column]:
+        """How the point moves along x, y, z."""
+        if name in DOFS[:3]:
+            return [F.lit(float(name == a)) for a in "xyz"]
+        step = np.eye(3)[DOFS.index(name) - 3] * 1e-6
+        slopes = [(_turned(d, step) - _turned(d, -step)) / 2e-6 for d in detectors]
+        return [_of([s[i, 0] for s in slopes], p["d"]) * p["u"] + _of([s[i, 1] for s in slopes], p["d"]) * p["v"] for i in range(3)]
+
+    def sloped(p: Column) -> dict[str, Column]:
+        by = {n: moves(p, n) for n in dofs}
+        return {n: p[n] for n in ("d", "x", "y", "z", "wx", "wy")} | {f"a{a}": F.array(*[by[n][i] - F.col(f"m{a}") * by[n][2] for n in dofs]) for i, a in enumerate("xy")}
+
+    return _mapped(_lines(_mapped(tracks, placed)), sloped).select(*BY, "h")
+
+
+def _moved(tracks: DataFrame, change: np.ndarray) -> DataFrame:
+    """linearised tracks with x and y moved by a change (detectors x degrees of freedom)."""
+
+    def moved(p: Column) -> dict[str, Column]:
+        new = {a: sum((p[f"a{a}"][k] * _of(list(change[:, k]), p["d"]) for k in range(change.shape[1])), p[a]) for a in "xy"}
+        return {n: new.get(n, p[n]) for n in ("d", "x", "y", "z", "wx", "wy", "ax", "ay")}
+
+    return _mapped(tracks, moved)
 
 
 @dataclass
@@ -226,40 +231,42 @@ class Normal:
     tracks: int
 
 
-def normal_equations(fitted: DataFrame, detectors: list[str], dofs: tuple[str, ...]) -> Normal:
-    """Sums over the tracks of the points with `use` set (all, if there is no such column), for the degrees of freedom of `detectors`.
+def normal_equations(fitted: DataFrame, chosen: list[int], dofs: tuple[str, ...], use: Column | None = None) -> Normal:
+    """Sums over linearised tracks with their lines (those with `use`), for the degrees of freedom of the chosen detectors.
 
     A point's residual moves with its own detector, and with all points of its track through the straight line: by
     the leverage h = w_i w_j (1/S + d_i d_j / Q) of a pair of points, in each axis. Pairs of a track's points (planes
-    squared) meet in one join on the track; (6 x detectors)^2 sums reach the driver.
+    squared) are made inside its row; (6 x detectors)^2 sums reach the driver, in one aggregation.
     """
     k = len(dofs)
-    size = k * len(detectors)
-    at = {d: i * k for i, d in enumerate(detectors)}
-    lever = ["zx", "qx", "sx", "zy", "qy", "sy"]
-    mine = fitted.filter(F.col("detector").isin(detectors))
-    a_cols = [f"a{a}_{d}" for d in dofs for a in "xy"]
-    rhs = mine.groupBy("detector").agg(*[F.sum(F.col("wx") * F.col(f"ax_{d}") * F.col("ex") + F.col("wy") * F.col(f"ay_{d}") * F.col("ey")).alias(f"b{i}") for i, d in enumerate(dofs)])
-    left = mine.select(*BY, "detector", "z", "wx", "wy", *lever, *a_cols)
-    right = mine.select(*BY, *[F.col(c).alias("o_" + c) for c in ("detector", "z", "wx", "wy", *a_cols)])
-    pairs = left.join(right, list(BY))
-    same = (F.col("detector") == F.col("o_detector")) & (F.col("z") == F.col("o_z"))
+    at = {d: i * k for i, d in enumerate(chosen)}
+    own = F.filter("h", lambda p: p["d"].isin(chosen))
+    # no filter on rows, nor one that the optimiser makes of an explode: pushed below, it would repeat the whole fit
+    own = own if use is None else F.when(use, own)
+    named = ("d", "z", "wx", "wy", "ax", "ay")
+    rows = fitted.withColumn("own", F.transform(own, lambda p: F.struct(*[p[n].alias(n) for n in named], _miss(p, "x").alias("ex"), _miss(p, "y").alias("ey"))))
+    lever = [f"{c}{a}" for c in "szq" for a in "xy"]
+    pairs = rows.select(*lever, "chi2", "n", "own", F.posexplode_outer("own").alias("i", "p")).select("*", F.posexplode_outer("own").alias("j", "o")).drop("own")
+    p, o, same = F.col("p"), F.col("o"), F.col("i") == F.col("j")
 
     def weight(a: str) -> Column:
-        near = (F.col("z") - F.col(f"z{a}")) * (F.col("o_z") - F.col(f"z{a}")) / F.col(f"q{a}")
-        return F.when(same, F.col(f"w{a}")).otherwise(0.0) - F.col(f"w{a}") * F.col(f"o_w{a}") * (1 / F.col(f"s{a}") + near)
+        near = (p["z"] - F.col(f"z{a}")) * (o["z"] - F.col(f"z{a}")) / F.col(f"q{a}")
+        return F.when(same, p[f"w{a}"]).otherwise(0.0) - p[f"w{a}"] * o[f"w{a}"] * (1 / F.col(f"s{a}") + near)
 
     pairs = pairs.withColumns({"hx": weight("x"), "hy": weight("y")})
-    cells = [F.sum(F.col("hx") * F.col(f"ax_{p}") * F.col(f"o_ax_{q}") + F.col("hy") * F.col(f"ay_{p}") * F.col(f"o_ay_{q}")).alias(f"c{i}_{j}") for i, p in enumerate(dofs) for j, q in enumerate(dofs)]
-    sums = pairs.groupBy("detector", "o_detector").agg(*cells)
-    out = Normal(np.zeros((size, size)), np.zeros(size), 0.0, 0, 0)
-    for r in sums.collect():  # one row a pair of detectors
-        i, j = at[r["detector"]], at[r["o_detector"]]
-        out.matrix[i : i + k, j : j + k] = [[r[f"c{p}_{q}"] for q in range(k)] for p in range(k)]
-    for r in rhs.collect():  # one row a detector
-        out.vector[at[r["detector"]] : at[r["detector"]] + k] = [-r[f"b{i}"] for i in range(k)]
-    per = fitted.agg(F.sum(F.col("chi2") / F.col("n")).alias("chi2"), F.count("*").alias("points"), F.sum(1 / F.col("n")).alias("tracks")).first()
-    out.chi2, out.points, out.tracks = per["chi2"] or 0.0, per["points"], round(per["tracks"] or 0)
+    cells = [F.sum(F.col("hx") * p["ax"][i] * o["ax"][j] + F.col("hy") * p["ay"][i] * o["ay"][j]).alias(f"c{i}_{j}") for i in range(k) for j in range(k)]
+    sides = [F.sum(F.when(same, p["wx"] * p["ax"][i] * p["ex"] + p["wy"] * p["ay"][i] * p["ey"])).alias(f"b{i}") for i in range(k)]
+    first = (F.col("i") == 0) & (F.col("j") == 0)  # once a track
+    counts = [F.sum(F.when(first, F.col(c))).alias(c) for c in ("chi2", "n")] + [F.count(F.when(first, 1)).alias("tracks")]
+    out = Normal(np.zeros((k * len(chosen), k * len(chosen))), np.zeros(k * len(chosen)), 0.0, 0, 0)
+    for r in pairs.groupBy(p["d"].alias("d"), o["d"].alias("e")).agg(*cells, *sides, *counts).collect():  # one row a pair of detectors
+        if r["d"] is None:  # tracks without a point that counts
+            continue
+        i, j = at[r["d"]], at[r["e"]]
+        out.matrix[i : i + k, j : j + k] = [[r[f"c{x}_{y}"] for y in range(k)] for x in range(k)]
+        if i == j:
+            out.vector[i : i + k] = [-(r[f"b{x}"] or 0.0) for x in range(k)]
+        out.chi2, out.points, out.tracks = out.chi2 + (r["chi2"] or 0.0), out.points + (r["n"] or 0), out.tracks + r["tracks"]
     return out
 
 
@@ -277,10 +284,9 @@ class Aligned:
     steps: list[tuple[int, str, str, float]] = field(default_factory=list)
 
 
-def on_all_planes(points: DataFrame, planes: int) -> DataFrame:
-    """Points of the tracks that have one in every plane."""
-    full = points.groupBy(*BY).agg(F.count_distinct("detector").alias("k")).filter(F.col("k") == planes)
-    return points.join(full.select(*BY), list(BY), "left_semi")
+def on_all_planes(tracks: DataFrame, planes: int) -> DataFrame:
+    """Tracks that have a point in every plane."""
+    return tracks.filter(F.size(F.array_distinct(F.transform("h", lambda p: p["d"]))) == planes)
 
 
 def _constraints(detectors: list[Detector], dofs: tuple[str, ...]) -> np.ndarray:
@@ -321,21 +327,19 @@ def millepede(
     """
     done = Aligned(list(detectors))
     planes = [d.name for d in detectors]
-    points = on_all_planes(points.filter(F.col("detector").isin(planes)), len(planes))
+    tracks = store.stored(on_all_planes(track_rows(points, detectors), len(planes)), "alignment")
     widths = np.tile([(sigmas or {}).get(k, 0.05 if k in "xyz" else 0.005) for k in dofs], len(planes))
     free = np.repeat([p not in fixed for p in planes], len(dofs))
     for number in range(iterations):
-        base = linearised(placed(points, done.detectors), dofs)
+        base = linearised(tracks, done.detectors, dofs)
         limits = _constraints(done.detectors, dofs) if constrained else np.zeros((0, len(free)))
         total, factor = np.zeros(len(free)), 100.0
         for k in range(inner):
-            change = {p: total[i * len(dofs) : (i + 1) * len(dofs)] for i, p in enumerate(planes)}
-            now = _fitted(_moved(base, change, dofs))
-            now = now.filter(F.col("worst") < (residual_cut_init if k == 0 else residual_cut))
+            use = F.col("worst") < (residual_cut_init if k == 0 else residual_cut)
             if deviations:
                 ndof = 2 * len(planes) - 4
-                now = now.filter(F.col("chi2") <= chi2_limit(deviations, ndof) * factor)
-            n = normal_equations(now, planes, dofs)
+                use &= F.col("chi2") <= chi2_limit(deviations, ndof) * factor
+            n = normal_equations(_lines(_moved(base, total.reshape(len(planes), len(dofs)))), list(range(len(planes))), dofs, use)
             if not n.points:
                 raise ValueError("no track is left")
             step = _solved(n, limits, total, widths, free)
@@ -353,42 +357,49 @@ def millepede(
 
 
 def track_chi2(
-    points: DataFrame, detectors: list[Detector], dofs: tuple[str, ...] = ("x", "y", "rx", "ry", "rz"), fixed: tuple[str, ...] = (), iterations: int = 5, evaluations: int = 20, tolerance: float = 1e-9
+    points: DataFrame, detectors: list[Detector], dofs: tuple[str, ...] = ("x", "y", "rx", "ry", "rz"), fixed: tuple[str, ...] = (), iterations: int = 5, evaluations: int = 20,
+    tolerance: float = 1e-9, convergence: float = 1e-9,
 ) -> Aligned:
     """Corrections of one detector after the other that minimise the summed chi2 of the tracks with a point on it, tracks refitted.
 
-    Levenberg-Marquardt steps on the reduced equations; a trial is one aggregation of its tracks.
+    One aggregation of a detector's tracks gives chi2 as a quadratic in its corrections, with the refit eliminated;
+    Levenberg-Marquardt steps are solved on these numbers, and the next aggregation, at the new place, checks the step and is the next
+    quadratic. A detector ends once a step gains nothing to speak of, as the quadratic tells without a further look, and
+    passes end once none moves.
     """
     done = Aligned(list(detectors))
+    tracks = store.stored(track_rows(points, detectors), "alignment")
     for number in range(iterations):
+        moved = 0.0
         for i, d in enumerate(detectors):
             if d.name in fixed:
                 continue
-            seen = points.filter(F.col("detector") == d.name).select(*BY).distinct()
-            own = points.join(seen, list(BY), "left_semi")
 
-            def at(values: np.ndarray, i=i, own=own, d=d) -> Normal:
+            def at(values: np.ndarray, i=i) -> Normal:
                 trial = list(done.detectors)
                 trial[i] = with_change(trial[i], dofs, values)
-                return normal_equations(_fitted(linearised(placed(own, trial), dofs)), [d.name], dofs)
+                return normal_equations(_lines(linearised(tracks, trial, dofs)), [i], dofs)
 
-            x, damping, now = np.zeros(len(dofs)), 1e-3, at(np.zeros(len(dofs)))
+            x, damping, now = np.zeros(len(dofs)), 1e-9, at(np.zeros(len(dofs)))
             for _ in range(evaluations):
                 if now.points < len(dofs):
                     break
                 scale = np.maximum(np.diag(now.matrix), 1e-300)
                 step = np.linalg.lstsq(now.matrix + damping * np.diag(scale), now.vector, rcond=1e-12)[0]
+                gain = 2 * step @ now.vector - step @ now.matrix @ step
+                if gain <= tolerance * max(now.chi2, tolerance) or np.abs(step).max() < 1e-10:
+                    x = x + step
+                    break
                 new = at(x + step)
                 if new.chi2 < now.chi2:
-                    gain, x, now, damping = now.chi2 - new.chi2, x + step, new, damping / 10
-                    if gain <= tolerance * max(now.chi2, tolerance):
-                        break
+                    x, now, damping = x + step, new, damping / 10
                 else:
-                    damping *= 10
-                if np.abs(step).max() < 1e-10:
-                    break
+                    damping = max(damping * 100, 1e-6)
             done.detectors[i] = with_change(done.detectors[i], dofs, x)
             done.steps += [(number, d.name, name, float(v)) for name, v in zip(dofs, x, strict=True)]
+            moved = max(moved, float(np.abs(x).max()))
+        if moved < convergence:
+            break
     return done
 
 

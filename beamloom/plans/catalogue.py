@@ -807,7 +807,7 @@ def align_millepede(spark, sf_dir):
 
 @query(PLANTED_SQL)
 def align_trackchi2(spark, sf_dir):
-    found = align.track_chi2(_alignment_points(spark, sf_dir), [_plane(k) for k in range(6)], ("x", "y", "rz"), ("P0", "P1", "P3", "P5"), iterations=2, evaluations=2)
+    found = align.track_chi2(_alignment_points(spark, sf_dir), [_plane(k) for k in range(6)], ("x", "y", "rx", "ry", "rz"), ("P0", "P1", "P3", "P5"), iterations=20, convergence=1e-6)
     return _found(spark, found)
 
 
