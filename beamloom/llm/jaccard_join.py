@@ -1,6 +1,7 @@
 """Exact Jaccard join of word n-gram sets by signature trees, with connected components.
 
-1. Equal sets form a class with one representative (its smallest id).
+1. Equal sets form a class, which has a number and is represented by one of its documents; an id with several texts links
+   their classes.
 2. Routing, the upper levels of the forest: the token space is cut into so many parts that two
    linked sets must agree on at least one part wholly (they differ in at most (a+b)/19 tokens
    at 0.9, and one token spoils one part). Representatives that share a part are put into one
@@ -11,12 +12,12 @@
    when its documents are already in one component. Pairs of documents that remain are
    compared exactly. Blocks beyond `tile` sets are cut into tiles and each pair of tiles is a
    task of its own, so no set is left out and no task is unbounded.
-4. The links found (a spanning forest) give the components.
+4. The links found (a spanning forest) give the components, named by the smallest id of their classes.
 
 Defined results: a null, empty or blank text has no n-grams, links with nothing and is its own
 component; texts with fewer words than n have their whole word sequence as one n-gram; rows
 with a null id have no component and link with nothing; repeated rows of an id are one
-document and each is returned; an empty table gives an empty result; other columns of the
+document and each is returned, with the size of its own text's set: what links with one of an id's texts links with the id; an empty table gives an empty result; other columns of the
 input are not returned. Words are parted by ASCII white space and only A-Z are lower-cased.
 """
 
@@ -219,7 +220,7 @@ def _block_links(rows: DataFrame, n: int, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("block", "a", "b", "id", "tile")]
+            cols = [batch.column(c).to_pylist() for c in ("block", "a", "b", "node", "tile")]
             for block, a, b, doc, tile, text in zip(*cols, (x.as_py() for x in batch.column("text")), strict=True):
                 if key != (block, a, b):
                     if held:
@@ -270,20 +271,19 @@ def _sets(batch: Batch, places, n: int, hashes: packed.WordHashes) -> Iterator[n
 def _asked(stored: DataFrame, rows: DataFrame, fields: list[str]) -> DataFrame:
     """The batches that rows (batch, fields) name, each with its rows, `asked`; texts are not shuffled, as batches are bucketed."""
     per = rows.groupBy("batch").agg(F.collect_list(F.struct(*fields)).alias("asked"))
-    return stored.select("batch", "ids", "sizes", "texts").join(per, "batch").select("ids", "sizes", "texts", "asked")
+    return stored.select("batch", "ids", "sizes", "texts").join(per, "batch").select("sizes", "texts", "asked")
 
 
 def _routes(stored: DataFrame, reps: DataFrame, frequent, n: int, percent: int, total: int) -> DataFrame:
-    """(u, v): representatives that share a part, as stars around the smallest id of each part."""
+    """(u, v): classes that share a part, as stars around the smallest number of each part."""
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, pack = packed.WordHashes(), zstandard.ZstdCompressor(1).compress
         for rb in rows:
             for r in range(rb.num_rows):
-                own, sizes, blob, asked = (c[r].as_py() for c in rb.columns)
-                places = [a["pos"] for a in asked]
-                keys = [part_keys(s, percent, frequent.value) for s in _sets(Batch(blob, sizes), places, n, hashes)]
-                ids = np.repeat(np.array([own[i] for i in places], np.int64), [len(k) for k in keys])
+                sizes, blob, asked = (c[r].as_py() for c in rb.columns)
+                keys = [part_keys(s, percent, frequent.value) for s in _sets(Batch(blob, sizes), [a["pos"] for a in asked], n, hashes)]
+                ids = np.repeat(np.array([a["node"] for a in asked], np.int64), [len(k) for k in keys])
                 flat = np.concatenate(keys)
                 order = np.argsort(flat)
                 flat, ids = flat[order], ids[order]
@@ -304,27 +304,27 @@ def _routes(stored: DataFrame, reps: DataFrame, frequent, n: int, percent: int,
             pairs = np.unique(np.stack([ids, head], axis=1)[ids != head], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["u", "v"])
 
-    sent = _asked(stored, reps, ["pos"]).mapInArrow(returned_memory(send), "bucket long, keys binary, ids binary")
+    sent = _asked(stored, reps, ["pos", "node"]).mapInArrow(returned_memory(send), "bucket long, keys binary, ids binary")
     return dealt(sent, total).mapInArrow(returned_memory(meet), "u long, v long")
 
 
 def _texts(stored: DataFrame, chosen: DataFrame) -> DataFrame:
-    """id, block, tile, tiles and the compressed text of the documents in blocks."""
+    """node, block, tile, tiles and the compressed text of the classes in blocks."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3).compress
         for rb in rows:
             for r in range(rb.num_rows):
-                own, sizes, blob, asked = (c[r].as_py() for c in rb.columns)
+                sizes, blob, asked = (c[r].as_py() for c in rb.columns)
                 batch = Batch(blob, sizes)
                 for start in range(0, len(asked), 500):
                     part = asked[start : start + 500]
                     texts = [pack(batch.data[batch.ends[a["pos"] - 1] if a["pos"] else 0 : batch.ends[a["pos"]]].tobytes()) for a in part]
-                    cols = [pa.array([own[a["pos"]] for a in part], pa.int64()), *[pa.array([a[c] for a in part], k) for c, k in (("block", pa.int64()), ("tile", pa.int32()), ("tiles", pa.int32()))]]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.binary())], ["id", "block", "tile", "tiles", "text"])
+                    cols = [pa.array([a[c] for a in part], k) for c, k in (("node", pa.int64()), ("block", pa.int64()), ("tile", pa.int32()), ("tiles", pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.binary())], ["node", "block", "tile", "tiles", "text"])
 
-    asked = _asked(stored, chosen, ["pos", "block", "tile", "tiles"])
-    return asked.mapInArrow(returned_memory(run), "id long, block long, tile int, tiles int, text binary")
+    asked = _asked(stored, chosen, ["pos", "node", "block", "tile", "tiles"])
+    return asked.mapInArrow(returned_memory(run), "node long, block long, tile int, tiles int, text binary")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90, tile: int = 2048) -> DataFrame:
@@ -336,22 +336,25 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     same = ["n", "k1", "k2"]
     usable = described.drop("often").filter(F.col("id").isNotNull() & (F.col("n") > 0))
     least = F.min(F.struct("id", "batch", "pos")).alias("least")
-    classes = written(usable.groupBy(*same).agg(least).select(*same, F.col("least.id").alias("rep"), "least.batch", "least.pos"), "classes")
+    classes = usable.groupBy(*same).agg(least).select(*same, F.col("least.id").alias("rep"), "least.batch", "least.pos")
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    rows = written(described.select("id", *same).join(classes.select(*same, "rep", "node"), same, "left").drop("k1", "k2"), "rows")
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(described))
-    blocks = written(components(_routes(stored, classes.select("batch", "pos"), frequent, n, percent, total)), "blocks")
+    blocks = written(components(_routes(stored, classes.select("batch", "pos", "node"), frequent, n, percent, total)), "blocks")
     sized = blocks.groupBy("component").agg(F.count("*").alias("members"))
     tiles = F.ceil(F.col("members") / tile).cast("int")
-    chosen = blocks.join(sized, "component").select(
-        F.col("node").alias("rep"), F.col("component").alias("block"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"), tiles.alias("tiles")
-    )
-    texts = _texts(stored, classes.select("rep", "batch", "pos").join(chosen, "rep"))
+    chosen = blocks.join(sized, "component").select("node", F.col("component").alias("block"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"), tiles.alias("tiles"))
+    texts = _texts(stored, classes.select("node", "batch", "pos").join(chosen, "node"))
     spread = texts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "block", F.least("tile", "with").alias("a"), F.greatest("tile", "with").alias("b"), "id", "tile", "text"
+        "block", F.least("tile", "with").alias("a"), F.greatest("tile", "with").alias("b"), "node", "tile", "text"
     )
     spread = spread.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b")
-    found = components(_block_links(spread, n, percent)).withColumnRenamed("node", "rep")
+    known = rows.filter("id IS NOT NULL AND node IS NOT NULL").select("id", "node")
+    several = known.groupBy("id").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")  # ids with several texts
+    bridges = known.join(several, "id").filter("node > first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    linked = written(components(_block_links(spread, n, percent).unionAll(bridges)), "linked")
     dropped(stored)
-    named = classes.join(found, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
-    return described.drop("often", "batch", "pos").join(named, same, "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component_id")
-    )
+    smallest = linked.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("smallest"))
+    found = linked.join(smallest, "component").select("node", "smallest")
+    own = F.when(F.col("n") > 0, F.coalesce("smallest", "rep")).otherwise(F.col("id"))
+    return rows.join(found, "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))

@@ -102,3 +102,13 @@ def test_against_brute_force(spark):
         assert (None, (1, None)) in got
         assert {i: v for i, v in got if i is not None} == want
     assert jaccard_join.jaccard_components(df.limit(0)).count() == 0
+
+
+def test_ids_with_several_texts(spark):
+    a, b = " ".join(f"w{i}" for i in range(80)), " ".join([f"w{i}" for i in range(70)] + [f"w{i}" for i in range(200, 206)])
+    rows = [(5, a), (5, b), (9, a + " z"), (7, b + " y"), (5, a), (11, "one two three four"), (12, "one two three four"), (12, "five six seven"), (2, "five six seven")]
+    rows += [(None, a), (20, None), (20, "five six seven"), (30, "lone words here")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = sorted({(str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()})
+        assert got == sorted({("5", 78, 5), ("5", 74, 5), ("9", 79, 5), ("7", 75, 5), ("11", 2, 2), ("12", 2, 2), ("12", 1, 2), ("2", 1, 2), ("None", 78, None), ("20", 0, 20), ("20", 1, 2), ("30", 1, 30)})
