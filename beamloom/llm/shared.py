@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import re
 import uuid
@@ -17,6 +18,7 @@ BATCH_ROWS = 1000
 DEFAULT_SHARED_DIR = "/tmp/checkpoints/beamloom"
 
 _WRITTEN: list[str] = []
+_RECORD: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("record", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +56,8 @@ def written(df: DataFrame, name: str, buckets: tuple[int, str] | None = None) ->
     path = f"{shared_dir(spark)}/{key}"
     with short_batches(spark):
         _WRITTEN.append(path)
+        if (record := _RECORD.get()) is not None:
+            record.append(path)
         if buckets is None:
             df.write.parquet(path)
             return spark.read.parquet(path)
@@ -70,13 +74,19 @@ def dropped(*tables: DataFrame) -> None:
             _WRITTEN[:] = [p for p in _WRITTEN if p.rsplit("/", 1)[-1] != path.rsplit("/", 1)[-1]]
 
 
-def tables_since(mark: int = 0) -> list[str]:
-    """The folders of the tables that this process has written and not removed, without the first so many."""
-    return _WRITTEN[mark:]
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders of the tables that the code inside writes; code of other threads does not count."""
+    record: list[str] = []
+    token = _RECORD.set(record)
+    try:
+        yield record
+    finally:
+        _RECORD.reset(token)
 
 
 def released(spark: SparkSession, folders: list[str], reader: DataFrame) -> None:
-    """Removes written tables that a DataFrame does not read."""
+    """Removes written tables that a DataFrame does not read, and takes them off the list."""
     read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in reader.inputFiles()}
     for path in [p for p in folders if p.rsplit("/", 1)[-1] not in read]:
         _remove(spark, path)
@@ -85,14 +95,6 @@ def released(spark: SparkSession, folders: list[str], reader: DataFrame) -> None
             _WRITTEN.remove(path)
 
 
-def collected(spark: SparkSession) -> None:
-    """Lets the executors and the driver collect their heaps once and give back what is free. A heap that one stage's garbage has widened stays
-    wide otherwise, and the Python workers of the next stage need the memory."""
-    spark.sparkContext._jvm.System.gc()
-    tasks = 2 * spark.sparkContext.defaultParallelism
-    spark.range(0, tasks, 1, tasks).selectExpr("reflect('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
-
-
 def swept(spark: SparkSession) -> None:
     """Removes all tables written by this process; results that still read them end with it."""
     while _WRITTEN:

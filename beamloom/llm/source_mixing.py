@@ -5,9 +5,10 @@ marginal after the other until all three fit. A document's probability is propor
 cell's weight per token and calibrated so that the expected tokens meet the budget with no
 probability above one; whether it is kept depends on a hash of its id.
 
-Only DataFrame functions are used. Per document nothing is shuffled but partial sums; the loop
-runs on the table of cells, whose marginals are pre-aggregated per task and joined back (Spark
-splits or broadcasts by size), and each round is cut by a written table.
+Only DataFrame functions are used. Per document nothing is shuffled but partial sums. All rounds run on the table of
+cells: up to CELLS of them (counted) are one row of arrays, and all rounds one expression on it, so the driver makes one
+plan. A larger table stays a table: marginals are pre-aggregated per task and joined back (Spark splits or broadcasts by
+size), and each round is cut by a written table. Both ways give the same weights, and neither leaves out a cell.
 
 Defined results: a null source, language or text counts as its own class ``(none)`` or as an
 empty text (0 tokens, the rest topic); documents without tokens get their cell's probability
@@ -32,6 +33,8 @@ REST = "prose"
 #: A share for each class (classes not listed split the rest by tokens), or a power of the token counts.
 TARGETS: tuple[dict[str, float] | float, ...] = (0.5, {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, {"licence": 0.05, "symbols": 0.05, "table": 0.1})
 ROUNDS, CALIBRATION_ROUNDS, FRACTION, SEED, TOLERANCE = 12, 8, 0.8, "mix", 1e-10
+#: Cells that are raked as arrays of one row (about 100 bytes each); the work of a round grows with their square, some 2 s for all rounds.
+CELLS = 512
 
 
 def _classed(docs: DataFrame, source: str, lang: str, text: str, topics: dict[str, str]) -> DataFrame:
@@ -63,6 +66,31 @@ def _aimed(cells: DataFrame, dim: str, target: dict[str, float] | float) -> Data
     return raw.crossJoin(F.broadcast(total)).select(dim, F.coalesce(F.try_divide("__a", "__all"), F.lit(0.0)).alias("__aim"))  # one row on the right
 
 
+def _raked_in_row(cells: DataFrame, targets, rounds: int, fraction: float, calibration_rounds: int) -> DataFrame:
+    """`_calibrated(raked(cells))` of a small table in one expression: cells become arrays of one row, and rounds folds over it."""
+    aimed = cells
+    for i, (dim, target) in enumerate(zip(DIMS, targets, strict=True)):
+        aimed = aimed.join(_aimed(cells, dim, target).withColumnRenamed("__aim", f"__a{i}"), dim)
+    fields = [*DIMS, "__n", *[f"__a{i}" for i in range(len(DIMS))]]
+    row = aimed.groupBy().agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("c"))
+    row = row.select(*[F.col(f"c.{f}").cast("array<double>" if f == "__n" or f.startswith("__a") else "array<string>").alias(f) for f in fields])
+
+    def scaled(w: Column, i: int) -> Column:
+        """Weights scaled to the aims of dimension i."""
+        have = lambda k: F.aggregate(F.zip_with(DIMS[i], w, lambda c, x: F.when(c == k, x).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+        return F.transform(w, lambda x, j: x * F.coalesce(F.try_divide(F.get(f"__a{i}", j), have(F.get(DIMS[i], j))), F.lit(0.0)))
+
+    step = lambda w, t: F.when(t % 3 == 0, scaled(w, 0)).when(t % 3 == 1, scaled(w, 1)).otherwise(scaled(w, 2))
+    row = row.withColumn("__w", F.aggregate(F.sequence(F.lit(0), F.lit(3 * rounds - 1)), F.col("__n"), step) if rounds else F.col("__n"))
+    row = row.withColumn("__total", F.aggregate("__n", F.lit(0.0), lambda s, x: s + x))
+    row = row.withColumn("__rate", F.zip_with("__w", "__n", lambda w, n: F.coalesce(F.try_divide(w * F.col("__total"), n), F.lit(0.0))))
+    got = lambda s: F.aggregate(F.zip_with("__rate", "__n", lambda r, n: n * F.least(F.lit(1.0), r * s)), F.lit(0.0), lambda t, x: t + x)
+    again = F.sequence(F.lit(1), F.lit(calibration_rounds)) if calibration_rounds else F.array().cast("array<int>")
+    row = row.withColumn("__scale", F.aggregate(again, F.lit(float(fraction)), lambda s, _: F.coalesce(F.try_divide(s * (F.col("__total") * fraction), got(s)), s)))
+    row = row.withColumn("__p", F.transform("__rate", lambda r: F.least(F.lit(1.0), r * F.col("__scale"))))
+    return row.select(F.inline(F.arrays_zip(*DIMS, "__rate", "__p")))
+
+
 def raked(cells: DataFrame, targets=TARGETS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells (DIMS, __n) with __w, raked so that its sums by each dimension are the targets' shares: up to so many rounds, fewer once
     no weight moves by more than the tolerance, in relation to itself, in a round. What is left is one number a round on the driver."""
@@ -104,7 +132,9 @@ def mix(
     if not keep_text:
         classed = written(classed.drop(text), "classed")
     cells = written(classed.groupBy(*DIMS).agg(F.sum("__tokens").alias("__n")), "cells")
-    final = written(_calibrated(raked(cells, targets, rounds), fraction, calibration_rounds), "calibrated")
+    few = cells.limit(CELLS + 1).count() <= CELLS
+    final = _raked_in_row(cells, targets, rounds, fraction, calibration_rounds) if few else _calibrated(raked(cells, targets, rounds), fraction, calibration_rounds)
+    final = written(final, "calibrated")
     digest = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":" + seed)))
     uniform = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
     return (
