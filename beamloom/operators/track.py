@@ -7,10 +7,6 @@ event_id: the clusters are partitioned by it once and the joins keep that partit
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,55 +58,66 @@ def chi2_ndof(chi2: Column, ndof: Column) -> Column:
     return F.when(ndof > 0, chi2 / ndof).otherwise(-1.0)
 
 
+#: Fixed value: the variance of a hit along the normal of its plane.
+NORMAL_VARIANCE = 1e-9
+
+
 def fit_tilted(points: DataFrame, by: tuple[str, ...] = ("track_id",)) -> DataFrame:
-    """The coupled fit for tilted planes: residuals in each plane's local frame.
+    """by, mx, cx, my, cy, chi2, ndof: the coupled fit for tilted planes, without Python.
 
-    points: by, u, v (local hit), wu, wv, and the plane (px, py, pz, r00..r22), one row a hit. A
-    track's hits are a few; they are fitted where they lie after one shuffle on the track.
+    points: by, u, v (local hit), wu, wv, and the plane (px, py, pz, r00..r22), one row a hit. A hit's errors, turned into the
+    global frame, couple x and y by a weight of 2 x 2; the four parameters come from the normal equations by blocks (x is
+    eliminated). chi2 is that of the residuals in the planes' own frames where the track meets them. One shuffle: a
+    track's hits are a few, and meet in one array. Tracks with fewer than two places along z have nulls.
     """
-    names = ["u", "v", "wu", "wv", "px", "py", "pz", *[f"r{i}{j}" for i in range(3) for j in range(3)]]
-    packed = points.groupBy(*by).agg(F.collect_list(F.array(*[F.col(n).cast("double") for n in names])).alias("hits"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = [solve_tilted(np.array([list(h) for h in hits])) for hits in f["hits"]]
-            fitted = pd.DataFrame(out, columns=["mx", "cx", "my", "cy", "chi2", "ndof"]).astype({"ndof": "Int32"})
-            yield pd.concat([f[list(by)].reset_index(drop=True), fitted], axis=1)
-
-    keys = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in by)
-    return packed.mapInPandas(run, f"{keys}, mx double, cx double, my double, cy double, chi2 double, ndof int")
-
-
-def solve_tilted(h: np.ndarray) -> tuple:
-    """Gauss-Newton on the local residuals; exact in one step for untilted planes."""
-    u, v, wu, wv, p = h[:, 0], h[:, 1], h[:, 2], h[:, 3], h[:, 4:7]
-    r = h[:, 7:].reshape(-1, 3, 3)
-    if len(h) < 2:
-        return (None,) * 4 + (None, None)
-    point = p + u[:, None] * r[:, :, 0] + v[:, None] * r[:, :, 1]
-    a = np.stack([point[:, 2], np.ones(len(h))], axis=1)
-    (mx, cx), (my, cy) = np.linalg.lstsq(a, point[:, 0], rcond=None)[0], np.linalg.lstsq(a, point[:, 1], rcond=None)[0]
-    theta = np.array([mx, cx, my, cy])
-
-    def residuals(t: np.ndarray) -> np.ndarray:
-        n = r[:, :, 2]
-        z = (n[:, 0] * (p[:, 0] - t[1]) + n[:, 1] * (p[:, 1] - t[3]) + n[:, 2] * p[:, 2]) / (n[:, 0] * t[0] + n[:, 1] * t[2] + n[:, 2])
-        g = np.stack([t[1] + t[0] * z, t[3] + t[2] * z, z], axis=1) - p
-        return np.concatenate([np.sqrt(wu) * (np.einsum("ni,ni->n", g, r[:, :, 0]) - u), np.sqrt(wv) * (np.einsum("ni,ni->n", g, r[:, :, 1]) - v)])
-
-    for _ in range(10):
-        f = residuals(theta)
-        step = 1e-6 * np.maximum(1.0, np.abs(theta))
-        j = np.stack([(residuals(theta + step[k] * np.eye(4)[k]) - residuals(theta - step[k] * np.eye(4)[k])) / (2 * step[k]) for k in range(4)], axis=1)
-        move = np.linalg.lstsq(j, -f, rcond=None)[0]
-        theta = theta + move
-        if np.abs(move).max() < 1e-9:
-            break
-    chi2 = float((residuals(theta) ** 2).sum())
-    return (*theta.tolist(), 0.0 if len(h) == 2 else chi2, 2 * len(h) - 4) if np.isfinite(chi2) else (None,) * 6
-
-
-SUMS = ("sw", "sz", "szz", "sx", "sxz", "sy", "syz", "st", "sn")
+    r = lambda i, j: F.col(f"r{i}{j}")
+    place = {a: F.col(f"p{a}") + r(i, 0) * F.col("u") + r(i, 1) * F.col("v") for i, a in enumerate("xyz")}
+    spread = lambda i, j: r(i, 0) * r(j, 0) / F.col("wu") + r(i, 1) * r(j, 1) / F.col("wv") + r(i, 2) * r(j, 2) * NORMAL_VARIANCE
+    hits = points.withColumns(place | {"s00": spread(0, 0), "s01": spread(0, 1), "s11": spread(1, 1)}).withColumn("det", F.col("s00") * F.col("s11") - F.col("s01") * F.col("s01"))
+    hits = hits.withColumns({"a": F.try_divide("s11", "det"), "b": -F.try_divide("s01", "det"), "c": F.try_divide("s00", "det")})
+    kept = ["z", "x", "y", "a", "b", "c", "u", "v", "wu", "wv", "px", "py", "pz", *[f"r{i}{j}" for i in range(3) for j in range(3)]]
+    t = hits.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*kept))).alias("h")).withColumn("n", F.size("h"))
+    total = lambda e: F.aggregate("h", F.lit(0.0), lambda s, p: s + e(p))
+    t = t.withColumn("zm", total(lambda p: p["z"]) / F.col("n"))
+    d = lambda p: p["z"] - F.col("zm")
+    # weights by powers of z, and the right sides of x and of y
+    t = t.withColumns({f"{w}{k}": total(lambda p, w=w, k=k: p[w] * (d(p) * d(p) if k == 2 else d(p) if k else F.lit(1.0))) for w in "abc" for k in range(3)})
+    sides = {"p": lambda p: p["a"] * p["x"] + p["b"] * p["y"], "q": lambda p: p["b"] * p["x"] + p["c"] * p["y"]}
+    t = t.withColumns({f"{n}{k}": total(lambda p, e=e, k=k: e(p) * (d(p) if k else F.lit(1.0))) for n, e in sides.items() for k in range(2)})
+    c = {n: F.col(n) for n in ("a0", "a1", "a2", "b0", "b1", "b2", "c0", "c1", "c2", "p0", "p1", "q0", "q1", "da", "t00", "t01", "t10", "t11", "g0", "g1", "s00", "s01", "s11", "e0", "e1", "ds")}
+    over = lambda x, y: F.try_divide(x, c[y])
+    t = t.withColumn("da", c["a0"] * c["a2"] - c["a1"] * c["a1"])
+    t = t.withColumns(
+        {
+            **{f"t0{k}": over(c["a2"] * c[f"b{k}"] - c["a1"] * c[f"b{k + 1}"], "da") for k in range(2)},
+            **{f"t1{k}": over(c["a0"] * c[f"b{k + 1}"] - c["a1"] * c[f"b{k}"], "da") for k in range(2)},
+            "g0": over(c["a2"] * c["p0"] - c["a1"] * c["p1"], "da"), "g1": over(c["a0"] * c["p1"] - c["a1"] * c["p0"], "da"),
+        }
+    )
+    t = t.withColumns(
+        {
+            "s00": c["c0"] - c["b0"] * c["t00"] - c["b1"] * c["t10"], "s01": c["c1"] - c["b0"] * c["t01"] - c["b1"] * c["t11"], "s11": c["c2"] - c["b1"] * c["t01"] - c["b2"] * c["t11"],
+            "e0": c["q0"] - c["b0"] * c["g0"] - c["b1"] * c["g1"], "e1": c["q1"] - c["b1"] * c["g0"] - c["b2"] * c["g1"],
+        }
+    )
+    t = t.withColumn("ds", c["s00"] * c["s11"] - c["s01"] * c["s01"])
+    t = t.withColumns({"y0": over(c["s11"] * c["e0"] - c["s01"] * c["e1"], "ds"), "my": over(c["s00"] * c["e1"] - c["s01"] * c["e0"], "ds")})
+    t = t.withColumns({"x0": c["g0"] - c["t00"] * F.col("y0") - c["t01"] * F.col("my"), "mx": c["g1"] - c["t10"] * F.col("y0") - c["t11"] * F.col("my")})
+    t = t.withColumns({f"c{a}": F.col(f"{a}0") - F.col(f"m{a}") * F.col("zm") for a in "xy"})
+
+    def missed(p: Column) -> Column:
+        n = [p[f"r{i}2"] for i in range(3)]
+        z = F.try_divide(n[0] * (p["px"] - F.col("cx")) + n[1] * (p["py"] - F.col("cy")) + n[2] * p["pz"], n[0] * F.col("mx") + n[1] * F.col("my") + n[2])
+        g = [F.col("cx") + F.col("mx") * z - p["px"], F.col("cy") + F.col("my") * z - p["py"], z - p["pz"]]
+        off = [sum((g[i] * p[f"r{i}{k}"] for i in range(3)), F.lit(0.0)) - p[a] for k, a in enumerate("uv")]
+        return p["wu"] * off[0] * off[0] + p["wv"] * off[1] * off[1]
+
+    good = F.abs(F.col("ds")) > 0
+    t = t.withColumn("chi2", F.when(F.col("n") == 2, 0.0).otherwise(total(missed)))
+    real = good & F.col("chi2").isNotNull() & ~F.isnan("chi2") & (F.abs("chi2") < float("inf"))
+    found = [F.when(real, F.col(n)).alias(n) for n in ("mx", "cx", "my", "cy", "chi2")] + [F.when(real, (2 * F.col("n") - 4).cast("int")).alias("ndof")]
+    # an explode of one row: a filter on the fit would else be pushed below it, and there repeat all its steps
+    return t.select(*by, F.inline_outer(F.array(F.struct(*found))))
 
 
 def _terms(h: str) -> dict[str, Column]:

@@ -872,7 +872,23 @@ def align_plateau(spark, sf_dir):
     return spark.createDataFrame(out, "detector string, wide boolean, centred boolean")
 
 
-@query()
+#: Cramer's rule on the 4 x 4 normal equations, z about the mean; the plane that is tilted by 0.1 about x has its hits at y cos and z sin.
+TILTED_SQL = f"""WITH {POINTS_SQL},
+h AS (SELECT event_id, x, y AS v, plane, CASE WHEN plane = 5 THEN cos(0.1) * y ELSE y END AS y, CASE WHEN plane = 5 THEN z + sin(0.1) * y ELSE z END AS z,
+  CASE WHEN plane = 5 THEN 1 / (cos(0.1) * cos(0.1) + sin(0.1) * sin(0.1) * 1e-9) ELSE 1.0 END AS c FROM pt),
+m AS (SELECT *, avg(z) OVER (PARTITION BY event_id) AS zm FROM h),
+s AS (SELECT event_id, any_value(zm) AS zm, count(*) AS n, sum(z - zm) AS sz, sum((z - zm) * (z - zm)) AS szz, sum(x) AS sx, sum(x * (z - zm)) AS sxz,
+  sum(c) AS c0, sum(c * (z - zm)) AS c1, sum(c * (z - zm) * (z - zm)) AS c2, sum(c * y) AS sy, sum(c * y * (z - zm)) AS syz FROM m GROUP BY event_id HAVING count(*) >= 3),
+f AS (SELECT event_id, n, zm, (n * sxz - sz * sx) / (n * szz - sz * sz) AS mx, (szz * sx - sz * sxz) / (n * szz - sz * sz) AS x0,
+  (c0 * syz - c1 * sy) / (c0 * c2 - c1 * c1) AS my, (c2 * sy - c1 * syz) / (c0 * c2 - c1 * c1) AS y0 FROM s),
+l AS (SELECT event_id, n, mx, x0 - mx * zm AS cx, my, y0 - my * zm AS cy FROM f),
+e AS (SELECT l.*, plane, m.x, v, CASE WHEN plane = 5 THEN (sin(0.1) * cy + cos(0.1) * 500.0) / (cos(0.1) - sin(0.1) * my) ELSE plane * 100.0 END AS zi FROM l JOIN m USING (event_id)),
+r AS (SELECT *, cx + mx * zi - x AS du, CASE WHEN plane = 5 THEN cos(0.1) * (cy + my * zi) + sin(0.1) * (zi - 500.0) - v ELSE cy + my * zi - v END AS dv FROM e)
+SELECT event_id AS track_id, round(mx, 6) + 0.0 AS mx, round(cx, 6) + 0.0 AS cx, round(my, 6) + 0.0 AS my, round(cy, 6) + 0.0 AS cy, round(sum(du * du + dv * dv), 6) + 0.0 AS chi2, (2 * n - 4)::INT AS ndof
+FROM r GROUP BY event_id, n, mx, cx, my, cy"""
+
+
+@query(TILTED_SQL)
 def track_fit_tilted(spark, sf_dir):
     """Points of the straight tracks on planes of which P5 is tilted."""
     d = _detectors(spark)

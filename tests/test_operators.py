@@ -132,18 +132,43 @@ def test_exact_lines(spark):
     assert set(got) == {1, 2}
     assert (got[1].mx, got[1].cx, got[1].my, got[1].cy) == pytest.approx((0.5, 2.0, -0.25, 1.0)) and got[1].chi2 == pytest.approx(0, abs=1e-12) and got[1].ndof == 8
     assert got[2].chi2 == 0 and got[2].ndof == 0
-    d = geometry.Detector("A", position=(0.1, -0.2, 50.0), orientation=(0.3, -0.2, 0.1))
-    r = np.array(d.rotation())
-    hits = []
-    for k, o in enumerate([(0, 0, 0)] * 4 + [d.orientation]):
-        rot = np.array(geometry.Detector("x", orientation=o).rotation())
-        p = np.array([0.0, 0.0, 100.0 * k]) if k < 4 else np.array(d.position)
-        n = rot[:, 2]
-        z = (n @ p - n[0] * 2.0 - n[1] * 1.0) / (n[0] * 0.01 + n[1] * -0.02 + n[2])
-        local = rot.T @ (np.array([2.0 + 0.01 * z, 1.0 - 0.02 * z, z]) - p)
-        hits.append([local[0], local[1], 1.0, 1.0, *p, *rot.ravel()])
-    fit = track.solve_tilted(np.array(hits))
-    assert fit[:4] == pytest.approx((0.01, 2.0, -0.02, 1.0)) and fit[4] == pytest.approx(0, abs=1e-15) and fit[5] == 6 and r.shape == (3, 3)
+
+
+def test_tilted_fit_against_a_plain_solve(spark):
+    """The 4 x 4 normal equations of each track, solved by numpy."""
+    rng = np.random.default_rng(6)
+    planes = [geometry.Detector(f"P{k}", position=(0.1 * k, -0.2, 100.0 * k), orientation=(0.3 * (k == 2), -0.2 * (k > 3), 0.1 * (k == 4)), res_x=0.02, res_y=0.05) for k in range(6)]
+    rows, want = [], {}
+    for track_id in range(40):
+        mx, cx, my, cy = 0.01, 2.0 + track_id, -0.02, 1.0
+        m, v, hits = np.zeros((4, 4)), np.zeros(4), []
+        used = planes if track_id else planes[:1]
+        for d in used if track_id != 1 else planes[2:4]:
+            r, p = np.array(d.rotation()), np.array(d.position)
+            z = (r[:, 2] @ p - r[0, 2] * cx - r[1, 2] * cy) / (r[0, 2] * mx + r[1, 2] * my + r[2, 2])
+            local = r.T @ (np.array([cx + mx * z, cy + my * z, z]) - p)
+            u, w = local[:2] + rng.normal(0, 0.03, 2) * (track_id > 2)
+            rows.append((track_id, float(u), float(w), 1 / d.res_x**2, 1 / d.res_y**2, *map(float, p), *map(float, r.ravel())))
+            g = p + r @ np.array([u, w, 0.0])
+            weight = np.linalg.inv((r @ np.diag([d.res_x**2, d.res_y**2, 1e-9]) @ r.T)[:2, :2])
+            a = np.array([[g[2], 1, 0, 0], [0, 0, g[2], 1]])
+            m, v = m + a.T @ weight @ a, v + a.T @ weight @ g[:2]
+            hits.append((d, u, w))
+        if len(hits) > 1:
+            t, chi2 = np.linalg.solve(m, v), 0.0
+            for d, u, w in hits:
+                r, p = np.array(d.rotation()), np.array(d.position)
+                z = (r[:, 2] @ p - r[0, 2] * t[1] - r[1, 2] * t[3]) / (r[0, 2] * t[0] + r[1, 2] * t[2] + r[2, 2])
+                off = (r.T @ (np.array([t[1] + t[0] * z, t[3] + t[2] * z, z]) - p))[:2] - (u, w)
+                chi2 += (off[0] / d.res_x) ** 2 + (off[1] / d.res_y) ** 2
+            want[track_id] = (*t, 0.0 if len(hits) == 2 else chi2, 2 * len(hits) - 4)
+    names = ["px", "py", "pz", *[f"r{i}{j}" for i in range(3) for j in range(3)]]
+    df = spark.createDataFrame(rows, "track_id long, u double, v double, wu double, wv double, " + ", ".join(f"{n} double" for n in names))
+    got = {r.track_id: tuple(r)[1:] for r in track.fit_tilted(df).collect()}
+    assert got.pop(0) == (None,) * 6  # one hit
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=1e-7, abs=1e-7), k
 
 
 def test_follow_takes_the_nearest_inside(spark):
