@@ -13,7 +13,7 @@ from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from beamloom.functions import coords, hist
@@ -67,77 +67,67 @@ class Plateau:
     warning: str = ""
 
 
-def plateau(content: np.ndarray, low: float, high: float, width: float = 0.0, pitch: float = 0.0, tolerance: float = 0.15) -> Plateau | None:
-    """Centre and width of a box profile over a background; None for fewer than 100 entries.
+#: Fixed values of the fit: bins either side that a level is the mean of, entries it needs, where the background is taken and how far edges are
+#: looked for (in known widths, plus bins), the share of the known width below which a channel counts as missing, and
+#: what shows on which side: the share of the height, the bins (at least, and in pitches) of a run.
+LEVEL_BINS, LEAST_ENTRIES, BACKGROUND_AT, EDGES_WITHIN, MORE_BINS, MISSING_BELOW, WEAK, LEAST_RUN, RUN_IN_PITCHES = 2, 100, 1.6, 1.3, 2, 0.7, 0.15, 3, 0.3
 
-    Levels are means of five bins: the plateau's round the fullest bin, the background's 1.6 widths away on both sides. The
-    edges are the outermost bins within 1.3 widths that reach the middle of the two levels, moved to it by linear
-    interpolation with their outer neighbours. A profile of less than 0.7 of the known width misses a channel: the
-    centre moves half a pitch to the side that shows a run of bins with some signal.
+
+def plateaus(profiles: DataFrame, by: tuple[str, ...], bins: int, low: float, high: float, tolerance: float = 0.15) -> DataFrame:
+    """by, centre, found_width, warning of box profiles over a background, for all profiles at once; those of few entries have none.
+
+    profiles: by, width (0 if unknown), pitch, bin, content; bins without entries may be left out. The edges are where the
+    profile passes the middle between the fullest bin's level and the background's. A profile much narrower than the
+    known width misses a channel: its centre moves half a pitch to the side with the larger run of weak bins. Everything is an
+    aggregation or a window over the bins of a profile.
     """
-    n = len(content)
-    if content.sum() < 100:
-        return None
-    step = (high - low) / n
-    window = np.ones(5)
-    level = np.convolve(content, window, mode="same") / np.convolve(np.ones(n), window, mode="same")
-    peak = int(content.argmax())
-    away = round(1.6 * width / step) + 2
-    background = (level[max(0, peak - away)] + level[min(n - 1, peak + away)]) / 2
-    height = level[peak] - background
-    reach = round(1.3 * width / step) + 2
-    first, last = max(0, peak - reach), min(n - 1, peak + reach)
-    over = np.nonzero(content[first : last + 1] >= background + height / 2)[0] + first
-    left = int(over[0]) if len(over) and over[0] <= peak else peak
-    right = int(over[-1]) if len(over) and over[-1] >= peak else peak
-
-    def edge(inner: int, outer: int) -> float:
-        """Where the profile passes the middle between a bin over it and its outer neighbour."""
-        centre = low + (inner + 0.5) * step
-        if not 0 <= outer < n:
-            return centre
-        rise = content[inner] - content[outer]
-        missing = (content[inner] - background - height / 2) / rise if rise else 1.0
-        return float(centre + (outer - inner) * missing * step)
-
-    a, b = edge(left, left - 1), edge(right, right + 1)
-    found = Plateau((a + b) / 2, b - a)
-    if width <= 0:
-        return found
-    if found.width < 0.7 * width:
-        shift = pitch / 2 if pitch > 0 else (width - found.width) / 2
-        shortest = max(3, round(0.3 * pitch / step))
-        loose = background + 0.15 * height
-        sides = [_best_run(content[first:left] - background, loose - background, shortest), _best_run(content[right + 1 : last + 1] - background, loose - background, shortest)]
-        side = int(np.sign(sides[1] - sides[0])) if max(sides) > 0 else 0
-        told = {-1: "moved to the low side", 0: "no signal on either side, not moved", 1: "moved to the high side"}[side]
-        return Plateau(found.centre + side * shift, found.width, f"a channel looks missing: {told}")
-    if abs(found.width - width) / width > tolerance:
-        found.warning = f"the width differs by {abs(found.width - width) / width:.0%}"
-    return found
-
-
-def _best_run(excess: np.ndarray, least: float, shortest: int) -> float:
-    """The largest sum over runs of at least `shortest` values above `least`."""
-    flags = np.concatenate([[0], excess > least, [0]])
-    begins, ends = np.nonzero(np.diff(flags) == 1)[0], np.nonzero(np.diff(flags) == -1)[0]
-    return max((float(excess[b:e].sum()) for b, e in zip(begins, ends, strict=True) if e - b >= shortest), default=0.0)
+    step, peak, bin_, content = (high - low) / bins, F.col("peak"), F.col("bin"), F.col("content")
+    reach = lambda widths: F.round(widths * F.col("width") / step) + MORE_BINS
+    fullest = F.min_by("bin", F.struct(-content, bin_)).alias("peak")
+    shapes = profiles.groupBy(*by).agg(F.sum("content").alias("entries"), F.max("width").alias("width"), F.max("pitch").alias("pitch"), fullest).filter(F.col("entries") >= LEAST_ENTRIES)
+    shapes = shapes.withColumns({"__" + n: F.least(F.greatest(peak + sign * reach(widths), F.lit(0)), F.lit(bins - 1)) for n, sign, widths in (("b0", -1, BACKGROUND_AT), ("b1", 1, BACKGROUND_AT), ("e0", -1, EDGES_WITHIN), ("e1", 1, EDGES_WITHIN))})
+    along = Window.partitionBy(*by).orderBy("bin")
+    dense = shapes.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(profiles.select(*by, "bin", "content"), [*by, "bin"], "left").fillna(0.0, ["content"])
+    dense = dense.withColumns({"level": F.avg("content").over(along.rowsBetween(-LEVEL_BINS, LEVEL_BINS)), "before": F.lag("content").over(along), "after": F.lead("content").over(along)})
+    level = lambda at: F.max(F.when(bin_ == at, F.col("level"))).over(Window.partitionBy(*by))
+    dense = dense.withColumn("base", (level(F.col("__b0")) + level(F.col("__b1"))) / 2).withColumn("height", level(peak) - F.col("base"))
+    middle = F.col("base") + F.col("height") / 2
+    full = (bin_ == peak) | (bin_.between(F.col("__e0"), F.col("__e1")) & (content >= middle))
+    outer = {"left": F.min(F.when(full & (bin_ <= peak), F.struct("bin", "content", F.col("before").alias("next")))), "right": F.max(F.when(full & (bin_ >= peak), F.struct("bin", "content", F.col("after").alias("next"))))}
+    dense = dense.withColumns({n: e.over(Window.partitionBy(*by)) for n, e in outer.items()})
+
+    def edge(side: str, out: int) -> Column:
+        e = F.col(side)
+        part = F.coalesce(F.try_divide(e["content"] - middle, e["content"] - e["next"]), F.lit(1.0))
+        return low + (e["bin"] + 0.5) * step + F.when(e["next"].isNull(), 0.0).otherwise(out * part * step)
+
+    found = dense.filter(bin_ == peak).select(*by, "width", "pitch", edge("left", -1).alias("__l"), edge("right", 1).alias("__r"))
+    side = F.when(bin_.between(F.col("__e0"), F.col("left.bin") - 1), -1).when(bin_.between(F.col("right.bin") + 1, F.col("__e1")), 1)
+    weak = dense.withColumn("side", side).filter(F.col("side").isNotNull() & (content > F.col("base") + WEAK * F.col("height")))
+    weak = weak.withColumn("run", bin_ - F.row_number().over(Window.partitionBy(*by, "side").orderBy("bin")))
+    runs = weak.groupBy(*by, "side", "run").agg(F.count("*").alias("__k"), F.sum(content - F.col("base")).alias("sum"), F.max("pitch").alias("pitch"))
+    runs = runs.filter(F.col("__k") >= F.greatest(F.lit(LEAST_RUN), F.round(RUN_IN_PITCHES * F.col("pitch") / step)))
+    best = lambda s: F.coalesce(F.max(F.when(F.col("side") == s, F.col("sum"))), F.lit(0.0))
+    toward = runs.groupBy(*by).agg(F.signum(best(1) - best(-1)).alias("toward"))
+    out = found.join(toward, list(by), "left").select(*by, "width", "pitch", ((F.col("__l") + F.col("__r")) / 2).alias("centre"), (F.col("__r") - F.col("__l")).alias("found_width"), F.coalesce("toward", F.lit(0.0)).alias("toward"))
+    known, missing = F.col("width") > 0, F.col("found_width") < MISSING_BELOW * F.col("width")
+    shift = F.when(F.col("pitch") > 0, F.col("pitch") / 2).otherwise((F.col("width") - F.col("found_width")) / 2)
+    told = F.when(F.col("toward") < 0, "moved to the low side").when(F.col("toward") > 0, "moved to the high side").otherwise("no signal on either side, not moved")
+    off = F.abs(F.col("found_width") - F.col("width")) / F.col("width")
+    warning = F.when(known & missing, F.concat(F.lit("a channel looks missing: "), told)).when(known & (off > tolerance), F.concat(F.lit("the width differs by "), F.round(100 * off).cast("int"), F.lit("%"))).otherwise("")
+    return out.select(*by, (F.col("centre") + F.when(known & missing, F.col("toward") * shift).otherwise(0.0)).alias("centre"), "found_width", warning.alias("warning"))
 
 
 def prealigned(tracks: DataFrame, d: Detector, bins: int = 500, reach: float = 10.0) -> tuple[Detector, dict[str, Plateau | None]]:
     """A detector moved to the centres of the plateaus of track positions at its z. Positions are global, so a centre is the
     new position itself. Layouts share this way; those that are not known count as generic."""
     z = d.position[2]
-    at = tracks.select((F.col("cx") + F.col("mx") * z).alias("x"), (F.col("cy") + F.col("my") * z).alias("y"))
-    found, place = {}, list(d.position)
-    for k, axis in enumerate("xy"):
-        content = np.zeros(bins)
-        for r in hist.bins_1d(at, axis, bins, -reach, reach).collect():  # at most `bins` rows
-            content[r["bin"]] = r["content"]
-        found[axis] = plateau(content, -reach, reach, d.size()[k], (d.pitch_x, d.pitch_y)[k])
-        if found[axis]:
-            place[k] = found[axis].centre
-    return replace(d, position=tuple(place)), found
+    axis = lambda k: F.struct(F.lit("xy"[k]).alias("axis"), (F.col("c" + "xy"[k]) + F.col("m" + "xy"[k]) * z).alias("at"), F.lit(float(d.size()[k])).alias("width"), F.lit(float((d.pitch_x, d.pitch_y)[k])).alias("pitch"))
+    both = tracks.select(F.inline(F.array(axis(0), axis(1))))
+    profiles = hist.bins_1d(both, "at", bins, -reach, reach, ("axis", "width", "pitch"))
+    found = {r["axis"]: Plateau(r["centre"], r["found_width"], r["warning"]) for r in plateaus(profiles, ("axis",), bins, -reach, reach).collect()}  # two rows at most
+    place = tuple(found[a].centre if a in found else v for a, v in zip("xyz", d.position, strict=True))
+    return replace(d, position=place), {a: found.get(a) for a in "xy"}
 
 
 # ---- tracks and degrees of freedom

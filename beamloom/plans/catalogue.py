@@ -851,25 +851,20 @@ def align_dut_rotation(spark, sf_dir):
     return spark.createDataFrame([(round(new.position[0], 6), round(new.position[1], 6), turned)], "x double, y double, turned boolean")
 
 
-@query("""WITH h AS (SELECT l_linenumber - 1 AS plane, l_partkey % 24 AS col FROM lineitem WHERE l_partkey % 24 BETWEEN 4 AND 19), c AS (SELECT 'P' || plane AS detector, col + 12 AS bin, count(*)::DOUBLE AS n FROM h GROUP BY ALL),
-t AS (SELECT detector, sum(n) AS total, max(n) AS top, min(bin) AS lo, max(bin) AS hi FROM c GROUP BY detector)
-SELECT detector, true AS wide, true AS centred FROM t WHERE total >= 100""")
+#: Edges by the definition: levels of five bins, the middle of plateau and background, farthest bins over it, interpolated.
+@query("""WITH h AS (SELECT 'P' || (l_linenumber - 1) AS detector, l_partkey % 24 + 12 AS bin FROM lineitem WHERE l_partkey % 24 BETWEEN 4 AND 19 OR (l_linenumber > 4 AND l_partkey % 24 < 2)),
+c AS (SELECT detector, b.bin, count(h.bin)::DOUBLE AS n FROM (SELECT DISTINCT detector FROM h) CROSS JOIN (SELECT unnest(range(0, 48)) AS bin) b LEFT JOIN h USING (detector, bin) GROUP BY ALL),
+l AS (SELECT *, avg(n) OVER (PARTITION BY detector ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS level, first_value(bin) OVER (PARTITION BY detector ORDER BY n DESC, bin) AS peak, sum(n) OVER (PARTITION BY detector) AS total FROM c),
+g AS (SELECT detector, any_value(peak) AS peak, max(CASE WHEN bin = peak THEN level END) AS top, (max(CASE WHEN bin = greatest(peak - 28, 0) THEN level END) + max(CASE WHEN bin = least(peak + 28, 47) THEN level END)) / 2 AS base FROM l WHERE total >= 100 GROUP BY detector),
+e AS (SELECT detector, (top + base) / 2 AS mid, min(CASE WHEN bin <= peak THEN bin END) AS lo, max(CASE WHEN bin >= peak THEN bin END) AS hi FROM l JOIN g USING (detector, peak) WHERE bin = peak OR (abs(bin - peak) <= 23 AND n >= (top + base) / 2) GROUP BY detector, top, base),
+v AS (SELECT e.*, a.n AS a, b.n AS b, x.n AS x, y.n AS y FROM e JOIN c a ON a.detector = e.detector AND a.bin = lo JOIN c b ON b.detector = e.detector AND b.bin = lo - 1 JOIN c x ON x.detector = e.detector AND x.bin = hi JOIN c y ON y.detector = e.detector AND y.bin = hi + 1),
+p AS (SELECT detector, lo - 12.0 - (a - mid) / (a - b) AS l, hi - 12.0 + (x - mid) / (x - y) AS r FROM v)
+SELECT detector, round((l + r) / 2, 6) + 0.0 AS centre, round(r - l, 6) + 0.0 AS found_width FROM p""")
 def align_plateau(spark, sf_dir):
-    """Box profiles of the columns 4 to 19 in bins of one: 16 wide round 11.5, to a bin."""
-    import numpy as np
-
-    h = adapters.hits(spark, sf_dir).filter("col >= 4 AND col < 20")
-    rows = hist.bins_1d(h, "col", 48, -12.5, 35.5, ("detector",)).collect()  # 48 bins a detector
-    out = []
-    for d in sorted({r["detector"] for r in rows}):
-        content = np.zeros(48)
-        for r in rows:
-            if r["detector"] == d:
-                content[r["bin"]] = r["content"]
-        found = align.plateau(content, -12.5, 35.5, width=16.0)
-        if found:
-            out.append((d, bool(abs(found.width - 16) < 1), bool(abs(found.centre - 11.5) < 1)))
-    return spark.createDataFrame(out, "detector string, wide boolean, centred boolean")
+    """Profiles of the columns 4 to 19 in bins of one, of some detectors with columns 0 and 1."""
+    h = adapters.hits(spark, sf_dir).filter("col BETWEEN 4 AND 19 OR (plane > 3 AND col < 2)")
+    profiles = hist.bins_1d(h, "col", 48, -12.5, 35.5, ("detector",)).withColumns({"width": F.lit(16.0), "pitch": F.lit(1.0)})
+    return _rounded(align.plateaus(profiles, ("detector",), 48, -12.5, 35.5).select("detector", "centre", "found_width"))
 
 
 #: Cramer's rule on the 4 x 4 normal equations, z about the mean; the plane that is tilted by 0.1 about x has its hits at y cos and z sin.

@@ -39,28 +39,34 @@ def test_limits_of_chi2():
     assert align.chi2_limit(9, 5) == align.chi2_limit(3, 5)
 
 
-def test_plateau():
+def test_plateau(spark):
+    def plateau(content, low, high, width=0.0, pitch=0.0):
+        rows = [(k, i, float(c), width, pitch) for k in "ab" for i, c in enumerate(content) if c]
+        got = align.plateaus(spark.createDataFrame(rows, "k string, bin int, content double, width double, pitch double"), ("k",), len(content), low, high).collect()
+        assert len({tuple(r)[1:] for r in got}) <= 1 and len(got) in (0, 2)
+        return align.Plateau(*tuple(got[0])[1:]) if got else None
+
     box = np.zeros(200)
     box[80:120] = 50.0
-    f = align.plateau(box, 0.0, 100.0, 20.0, 5.0)
+    f = plateau(box, 0.0, 100.0, 20.0, 5.0)
     assert f.centre == pytest.approx(50.0, abs=0.3) and f.width == pytest.approx(20.0, abs=0.6) and not f.warning
-    f = align.plateau(box + 10.0, 0.0, 100.0, 20.0, 5.0)
+    f = plateau(box + 10.0, 0.0, 100.0, 20.0, 5.0)
     assert f.centre == pytest.approx(50.0, abs=0.3) and f.width == pytest.approx(20.0, abs=0.6)
     dip = box.copy()
     dip[98:102] = 5.0  # two channels with a gap
-    assert align.plateau(dip, 0.0, 100.0, 20.0).width == pytest.approx(20.0, abs=0.6)
+    assert plateau(dip, 0.0, 100.0, 20.0).width == pytest.approx(20.0, abs=0.6)
     half = np.zeros(200)
     half[80:100] = 50.0
     half[104:112] = 11.0  # what is left of a weak channel on the high side
-    f = align.plateau(half, 0.0, 100.0, 20.0, 8.0)
+    f = plateau(half, 0.0, 100.0, 20.0, 8.0)
     assert f.centre == pytest.approx(45.0 + 4.0, abs=0.5) and "high" in f.warning
     half[104:112] = 0.0
-    f = align.plateau(half, 0.0, 100.0, 20.0, 8.0)
+    f = plateau(half, 0.0, 100.0, 20.0, 8.0)
     assert f.centre == pytest.approx(45.0, abs=0.5) and "not moved" in f.warning
-    assert align.plateau(np.ones(10), 0, 1) is None
+    assert plateau(np.ones(10), 0, 1) is None
     wide = np.zeros(200)
     wide[70:130] = 50.0
-    assert "differs" in align.plateau(wide, 0.0, 100.0, 24.0).warning
+    assert "differs" in plateau(wide, 0.0, 100.0, 24.0).warning
 
 
 def test_millepede_recovers_rotations_and_shifts(spark):
