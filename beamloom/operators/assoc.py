@@ -37,12 +37,12 @@ def closest(pairs: DataFrame) -> DataFrame:
 
 
 def counts(tracks: DataFrame, pairs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """track_id, die, n, seen: associations of each track on each die and, die null, in all; seen: its event had a cluster at all."""
+    """event_id, track_id, die, n, seen: associations of each track on each die and, die null, in all; seen: its event had a cluster at all."""
     by = associated(pairs).groupBy("event_id", "track_id", "track_die").agg(F.count("*").alias("n"))
     events = clusters.select("event_id").distinct().withColumn("seen", F.lit(True))
     base = tracks.select("event_id", "track_id", F.col("die").alias("track_die")).join(events, "event_id", "left")
     same = (F.col("a.event_id") == F.col("b.event_id")) & (F.col("a.track_id") == F.col("b.track_id")) & F.col("a.track_die").eqNullSafe(F.col("b.track_die"))
-    each = base.alias("a").join(by.alias("b"), same, "left").select("a.event_id", "a.track_id", "a.track_die", "seen", "n").select("track_id", F.col("track_die").alias("die"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("seen", F.lit(False)).alias("seen"))
+    each = base.alias("a").join(by.alias("b"), same, "left").select("a.event_id", "a.track_id", "a.track_die", "seen", "n").select("event_id", "track_id", F.col("track_die").alias("die"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("seen", F.lit(False)).alias("seen"))
     return each
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beamloom.functions import coords, hist
+from beamloom.functions import coords, hist, near
 
 #: Stages of the cut flow, each track in the first that stops it; tracks that are not isolated drop out but are no stage of the report.
 STAGES = ("outside", "chi2", "not_isolated", "masked", "no_required", "good")
@@ -98,9 +98,12 @@ def fakes_by_radius(clusters: DataFrame, tracks: DataFrame, distance: float, ins
     """Clusters that no track of their event comes near. Tracks inside the widened active area (`inside`) don't count, unless
     inside_counts: only those outside veto."""
     t = tracks if inside_counts else tracks.filter("NOT inside")
-    t = t.select(F.col("event_id").alias("__e"), F.col("px").alias("__x"), F.col("py").alias("__y"))
+    if distance <= 0:
+        return clusters
+    t = near.around(t, "px", "py", distance).select(F.col("event_id").alias("__e"), F.col("__ix").alias("__jx"), F.col("__iy").alias("__jy"), F.col("px").alias("__x"), F.col("py").alias("__y"))
     dx, dy = F.col("x") - F.col("__x"), F.col("y") - F.col("__y")
-    return clusters.join(t, (F.col("event_id") == F.col("__e")) & (dx * dx + dy * dy < distance * distance), "left_anti")
+    met = (F.col("event_id") == F.col("__e")) & (F.col("__ix") == F.col("__jx")) & (F.col("__iy") == F.col("__jy")) & (dx * dx + dy * dy < distance * distance)
+    return near.celled(clusters, "x", "y", distance).join(t, met, "left_anti").drop("__ix", "__iy")
 
 
 def fakes_by_edge(clusters: DataFrame, tracks: DataFrame) -> DataFrame:

@@ -140,8 +140,8 @@ def apply_shifts(df: DataFrame, segments: DataFrame, block: int = 1 << 16) -> Da
 
 
 def write_shifted(waveforms: DataFrame, segments: DataFrame, detectors: list[str], source: str, target: str, in_place: bool = False) -> None:
-    """waveforms (by detector) with the shifts applied to some detectors, written beside the target and renamed onto it at the end, so
-    that a failure leaves what was there. A target that is the source needs `in_place`; no segments are an error."""
+    """waveforms (by detector) with the shifts applied to some detectors, written beside the target and renamed onto it at the end. What was
+    there goes aside before and away after that, so a failure leaves it under one of the two names. A target that is the source needs `in_place`; no segments are an error."""
     spark = waveforms.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -153,6 +153,11 @@ def write_shifted(waveforms: DataFrame, segments: DataFrame, detectors: list[str
     done = apply_shifts(waveforms.filter(hit), segments).unionByName(waveforms.filter(~hit))
     partial = f"{target}.partial"
     done.write.mode("overwrite").partitionBy("detector").parquet(partial)
-    fs.delete(path(target), True)
+    aside = f"{target}.before"
+    if fs.exists(path(target)):
+        fs.delete(path(aside), True)
+        if not fs.rename(path(target), path(aside)):
+            raise OSError(f"could not move {target} to {aside}")
     if not fs.rename(path(partial), path(target)):
         raise OSError(f"could not move {partial} to {target}")
+    fs.delete(path(aside), True)

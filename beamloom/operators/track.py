@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beamloom.functions import coords
+from beamloom.functions import coords, near
 
 
 def seeds(clusters: DataFrame, min_span: int = 5, time_cut: float = 690_000.0) -> DataFrame:
@@ -120,6 +120,9 @@ def fit_tilted(points: DataFrame, by: tuple[str, ...] = ("track_id",)) -> DataFr
     return t.select(*by, F.inline_outer(F.array(F.struct(*found))))
 
 
+SUMS = ("sw", "sz", "szz", "sx", "sxz", "sy", "syz", "st", "sn")
+
+
 def _terms(h: str) -> dict[str, Column]:
     c = lambda n: F.col(f"{h}.{n}")
     w, z = c("w"), c("z")
@@ -186,12 +189,21 @@ def dedup(tracks: DataFrame) -> DataFrame:
     return tracks.join(kept, ["event_id", "track_id"], "left_semi")
 
 
+def close_pairs(positions: DataFrame, cut: float, by: tuple[str, ...] = ("event_id",), x: str = "x", y: str = "y") -> DataFrame:
+    """by, t1 < t2, distance of the tracks (by, track_id, x, y) nearer than `cut` to each other. Tracks of one cell or of cells side by side
+    meet, so the work grows with the tracks that are near, not with an event's tracks squared."""
+    if cut <= 0:
+        return positions.filter(F.lit(False)).select(*by, F.col("track_id").alias("t1"), F.col("track_id").alias("t2"), F.lit(0.0).alias("distance"))
+    here = near.celled(positions, x, y, cut).select(*by, "__ix", "__iy", F.col("track_id").alias("t1"), F.col(x).alias("__x"), F.col(y).alias("__y"))
+    there = near.around(positions, x, y, cut).select(*by, "__ix", "__iy", F.col("track_id").alias("t2"), F.col(x).alias("__u"), F.col(y).alias("__v"))
+    d = F.sqrt(F.pow(F.col("__x") - F.col("__u"), 2) + F.pow(F.col("__y") - F.col("__v"), 2))
+    met = here.join(there, [*by, "__ix", "__iy"]).filter(F.col("t1") < F.col("t2"))
+    return met.select(*by, "t1", "t2", d.alias("distance")).filter(F.col("distance") < cut)
+
+
 def close_tracks(positions: DataFrame, cut: float) -> DataFrame:
-    """track_id of tracks nearer than `cut` to another of the same event on a plane (event_id, track_id, x, y)."""
-    a, b = positions.alias("a"), positions.alias("b")
-    dx, dy = F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")
-    near = a.join(b, (F.col("a.event_id") == F.col("b.event_id")) & (F.col("a.track_id") < F.col("b.track_id"))).filter(F.sqrt(dx * dx + dy * dy) < cut)
-    return near.select(F.explode(F.array("a.track_id", "b.track_id")).alias("track_id")).distinct()
+    """event_id, track_id of tracks nearer than `cut` to another of the same event on a plane (event_id, track_id, x, y)."""
+    return close_pairs(positions, cut).select("event_id", F.explode(F.array("t1", "t2")).alias("track_id")).distinct()
 
 
 def residuals(points: DataFrame, tracks: DataFrame, by: tuple[str, ...] = ("track_id",)) -> DataFrame:

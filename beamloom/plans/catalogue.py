@@ -494,7 +494,7 @@ def track_dedup(spark, sf_dir):
 @query(f"""WITH {CL_SQL} SELECT DISTINCT a.cluster_id AS track_id FROM c a JOIN c b ON a.event_id = b.event_id AND a.plane = b.plane AND a.cluster_id <> b.cluster_id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 5""")
 def track_isolation(spark, sf_dir):
     c = _pixel_clusters(spark, sf_dir).select((F.col("event_id") * 10 + F.col("plane")).alias("event_id"), F.col("cluster_id").alias("track_id"), "x", "y")
-    return track.close_tracks(c, 5.0)
+    return track.close_tracks(c, 5.0).select("track_id")
 
 
 # ---- association and efficiency
@@ -536,7 +536,7 @@ def dut_closest(spark, sf_dir):
 
 @query(f"WITH {DUT_SQL} SELECT tp.event_id AS track_id, tp.die, count(ex.cluster_id) AS n, tp.event_id IN (SELECT event_id FROM du) AS seen FROM tp LEFT JOIN ex ON ex.event_id = tp.event_id AND reason = 0 GROUP BY ALL")
 def dut_assoc_counts(spark, sf_dir):
-    return assoc.counts(_predicted(spark, sf_dir), _examined(spark, sf_dir), _dut(spark, sf_dir))
+    return assoc.counts(_predicted(spark, sf_dir), _examined(spark, sf_dir), _dut(spark, sf_dir)).drop("event_id")
 
 
 @query(f"WITH {DUT_SQL}, g AS (SELECT die, reason, count(*) AS n, grouping(die) AS al FROM ex GROUP BY GROUPING SETS ((reason), (die, reason))) SELECT die, reason, n, round(n / sum(n) OVER (PARTITION BY die), 6) AS share FROM g")
@@ -1077,9 +1077,9 @@ def timing_cluster_counts(spark, sf_dir):
     return timing.cluster_counts(_timed(spark, sf_dir))
 
 
-@query(f"WITH {HITS} SELECT event_id, detector, CASE WHEN charge > 0 THEN round(ts / 1e15 - (2.0 / charge + 0.5), 6) ELSE ts / 1e15 END AS inverse, round(ts / 1e15 - (2.0 / sqrt(charge) + 0.5), 6) AS root, round(ts / 1e15, 6) AS plain FROM hits WHERE plane < 2")
+@query(f"WITH {HITS} SELECT event_id, detector, CASE WHEN charge > 0 THEN round(ts / 1e15 - (2.0 / charge + 0.5), 6) ELSE ts / 1e15 END AS inverse, round(ts / 1e15 - (2.0 / sqrt(charge) + 0.5), 6) AS root, round(ts / 1e15, 6) AS plain FROM hits")
 def timewalk_methods(spark, sf_dir):
-    h = adapters.hits(spark, sf_dir).filter("plane < 2").withColumn("t", F.col("ts") / 1e15)
+    h = adapters.hits(spark, sf_dir).withColumn("t", F.col("ts") / 1e15)
     one = lambda m: F.round(timing.walk(F.col("t"), F.col("charge"), 2.0, 0.5, m), 6)
     return h.select("event_id", "detector", one("inverse").alias("inverse"), one("root").alias("root"), one("none").alias("plain"))
 

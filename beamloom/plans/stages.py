@@ -299,8 +299,7 @@ def _closest_track(met: DataFrame) -> DataFrame:
 
 
 def _isolated(tracks: DataFrame, met: DataFrame, cut: float) -> DataFrame:
-    near = _closest_track(met).filter(F.col("distance") < cut)
-    close = near.select("event_id", F.explode(F.array("t1", "t2")).alias("track_id")).distinct().withColumn("__near", F.lit(True))
+    close = track.close_pairs(met, cut, ("event_id", "detector"), "gx", "gy").select("event_id", F.explode(F.array("t1", "t2")).alias("track_id")).distinct().withColumn("__near", F.lit(True))
     return tracks.join(close, TRACK, "left").withColumn("isolated", F.col("__near").isNull()).drop("__near")
 
 

@@ -104,8 +104,8 @@ def bound(detectors: list[Detector], name: str = "", kind: str = "") -> list[Det
 
 def with_die(df: DataFrame, dies: DataFrame, col: str = "col", row: str = "row", out: str = "die") -> DataFrame:
     """df (detector and a position in pixels) with the die of the nearest pixel, halves up; "" outside of all dies. Where dies share a
-    pixel, the first by name is taken."""
-    first = dies.groupBy("detector", F.col("col").alias("__c"), F.col("row").alias("__r")).agg(F.min("die").alias("__die"))
+    pixel, the first in the detector's file is taken."""
+    first = dies.groupBy("detector", F.col("col").alias("__c"), F.col("row").alias("__r")).agg(F.min_by("die", "place").alias("__die"))
     at = df.withColumns({"__c": coords.nearest_index(F.col(col)), "__r": coords.nearest_index(F.col(row))})
     return at.join(first, ["detector", "__c", "__r"], "left").withColumn(out, F.coalesce("__die", F.lit(""))).drop("__c", "__r", "__die")
 
@@ -119,8 +119,9 @@ def table(spark: SparkSession, detectors: list[Detector]) -> DataFrame:
 
 
 def die_table(spark: SparkSession, detectors: list[Detector]) -> DataFrame:
-    rows = [(d.name, die, int(c), int(r)) for d in detectors for die, pixels in d.dies.items() for c, r in pixels]
-    return spark.createDataFrame(rows, "detector string, die string, col int, row int")
+    """detector, die, place (the die's in the order of the file), col, row."""
+    rows = [(d.name, die, k, int(c), int(r)) for d in detectors for k, (die, pixels) in enumerate(d.dies.items()) for c, r in pixels]
+    return spark.createDataFrame(rows, "detector string, die string, place int, col int, row int")
 
 
 def _list(v, convert) -> tuple:

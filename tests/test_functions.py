@@ -75,3 +75,17 @@ def test_config():
     assert a.flag("flag") and not b.flag("flag") and b.text("mode") == "fast" and a.list("cuts") == [0.05] and b.list("cuts") == [1.0, 0.002] and m.text("out") == "x" and m.number("batch") == 5
     with pytest.raises(KeyError):
         config.run([config.Block("Nothing")], {})
+
+
+def test_names_and_lists(spark):
+    assert units.cfd_folder(0.2) == "cfd_0.20" and units.padded(7, 3) == "007" and units.listed(" a, b,, c ") == ["a", "b", "c"] and units.listed("") == []
+    d = spark.createDataFrame([("A", "tel"), ("B", "dut")], "name string, kind string")
+    found = {r["name"]: r.x for r in d.select("name", coords.is_excluded(F.col("name"), F.col("kind"), ["dut", "C"]).alias("x")).collect()}
+    assert found == {"A": False, "B": True}
+    assert not any(r.x for r in d.select(coords.is_excluded(F.col("name"), F.col("kind"), []).alias("x")).collect())
+
+
+def test_a_pixel_of_two_dies_goes_to_the_first_of_the_file(spark):
+    table = geometry.die_table(spark, [geometry.Detector("D", dies={"Z": [(0, 0), (1, 0)], "A": [(1, 0), (2, 0)]})])
+    at = spark.createDataFrame([("D", 0.4, 0.0), ("D", 1.2, 0.0), ("D", 2.0, 0.0), ("D", 3.0, 0.0)], "detector string, col double, row double")
+    assert [r.die for r in geometry.with_die(at, table).orderBy("col").collect()] == ["Z", "Z", "A", ""]

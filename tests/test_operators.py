@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -279,3 +280,17 @@ def test_daq_and_scans(spark):
     h = spark.createDataFrame([(1,), (3,)], "event_id long")
     assert sorted(r[0] for r in hit_sources.union_files([h, h, h], [2, 4]).collect()) == [1, 5, 7, 9, 11]
     assert hit_sources.normalised(h, ("channel", "has_waveform")).first()[1:] == (-1, False)
+
+
+@pytest.mark.parametrize("cut", [0.0, 0.3, 1.0, 7.0])
+def test_near_pairs_against_all_pairs(spark, cut):
+    rng = np.random.default_rng(8)
+    rows = [(int(e), i, float(x), float(y)) for i, (e, x, y) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(-40, 40, 200) / 10, rng.uniform(-3, 3, 200), strict=True))]
+    rows += [(0, 900, -0.0, 0.0), (0, 901, cut, 0.0), (0, 902, 0.0, -cut * (1 - 1e-12))]
+    t = spark.createDataFrame(rows, "event_id long, track_id long, x double, y double").repartition(3)
+    want = {(e, i, j) for e, i, x, y in rows for f, j, u, v in rows if e == f and i < j and math.hypot(x - u, y - v) < cut}
+    assert {(r.event_id, r.t1, r.t2) for r in track.close_pairs(t, cut).collect()} == want
+    assert {(r.event_id, r.track_id) for r in track.close_tracks(t, cut).collect()} == {(e, k) for e, i, j in want for k in (i, j)}
+    tracks = t.filter("track_id % 3 = 0").select("event_id", F.col("x").alias("px"), F.col("y").alias("py"), F.lit(False).alias("inside"))
+    free = {r.track_id for r in efficiency.fakes_by_radius(t, tracks, cut).collect()}
+    assert free == {j for f, j, u, v in rows if not any(e == f and i % 3 == 0 and (x - u) ** 2 + (y - v) ** 2 < cut * cut for e, i, x, y in rows)}
