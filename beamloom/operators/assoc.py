@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from beamloom.functions import coords
 
+#: The names of the reasons 0, 1 and 2 of a pair.
+REASONS = ("associated", "outside_ellipse", "outside_time")
+
 
 def nearest_pixel(x: Column, y: Column, pixels: Column) -> tuple[Column, Column]:
     """Distances to the nearest pixel in x and in y, each on its own."""

@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import functions as F
+
 from beamloom.functions import units
 from beamloom.sources import store
 
@@ -104,7 +106,7 @@ def parse(text: str, overrides: tuple[str, ...] = ()) -> list[Block]:
 
 @dataclass
 class Report:
-    """What a run tells about itself: seconds by stage, and counts of rows by table."""
+    """What a run tells about itself: seconds by stage, counts of rows by table, and the stages' counters, seen while tables were written."""
 
     seconds: dict[str, float] = field(default_factory=dict)
     whole: float = 0.0
@@ -129,8 +131,9 @@ def run(blocks: list[Block], tables: Tables, report: Report | None = None) -> Ta
 
     def applied(b: Block, t: Tables) -> Tables:
         start = time.monotonic()
-        out = _STAGES[b.kind](t, b)
-        out = out | {n: store.stored(out[n], n) for n in KEPT if n in out and out[n] is not t.get(n)}
+        with store.counting(report.counts):
+            out = _STAGES[b.kind](t, b)
+            out = out | {n: store.stored(out[n], n, {n: F.count(F.lit(1))}) for n in KEPT if n in out and out[n] is not t.get(n)}
         report.seconds[b.name] = report.seconds.get(b.name, 0.0) + time.monotonic() - start
         return out
 

@@ -14,15 +14,13 @@ from pyspark.sql import functions as F
 
 from beamloom.operators import plots
 from beamloom.plans import config, stages
+from beamloom.plans import plots as plot_sets
 from beamloom.sources import geometry
 
 
 def results(t: config.Tables) -> dict[str, DataFrame]:
-    """The tables that a run writes: results, contents and statistics of plots, points of graphs."""
+    """The tables that a run writes beside its plots: results, and points of graphs."""
     out = {n: t[n] for n in ("efficiency", "cut_flow", "efficiency_maps", "profile_maps", "efficiency_by_event", "fake_map", "fake_rates", "cut_reasons", "time_pairs", "cluster_counts", "pair_counts", "corrections", "plateaus", "discarded", "segments", "onsets") if n in t}
-    for name, filled in t.get("plots", {}).items():
-        out[f"hist_bins/stage={name}"] = plots.bins(filled)
-        out[f"hist_stats/stage={name}"] = plots.stats(filled)
     for name, points in t.get("graphs", {}).items():
         out[f"graph_points/stage={name}"] = points
     return out
@@ -38,8 +36,13 @@ def run(spark: SparkSession, path: str, overrides: tuple[str, ...] = (), tables:
     report = config.Report()
     t = config.run(blocks, t, report)
     for name in common.texts("count"):
-        report.counts[name] = t[name].agg(F.count("*")).first()[0]
-    failed = plots.written(results(t), common.text("output_directory")) if common.text("output_directory") else {}
+        if name not in report.counts:  # of stored tables it is known
+            report.counts[name] = t[name].agg(F.count("*")).first()[0]
+    failed = {}
+    if folder := common.text("output_directory"):
+        failed = plots.written(results(t), folder)
+        for name, sets in t.get("plots", {}).items():
+            failed |= plot_sets.written(sets, folder, name)
     return t, report, failed
 
 

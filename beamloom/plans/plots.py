@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beamloom.functions import coords
-from beamloom.operators.plots import Plot, by_die, entries, graph, places
+from beamloom.operators.plots import Plot, bins, by_die, entries, graph, places, stats
 
 Set = tuple[DataFrame, Column, list[Plot]]
 
@@ -226,6 +226,55 @@ def efficiency_graph(by_event: DataFrame, detector: str) -> DataFrame:
     return graph(by_event, detector, "efficiency_vs_event", "event_id", "ratio")
 
 
+def _failure(e: Exception) -> str:
+    return f"{type(e).__name__}: {str(e)[:200]}"
+
+
+def sound(sets: list[Set]) -> tuple[list[Set], dict[str, str]]:
+    """The sets without the plots that Spark can't analyse, and what is wrong with those, by plot. Nothing is run."""
+
+    def wrong(df: DataFrame, at: Column, plots: list[Plot]) -> str:
+        try:
+            entries(df, at, plots)
+        except Exception as e:  # noqa: BLE001 - any failure of one plot is reported, not raised
+            return _failure(e)
+        return ""
+
+    good, bad = [], {}
+    for df, at, plots in sets:
+        left = plots
+        if wrong(df, at, plots):
+            found = {p.name: wrong(df, at, [p]) for p in plots}
+            bad |= {n: w for n, w in found.items() if w}
+            left = [p for p in plots if not found[p.name]]
+        good += [(df, at, left)] if left else []
+    return good, bad
+
+
+def written(sets: list[Set], folder: str, stage: str) -> dict[str, str]:
+    """Writes contents and statistics of a stage's plots, all in one pass; where that fails, plot by plot, so that a bad one leaves the others
+    written. Returns what is wrong, by `stage/plot`."""
+
+    def write(some: list[Set], mode: str) -> None:
+        found = filled(some)
+        for name, make in (("hist_bins", bins), ("hist_stats", stats)):
+            make(found).write.mode(mode).parquet(f"{folder}/{name}/stage={stage}")
+
+    sets, bad = sound(sets)
+    try:
+        if sets:
+            write(sets, "overwrite")
+    except Exception:  # noqa: BLE001 - found again below, with the plot it belongs to
+        mode = "overwrite"
+        for name in dict.fromkeys(p.name for _, _, plots in sets for p in plots):
+            try:
+                write([(df, at, own) for df, at, plots in sets if (own := [p for p in plots if p.name == name])], mode)
+                mode = "append"
+            except Exception as e:  # noqa: BLE001
+                bad[name] = _failure(e)
+    return {f"{stage}/{n}": w for n, w in bad.items()}
+
+
 def filled(sets: list[Set]) -> DataFrame:
     """The entries of all sets."""
     parts: list[DataFrame] = [entries(*s) for s in sets]

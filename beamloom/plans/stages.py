@@ -40,8 +40,8 @@ def with_geometry(t: Tables, spark: SparkSession, found: list[Detector]) -> Tabl
 def _plotted(t: Tables, b: Block, sets: list) -> Tables:
     if not sets:
         return t
-    old, new = t.get("plots", {}), plots.filled(sets)
-    return t | {"plots": old | {b.kind: old[b.kind].unionByName(new) if b.kind in old else new}}
+    old = t.get("plots", {})
+    return t | {"plots": old | {b.kind: [*old.get(b.kind, []), *sets]}}
 
 
 def _graphed(t: Tables, b: Block, points: DataFrame) -> Tables:
@@ -253,7 +253,7 @@ def tracking(t: Tables, b: Block) -> Tables:
     planes = _spark(t).createDataFrame(list(order.items()), "detector string, __plane int")
     c = c.join(F.broadcast(planes), "detector").withColumn("plane", F.col("__plane")).drop("__plane")  # one row a detector
     found = track.follow(c, [(i, d.position[2]) for i, d in enumerate(some)][1:-1], cx, cy, b.number("time_cut_abs", 690_000.0), int(b.number("min_hits_on_track", 5)))
-    found = store.stored(found.select("event_id", "members", track.track_number(F.col("members")).alias("track_id"), F.col("a.ts").alias("ts")), "found")
+    found = store.stored(found.select("event_id", "members", track.track_number(F.col("members")).alias("track_id"), F.col("a.ts").alias("ts")), "found", {"Tracking4D.followed": F.count(F.lit(1))})
     links = found.select("event_id", "track_id", F.explode("members").alias("cluster_id"))
     points = _points(t, links)
     if any(sum(abs(o) for o in d.orientation) > 1e-9 for d in some):
@@ -265,7 +265,7 @@ def tracking(t: Tables, b: Block) -> Tables:
         fitted = track.dedup(fitted)
     if limit := int(b.number("number_of_tracks")):
         fitted = track.first_tracks(fitted, limit)
-    fitted = store.stored(track.angles(fitted.drop("members")), "fitted")
+    fitted = store.stored(track.angles(fitted.drop("members")), "fitted", {"Tracking4D.kept": F.count(F.lit(1)), "Tracking4D.hits": F.sum("n")})
     isolation = b.number("isolation_cut")
     met = intercepts(fitted, t["detectors"].filter("is_pixel"))
     fitted = fitted.withColumn("isolated", F.lit(True)) if not isolation else _isolated(fitted, met.filter(F.col("detector").isin(names)), isolation)
@@ -434,7 +434,7 @@ def dut_association(t: Tables, b: Block) -> Tables:
     sets = []
     for d in geometry.bound(t["geometry"], b.values.get("name", ""), b.text("type")):
         p, c = store.stored(_predicted(t, d), "predicted"), store.stored(_dut_clusters(t, d), "dut-clusters")
-        pairs = store.stored(assoc.examined(p, c.drop("detector"), *cuts).withColumn("detector", F.lit(d.name)), "pairs")
+        pairs = store.stored(assoc.examined(p, c.drop("detector"), *cuts).withColumn("detector", F.lit(d.name)), "pairs", {f"DUTAssociation.{d.name}.{n}": F.count_if(F.col("reason") == k) for k, n in enumerate(assoc.REASONS)})
         counts = assoc.counts(p, pairs, c).withColumn("detector", F.lit(d.name))
         found["associations"].append(assoc.associated(pairs))
         found["cut_reasons"].append(assoc.reasons(pairs).withColumn("detector", F.lit(d.name)))
@@ -478,7 +478,8 @@ def analysis_efficiency(t: Tables, b: Block) -> Tables:
     for d in geometry.bound(t["geometry"], b.values.get("name", ""), b.text("type")):
         clusters = _dut_clusters(t, d)
         for die in [None, *d.die_labels()]:
-            judged = store.stored(_judged(t, b, d, die), "judged")
+            place = d.name if die is None else f"{d.name}/{die}"
+            judged = store.stored(_judged(t, b, d, die), "judged", {f"AnalysisEfficiency.{place}.{s}": F.count_if(F.col("stage") == s) for s in efficiency.STAGES})
             good = judged.filter("stage = 'good'")
             mine = lambda df: df.withColumns({"detector": F.lit(d.name), "die": F.lit(die).cast("string")})  # noqa: B023, E731
             a = t["associations"].filter(F.col("detector") == d.name)

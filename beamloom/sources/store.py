@@ -6,15 +6,19 @@ outlive lost executors.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import re
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Used only in one process, as in tests, where driver and executors share every folder.
 LOCAL_DIR = "/tmp/checkpoints/beamloom-runs"
 
 _WRITTEN: list[str] = []
+_COUNTS: contextvars.ContextVar[dict[str, int] | None] = contextvars.ContextVar("counts", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,11 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
+@contextlib.contextmanager
+def counting(counts: dict[str, int]) -> Iterator[None]:
+    """Counters of the tables that are stored inside go into `counts`."""
+    token = _COUNTS.set(counts)
+    try:
+        yield
+    finally:
+        _COUNTS.reset(token)
+
+
+def stored(df: DataFrame, name: str, counters: dict[str, Column] | None = None) -> DataFrame:
+    """df as a table. The counters (aggregates) are observed while it is written, so they cost no job of their own."""
+    spark, counts, seen = df.sparkSession, _COUNTS.get(), Observation()
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if wanted := counters if counts is not None else None:
+        df = df.observe(seen, *[c.alias(n) for n, c in wanted.items()])
     _WRITTEN.append(path)
+    df.write.parquet(path)
+    if wanted:
+        counts |= {n: v or 0 for n, v in seen.get.items()}
     return spark.read.parquet(path)
 
 

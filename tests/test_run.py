@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beamloom.operators import plots
+from beamloom.operators import plots as core_plots
 from beamloom.plans import config, main
 from beamloom.plans import plots as plot_sets
 from beamloom.sources import geometry
@@ -156,6 +157,32 @@ def test_hits_to_efficiency_and_timing(spark, root, done):
     assert {(r.first, r.second) for r in pairs} == {("DA", "DB")} and sum(r.event_id < LATE for r in pairs) >= 50
     assert all(abs(r.dt - (r.event_id % 3 - 10) * 0.2) < 0.05 for r in pairs if r.event_id < LATE)
 
+
+def test_counters_come_with_the_tables(spark, done):
+    t, report, _ = done
+    n = report.counts
+    assert n["hits"] == t["hits"].count() and n["clusters"] == t["clusters"].count() and n["Tracking4D.kept"] == EVENTS and n["Tracking4D.hits"] == 5 * EVENTS
+    assert n["Tracking4D.followed"] >= EVENTS
+    flow = {(r.detector, r.die, r.stage): r.n for r in t["cut_flow"].collect()}
+    got = {tuple(k.split(".")[1:]): v for k, v in n.items() if k.startswith("AnalysisEfficiency.")}
+    assert {(d if die is None else f"{d}/{die}", s): k for (d, die, s), k in flow.items()} == {k: v for k, v in got.items() if v}
+    pairs = {(r.detector, r.reason): r.n for r in t["cut_reasons"].filter("die IS NULL").collect()}
+    assert n["DUTAssociation.DA.associated"] == pairs[("DA", 0)]
+
+
+def test_a_bad_plot_leaves_the_others(spark, tmp_path):
+    rows = spark.range(40).select(F.lit("D").alias("detector"), F.col("id").cast("double").alias("v"), F.lit("x").alias("w"))
+    at = core_plots.places(F.col("detector"))
+    lost = core_plots.Plot("lost", F.raise_error(F.lit("lost")).cast("double"), 4, 0, 40)
+    sets = [(rows, at, [core_plots.Plot("good", "v", 4, 0, 40), core_plots.Plot("no_column", "missing", 4, 0, 40), lost]), (rows, at, [core_plots.Plot("more", "v", 2, 0, 40)]), (rows, at, [core_plots.Plot("none", "missing", 1, 0, 1)])]
+    bad = plot_sets.written(sets, str(tmp_path), "S")
+    assert bad.keys() == {"S/no_column", "S/lost", "S/none"} and "lost" in bad["S/lost"]
+    for name, n in (("hist_bins", 6), ("hist_stats", 2)):
+        found = spark.read.parquet(f"{tmp_path}/{name}/stage=S")
+        assert {r.plot for r in found.collect()} == {"good", "more"} and found.count() == n
+    assert plot_sets.written(sets[1:2], str(tmp_path), "S") == {} and spark.read.parquet(f"{tmp_path}/hist_bins/stage=S").count() == 2  # written anew
+
+
 def test_plots_and_saved_tables(spark, root, done):
     t, _, _ = done
     bins = spark.read.parquet(str(root / "out/hist_bins/stage=ClusteringSpatial"))
