@@ -118,14 +118,28 @@ def plateaus(profiles: DataFrame, by: tuple[str, ...], bins: int, low: float, hi
     return out.select(*by, (F.col("centre") + F.when(known & missing, F.col("toward") * shift).otherwise(0.0)).alias("centre"), "found_width", warning.alias("warning"))
 
 
+def pads(profiles: DataFrame, by: tuple[str, ...], bins: int, low: float, high: float, share: float = 0.1) -> DataFrame:
+    """by, centre, found_width, warning of profiles whose footprint is no one plateau (pads with gaps wider than themselves): from the
+    first to the last bin that has at least the share of the fullest one."""
+    step, top = (high - low) / bins, F.max("content").over(Window.partitionBy(*by))
+    some = profiles.withColumn("__top", top).filter(F.col("content") >= share * F.col("__top"))
+    entries = profiles.groupBy(*by).agg(F.sum("content").alias("entries")).filter(F.col("entries") >= LEAST_ENTRIES)
+    ends = some.groupBy(*by).agg(F.min("bin").alias("a"), F.max("bin").alias("b")).join(entries, list(by))
+    return ends.select(*by, (low + (F.col("a") + F.col("b") + 1) / 2 * step).alias("centre"), ((F.col("b") - F.col("a") + 1) * step).alias("found_width"), F.lit("").alias("warning"))
+
+
+#: The ways that a layout may name: profiles -> by, centre, found_width, warning.
+CENTRES = {"plateau": plateaus, "pads": pads}
+
+
 def prealigned(tracks: DataFrame, d: Detector, bins: int = 500, reach: float = 10.0) -> tuple[Detector, dict[str, Plateau | None]]:
     """A detector moved to the centres of the plateaus of track positions at its z. Positions are global, so a centre is the
-    new position itself. Layouts share this way; those that are not known count as generic."""
+    new position itself. How a profile gives its centre is the layout's choice."""
     z = d.position[2]
     axis = lambda k: F.struct(F.lit("xy"[k]).alias("axis"), (F.col("c" + "xy"[k]) + F.col("m" + "xy"[k]) * z).alias("at"), F.lit(float(d.size()[k])).alias("width"), F.lit(float((d.pitch_x, d.pitch_y)[k])).alias("pitch"))
     both = tracks.select(F.inline(F.array(axis(0), axis(1))))
     profiles = hist.bins_1d(both, "at", bins, -reach, reach, ("axis", "width", "pitch"))
-    found = {r["axis"]: Plateau(r["centre"], r["found_width"], r["warning"]) for r in plateaus(profiles, ("axis",), bins, -reach, reach).collect()}  # two rows at most
+    found = {r["axis"]: Plateau(r["centre"], r["found_width"], r["warning"]) for r in CENTRES[d.rules().centre](profiles, ("axis",), bins, -reach, reach).collect()}  # two rows at most
     place = tuple(found[a].centre if a in found else v for a, v in zip("xyz", d.position, strict=True))
     return replace(d, position=place), {a: found.get(a) for a in "xy"}
 
@@ -466,7 +480,7 @@ def trusted_pixels(found: Density, d: Detector, least: float = 50.0, deviation:
     good = (n >= least) & (off <= deviation * min(d.pitch_x, d.pitch_y))
     if row:
         good &= np.arange(d.n_rows)[None, :] == (d.n_rows - 1 if row > 0 else 0)
-    for pixels in d.dies.values():
+    for pixels in d.die_pixels().values():
         cols, rows = np.array([(int(c), int(r)) for c, r in pixels]).T
         if not good[cols, rows].all():
             good[cols, rows] = False
@@ -492,7 +506,7 @@ def align_dut(
         if mean["n"] >= 100:
             origin = np.array([mean["x"], mean["y"], d.position[2]])
             ends = good.any(axis=0)[[0, -1]]
-            if d.dies and d.n_rows >= 2 and ends[0] != ends[1]:
+            if d.die_pixels() and d.n_rows >= 2 and ends[0] != ends[1]:
                 origin = origin - np.array(d.rotation())[:, 1] * pixel_centres(d)[1][0 if ends[0] else -1]
             d = replace(d, position=(float(origin[0]), float(origin[1]), d.position[2]))
     steps: list[float] = []

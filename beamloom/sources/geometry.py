@@ -44,14 +44,21 @@ class Detector:
 
     def effective_pitch(self) -> tuple[float, float]:
         """By the layout's rule."""
-        return LAYOUTS.get(self.layout, LAYOUTS[""]).pitch(self)
+        return self.rules().pitch(self)
+
+    def rules(self) -> Layout:
+        """What the detector's layout decides; the generic rules where the layout is not known."""
+        return LAYOUTS.get(self.layout, LAYOUTS[""])
+
+    def die_pixels(self) -> dict[str, list]:
+        """The pixels (column, row) of each die: of the dies file in its order or, without one, of the layout's rule."""
+        return self.dies or self.rules().dies(self)
 
     def is_pixel(self) -> bool:
         return self.n_cols > 0 and self.n_rows > 0
 
     def die_labels(self) -> list[str]:
-        """Dies of the dies file in its order; without one, those of the layout (none of the known layouts has its own)."""
-        return list(self.dies) or list(LAYOUTS.get(self.layout, LAYOUTS[""]).dies)
+        return list(self.die_pixels())
 
     def has_die_split(self) -> bool:
         return bool(self.die_labels())
@@ -80,16 +87,23 @@ def _shared_gap(d: Detector) -> tuple[float, float]:
 
 @dataclass(frozen=True)
 class Layout:
-    """What a board's layout decides: the step between pixels, and dies of its own."""
+    """What a board's layout decides: the step between pixels, dies of its own (pixels by label), and by which of the ways in
+    `operators.align.CENTRES` a profile of track positions gives its place."""
 
     pitch: Callable[[Detector], tuple[float, float]] = _shared_gap
-    dies: tuple[str, ...] = ()
+    dies: Callable[[Detector], dict[str, list]] = lambda d: {}
+    centre: str = "plateau"
 
 
 #: Layouts by the name in a geometry file; the empty name is the generic one.
 LAYOUTS = {"": Layout(), "orthogonal": Layout(), "OrthogonalLayout": Layout()}
 
 
+def register(name: str, layout: Layout) -> None:
+    """Makes a layout known under the name that geometry files give."""
+    LAYOUTS[name] = layout
+
+
 def bound(detectors: list[Detector], name: str = "", kind: str = "") -> list[Detector]:
     """The detector of a name or, without one, all of a type; neither is an error, as is a name that does not occur."""
     if name:
@@ -120,7 +134,7 @@ def table(spark: SparkSession, detectors: list[Detector]) -> DataFrame:
 
 def die_table(spark: SparkSession, detectors: list[Detector]) -> DataFrame:
     """detector, die, place (the die's in the order of the file), col, row."""
-    rows = [(d.name, die, k, int(c), int(r)) for d in detectors for k, (die, pixels) in enumerate(d.dies.items()) for c, r in pixels]
+    rows = [(d.name, die, k, int(c), int(r)) for d in detectors for k, (die, pixels) in enumerate(d.die_pixels().items()) for c, r in pixels]
     return spark.createDataFrame(rows, "detector string, die string, place int, col int, row int")
 
 

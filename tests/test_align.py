@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beamloom.operators import align
+from beamloom.sources import geometry
 from beamloom.sources.geometry import Detector
 
 
@@ -69,6 +70,22 @@ def test_plateau(spark):
     assert "differs" in plateau(wide, 0.0, 100.0, 24.0).warning
 
 
+def test_layouts_with_rules_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "LAYOUTS", dict(geometry.LAYOUTS))
+    halves = lambda d: {"LEFT": [(c, r) for c in range(d.n_cols // 2) for r in range(d.n_rows)], "RIGHT": [(c, r) for c in range(d.n_cols // 2, d.n_cols) for r in range(d.n_rows)]}
+    geometry.register("pads", geometry.Layout(lambda d: (3 * d.pitch_x, d.pitch_y), halves, "pads"))
+    d, plain = (Detector("D", layout=n, position=(0.0, 0.0, 10.0), n_cols=2, n_rows=1, pitch_x=1.0, pitch_y=1.0) for n in ("pads", ""))
+    assert d.effective_pitch() == (3.0, 1.0) and d.size() == (4.0, 1.0) and plain.size() == (2.0, 1.0)
+    assert d.die_labels() == ["LEFT", "RIGHT"] and d.has_die_split() and not plain.has_die_split()
+    assert replace(d, dies={"file": [(0, 0)]}).die_labels() == ["file"]
+    at = spark.createDataFrame([("D", 0.2, 0.0), ("D", 1.0, 0.0)], "detector string, col double, row double")
+    assert [r.die for r in geometry.with_die(at, geometry.die_table(spark, [d])).orderBy("col").collect()] == ["LEFT", "RIGHT"]
+    r = np.random.default_rng(5)  # two pads of 1 x 1 round 2 and 5, and none between
+    rows = [(float(x), float(y), 0.0, 0.0) for x, y in zip(np.concatenate([r.uniform(1.5, 2.5, 3000), r.uniform(4.5, 5.5, 3000)]), r.uniform(-3.5, -2.5, 6000), strict=True)]
+    new, found = align.prealigned(spark.createDataFrame(rows, "cx double, cy double, mx double, my double"), d)
+    assert new.position == pytest.approx((3.5, -3.0, 10.0), abs=0.05) and found["x"].width == pytest.approx(4.0, abs=0.1)
+
+
 def test_millepede_recovers_rotations_and_shifts(spark):
     true = [plane(k) for k in range(6)]
     true[2] = plane(2, position=(0.05, -0.03, 200.0), orientation=(0.01, -0.008, 0.004))
