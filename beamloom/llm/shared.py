@@ -95,6 +95,14 @@ def released(spark: SparkSession, folders: list[str], reader: DataFrame) -> None
             _WRITTEN.remove(path)
 
 
+def collected(spark: SparkSession) -> None:
+    """Lets executors collect their heaps and give back what is free: a heap that a stage's garbage has widened stays wide otherwise, while
+    the Python workers of the next stage need the memory of the same container. It changes no result; executors that get no task of it
+    collect when they need to."""
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).selectExpr("reflect('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 def swept(spark: SparkSession) -> None:
     """Removes all tables written by this process; results that still read them end with it."""
     while _WRITTEN:
