@@ -15,20 +15,22 @@ from pyspark.sql import functions as F
 
 from beamloom.llm import byte_bpe, jaccard_join, quality_rules, source_mixing, suffix_dedup
 from beamloom.llm.queries import vocabulary
-from beamloom.llm.shared import recorded, released, table, written
+from beamloom.llm.shared import collected, recorded, released, table, written
 
 #: By thread and sf_dir, the tables that its last stages have written on their way.
 _LEFT: dict[tuple[int, str], list[str]] = {}
 
 
 def _stage(f):
-    """The stage, before which tables of the stage before go that docs does not read; docs is that stage's result, written. So a thread writes
-    a stage's result before it calls another stage for the same sf_dir; runs in other threads have lists of their own."""
+    """The stage, before which tables of the stage before go that docs does not read, and executors give free memory back; docs is that
+    stage's result, written. So a thread writes a stage's result before it calls another stage for the same sf_dir; runs in other
+    threads have lists of their own."""
 
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         left = _LEFT.setdefault((threading.get_ident(), sf_dir), [])
         released(spark, left, docs)
+        collected(spark)
         with recorded() as tables:
             out = f(spark, docs, sf_dir)
         left += [p for p in tables if p not in left]
