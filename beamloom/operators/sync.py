@@ -90,9 +90,12 @@ def shift_scan(tracks: DataFrame, hits: DataFrame, band: int, window: int) -> Da
     before = totals.select("b", F.coalesce(F.sum("t").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("t0"))
     at = Window.partitionBy("b").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     first = per.join(before, "b").withColumn("first", F.col("t0") + F.coalesce(F.sum("k").over(at), F.lit(0)))
-    rows = first.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1))).select("event_id", F.floor((F.col("first") + F.col("i")) / window).alias("block"))
+    # an event's tracks are a row for each window they fall into, with their number; shifts multiply these rows, not the tracks
+    low, end = F.col("first"), F.col("first") + F.col("k")
+    rows = first.withColumn("block", F.explode(F.sequence(F.floor(low / window), F.floor((end - 1) / window))))
+    rows = rows.select("event_id", "block", (F.least(end, (F.col("block") + 1) * window) - F.greatest(low, F.col("block") * window)).alias("n"))
     shifted = rows.withColumn("shift", F.explode(F.sequence(F.lit(-band), F.lit(band)))).withColumn("at", F.col("event_id") + F.col("shift"))
-    return shifted.join(hits.select(F.col("event_id").alias("at")).distinct(), "at", "left_semi").groupBy("block", "shift").agg(F.count("*").alias("n"))
+    return shifted.join(hits.select(F.col("event_id").alias("at")).distinct(), "at", "left_semi").groupBy("block", "shift").agg(F.sum("n").alias("n"))
 
 
 def walk_shifts(scan: DataFrame, start: int = 0, band: int = 3) -> Iterator[tuple[int, int]]:

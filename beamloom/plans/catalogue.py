@@ -6,6 +6,7 @@ SQL is written on its own. Doubles are rounded to six digits on both sides.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -85,10 +86,12 @@ def mask_local_density(spark, sf_dir):
     return _rounded(masks.local_density(adapters.hits(spark, sf_dir), _detectors(spark), bandwidth=3))
 
 
-@query(f"""WITH {HITS}, {MASKED_SQL} SELECT 'P' || p AS detector, c::INT AS col, r::INT AS row FROM range(0, 7) a(p), range(0, 24) b(c), range(0, 24) d(r)
+@query(f"""WITH {HITS}, {MASKED_SQL} SELECT 'P' || p AS detector, c::INT AS col, r::INT AS row FROM range(0, 7) a(p), range(0, 26) b(c), range(0, 24) d(r)
 EXCEPT SELECT detector, col, row FROM hits EXCEPT SELECT detector, col, row FROM masked""")
 def mask_dead_pixels(spark, sf_dir):
-    return masks.dead_pixels(adapters.hits(spark, sf_dir), _detectors(spark), _masked(spark))
+    """On planes two columns wider than the hits reach."""
+    wide = geometry.table(spark, [dataclasses.replace(d, n_cols=26) for d in adapters.DETECTORS])
+    return masks.dead_pixels(adapters.hits(spark, sf_dir), wide, _masked(spark))
 
 
 @query(f"""WITH {HITS}, {MASKED_SQL}, o AS (SELECT detector, col, row FROM hits GROUP BY ALL HAVING count(*) > 25) SELECT detector, col, row FROM masked UNION SELECT detector, col, row FROM o""")
@@ -842,13 +845,13 @@ def dut_trusted_pixels(spark, sf_dir):
     return spark.createDataFrame(rows, "col int, row int, n long, trusted boolean")
 
 
-@query(f"""WITH {DUT_SPOTS}, s AS (SELECT avg(gx) AS mx, avg(gy) AS my FROM g) SELECT round(mx, 6) AS x, round(my, 6) AS y, true AS turned FROM s""")
+@query(f"""WITH {DUT_SPOTS}, s AS (SELECT avg(gx) AS mx, avg(gy) AS my FROM g) SELECT round(mx, 6) AS x, round(my, 6) AS y, 0.02::DOUBLE AS turn, true AS shrinking FROM s""")
 def align_dut_rotation(spark, sf_dir):
     """The place is the mean of all matched positions; the turn is found to a tenth of a milliradian's twenty, in shrinking steps."""
     spots, d = _dut_spots(spark, sf_dir)
     new, steps, good = align.align_dut(spots, d, bin_size=(0.01, 0.01), least=20.0)
-    turned = bool(good.all()) and abs(new.orientation[2] - 0.02) < 2e-3 and all(abs(b) < abs(a) for a, b in zip(steps, steps[1:], strict=False))
-    return spark.createDataFrame([(round(new.position[0], 6), round(new.position[1], 6), turned)], "x double, y double, turned boolean")
+    shrinking = bool(good.all()) and all(abs(b) < abs(a) for a, b in zip(steps, steps[1:], strict=False))
+    return spark.createDataFrame([(round(new.position[0], 6), round(new.position[1], 6), round(new.orientation[2], 2), shrinking)], "x double, y double, turn double, shrinking boolean")
 
 
 #: Edges by the definition: levels of five bins, the middle of plateau and background, farthest bins over it, interpolated.

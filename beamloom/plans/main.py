@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from beamloom.operators import plots
 from beamloom.plans import config, stages
 from beamloom.plans import plots as plot_sets
-from beamloom.sources import geometry
+from beamloom.sources import geometry, store
 
 
 def results(t: config.Tables) -> dict[str, DataFrame]:
@@ -50,6 +50,7 @@ def main(argv: list[str]) -> int:
     path, overrides = config.arguments(argv)
     spark = SparkSession.builder.getOrCreate()
     _, report, failed = run(spark, path, overrides)
+    store.swept(spark)  # tables between stages; what the run returns is written
     print("\n".join([*report.lines(), *(f"not written: {n}: {why}" for n, why in failed.items())]))
     return 1 if failed else 0
 

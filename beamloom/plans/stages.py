@@ -354,7 +354,7 @@ def alignment_dut(t: Tables, b: Block) -> Tables:
     size = (bins[0], bins[1] if len(bins) > 1 else bins[0])
     moved, out = list(t["geometry"]), t
     for d in geometry.bound(t["geometry"], b.values.get("name", ""), b.text("type")):
-        matched = store.stored(_judged(t, b, d).filter("stage = 'good' AND matched").select(*TRACK, "gx", "gy", "gz", "u", "v"), "matched")
+        matched = store.stored(_judged(t, b, d).filter("place IS NULL AND stage = 'good' AND matched").select(*TRACK, "gx", "gy", "gz", "u", "v"), "matched")
         new, steps, good = align.align_dut(
             matched, d, b.flag("update_xy_translation"), b.flag("update_z_orientation"), int(b.number("z_rotation_iterations", 12)), int(b.number("z_rotation_row")), b.number("min_quadrant_entries", 50.0),
             b.number("max_pixel_centroid_deviation", 0.5), size,
@@ -446,13 +446,13 @@ def dut_association(t: Tables, b: Block) -> Tables:
     return _plotted(out, b, sets)
 
 
-def _judged(t: Tables, b: Block, d: Detector, die: str | None = None) -> DataFrame:
-    """tracks on a detector with the stage of the cut flow that ends them, and whether they are matched."""
+def _judged(t: Tables, b: Block, d: Detector) -> DataFrame:
+    """tracks on a detector with the stage of the cut flow that ends them, and whether they are matched: once for the whole (place null) and
+    once for each die, from one pass over tracks and associations."""
     p = _predicted(t, d)
     pitch_x, pitch_y = d.effective_pitch()
     gap = d.has_die_split()
     inside = coords.has_intercept(F.col("col"), F.col("v"), F.lit(d.n_cols), F.lit(d.size()[1]), F.lit(d.pitch_y), b.number("spatial_cut_sensoredge", 1.0), F.col("row") if gap else None, F.lit(pitch_y) if gap else None)
-    outside = ~inside if die is None else ~inside | (F.col("die") != die)
     near = masks.dilated(t["masked"].filter(F.col("detector") == d.name), int(b.number("masked_pixel_distance_cut", 1))).select("col", "row").withColumn("__masked", F.lit(True))
     p = p.withColumns({"__c": coords.half_up(F.col("col")), "__r": coords.half_up(F.col("row"))})
     p = p.join(near.select(F.col("col").alias("__c"), F.col("row").alias("__r"), "__masked"), ["__c", "__r"], "left")
@@ -460,11 +460,13 @@ def _judged(t: Tables, b: Block, d: Detector, die: str | None = None) -> DataFra
     need = b.texts("require_associated_cluster_on")
     if need:
         p = p.join(assoc.with_all(a, need, tuple(TRACK)).withColumn("__required", F.lit(True)), TRACK, "left")
-    mine = a.filter(F.col("detector") == d.name) if die is None else a.filter((F.col("detector") == d.name) & (F.col("die") == die))
-    p = p.join(mine.select(*TRACK).distinct().withColumn("__hit", F.lit(True)), TRACK, "left")
+    p = p.join(a.filter(F.col("detector") == d.name).groupBy(*TRACK).agg(F.collect_set("die").alias("__dies"), F.lit(True).alias("__hit")), TRACK, "left")
+    p = p.withColumn("place", F.explode(F.array(F.lit(None).cast("string"), *[F.lit(n) for n in d.die_labels()])))
+    outside = ~inside | F.when(F.col("place").isNull(), False).otherwise(F.col("die") != F.col("place"))
+    matched = F.when(F.col("place").isNull(), F.col("__hit").isNotNull()).otherwise(F.coalesce(F.array_contains("__dies", F.col("place")), F.lit(False)))
     required = F.col("__required").isNotNull() if need else F.lit(True)
     label = efficiency.cut_stage(outside, F.col("chi2ndof"), b.number("chi2ndof_cut", 3.0), F.col("isolated"), F.col("__masked").isNotNull(), required)
-    return p.withColumns({"stage": label, "matched": F.col("__hit").isNotNull(), "x": F.col("gx"), "y": F.col("gy")}).drop("__c", "__r", "__masked", "__required", "__hit")
+    return p.withColumns({"stage": label, "matched": matched, "x": F.col("gx"), "y": F.col("gy")}).drop("__c", "__r", "__masked", "__required", "__hit", "__dies")
 
 
 @stage("AnalysisEfficiency")
@@ -476,10 +478,12 @@ def analysis_efficiency(t: Tables, b: Block) -> Tables:
     found: dict[str, list[DataFrame]] = {}
     sets, graphs = [], []
     for d in geometry.bound(t["geometry"], b.values.get("name", ""), b.text("type")):
-        clusters = _dut_clusters(t, d)
-        for die in [None, *d.die_labels()]:
-            place = d.name if die is None else f"{d.name}/{die}"
-            judged = store.stored(_judged(t, b, d, die), "judged", {f"AnalysisEfficiency.{place}.{s}": F.count_if(F.col("stage") == s) for s in efficiency.STAGES})
+        clusters = store.stored(_dut_clusters(t, d), "dut-clusters")
+        places = {die: d.name if die is None else f"{d.name}/{die}" for die in [None, *d.die_labels()]}
+        ends = {f"AnalysisEfficiency.{place}.{s}": F.count_if((F.col("stage") == s) & F.col("place").eqNullSafe(F.lit(die))) for die, place in places.items() for s in efficiency.STAGES}
+        everywhere = store.stored(_judged(t, b, d), "judged", ends)
+        for die, place in places.items():
+            judged = everywhere.filter(F.col("place").eqNullSafe(F.lit(die))).drop("place")
             good = judged.filter("stage = 'good'")
             mine = lambda df: df.withColumns({"detector": F.lit(d.name), "die": F.lit(die).cast("string")})  # noqa: B023, E731
             a = t["associations"].filter(F.col("detector") == d.name)
@@ -498,9 +502,9 @@ def analysis_efficiency(t: Tables, b: Block) -> Tables:
             delta = {"dx": F.col("u") - F.col("cluster_x"), "dy": F.col("v") - F.col("cluster_y")}
             nearest = linked.withColumns(delta).groupBy(*TRACK).agg(F.min_by(F.struct("dx", "dy"), F.struct(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"), F.col("cluster_id"))).alias("n"))
             label = mine(nearest.select(*TRACK, "n.dx", "n.dy"))
-            only = (lambda s: (s[0], F.array(F.lit(d.name if die is None else f"{d.name}/{die}")), s[2]))  # noqa: B023, E731
+            only = (lambda s: (s[0], F.array(F.lit(place)), s[2]))  # noqa: B023, E731
             sets += [only(s) for s in plots.analysis_efficiency(label, mine(tables["fakes"]), mine(tables["fake_pixels"]), mine(tables["fake_events"]), t["detectors"], int(b.number("n_charge_bins", 1000)), b.number("charge_histo_range", 5.0))]
-            graphs.append(plots.efficiency_graph(tables["efficiency_by_event"], d.name if die is None else f"{d.name}/{die}"))
+            graphs.append(plots.efficiency_graph(tables["efficiency_by_event"], place))
     united = {n: reduce(DataFrame.unionByName, parts) for n, parts in found.items()}
     out = t | {n: t[n].unionByName(df) if n in t else df for n, df in united.items()}
     out = _graphed(out, b, reduce(DataFrame.unionByName, graphs)) if graphs else out
@@ -514,7 +518,6 @@ def _fakes(t: Tables, b: Block, d: Detector, clusters: DataFrame, judged: DataFr
     gap = d.has_die_split()
     wide = coords.has_intercept(F.col("col"), F.col("v"), F.lit(d.n_cols), F.lit(d.size()[1]), F.lit(d.pitch_y), -distance, F.col("row") if gap else None, F.lit(pitch_y) if gap else None)
     tracks = judged.withColumn("inside", wide)
-    clusters = store.stored(clusters, "dut-clusters")
     events = efficiency.all_events(tracks, clusters).join(track.event_times(tracks), "event_id", "left")
     if b.text("fake_rate_method", "radius") == "edge":
         fakes = efficiency.fakes_by_edge(clusters, tracks)
