@@ -15,7 +15,8 @@ text in a map without a shuffle; the profiles are languages x `profile` numbers.
 Defined results: a text that is null or has no letter gets ``und`` and score 0; ties go to the
 language that comes first by name; without any labelled row every document is ``und``;
 repeated rows are predicted as often as they occur; a null id is not held out; an empty table
-gives an empty result; other columns of the input are not returned, whatever their names. Only
+gives an empty result; other columns of the input are not returned, whatever their names; rows whose ids share a hash
+are learned from together, so a language may have some more than `per_language`. Only
 the id and the text of a row are used for its prediction, and the id for `held_out` alone.
 """
 

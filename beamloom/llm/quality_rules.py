@@ -10,6 +10,8 @@ Defined results
   only its own base rule counts.
 * Repeated rows are measured, counted and returned as often as they occur.
 * An empty table gives an empty result.
+* Very long texts are measured whole; a row's measures take memory in proportion to its text. There are no ties to decide:
+  measures are counts, and a host's rate at the limit is not over it.
 * Columns of the input that clash with an output column are replaced by the output column;
   all other columns are kept.
 """

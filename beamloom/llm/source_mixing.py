@@ -14,7 +14,8 @@ Defined results: a null source, language or text counts as its own class ``(none
 empty text (0 tokens, the rest topic); documents without tokens get their cell's probability
 too; a null id hashes as an empty one, repeated ids share one decision; classes whose target is
 absent from the corpus give their share to the others in proportion; an empty table gives an
-empty result; input columns that clash with an output column are replaced.
+empty result; input columns that clash with an output column are replaced; very long texts are counted whole, inside the row.
+Equal rates need no order: each id's hash decides for itself.
 """
 
 from __future__ import annotations
@@ -146,6 +147,22 @@ def mix(
     )
 
 
+def marginals(mixed: DataFrame, targets=TARGETS, source: str = "source", lang: str = "lang") -> DataFrame:
+    """How near a mixture is to its targets: dimension, class, aim, expected (by probabilities) and kept (by decisions), each a share of tokens.
+    One row a class. Where a source is small, probabilities end at one, and its expected share stays below the aim."""
+    named = mixed.select(F.coalesce(F.col(source).cast("string"), F.lit(NONE)).alias(DIMS[0]), F.coalesce(F.col(lang).cast("string"), F.lit(NONE)).alias(DIMS[1]), F.col("topic").alias(DIMS[2]), "tokens", "prob", "kept")
+    n = F.col("tokens")
+    cells = named.groupBy(*DIMS).agg(F.sum(n).alias("__n"), F.sum(n * F.col("prob")).alias("__e"), F.sum(F.when(F.col("kept"), n).otherwise(0)).alias("__k"))
+    whole = cells.agg(F.sum("__e").alias("__all_e"), F.sum("__k").alias("__all_k"))
+    out = None
+    for dim, target in zip(DIMS, targets, strict=True):
+        sums = cells.groupBy(dim).agg(F.sum("__e").alias("__e"), F.sum("__k").alias("__k")).join(_aimed(cells, dim, target), dim)
+        sums = sums.crossJoin(F.broadcast(whole))  # one row on the right
+        one = sums.select(F.lit(dim[2:]).alias("dimension"), F.col(dim).alias("class"), F.col("__aim").alias("aim"), F.try_divide("__e", "__all_e").alias("expected"), F.try_divide("__k", "__all_k").alias("kept"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def mix_sql(docs: str, topics=TOPICS, targets=TARGETS, fraction=FRACTION, seed=SEED, rounds=ROUNDS, calibration_rounds=CALIBRATION_ROUNDS) -> str:
     """The CTEs of the same computation in SQL; the last, ``mixed``, has docs' columns and the outputs."""
     topic = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}'" for n, p in topics.items()) + f" ELSE '{REST}' END"

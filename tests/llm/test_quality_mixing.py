@@ -73,3 +73,23 @@ def test_both_ways_to_rake_agree(spark, monkeypatch):
             both.append(sorted(tuple(r) for r in source_mixing.mix(df, keep_text=False, rounds=rounds, calibration_rounds=again).select("doc_id", "rate", "prob", "kept").collect()))
         for a, b in zip(*both, strict=True):
             assert a[::3] == b[::3] and a[1:3] == pytest.approx(b[1:3], abs=2e-6)
+
+
+def test_very_long_texts(spark):
+    long = "a b c d e f " * 60_000 + "licence"
+    df = spark.createDataFrame([(1, long, "s", "en"), (2, "few words of prose here", "s", "en")], "doc_id long, text string, source string, lang string")
+    row = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}[1]
+    assert row["n_words"] == 360_001 and row.n_repeat_words == 360_000 and row.base_failed
+    got = {r.doc_id: r for r in source_mixing.mix(df).collect()}
+    assert got[1].tokens == 360_001 and got[1].topic == "licence" and got[2].topic == "prose"
+
+
+def test_marginals_of_a_mixture(spark):
+    rows = [(i, "word " * 40, f"s{i % 3}", ("en", "de")[i % 7 == 0]) for i in range(3000)] + [(9001, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = ({"s0": 0.3, "s1": 0.3}, {"en": 0.8, "de": 0.2}, {})
+    report = {(r.dimension, r["class"]): r for r in source_mixing.marginals(source_mixing.mix(df, targets=targets, fraction=0.4), targets).collect()}
+    assert report.keys() == {("source", "s0"), ("source", "s1"), ("source", "s2"), ("source", "(none)"), ("lang", "en"), ("lang", "de"), ("lang", "(none)"), ("topic", "prose")}
+    for r in report.values():
+        assert r.expected == pytest.approx(r.aim, abs=1e-4) and r.kept == pytest.approx(r.aim, abs=0.06)
+    assert report[("source", "s2")].aim == pytest.approx(0.4) and report[("lang", "de")].aim == pytest.approx(0.2)
