@@ -804,7 +804,7 @@ def _found(spark, found: align.Aligned) -> DataFrame:
 
 @query(PLANTED_SQL)
 def align_millepede(spark, sf_dir):
-    found = align.millepede(_alignment_points(spark, sf_dir), [_plane(k) for k in range(6)], ("x", "y", "rz"), ("P0", "P1", "P5"), iterations=2, inner=1, residual_cut_init=10.0, residual_cut=10.0, sigmas=dict.fromkeys(align.DOFS, 1e3), constrained=False)
+    found = align.millepede(_alignment_points(spark, sf_dir), [_plane(k) for k in range(6)], ("x", "y", "rx", "ry", "rz"), ("P0", "P1", "P5"), iterations=3, inner=4, residual_cut_init=0.6, residual_cut=0.1, deviations=3, sigmas=dict.fromkeys(align.DOFS, 1e3), constrained=False)
     return _found(spark, found)
 
 
