@@ -7,9 +7,11 @@ task before the shuffle, so the number of rows moved is bins times tasks at most
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from beamloom.functions import scan
+
 
 def _real(v: Column) -> Column:
     return v.isNotNull() & ~F.isnan(v)
@@ -80,13 +82,7 @@ def profile(df: DataFrame, keys: list[Column], values: dict[str, Column]) -> Dat
 
 
 def running_ratio(df: DataFrame, passed: Column, key: str) -> DataFrame:
-    """key, ratio: passed over all up to each key. Keys are summed first, so the ordered window has one row a key;
-    it runs over range-partitioned blocks whose totals are added from a table of one row a block."""
+    """key (whole numbers), ratio: passed over all up to each key. Keys are summed first, so the scan has one row a key."""
     sums = df.groupBy(key).agg(F.sum(passed.cast("long")).alias("p"), F.count("*").alias("n"))
-    blocked = sums.withColumn("block", F.floor(F.col(key) / 4096))
-    totals = blocked.groupBy("block").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("block", F.coalesce(F.sum("bp").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("bn"))
-    inside = Window.partitionBy("block").orderBy(key)
-    p, n = F.col("bp") + F.sum("p").over(inside), F.col("bn") + F.sum("n").over(inside)
-    return blocked.join(bases, "block").select(key, (p / n).alias("ratio"))
+    run = scan.running(sums, (), (key,), {"__p": ("sum", F.col("p")), "__n": ("sum", F.col("n"))})
+    return run.select(key, (F.col("__p") / F.col("__n")).alias("ratio"))

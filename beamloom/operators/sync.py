@@ -11,6 +11,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from beamloom.functions import scan
+
 #: Event ids of a block.
 BLOCK = 4096
 
@@ -38,11 +40,7 @@ def _blocked(df: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, by: str, order: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """df with n, the row's number (from 1) in its detector, ordered by event id first."""
-    rows = _blocked(df)
-    before = Window.partitionBy(by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rows.groupBy(by, "block").agg(F.count("*").alias("k")).select(by, "block", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))
-    inside = F.row_number().over(Window.partitionBy(by, "block").orderBy(*order))
-    return rows.join(bases, [by, "block"]).withColumn("n", F.col("base") + inside).drop("base", "block")
+    return scan.running(df, (by,), order, {"n": ("sum", F.lit(1))}, block=BLOCK)
 
 
 def baseline_rows(rows: int) -> int:

@@ -7,10 +7,10 @@ event_id: the clusters are partitioned by it once and the joins keep that partit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beamloom.functions import coords, near
+from beamloom.functions import coords, near, scan
 
 
 def seeds(clusters: DataFrame, min_span: int = 5, time_cut: float = 690_000.0) -> DataFrame:
@@ -244,11 +244,7 @@ def event_times(tracks: DataFrame) -> DataFrame:
 
 
 def first_tracks(tracks: DataFrame, target: int) -> DataFrame:
-    """The tracks of the first events, up to the whole event that reaches a target. Events are numbered in blocks of ids, so
-    no ordered window has more than one row a block or a block's events."""
-    per = tracks.groupBy("event_id").agg(F.count("*").alias("k")).withColumn("b", F.floor(F.col("event_id") / 4096))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    bases = per.groupBy("b").agg(F.sum("k").alias("t")).select("b", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base")).filter(F.col("base") < target)
-    inside = Window.partitionBy("b").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    events = per.join(bases, "b").withColumn("so_far", F.col("base") + F.coalesce(F.sum("k").over(inside), F.lit(0))).filter(F.col("so_far") < target)
+    """The tracks of the first events, up to the whole event that reaches a target."""
+    per = tracks.groupBy("event_id").agg(F.count("*").alias("k"))
+    events = scan.running(per, (), ("event_id",), {"before": ("sum", F.col("k"))}, inclusive=False).filter(F.coalesce("before", F.lit(0)) < target)
     return tracks.join(events.select("event_id"), "event_id", "left_semi")

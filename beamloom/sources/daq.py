@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from beamloom.functions import scan
+
 
 #: Fixed values of the digitiser's offset DAC and of its codes.
 DAC_STEPS, DAC_CENTRE, ZERO_CODE, CODES_PER_VOLT = 65535.0, 0.5, 2048.0, 4096.0
@@ -59,12 +61,6 @@ def adc_codes(volts: Column, dc: Column, length: int = 1024) -> Column:
 
 
 def number_windows(events: DataFrame) -> DataFrame:
-    """event_id without gaps for hardware event numbers: their rank. Numbers are ranked inside blocks of 4096, and a
-    block's first rank is the count before it, so no ordered window has more than one row a block."""
-    from pyspark.sql import Window
-
-    n = events.select("event_number").distinct().withColumn("block", F.floor(F.col("event_number") / 4096))
-    counts = n.groupBy("block").agg(F.count("*").alias("k"))
-    before = counts.select("block", F.coalesce(F.sum("k").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = F.row_number().over(Window.partitionBy("block").orderBy("event_number")) - 1
-    return n.join(before, "block").select((F.col("base") + inside).alias("event_id"), "event_number")
+    """event_id without gaps for hardware event numbers: how many lower ones there are."""
+    ranked = scan.running(events.select("event_number").distinct(), (), ("event_number",), {"event_id": ("sum", F.lit(1))}, inclusive=False)
+    return ranked.select(F.coalesce("event_id", F.lit(0)).alias("event_id"), "event_number")
