@@ -147,6 +147,8 @@ def _send_names(stored: DataFrame, length: int, gram: int, n: int) -> DataFrame:
 
 #: Anchors whose surroundings are held at a time.
 SLICE = 1 << 14
+#: Pieces (what goes to one bucket) in a stored row.
+PIECES = 32
 
 
 def _alive(distinct: np.ndarray, live: list, n: int) -> np.ndarray:
@@ -187,7 +189,8 @@ def _surroundings(batch: Batch, at: np.ndarray, doc: np.ndarray, length: int, gr
 
 
 def _stored_records(joined: DataFrame, length: int, gram: int, n: int) -> DataFrame:
-    """One row a batch: what it sends (buckets, around, least) and what it needs to read the answers (at, record, smaller, counts).
+    """What a batch sends, PIECES at a time (first: the number of the row's first piece; buckets, around, least), and in a row of its own what it
+    needs to read the answers (counts, at, record, smaller). So no row is large, whatever a batch sends.
 
     Anchors are taken in slices by name; equal surroundings of a slice are one record with their smallest id.
     """
@@ -220,16 +223,23 @@ def _stored_records(joined: DataFrame, length: int, gram: int, n: int) -> DataFr
         return [*sent, pack(at.astype("<i4").tobytes()), pack(record.tobytes()), pack(np.packbits(smaller).tobytes())]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (*[pa.list_(k) for k in (pa.int64(), pa.binary(), pa.binary(), pa.int64())], *[pa.binary()] * 3)
+        lists = [pa.list_(k) for k in (pa.int64(), pa.binary(), pa.binary(), pa.int64())]
+        names = ["batch", "first", "buckets", "around", "least", "counts", "at", "record", "smaller"]
+
+        def row(number: int, first: int | None, pieces: list, counts: list | None, rest: list) -> pa.RecordBatch:
+            arrays = [pa.array([number], pa.int64()), pa.array([first], pa.int64()), *[pa.array([c], k) for c, k in zip((*pieces, counts), lists, strict=True)]]
+            return pa.RecordBatch.from_arrays([*arrays, *[pa.array([c], pa.binary()) for c in rest]], names)
+
         for rb in rows:
             for r in range(rb.num_rows):
                 number, ids, sizes, h1, h2, blob, gone, live = (rb.column(i)[r].as_py() for i in range(8))
-                cells = sliced(Batch(blob, sizes), ids, twins_of(ids, h1, h2, gone), live or [])
-                arrays = [pa.array([number], pa.int64())] + [pa.array([c], k) for c, k in zip(cells, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, ["batch", "buckets", "around", "least", "counts", "at", "record", "smaller"])
+                *pieces, counts, at, record, smaller = sliced(Batch(blob, sizes), ids, twins_of(ids, h1, h2, gone), live or [])
+                yield row(number, None, [None] * 3, counts, [at, record, smaller])
+                for a in range(0, len(counts), PIECES):
+                    yield row(number, a, [p[a : a + PIECES] for p in pieces], None, [None] * 3)
 
     cols = joined.select("batch", "ids", "sizes", "h1", "h2", "texts", "copies", "live")
-    made = cols.mapInArrow(returned_memory(run), "batch long, buckets array<long>, around array<binary>, least array<binary>, counts array<long>, at binary, record binary, smaller binary")
+    made = cols.mapInArrow(returned_memory(run), "batch long, first long, buckets array<long>, around array<binary>, least array<binary>, counts array<long>, at binary, record binary, smaller binary")
     return written(made, "records")
 
 
@@ -312,10 +322,10 @@ def _answers(sent: DataFrame, length: int, gram: int) -> DataFrame:
 def _removed(batch: Batch, twins: list, stored: tuple, answers: list, length: int, gram: int) -> np.ndarray:
     """A flag for each byte of a batch."""
     unpack = zstandard.ZstdDecompressor().decompress
-    buckets, counts, at, record, smaller = stored
+    counts, at, record, smaller = stored
     at, record = np.frombuffer(unpack(at), "<i4").astype(np.int64), np.frombuffer(unpack(record), "<i4")
     bits = {r["bucket"]: r["bits"] for r in answers}
-    masks = np.frombuffer(b"".join(bits[piece] for piece in range(len(buckets))), "<u4")
+    masks = np.frombuffer(b"".join(bits[piece] for piece in range(len(counts))), "<u4")
     if len(masks) != sum(counts):
         raise ValueError("an answer is missing")
     before = length - gram
@@ -364,7 +374,7 @@ def _cut(joined: DataFrame, length: int, gram: int, texts: bool) -> DataFrame:
                 arrays = [pa.array(ids, pa.int64())] + [pa.array(x, pa.int64()) for x in out[:3]] + [pa.array(out[3], pa.binary() if texts else pa.string()), pa.array(out[4], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept" if texts else "kept_sha256", "text_hash"])
 
-    cols = joined.select("ids", "sizes", "h1", "h2", "texts", "copies", "answers", "buckets", "counts", "at", "record", "smaller")
+    cols = joined.select("ids", "sizes", "h1", "h2", "texts", "copies", "answers", "counts", "at", "record", "smaller")
     return cols.mapInArrow(returned_memory(run), "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept binary" if texts else "kept_sha256 string") + ", text_hash long")
 
 
@@ -377,8 +387,8 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     live = answered(shared_names(_send_names(stored, length, gram, n)), "live")
     hints = written(live.join(copies(stored, length), "batch", "full"), "hints")
     records = _stored_records(stored.join(hints, "batch", "left"), length, gram, n)
-    sent = records.select("batch", F.posexplode(F.arrays_zip("buckets", "around", "least")).alias("piece", "p"))
-    sent = sent.select(F.col("p.buckets").alias("bucket"), "batch", "p.around", "p.least", F.col("piece").cast("long").alias("piece"))
+    sent = records.filter("first IS NOT NULL").select("batch", "first", F.posexplode(F.arrays_zip("buckets", "around", "least")).alias("piece", "p"))
+    sent = sent.select(F.col("p.buckets").alias("bucket"), "batch", "p.around", "p.least", (F.col("first") + F.col("piece")).alias("piece"))
     answers = answered(_answers(dealt(sent, n), length, gram), "answers")
-    read = records.drop("around", "least").join(answers, "batch", "left").join(hints.select("batch", "copies"), "batch", "left")
+    read = records.filter("first IS NULL").select("batch", "counts", "at", "record", "smaller").join(answers, "batch", "left").join(hints.select("batch", "copies"), "batch", "left")
     return _cut(stored.join(read, "batch"), length, gram, texts)
