@@ -4,7 +4,9 @@
 
 A file stream takes the files that are new since the checkpoint and ends. Windows that a higher one has closed, or whose
 run has ended, are written by the file sink, partitioned by run; open windows and sub-events that are ahead stay in the
-stream's state for the next call. A call that finds nothing new changes nothing. The output is one row a sub-event:
+stream's state for the next call. A run's sub-events have to come in the order of seq from batch to batch; inside a batch any order does.
+So by default a call takes all new files as one batch; `files_per_batch` is for inputs whose files are modified in that order.
+A call that finds nothing new changes nothing. The output is one row a sub-event:
 run, event_id, number, seq, producer, window_ts.
 """
 
@@ -20,6 +22,7 @@ from beamloom.streaming import building
 from jobs import settings
 
 log = logging.getLogger("jobs.build_events")
+OUTPUT = "event_id long, number long, seq long, producer string, window_ts double, run long"
 FIELDS = {"run": "long", "seq": "long", "producer": "string", "number": "long", "begin": "long", "end": "long"}
 
 
@@ -28,8 +31,8 @@ def sub_events(table: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def built(spark: SparkSession, output: str) -> DataFrame:
-    """The events so far."""
-    return spark.read.parquet(output).select(F.col("run").cast("long").alias("run"), "event_id", "number", "seq", "producer", "window_ts")
+    """The events so far; none, as long as no window is closed."""
+    return spark.read.schema(OUTPUT).parquet(output).select("run", "event_id", "number", "seq", "producer", "window_ts")
 
 
 def run(spark: SparkSession, source: str, output: str, checkpoint: str, config: dict) -> DataFrame:

@@ -30,10 +30,11 @@ def setting(spark: SparkSession, values: dict[str, str]):
 
 def streamed(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
     """A file stream of a Parquet table with the schema of what is there. A path that is one file is taken as a pattern, as a stream's path
-    must otherwise be a folder."""
+    must otherwise be a folder. With 0 files a batch, one batch takes all that is new."""
     pattern = path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(pattern)
 
 
 def ended(query: StreamingQuery, log: logging.Logger, what: str) -> int:

@@ -36,12 +36,15 @@ def test_events_of_a_growing_input(spark, tmp_path):
 
 def test_end_of_run_closes_the_last_window(spark, tmp_path):
     where = [str(tmp_path / n) for n in ("in", "out", "at")]
-    config = {"master": "", "end": "end_of_run", "max_windows": 0, "files_per_batch": 1, "columns": {n: n for n in build_events.FIELDS}}
+    config = {"master": "", "end": "end_of_run", "max_windows": 0, "files_per_batch": 0, "columns": {n: n for n in build_events.FIELDS}}
     schema = "run long, seq long, producer string, number long, begin long, end long"
-    spark.createDataFrame([(4, 0, "a", 1, 0, 0), (4, 1, "b", 1, 10, 30), (4, 2, "a", 2, 2000, 2000)], schema).write.parquet(where[0])
-    assert order(build_events.run(spark, *where, config)) == [(4, 0, 1, 0, "a", 0.02), (4, 0, 1, 1, "b", 0.02)]
+    spark.createDataFrame([(4, -1, "a", 1, 0, 0)], schema).write.parquet(where[0])
+    assert order(build_events.run(spark, *where, config)) == []  # no window is closed yet
+    spark.createDataFrame([(4, 0, "a", 1, 0, 0), (4, 1, "b", 1, 10, 30), (4, 2, "a", 2, 2000, 2000)], schema).write.mode("append").parquet(where[0])
+    closed = [(4, 0, 1, -1, "a", 0.02), (4, 0, 1, 0, "a", 0.02), (4, 0, 1, 1, "b", 0.02)]
+    assert order(build_events.run(spark, *where, config)) == closed
     spark.createDataFrame([(4, 3, "end_of_run", None, None, None)], schema).write.mode("append").parquet(where[0])
-    assert order(build_events.run(spark, *where, config))[2:] == [(4, 1, 2, 2, "a", 2.0)]
+    assert order(build_events.run(spark, *where, config))[3:] == [(4, 1, 2, 2, "a", 2.0)]
     assert any(n.startswith("run=4") for n in os.listdir(where[1]))
 
 
