@@ -33,6 +33,15 @@ def dac_offsets(text: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def with_offsets(sub: DataFrame, text: Column, name: str = "offsets") -> DataFrame:
+    """sub with the `dac_offsets` of a text. A run has few different texts (one, as a rule): each is read once, not once a row, and the
+    maps are broadcast."""
+    named = sub.withColumn("__text", text)
+    texts = named.select("__text").distinct()
+    read = texts.select(F.col("__text").alias("__known"), dac_offsets(F.col("__text")).alias(name))
+    return named.join(F.broadcast(read), F.col("__text").eqNullSafe(F.col("__known")), "left").drop("__text", "__known")
+
+
 def volts(dac: Column) -> Column:
     return dac / DAC_STEPS - DAC_CENTRE
 
