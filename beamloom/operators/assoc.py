@@ -34,8 +34,8 @@ def associated(pairs: DataFrame) -> DataFrame:
 
 
 def closest(pairs: DataFrame) -> DataFrame:
-    """event_id, track_id, cluster_id of the nearest association; ties by cluster id."""
-    d = F.col("dist_x") * F.col("dist_x") + F.col("dist_y") * F.col("dist_y")
+    """event_id, track_id, cluster_id of the nearest association; ties (to nine digits, as distances are sums) by cluster id."""
+    d = F.round(F.col("dist_x") * F.col("dist_x") + F.col("dist_y") * F.col("dist_y"), 9)
     return associated(pairs).groupBy("event_id", "track_id").agg(F.min_by("cluster_id", F.struct(d, "cluster_id")).alias("cluster_id"))
 
 
