@@ -34,6 +34,18 @@ def line(s: str = "") -> dict[str, Column]:
     return {"mx": slope("sx", "sxz"), "cx": start("sx", "sxz"), "my": slope("sy", "syz"), "cy": start("sy", "syz")}
 
 
+def line_at(z: float) -> tuple[Column, Column]:
+    """Where the line of the running sums is at z, as one quotient: sums of whole numbers stay exact up to the division, so that a place
+    on the border of a cut is on it."""
+    det = F.col("sw") * F.col("szz") - F.col("sz") * F.col("sz")
+
+    def at(v: str) -> Column:
+        s, sz = F.col(f"s{v}"), F.col(f"s{v}z")
+        return F.when(F.abs(det) >= 1e-12, ((F.col("szz") * s - F.col("sz") * sz) + (F.col("sw") * sz - F.col("sz") * s) * float(z)) / det)
+
+    return at("x"), at("y")
+
+
 def fit(points: DataFrame, by: tuple[str, ...] = ("track_id",)) -> DataFrame:
     """by, mx, cx, my, cy, chi2, ndof, n from points (x, y, z, w) of untilted planes, without Python.
 
@@ -141,8 +153,7 @@ def follow(clusters: DataFrame, planes: list[tuple[int, float]], cut_x: float, c
     now = now.withColumns({n: ta[n] + tb[n] for n in SUMS})
     hit = F.struct("cluster_id", "x", "y", "z", "ts", "w")
     for plane, z in planes:
-        fitted = line()
-        px, py = fitted["cx"] + fitted["mx"] * z, fitted["cy"] + fitted["my"] * z
+        px, py = line_at(z)
         inner = (F.col("first") < plane) & (F.col("last") > plane)
         asked = now.withColumns({"px": F.when(inner, px), "py": F.when(inner, py), "mean_ts": F.col("st") / F.col("sn")})
         here = clusters.filter(F.col("plane") == plane).groupBy("event_id").agg(F.collect_list(hit).alias("near"))
@@ -150,7 +161,7 @@ def follow(clusters: DataFrame, planes: list[tuple[int, float]], cut_x: float, c
 
         def fits(h: Column) -> Column:
             dx, dy = h["x"] - F.col("px"), h["y"] - F.col("py")
-            return (F.abs(h["ts"] - F.col("mean_ts")) <= time_cut) & ((dx * dx) / (cut_x * cut_x) + (dy * dy) / (cut_y * cut_y) <= 1)
+            return (F.abs(h["ts"] - F.col("mean_ts")) <= time_cut) & ((dx * dx + dy * dy * (cut_x / cut_y) ** 2) / (cut_x * cut_x) <= 1)
 
         def ranked(h: Column) -> Column:
             dx, dy = h["x"] - F.col("px"), h["y"] - F.col("py")
