@@ -201,15 +201,16 @@ def dedup(tracks: DataFrame) -> DataFrame:
 
 
 def close_pairs(positions: DataFrame, cut: float, by: tuple[str, ...] = ("event_id",), x: str = "x", y: str = "y") -> DataFrame:
-    """by, t1 < t2, distance of the tracks (by, track_id, x, y) nearer than `cut` to each other. Tracks of one cell or of cells side by side
-    meet, so the work grows with the tracks that are near, not with an event's tracks squared."""
+    """by, t1 < t2, distance of the tracks (by, track_id, x, y) nearer than `cut` to each other. Tracks of one wide cell, and those near a
+    border with those behind it, meet: the work grows with the tracks that are near, not with an event's tracks squared, and a track
+    is sent about 2.6 times."""
     if cut <= 0:
         return positions.filter(F.lit(False)).select(*by, F.col("track_id").alias("t1"), F.col("track_id").alias("t2"), F.lit(0.0).alias("distance"))
-    here = near.celled(positions, x, y, cut).select(*by, "__ix", "__iy", F.col("track_id").alias("t1"), F.col(x).alias("__x"), F.col(y).alias("__y"))
-    there = near.around(positions, x, y, cut).select(*by, "__ix", "__iy", F.col("track_id").alias("t2"), F.col(x).alias("__u"), F.col(y).alias("__v"))
+    here = near.wide_celled(positions, x, y, cut).select(*by, "__ix", "__iy", F.col("track_id").alias("__a"), F.col(x).alias("__x"), F.col(y).alias("__y"))
+    there = near.wide_ahead(positions, x, y, cut).select(*by, "__ix", "__iy", "__own", F.col("track_id").alias("__b"), F.col(x).alias("__u"), F.col(y).alias("__v"))
     d = F.sqrt(F.pow(F.col("__x") - F.col("__u"), 2) + F.pow(F.col("__y") - F.col("__v"), 2))
-    met = here.join(there, [*by, "__ix", "__iy"]).filter(F.col("t1") < F.col("t2"))
-    return met.select(*by, "t1", "t2", d.alias("distance")).filter(F.col("distance") < cut)
+    met = here.join(there, [*by, "__ix", "__iy"]).filter((F.col("__a") < F.col("__b")) | ~F.col("__own") & (F.col("__a") != F.col("__b")))
+    return met.select(*by, F.least("__a", "__b").alias("t1"), F.greatest("__a", "__b").alias("t2"), d.alias("distance")).filter(F.col("distance") < cut)
 
 
 def close_tracks(positions: DataFrame, cut: float) -> DataFrame:
