@@ -8,11 +8,13 @@ geometry alone: a matrix of (6 x detectors)^2 numbers, or a histogram of fixed b
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -158,70 +160,115 @@ def track_rows(points: DataFrame, detectors: list[Detector]) -> DataFrame:
     return known.groupBy(*BY).agg(F.sort_array(F.collect_list(F.struct("d", "u", "v"))).alias("h"))
 
 
-def _of(values: list[float], d: Column) -> Column:
-    """The value of the detector with this number."""
-    return F.get(F.array(*[F.lit(float(v)) for v in values]), d)
+_POINTS = (("n", "<i4"), ("d", "<i4"), ("u", "<f8"), ("v", "<f8"))
 
 
-def _mapped(tracks: DataFrame, point) -> DataFrame:
-    """tracks with each point of h turned into a struct of the named columns that `point` gives."""
-    return tracks.withColumn("h", F.transform("h", lambda p: F.struct(*[c.alias(n) for n, c in point(p).items()])))
+def packed(tracks: DataFrame) -> DataFrame:
+    """track_rows as arrays: for some thousand tracks a row, how many points each has (n), and d, u, v of all of them, one after the other.
+    A pass reads these as they are."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            h = rb.column(0)
+            points = h.flatten()
+            found = (np.diff(h.offsets.to_numpy()), *[points.field(k).to_numpy(zero_copy_only=False) for k in range(3)])
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(t).tobytes()], pa.binary()) for x, (_, t) in zip(found, _POINTS, strict=True)], [n for n, _ in _POINTS])
 
-def _lines(tracks: DataFrame) -> DataFrame:
-    """tracks (h with x, y, z, wx, wy) with the sums of a straight line in each axis, and the track's chi2, worst residual and n."""
-    total = lambda e: F.aggregate("h", F.lit(0.0), lambda s, p: s + e(p))
-    for a in "xy":
-        tracks = tracks.withColumns({f"s{a}": total(lambda p, a=a: p["w" + a]), f"z{a}": total(lambda p, a=a: p["w" + a] * p["z"]), f"v{a}": total(lambda p, a=a: p["w" + a] * p[a])})
-        tracks = tracks.withColumns({f"z{a}": F.col(f"z{a}") / F.col(f"s{a}"), f"v{a}": F.col(f"v{a}") / F.col(f"s{a}")})
-        centred = lambda p, a=a: p["z"] - F.col(f"z{a}")
-        tracks = tracks.withColumn(f"q{a}", total(lambda p, a=a, c=centred: p["w" + a] * c(p) * c(p)))
-        tracks = tracks.withColumn(f"m{a}", total(lambda p, a=a, c=centred: p["w" + a] * c(p) * (p[a] - F.col(f"v{a}"))) / F.col(f"q{a}"))
-    chi2 = total(lambda p: p["wx"] * _miss(p, "x") * _miss(p, "x") + p["wy"] * _miss(p, "y") * _miss(p, "y"))
-    worst = F.array_max(F.transform("h", lambda p: F.greatest(F.abs(_miss(p, "x")), F.abs(_miss(p, "y")))))
-    return tracks.withColumns({"chi2": chi2, "worst": worst, "n": F.size("h")})
+    return tracks.select("h").mapInArrow(run, "n binary, d binary, u binary, v binary")
 
 
-def _miss(p: Column, a: str) -> Column:
-    return p[a] - F.col(f"v{a}") - F.col(f"m{a}") * (p["z"] - F.col(f"z{a}"))
-
-
-def _turned(d: Detector, by: np.ndarray) -> np.ndarray:
-    return np.array(replace(d, orientation=tuple(np.array(d.orientation) + by)).rotation())
-
+@dataclass
+class Geometry:
+    """By the detector's number: place, rotation, weights in x and y, and how the rotation moves with each turn."""
 
-def linearised(tracks: DataFrame, detectors: list[Detector], dofs: tuple[str, ...]) -> DataFrame:
-    """track_rows with points (d, x, y, z, wx, wy and, for each degree of freedom, how the residuals in x and y move: ax, ay). The point
-    moves, and the track is met at another z."""
-    turns = [np.array(d.rotation()) for d in detectors]
+    place: np.ndarray
+    turn: np.ndarray
+    weight: np.ndarray
+    slopes: dict[str, np.ndarray]
 
-    def placed(p: Column) -> dict[str, Column]:
-        at = {a: _of([d.position[i] for d in detectors], p["d"]) + _of([r[i, 0] for r in turns], p["d"]) * p["u"] + _of([r[i, 1] for r in turns], p["d"]) * p["v"] for i, a in enumerate("xyz")}
-        return {n: p[n] for n in "duv"} | at | {f"w{a}": _of([1 / r**2 for r in (d.res_x if a == "x" else d.res_y for d in detectors)], p["d"]) for a in "xy"}
+    @classmethod
+    def of(cls, detectors: list[Detector], dofs: tuple[str, ...]) -> Geometry:
+        def slope(name: str) -> np.ndarray:
+            step = np.eye(3)[DOFS.index(name) - 3] * 1e-6
+            return np.array([(_turned(d, step) - _turned(d, -step)) / 2e-6 for d in detectors])
 
-    def moves(p: Column, name: str) -> list[Column]:
-        """How the point moves along x, y, z."""
-        if name in DOFS[:3]:
-            return [F.lit(float(name == a)) for a in "xyz"]
-        step = np.eye(3)[DOFS.index(name) - 3] * 1e-6
-        slopes = [(_turned(d, step) - _turned(d, -step)) / 2e-6 for d in detectors]
-        return [_of([s[i, 0] for s in slopes], p["d"]) * p["u"] + _of([s[i, 1] for s in slopes], p["d"]) * p["v"] for i in range(3)]
+        weight = np.array([[1 / d.res_x**2, 1 / d.res_y**2] for d in detectors])
+        return cls(np.array([d.position for d in detectors], float), np.array([d.rotation() for d in detectors], float), weight, {n: slope(n) for n in dofs if n not in DOFS[:3]})
 
-    def sloped(p: Column) -> dict[str, Column]:
-        by = {n: moves(p, n) for n in dofs}
-        return {n: p[n] for n in ("d", "x", "y", "z", "wx", "wy")} | {f"a{a}": F.array(*[by[n][i] - F.col(f"m{a}") * by[n][2] for n in dofs]) for i, a in enumerate("xy")}
 
-    return _mapped(_lines(_mapped(tracks, placed)), sloped).select(*BY, "h")
+def _turned(d: Detector, by: np.ndarray) -> np.ndarray:
+    return np.array(replace(d, orientation=tuple(np.array(d.orientation) + by)).rotation())
 
 
-def _moved(tracks: DataFrame, change: np.ndarray) -> DataFrame:
-    """linearised tracks with x and y moved by a change (detectors x degrees of freedom)."""
+@dataclass
+class Line:
+    """Straight lines of some tracks in one axis, about the weighted mean of z: sums of weights (s) and of w dz^2 (q) and slopes (m) by track,
+    dz and what a point misses (e) by point."""
+
+    s: np.ndarray
+    q: np.ndarray
+    m: np.ndarray
+    dz: np.ndarray
+    e: np.ndarray
+
+    @classmethod
+    def of(cls, t: np.ndarray, n: int, at: np.ndarray, z: np.ndarray, w: np.ndarray) -> Line:
+        total = lambda x: np.bincount(t, x, n)
+        s = total(w)
+        dz, dv = z - (total(w * z) / s)[t], at - (total(w * at) / s)[t]
+        q = total(w * dz * dz)
+        m = total(w * dz * dv) / q
+        return cls(s, q, m, dz, dv - m[t] * dz)
+
+
+def _by_track(t: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
+    """Sums of rows by track; t ascends."""
+    if len(t) and (np.diff(t) <= 0).any():  # a track with several points on a detector
+        return np.stack([np.bincount(t, values[:, i], n) for i in range(values.shape[1])], axis=1)
+    out = np.zeros((n, values.shape[1]))
+    out[t] = values
+    return out
 
-    def moved(p: Column) -> dict[str, Column]:
-        new = {a: sum((p[f"a{a}"][k] * _of(list(change[:, k]), p["d"]) for k in range(change.shape[1])), p[a]) for a in "xy"}
-        return {n: new.get(n, p[n]) for n in ("d", "x", "y", "z", "wx", "wy", "ax", "ay")}
 
-    return _mapped(tracks, moved)
+def _sums(points: list[np.ndarray], g: Geometry, chosen: list[int], dofs: tuple[str, ...], change: np.ndarray | None, worst: float, chi2_most: float) -> np.ndarray:
+    """The sums of `normal_equations` over some tracks: matrix, vector, chi2, points, tracks. Tracks without a line (one place along z, or
+    a point without a place) do not count."""
+    counts, d, u, v = points
+    k, size = len(dofs), len(dofs) * len(chosen)
+    matrix, vector = np.zeros((size, size)), np.zeros(size)
+    n = len(counts)
+    t = np.repeat(np.arange(n), counts)
+    with np.errstate(all="ignore"):
+        x, y, z = (g.place[d, i] + g.turn[d, i, 0] * u + g.turn[d, i, 1] * v for i in range(3))
+        at, weight = [x, y], [g.weight[d, i] for i in range(2)]
+        lines = [Line.of(t, n, at[i], z, weight[i]) for i in range(2)]
+        moves = [[np.full(len(d), float(name == a)) for a in "xyz"] if name in DOFS[:3] else [g.slopes[name][d, i, 0] * u + g.slopes[name][d, i, 1] * v for i in range(3)] for name in dofs]
+        # the point moves, and the track is met at another z
+        slopes = [np.stack([m[i] - lines[i].m[t] * m[2] for m in moves], axis=1) for i in range(2)]
+        if change is not None:
+            at = [at[i] + (slopes[i] * change[d]).sum(axis=1) for i in range(2)]
+            lines = [Line.of(t, n, at[i], z, weight[i]) for i in range(2)]
+        chi2 = np.bincount(t, weight[0] * lines[0].e ** 2 + weight[1] * lines[1].e ** 2, n)
+        far = np.zeros(n, bool)
+        far[t[np.maximum(np.abs(lines[0].e), np.abs(lines[1].e)) >= worst]] = True
+        use = np.isfinite(chi2) & ~far & (chi2 <= chi2_most) & (lines[0].q > 0) & (lines[1].q > 0)
+    number = np.full(len(g.place), -1)
+    number[chosen] = np.arange(len(chosen))
+    own = np.nonzero((number[d] >= 0) & use[t])[0]
+    of = number[d[own]]
+    held = np.zeros(n, bool)
+    held[t[own]] = True
+    for i in range(2):
+        mean, arm = np.zeros((n, size)), np.zeros((n, size))
+        for c in range(len(chosen)):
+            p, part = own[of == c], slice(c * k, c * k + k)
+            pulled = weight[i][p, None] * slopes[i][p]
+            matrix[part, part] += pulled.T @ slopes[i][p]
+            vector[part] -= pulled.T @ lines[i].e[p]
+            mean[:, part], arm[:, part] = _by_track(t[p], n, pulled), _by_track(t[p], n, pulled * lines[i].dz[p, None])
+        mean, arm = mean[held], arm[held]
+        matrix -= mean.T @ (mean / lines[i].s[held, None]) + arm.T @ (arm / lines[i].q[held, None])
+    return np.concatenate([matrix.ravel(), vector, [chi2[held].sum(), counts[held].sum(), held.sum()]])
 
 
 @dataclass
@@ -235,43 +282,30 @@ class Normal:
     tracks: int
 
 
-def normal_equations(fitted: DataFrame, chosen: list[int], dofs: tuple[str, ...], use: Column | None = None) -> Normal:
-    """Sums over linearised tracks with their lines (those with `use`), for the degrees of freedom of the chosen detectors.
+def normal_equations(
+    tracks: DataFrame, detectors: list[Detector], chosen: list[int], dofs: tuple[str, ...], change: np.ndarray | None = None, worst: float = math.inf, chi2_most: float = math.inf
+) -> Normal:
+    """Sums over packed tracks, for the degrees of freedom of the chosen detectors: of tracks with no residual of `worst` or more and a chi2
+    of `chi2_most` at most, their points moved by a change (detectors x degrees of freedom) along the derivatives at the detectors' places.
 
-    A point's residual moves with its own detector, and with all points of its track through the straight line: by
-    the leverage h = w_i w_j (1/S + d_i d_j / Q) of a pair of points, in each axis. Pairs of a track's points (planes
-    squared) are made inside its row; (6 x detectors)^2 sums reach the driver, in one aggregation.
+    A point's residual moves with its own detector, and with all points of its track through the straight line: the line's
+    share are products of two sums a track, over its points and over their arms. Each task adds up its tracks;
+    (6 x detectors)^2 sums reach the driver, in one aggregation.
     """
-    k = len(dofs)
-    at = {d: i * k for i, d in enumerate(chosen)}
-    own = F.filter("h", lambda p: p["d"].isin(chosen))
-    # no filter on rows, nor one that the optimiser makes of an explode: pushed below, it would repeat the whole fit
-    own = own if use is None else F.when(use, own)
-    named = ("d", "z", "wx", "wy", "ax", "ay")
-    rows = fitted.withColumn("own", F.transform(own, lambda p: F.struct(*[p[n].alias(n) for n in named], _miss(p, "x").alias("ex"), _miss(p, "y").alias("ey"))))
-    lever = [f"{c}{a}" for c in "szq" for a in "xy"]
-    pairs = rows.select(*lever, "chi2", "n", "own", F.posexplode_outer("own").alias("i", "p")).select("*", F.posexplode_outer("own").alias("j", "o")).drop("own")
-    p, o, same = F.col("p"), F.col("o"), F.col("i") == F.col("j")
-
-    def weight(a: str) -> Column:
-        near = (p["z"] - F.col(f"z{a}")) * (o["z"] - F.col(f"z{a}")) / F.col(f"q{a}")
-        return F.when(same, p[f"w{a}"]).otherwise(0.0) - p[f"w{a}"] * o[f"w{a}"] * (1 / F.col(f"s{a}") + near)
-
-    pairs = pairs.withColumns({"hx": weight("x"), "hy": weight("y")})
-    cells = [F.sum(F.col("hx") * p["ax"][i] * o["ax"][j] + F.col("hy") * p["ay"][i] * o["ay"][j]).alias(f"c{i}_{j}") for i in range(k) for j in range(k)]
-    sides = [F.sum(F.when(same, p["wx"] * p["ax"][i] * p["ex"] + p["wy"] * p["ay"][i] * p["ey"])).alias(f"b{i}") for i in range(k)]
-    first = (F.col("i") == 0) & (F.col("j") == 0)  # once a track
-    counts = [F.sum(F.when(first, F.col(c))).alias(c) for c in ("chi2", "n")] + [F.count(F.when(first, 1)).alias("tracks")]
-    out = Normal(np.zeros((k * len(chosen), k * len(chosen))), np.zeros(k * len(chosen)), 0.0, 0, 0)
-    for r in pairs.groupBy(p["d"].alias("d"), o["d"].alias("e")).agg(*cells, *sides, *counts).collect():  # one row a pair of detectors
-        if r["d"] is None:  # tracks without a point that counts
-            continue
-        i, j = at[r["d"]], at[r["e"]]
-        out.matrix[i : i + k, j : j + k] = [[r[f"c{x}_{y}"] for y in range(k)] for x in range(k)]
-        if i == j:
-            out.vector[i : i + k] = [-(r[f"b{x}"] or 0.0) for x in range(k)]
-        out.chi2, out.points, out.tracks = out.chi2 + (r["chi2"] or 0.0), out.points + (r["n"] or 0), out.tracks + r["tracks"]
-    return out
+    g, size = Geometry.of(detectors, dofs), len(dofs) * len(chosen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size + size + 3)
+        for rb in batches:
+            for r in range(rb.num_rows):
+                total += _sums([np.frombuffer(rb.column(i)[r].as_buffer(), k) for i, (_, k) in enumerate(_POINTS)], g, chosen, dofs, change, worst, chi2_most)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), pa.array(total)], ["at", "sum"])
+
+    total = np.zeros(size * size + size + 3)
+    for r in tracks.select(*[n for n, _ in _POINTS]).mapInArrow(run, "at long, sum double").groupBy("at").agg(F.sum("sum").alias("sum")).collect():  # as many as the geometry has
+        total[r["at"]] = r["sum"]
+    chi2, points, n = total[-3:].tolist()
+    return Normal(total[: size * size].reshape(size, size), total[size * size : -3].copy(), chi2, int(points), int(n))
 
 
 def with_change(d: Detector, dofs: tuple[str, ...], values: np.ndarray) -> Detector:
@@ -331,19 +365,15 @@ def millepede(
     """
     done = Aligned(list(detectors))
     planes = [d.name for d in detectors]
-    tracks = store.stored(on_all_planes(track_rows(points, detectors), len(planes)), "alignment")
+    tracks = store.stored(packed(on_all_planes(track_rows(points, detectors), len(planes))), "alignment")
     widths = np.tile([(sigmas or {}).get(k, 0.05 if k in "xyz" else 0.005) for k in dofs], len(planes))
     free = np.repeat([p not in fixed for p in planes], len(dofs))
     for number in range(iterations):
-        base = linearised(tracks, done.detectors, dofs)
         limits = _constraints(done.detectors, dofs) if constrained else np.zeros((0, len(free)))
         total, factor = np.zeros(len(free)), 100.0
         for k in range(inner):
-            use = F.col("worst") < (residual_cut_init if k == 0 else residual_cut)
-            if deviations:
-                ndof = 2 * len(planes) - 4
-                use &= F.col("chi2") <= chi2_limit(deviations, ndof) * factor
-            n = normal_equations(_lines(_moved(base, total.reshape(len(planes), len(dofs)))), list(range(len(planes))), dofs, use)
+            most = chi2_limit(deviations, 2 * len(planes) - 4) * factor if deviations else math.inf
+            n = normal_equations(tracks, done.detectors, list(range(len(planes))), dofs, total.reshape(len(planes), len(dofs)), residual_cut_init if k == 0 else residual_cut, most)
             if not n.points:
                 raise ValueError("no track is left")
             step = _solved(n, limits, total, widths, free)
@@ -372,7 +402,7 @@ def track_chi2(
     passes end once none moves.
     """
     done = Aligned(list(detectors))
-    tracks = store.stored(track_rows(points, detectors), "alignment")
+    tracks = store.stored(packed(track_rows(points, detectors)), "alignment")
     for number in range(iterations):
         moved = 0.0
         for i, d in enumerate(detectors):
@@ -382,7 +412,7 @@ def track_chi2(
             def at(values: np.ndarray, i=i) -> Normal:
                 trial = list(done.detectors)
                 trial[i] = with_change(trial[i], dofs, values)
-                return normal_equations(_lines(linearised(tracks, trial, dofs)), [i], dofs)
+                return normal_equations(tracks, trial, [i], dofs)
 
             x, damping, now = np.zeros(len(dofs)), 1e-9, at(np.zeros(len(dofs)))
             for _ in range(evaluations):
