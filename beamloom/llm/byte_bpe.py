@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 
 from beamloom.llm.shared import returned_memory
 
-#: Bytes of the pieces that each Python worker keeps encoded, with what an entry takes beside them; the memo is emptied when full.
-CACHED_BYTES, ENTRY_BYTES = 64_000_000, 200
+#: Bytes of the pieces that each Python worker keeps encoded, with what an entry takes beside them; a full memo keeps those that the texts at hand have.
+CACHED_BYTES, ENTRY_BYTES = 128_000_000, 200
 #: Longer pieces are encoded each time.
 CACHED_PIECE = 64
 #: Pairs of tokens whose stability a worker keeps.
 CACHED_PAIRS = 300_000
 #: Share of the memos that a worker may keep between two tasks.
-LEFT_SHARE = 0.25
+LEFT_SHARE = 0.125
 #: Characters of text split into pieces at a time.
 CHUNK_CHARS = 1_000_000
 
@@ -53,8 +53,10 @@ class PrefixBPE:
         lengths: dict[bytes, set[int]] = {}
         for token in ranks:
             if len(token) > 1:
-                lengths.setdefault(token[-2:], {1}).add(len(token))
-        #: Lengths of the tokens that end with two bytes, longest first.
+                lengths.setdefault(token[-4:], {1}).add(len(token))
+        for key, found in lengths.items():
+            found.update(n for n in (2, 3) if n < len(key) and key[-n:] in ranks)
+        #: Lengths of the tokens that may end where these four bytes do (or three or two, where no longer token ends so), longest first.
         self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
         self.find = regex.compile(pattern).findall
         self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
@@ -117,10 +119,11 @@ class PrefixBPE:
 
     def extend(self, data: bytes, last: list[int], start: int) -> None:
         """Sets last[start:] to the last tokens of the prefixes of data that end there."""
-        get, stable, known, reach = self.ranks.get, self.stable, self._stable, self._reach
+        get, stable, known, reach, lengths = self.ranks.get, self.stable, self._stable, self._reach, self.lengths.get
         del last[start:]
         for end in range(start + 1, len(data) + 1):
-            for n in self.lengths.get(data[end - 2 : end], (1,)) if end > 1 else (1,):
+            near = max(0, end - 4)
+            for n in lengths(data[near:end]) or lengths(data[end - 3 : end] if end > 3 else b"") or lengths(data[end - 2 : end] if end > 2 else b"", (1,)):
                 if n > end:
                     continue
                 begin = end - n
@@ -156,8 +159,9 @@ class PrefixBPE:
         piece before it keeps that part of the table and is appended from there.
         """
         found = [self.find(text) for text in texts]
-        self.trim(1.0)
-        new = {piece for pieces in found for piece in pieces if piece not in self.pieces} if len(found) == 1 else set().union(*found) - self.pieces.keys()
+        asked = set().union(*found)
+        self.trim(1.0, asked)
+        new = asked - self.pieces.keys()
         long: dict[str, bytes] = {}
         before, last = b"", []
         for data in sorted(x.encode() for x in new):
@@ -177,11 +181,11 @@ class PrefixBPE:
             return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in found]
         return [b"".join([self.pieces[p] if p in self.pieces else long[p] for p in pieces]) for pieces in found]
 
-    def trim(self, share: float) -> None:
-        """Empties the memos that hold more than a share of what they may."""
+    def trim(self, share: float, asked: set[str] = frozenset()) -> None:
+        """Empties the memos that hold more than a share of what they may, but for the pieces asked for now."""
         if self.held > share * CACHED_BYTES:
-            self.pieces.clear()
-            self.held = 0
+            self.pieces = {p: self.pieces[p] for p in asked & self.pieces.keys()}
+            self.held = sum(len(p.encode()) + len(ids) + ENTRY_BYTES for p, ids in self.pieces.items())
         if len(self._stable) > share * CACHED_PAIRS:
             self._stable.clear()
 
