@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from beamloom.llm import byte_bpe, jaccard_join, quality_rules, source_mixing, suffix_dedup
 from beamloom.llm.queries import vocabulary
-from beamloom.llm.shared import collected, recorded, released, table, written
+from beamloom.llm.shared import collected, dropped, recorded, released, table, written
 
 #: By thread and sf_dir, the tables that its last stages have written on their way.
 _LEFT: dict[tuple[int, str], list[str]] = {}
@@ -94,7 +94,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")  # one table a stage, kept for recovery
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")  # one table a stage, kept until the next one is there
+        dropped(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
