@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from beamloom.llm import byte_bpe, jaccard_join, quality_rules, source_mixing, suffix_dedup
 from beamloom.llm.queries import vocabulary
-from beamloom.llm.shared import collected, dropped, recorded, released, table, written
+from beamloom.llm.shared import collected, dropped, recorded, released, spent, table, written
 
 #: By thread and sf_dir, the tables that its last stages have written on their way.
 _LEFT: dict[tuple[int, str], list[str]] = {}
@@ -58,7 +58,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Bytes of 50-byte strings that a smaller id has are cut out of the texts; a cut inside a character drops what is left of it."""
     cut = suffix_dedup.suffix_dedup(docs, texts=True).filter("n_removed > 0")
     cut = cut.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("kept").alias("__kept"))
-    cut = written(cut, "cut").dropDuplicates(["__id", "__hash"])
+    cut = written(cut, "cut")
+    spent(spark, cut)  # the join below shuffles all texts: batches and records of the operator are not on disk beside them
+    cut = cut.dropDuplicates(["__id", "__hash"])
     text = F.when(F.col("__kept").isNotNull(), F.col("__kept").cast("string")).otherwise(F.col("text"))
     joined = docs.join(cut, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left").withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -11,3 +11,15 @@ def test_a_stage_table_goes_once_the_next_is_there(spark, tmp_path, monkeypatch)
     before = there()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 45
     assert len(there() - before) == 1 and spark.read.parquet(f"{tmp_path}/documents.parquet").count() == 50
+
+
+def test_tables_of_an_operator_go_before_its_texts_are_joined(spark, tmp_path):
+    passage = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "a " + passage, "x"), (2, passage + " b", "y"), (3, "c", "z"), (4, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    there = lambda: {p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in set(glob.glob(f"{shared.shared_dir(spark)}/*")) - before}
+    before = set(glob.glob(f"{shared.shared_dir(spark)}/*"))
+    out = corpus_pipeline.repeated_passages(spark, docs, str(tmp_path))
+    assert there() == {"cut"}
+    assert sorted(out.collect()) == [(1, "a " + passage, "x"), (2, " b", "y"), (3, "c", "z"), (4, None, None)]
