@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from beamloom.llm import byte_bpe, jaccard_join, quality_rules, source_mixing, suffix_dedup
 from beamloom.llm.queries import vocabulary
-from beamloom.llm.shared import collected, dropped, recorded, released, spent, table, written
+from beamloom.llm.shared import collected, compact, dropped, recorded, released, spent, table, written
 
 #: By thread and sf_dir, the tables that its last stages have written on their way.
 _LEFT: dict[tuple[int, str], list[str]] = {}
@@ -49,7 +49,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8 or more, the smallest id stays."""
     found = jaccard_join.jaccard_components(docs, n=5, percent=80)
-    gone = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-duplicates")
+    gone = written(compact(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()), "near-duplicates")
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 

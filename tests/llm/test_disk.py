@@ -2,6 +2,7 @@ import glob
 
 import corpus_pipeline
 from beamloom.llm import shared
+from beamloom.llm.components import components
 
 
 def test_a_stage_table_goes_once_the_next_is_there(spark, tmp_path, monkeypatch):
@@ -23,3 +24,18 @@ def test_tables_of_an_operator_go_before_its_texts_are_joined(spark, tmp_path):
     out = corpus_pipeline.repeated_passages(spark, docs, str(tmp_path))
     assert there() == {"cut"}
     assert sorted(out.collect()) == [(1, "a " + passage, "x"), (2, " b", "y"), (3, "c", "z"), (4, None, None)]
+
+
+def test_links_lie_in_few_files(spark):
+    """Tables of the rounds have no more files than tasks keep the cores busy, however many partitions a shuffle has."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 97)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = components(spark.range(1, 2000).selectExpr("id AS u", "id - id % 10 AS v"))
+        assert len(found.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism < 97
+        got = {r.node: r.component for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i - i % 10 for i in range(2000)}
