@@ -112,3 +112,37 @@ def test_ids_with_several_texts(spark):
         df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
         got = sorted({(str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()})
         assert got == sorted({("5", 78, 5), ("5", 74, 5), ("9", 79, 5), ("7", 75, 5), ("11", 2, 2), ("12", 2, 2), ("12", 1, 2), ("2", 1, 2), ("None", 78, None), ("20", 0, 20), ("20", 1, 2), ("30", 1, 30)})
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=80), st.randoms())
+def test_linked_sets_send_a_common_part_whatever_is_common(tokens, rnd):
+    """Levels are any function of the part: of the parts that two linked sets agree on, both send one."""
+    a, b = set(tokens), set(tokens)
+    for _ in range(rnd.randint(0, 12)):
+        (b.discard(rnd.choice(sorted(b))) if rnd.random() < 0.5 and len(b) > 1 else b.add(rnd.randrange(2**64)))
+    if 100 * len(a & b) < 80 * len(a | b):
+        return
+    sent, found = [], [[jaccard_join._parts(np.array(sorted(x), np.uint64), *s)[::2] for s in jaccard_join._schemes(len(x), 80)] for x in (a, b)]
+    both = {int(k) for _, keys in found[0] for k in keys} & {int(k) for _, keys in found[1] for k in keys}
+    level_of = {k: rnd.randrange(1, 9) for k in both}
+    for x in found:
+        keys, scheme = np.concatenate([k for _, k in x]), np.repeat(np.arange(len(x)), [len(k) for _, k in x])
+        level = np.array([level_of.get(int(k), rnd.choice([0, 0, 3, 9])) for k in keys], np.uint8)
+        sent.append(set(keys[jaccard_join.chosen_parts(level, scheme, np.array([s for s, _ in x]))].tolist()))
+    assert sent[0] & sent[1]
+
+
+def test_texts_with_a_common_passage_are_not_sent_once_for_each_tile(spark, monkeypatch):
+    """Long texts that each share two passages with a few others, and near copies of some: what is sent for comparison grows with the texts, not with their square."""
+    r, sent = random.Random(9), []
+    text = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passages = [text(60) for _ in range(100)]
+    docs = [[*text(200), *r.choice(passages), *text(60), *r.choice(passages)] for _ in range(300)]
+    docs += [[*d[:50], "x", *d[51:]] for d in docs[:40]]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    links = jaccard_join._block_links
+    monkeypatch.setattr(jaccard_join, "_block_links", lambda rows, *a: (sent.append(rows.count()), links(rows, *a))[1])
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=5, percent=80, tile=16).collect()
+    assert {x.doc_id: x.component_id for x in got} == {i: i - 300 if i >= 300 else i for i in range(340)}
+    assert sent[0] <= 2 * len(docs)
